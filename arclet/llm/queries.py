@@ -5,11 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import quality_rules as rules
+from . import quotation
 from .decontaminate import find_leaks
+from .html_text import extract_text
+from .language_id import fit_codes, predict_language
 from .line_chunks import dedup_lines
 from .ngram_join import jaccard_components
 from .packing import pack_documents
 from .toxicity import score_toxicity, toxic_chain
+from .warc import round_trip
 
 
 def tokenizer_path() -> str:
@@ -22,6 +27,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its figures and verdicts."""
+    return rules.quality_rules(table(spark, sf_dir, "documents")).drop("broken")
+
+
+def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every turn without its quotations, with what it replies to and its place."""
+    return quotation.reply_threads(table(spark, sf_dir, "conversations"))
+
+
 def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The leaks: one row for each document and benchmark item that it holds."""
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -33,6 +48,19 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(docs, toxic_chain(docs, table(spark, sf_dir, "labels")))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's language; held-out documents are those of which nothing is learned."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
+    codes = fit_codes(docs.where(~held_out))
+    return predict_language(docs, codes).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's main text."""
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
@@ -41,12 +69,32 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's record, as read back from the archive."""
+    return round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its text after removal."""
     out = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.select("doc_id", "text", "n_lines", "n_removed_lines", "n_removed_chunks")
-
-
-QUERIES = {f.__name__: f for f in (op3_benchmark_decontamination, op4_toxicity, op7_ngram_jaccard_join, op8_best_fit_packing, op10_line_dedup)}
-
-ORACLE: dict[str, str] = {}
+    return out.select("doc_id", "text", "n_removed_lines", "n_removed_chunks")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_quality_rules, op2_chat_formatting, op3_benchmark_decontamination, op4_toxicity, op5_language_id,
+        op6_html_extraction, op7_ngram_jaccard_join, op8_best_fit_packing, op9_warc, op10_line_dedup,
+    )
+}
+
+_WARC = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+d AS (SELECT page_id, octet_length(encode(h))::BIGINT AS payload_bytes, sha1(h) AS x, min(page_id) OVER (PARTITION BY h) AS low FROM p),
+c AS (SELECT page_id, string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + (('0x' || substr(x, 5 * g + 1, 5))::INT >> (5 * (3 - k))) % 32, 1), '' ORDER BY g, k) AS b
+      FROM d, range(8) AS a(g), range(4) AS b(k) GROUP BY page_id)
+SELECT d.page_id, payload_bytes, b AS payload_digest, CASE WHEN low = d.page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN low <> d.page_id THEN low END AS refers_to FROM d JOIN c ON c.page_id = d.page_id"""
+
+#: For the rest, tests hold the queries against plain Python.
+ORACLE: dict[str, str] = {"op1_quality_rules": rules.oracle(), "op2_chat_formatting": quotation.ORACLE, "op9_warc": _WARC}
