@@ -18,7 +18,7 @@ GAP_BYTES[[9, 10, 11, 12, 13, 32]] = True
 #: The same for words without marks: every ASCII byte that is no letter or digit.
 MARK_BYTES = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 #: Text bytes hashed at a time; a longer text is a piece of its own.
-PIECE_BYTES = 4 << 20
+PIECE_BYTES = 1 << 20
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
@@ -70,27 +70,30 @@ class Words:
         keep[1:] |= ~gap[:-1]
         if keep.size:
             keep[0] = not gap[0]
-        places = np.cumsum(keep)
+        upto = np.cumsum(keep, dtype=np.int64)[ends - 1] if ends.size else ends
         data = np.where(gap, np.uint8(32), raw)[keep]
         data = np.where((data >= 65) & (data <= 90), data + np.uint8(32), data)
-        stops = np.flatnonzero(data == 32)
-        self.first = np.concatenate(([0], stops[:-1] + 1)).astype(np.int64) if stops.size else stops
-        self.stop = stops
-        self.powers = np.ones(data.size + 1, np.uint64)
-        np.multiply.accumulate(np.full(data.size, _BASE), out=self.powers[1:])
-        self.sums = np.zeros(data.size + 1, np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * self.powers[:-1], out=self.sums[1:])
-        self.back = np.ones(data.size + 1, np.uint64)
-        np.multiply.accumulate(np.full(data.size, _INVERSE), out=self.back[1:])
-        upto = places[ends - 1] if ends.size else ends
+        #: Where each word ends, in bytes of the texts with one space between words.
+        self.stop = np.flatnonzero(data == 32)
+        first = np.concatenate(([0], self.stop[:-1] + 1)).astype(np.int64) if self.stop.size else self.stop
+        # Prefix sums of (byte + 1) * base ** place, and base ** -place at the words' starts.
+        sums = np.full(data.size + 1, _BASE)
+        sums[0] = 1
+        np.multiply.accumulate(sums, out=sums)
+        sums[1:] = sums[:-1] * (data.astype(np.uint64) + np.uint64(1))
+        sums[0] = 0
+        np.cumsum(sums, out=sums)
+        self.low, self.high = sums[first], sums[self.stop]
+        back = np.full(data.size + 1, _INVERSE)
+        back[0] = 1
+        self.back = np.multiply.accumulate(back, out=back)[first]
         #: Of each text, the words before and up to it.
         self.word_ends = np.searchsorted(self.stop, upto, side="left")
         self.word_starts = np.concatenate(([0], self.word_ends[:-1])).astype(np.int64) if ends.size else self.word_ends
 
     def hashes(self, first: np.ndarray, last: np.ndarray) -> np.ndarray:
         """Hashes of the runs from word first to word last, both included."""
-        a, b = self.first[first], self.stop[last]
-        return mixed((self.sums[b] - self.sums[a]) * self.back[a])
+        return mixed((self.high[last] - self.low[first]) * self.back[first])
 
 
 def pieces(texts, plain: bool = False):

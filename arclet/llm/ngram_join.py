@@ -1,15 +1,16 @@
 """Exact Jaccard self-join on word shingles that skips by position and by what is known of a similar set.
 
 Sets are ordered by one global order (frequent shingles last, else by hash), and two sets can only link if their
-prefixes share a shingle. The lists of documents by prefix shingle are the index. A pair of documents is compared in
-two rounds:
+prefixes share a shingle. The lists of sets by prefix shingle are the index. Pairs are compared in two rounds:
 
-1.  Every list has a centre, its smallest document. All members are verified against it, and linked ones merge.
+1.  Every list has a centre, its smallest set. Members are verified against it, and linked ones merge.
 2.  Answers already known for the centre then serve its list: members of one component need no further link, and two
     members whose distances to the centre differ by more than the radius can't link (Jaccard distance is a metric).
     What remains is compared block by block; a block whose sizes or positions leave too little overlap is skipped.
 
-So a group of m near copies costs about m comparisons and not m squared, and no link between components is lost.
+Before texts are touched, parity sketches of the sets bound a pair's symmetric difference from below, and so its
+similarity from above. So a group of m near copies costs about m comparisons and not m squared, and no link between
+components is lost. Equal sets are one node; a node's name is a 64-bit digest of its set, and shingles are 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -19,48 +20,69 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import share_code, shingle_sets, stored, text_frame
+from .common import mixed, share_code, shingle_sets, stored, text_frame
 from .components import connected_components
 
 #: Shingles that are held to be frequent on the way to the order; more only make the order worse, never a result.
-MAX_FREQUENT = 1 << 18
+MAX_FREQUENT = 1 << 20
 #: A shingle counts in a batch from this many documents on.
-BATCH_LEAST = 8
+BATCH_LEAST = 4
 #: Longer lists are dealt out as pairs of chunks of about this many members.
 LIST_CHUNK = 8192
 #: Members that a skipped or compared block holds.
 BLOCK = 256
 
 
+def sketch(h: np.ndarray) -> bytes:
+    """For each of two to four times as many buckets as hashes, whether an odd number of hashes falls into it."""
+    m = 1 << max(6, int(2 * len(h) - 1).bit_length())
+    odd = np.bincount((h >> np.uint64(20)).astype(np.int64) & (m - 1), minlength=m) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def sketch_distance(a: bytes, b: bytes) -> int:
+    """A lower bound of the size of the symmetric difference of two sets, from their sketches."""
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    while len(x) > len(y):
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
+def node_of(s: np.ndarray) -> int:
+    return int(mixed(np.add.reduce(s * (s | np.uint64(1)), keepdims=True) ^ np.uint64(len(s)))[0].view(np.int64))
+
+
 def _sets(k):
     def run(batches):
         for pdf in batches:
-            ids, sizes, low, high, often = [], [], [], [], []
+            ids, sizes, nodes, sketches, often = [], [], [], [], []
             for i, s in zip(pdf["doc_id"], shingle_sets(pdf["text"], k)):
                 ids.append(i)
                 sizes.append(len(s))
-                low.append(int(np.bitwise_xor.reduce(s).view(np.int64)) if len(s) else 0)
-                high.append(int(np.add.reduce(s * (s | np.uint64(1))).view(np.int64)) if len(s) else 0)
+                nodes.append(node_of(s))
+                sketches.append(sketch(s))
                 often.append(s)
-            yield pd.DataFrame({"kind": np.int8(0), "doc_id": ids, "n": sizes, "low": low, "high": high})
+            yield pd.DataFrame({"kind": np.int8(0), "doc_id": ids, "n": sizes, "node": nodes, "sketch": sketches})
             values, counts = np.unique(np.concatenate(often), return_counts=True) if often else (np.zeros(0, np.uint64), np.zeros(0))
             some = counts >= BATCH_LEAST
-            yield pd.DataFrame({"kind": np.int8(1), "doc_id": values[some].view(np.int64), "n": counts[some].astype(np.int64), "low": 0, "high": 0})
+            yield pd.DataFrame({"kind": np.int8(1), "doc_id": values[some].view(np.int64), "n": counts[some].astype(np.int64), "node": 0, "sketch": None})
 
     return run
 
 
 def _prefixes(k, percent, frequent):
     """frequent: sorted hashes; they come last in the order of a set."""
-    frequent = np.array(frequent, np.int64).view(np.uint64)
 
     def run(batches):
         for pdf in batches:
-            out, size = {"token": [], "doc_id": [], "n": [], "pos": []}, 0
-            for i, s in zip(pdf["doc_id"], shingle_sets(pdf["text"], k)):
-                n = len(s)
-                if not n:
+            out, size, done = {"token": [], "node": [], "n": [], "pos": []}, 0, set()
+            for s in shingle_sets(pdf["text"], k):
+                n, node = len(s), node_of(s)
+                if not n or node in done:
                     continue
+                done.add(node)
                 if frequent.size:
                     at = np.minimum(np.searchsorted(frequent, s), frequent.size - 1)
                     last = frequent[at] == s
@@ -68,14 +90,13 @@ def _prefixes(k, percent, frequent):
                         s = np.concatenate((s[~last], s[last]))
                 p = n - (percent * n + 99) // 100 + 1
                 out["token"].append(s[:p].view(np.int64))
-                out["doc_id"].append(np.full(p, i, np.int64))
+                out["node"].append(np.full(p, node, np.int64))
                 out["n"].append(np.full(p, n, np.int32))
                 out["pos"].append(np.arange(p, dtype=np.int32))
                 size += p
                 if size > 1 << 20:
-                    size = 0
                     yield pd.DataFrame({c: np.concatenate(v) for c, v in out.items()})
-                    out = {c: [] for c in out}
+                    out, size = {c: [] for c in out}, 0
             if out["n"]:
                 yield pd.DataFrame({c: np.concatenate(v) for c, v in out.items()})
 
@@ -83,22 +104,31 @@ def _prefixes(k, percent, frequent):
 
 
 def _lists(batches):
-    """Rows sorted by token, n, doc_id -> those of lists of two and more, with the list's centre."""
-    token, centre, held = None, None, None
+    """Rows sorted by token, n, node -> the distinct ones of lists of two and more, with the list's centre, its size and place."""
+    seen, centre, held = None, None, None
     for pdf in batches:
         if not len(pdf):
             continue
-        t = pdf["token"].to_numpy()
+        t, ids = pdf["token"].to_numpy(), pdf["node"].to_numpy()
+        again = np.zeros(len(t), bool)
+        again[1:] = (t[1:] == t[:-1]) & (ids[1:] == ids[:-1])
+        again[0] = seen == (t[0], ids[0])
+        seen_token, seen = seen[0] if seen else None, (t[-1], ids[-1])
+        pdf, t, ids = pdf[~again], t[~again], ids[~again]
+        if not len(t):
+            continue
         starts = np.concatenate(([True], t[1:] != t[:-1]))
-        if token is not None and t[0] == token:
-            starts[0] = False
-        first = np.flatnonzero(starts)
+        starts[0] = seen_token != t[0]
+        heads = np.flatnonzero(starts)
         which = np.cumsum(starts) - 1
-        ids = pdf["doc_id"].to_numpy()
-        centres = np.where(which >= 0, ids[first[np.maximum(which, 0)]] if first.size else 0, centre if centre is not None else 0)
+        own = np.column_stack([pdf[c].to_numpy() for c in ("node", "n", "pos")])
+        # Rows before the first start belong to the list that the last batch ended with.
+        centres = own[heads[np.maximum(which, 0)]] if heads.size else np.zeros((len(t), 3), np.int64)
+        if centre is not None:
+            centres[which < 0] = centre
+        out = pdf.assign(centre=centres[:, 0], cn=centres[:, 1], cpos=centres[:, 2])
         # A list of one shows only when the next list starts: its row is held back until then.
         alone = starts & np.concatenate((starts[1:], [False]))
-        out = pdf.assign(centre=centres)
         if held is not None and not starts[0]:
             yield held
         held = None
@@ -107,17 +137,17 @@ def _lists(batches):
             alone[-1] = True
         if (~alone).any():
             yield out[~alone]
-        token, centre = t[-1], centres[-1]
+        centre = centres[-1]
 
 
 def _crossing(percent):
-    """Rows sorted by token, lo, hi, n, doc_id with label, far (distance to the centre) -> pairs that may link."""
+    """Rows sorted by token, lo, hi, n, node with label and bounds of the distance to the centre -> pairs that may link."""
     radius = 1 - percent / 100 + 1e-9
 
     def within(rows):
-        n, pos, ids, far, label, chunk = rows
+        n, pos, ids, least, most, label, chunk = rows
         order = np.argsort(n, kind="stable")
-        n, pos, ids, far, label, chunk = (x[order] for x in (n, pos, ids, far, label, chunk))
+        n, pos, ids, least, most, label, chunk = (x[order] for x in rows)
         split = chunk.min() != chunk.max()
         rest = n - pos
         found = []
@@ -134,7 +164,7 @@ def _crossing(percent):
                     continue
                 na, nb = n[a][:, None], n[b][None, :]
                 ok = label[a][:, None] != label[b][None, :]
-                ok &= np.abs(far[a][:, None] - far[b][None, :]) <= radius
+                ok &= (least[a][:, None] - most[b][None, :] <= radius) & (least[b][None, :] - most[a][:, None] <= radius)
                 ok &= 100 * np.minimum(na, nb) >= percent * np.maximum(na, nb)
                 ok &= np.minimum(rest[a][:, None], rest[b][None, :]) * (100 + percent) >= percent * (na + nb)
                 if split:
@@ -159,10 +189,10 @@ def _crossing(percent):
             yield from pairs(held, np.array([0, len(held)]))
 
     def pairs(pdf, bounds):
-        cols = [pdf[c].to_numpy() for c in ("n", "pos", "doc_id", "far", "label", "chunk")]
+        cols = [pdf[c].to_numpy() for c in ("n", "pos", "node", "least", "most", "label", "chunk")]
         found = []
         for s, e in zip(bounds[:-1], bounds[1:]):
-            if e - s > 1 and (cols[4][s:e] != cols[4][s]).any():
+            if e - s > 1 and (cols[5][s:e] != cols[5][s]).any():
                 found += within([c[s:e] for c in cols])
         if found:
             a, b = np.concatenate(found, axis=1)
@@ -171,83 +201,108 @@ def _crossing(percent):
     return run
 
 
+def _sketched(percent):
+    """Pairs with sizes and sketches -> a, b, least (a bound of the distance), open (whether the pair may link)."""
+
+    def run(batches):
+        for pdf in batches:
+            apart = np.array([sketch_distance(x, y) for x, y in zip(pdf["sa"], pdf["sb"])], np.int64)
+            sizes = pdf["na"].to_numpy() + pdf["nb"].to_numpy()
+            yield pd.DataFrame({"a": pdf["a"], "b": pdf["b"], "least": 2 * apart / np.maximum(sizes + apart, 1), "open": 100 * (sizes - apart) >= percent * (sizes + apart)})
+
+    return run
+
+
 def _hashed(k):
     def run(batches):
         for pdf in batches:
             ids, sets, size = [], [], 0
-            for i, s in zip(pdf["doc_id"], shingle_sets(pdf["text"], k)):
-                ids.append(i)
+            for s in shingle_sets(pdf["text"], k):
+                ids.append(node_of(s))
                 sets.append(s.view(np.int64))
                 size += len(s)
                 if size > 1 << 20:
-                    yield pd.DataFrame({"doc_id": ids, "shingles": sets})
+                    yield pd.DataFrame({"node": ids, "shingles": sets})
                     ids, sets, size = [], [], 0
             if ids:
-                yield pd.DataFrame({"doc_id": ids, "shingles": sets})
+                yield pd.DataFrame({"node": ids, "shingles": sets})
 
     return run
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, k: int) -> DataFrame:
-    """Pairs (a, b) of doc_ids -> a, b, both (intersection), total (union). Sets are made of the texts of these pairs only."""
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    sets = stored(docs.join(ids, "doc_id", "left_semi").mapInPandas(_hashed(k), "doc_id long, shingles array<long>"))
-    left = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb")), "b")
-    both = left.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), "a")
+def _bounded(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of nodes -> a, b, least, open, by sketches."""
+    side = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
+    both = pairs.join(side("b"), "b").join(side("a"), "a")
+    return stored(both.mapInPandas(_sketched(percent), "a long, b long, least double, open boolean"))
+
+
+def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """Pairs (a, b) of nodes -> a, b, both (intersection), total (union). Sets are made of one text of each node only."""
+    ids = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    heads = nodes.join(ids, "node", "left_semi").select("doc_id")
+    sets = stored(docs.join(heads, "doc_id", "left_semi").mapInPandas(_hashed(k), "node long, shingles array<long>").dropDuplicates(["node"]))
+    both = pairs.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
+    both = both.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a")
     both = both.select("a", "b", (F.size("sa") + F.size("sb")).alias("sizes"), F.size(F.array_intersect("sa", "sb")).alias("both"))
     return stored(both.select("a", "b", "both", (F.col("sizes") - F.col("both")).alias("total")))
 
 
 def jaccard_links(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 75):
-    """(members, links): members has doc_id, n_shingles and class_id, the smallest document of the same set; links has pairs
-    (a, b) of classes with both and total, enough of them to reach every class that links reach.
+    """(members, links): members has doc_id, n_shingles and node, equal for equal sets; links has pairs (a, b) of nodes with
+    both and total, enough of them to reach every node that links reach.
 
     Documents link when 100 * intersection >= percent * union of their sets of k-word shingles. Null or blank texts have
-    the empty set and class_id themselves. Rows that share a doc_id each keep their own n_shingles and class; the doc_id links
-    with what any of its texts links with. Rows of null doc_id keep n_shingles and have no class. Texts are read whole, three times; a set is held for one text at a time
-    and, for texts that meet in a list, written once.
+    the empty set and no node. Rows that share a doc_id each have their own set. Texts are read whole, three or four times;
+    a set is held for one text at a time and written, once, for texts that may link.
     """
     spark = df.sparkSession
     share_code(spark)
     docs = text_frame(df, id_col, text_col)
-    seen = stored(docs.mapInPandas(_sets(k), "kind byte, doc_id long, n long, low long, high long"))
-    sets = seen.where("kind = 0").select("doc_id", F.col("n").alias("n_shingles"), "low", "high")
+    seen = stored(docs.mapInPandas(_sets(k), "kind byte, doc_id long, n long, node long, sketch binary"))
+    members = seen.where("kind = 0").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("node")).alias("node"))
     counts = seen.where("kind = 1").groupBy(F.col("doc_id").alias("token")).agg(F.sum("n").alias("n"))
     # The order's tail: a bounded list of the most frequent shingles.
-    frequent = np.sort(np.array([r[0] for r in counts.orderBy(F.desc("n"), "token").limit(MAX_FREQUENT).collect()], np.int64).view(np.uint64)).view(np.int64)
-
-    one = sets.where("doc_id is not null").groupBy("doc_id").agg(F.min(F.struct("n_shingles", "low", "high")).alias("s")).select("doc_id", "s.*")
-    classes = one.where("n_shingles > 0").groupBy("n_shingles", "low", "high").agg(F.min("doc_id").alias("class_id"))
-    members = stored(
-        sets.join(classes, ["n_shingles", "low", "high"], "left").select("doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id"))
-    )
-    heads = members.where("doc_id = class_id and n_shingles > 0").select("doc_id").distinct()
-    kept = docs.join(heads, "doc_id", "left_semi")
-    entries = kept.mapInPandas(_prefixes(k, percent, frequent.tolist()), "token long, doc_id long, n int, pos int")
-    lists = stored(
-        entries.repartition("token").sortWithinPartitions("token", "n", "doc_id").mapInPandas(_lists, "token long, doc_id long, n int, pos int, centre long")
-    )
-    first = lists.where("doc_id <> centre").select(F.least("doc_id", "centre").alias("a"), F.greatest("doc_id", "centre").alias("b")).distinct()
-    seen_pairs = _verified(first, kept, k)
+    top = counts.orderBy(F.desc("n"), "token").limit(MAX_FREQUENT).select("token").toArrow()
+    frequent = np.sort(top["token"].to_numpy().astype(np.int64).view(np.uint64))
+    # One document of each set: the smallest. Sketches of equal sets are equal.
+    nodes = seen.where("kind = 0 and n > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.max("sketch").alias("sketch"))
+    nodes = stored(nodes)
+
+    entries = docs.where("doc_id is not null").mapInPandas(_prefixes(k, percent, frequent), "token long, node long, n int, pos int")
+    lists = entries.repartition("token").sortWithinPartitions("token", "n", "node").mapInPandas(_lists, "token long, node long, n int, pos int, centre long, cn int, cpos int")
+    lists = stored(lists)
+    fits = f"100 * least(n, cn) >= {percent} * greatest(n, cn) and {100 + percent} * least(n - pos, cn - cpos) >= {percent} * (n + cn)"
+    first = lists.where(f"node <> centre and {fits}").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
+    bounds = _bounded(first, nodes, percent)
+    links = _verified(bounds.where("open").select("a", "b"), nodes, docs, k)
     linked = F.expr(f"100 * both >= {percent} * total")
-    labels = connected_components(seen_pairs.where(linked))
-
-    known = seen_pairs.select("a", "b", (1 - F.col("both") / F.col("total")).alias("far"))
-    known = known.select(F.col("a").alias("doc_id"), F.col("b").alias("centre"), "far").union(known.select("b", "a", "far"))
-    rows = lists.join(known, ["doc_id", "centre"], "left").join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left")
-    rows = rows.select("token", "doc_id", "n", "pos", F.coalesce("far", F.lit(0.0)).alias("far"), F.coalesce("component", "doc_id").alias("label"))
+    labels = connected_components(links.where(linked))
+
+    exact = links.select("a", "b", (1 - F.col("both") / F.col("total")).alias("far"))
+    known = bounds.join(exact, ["a", "b"], "left").select("a", "b", F.coalesce("far", "least").alias("least"), F.coalesce("far", F.lit(1.0)).alias("most"))
+    known = known.select(F.col("a").alias("node"), F.col("b").alias("centre"), "least", "most").union(known.select("b", "a", "least", "most"))
+    rows = lists.join(known, ["node", "centre"], "left").join(labels.withColumnRenamed("id", "node"), "node", "left")
+    apart = F.when(F.col("node") == F.col("centre"), 0.0)
+    least = F.coalesce(apart, "least", 1 - F.least("n", "cn") / F.greatest("n", "cn"))
+    rows = rows.select("token", "node", "n", "pos", least.alias("least"), F.coalesce(apart, "most", F.lit(1.0)).alias("most"), F.coalesce("component", "node").alias("label"))
     many = rows.groupBy("token").agg(F.min("label").alias("l"), F.max("label").alias("h"), F.count(F.lit(1)).alias("m")).where("l < h")
     rows = rows.join(many.select("token", F.ceil(F.col("m") / LIST_CHUNK).cast("int").alias("g")), "token")
-    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), "g").cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
-    rows = rows.select("token", F.least("chunk", "with").alias("lo"), F.greatest("chunk", "with").alias("hi"), "doc_id", "n", "pos", "far", "label", "chunk")
-    second = rows.repartition("token", "lo", "hi").sortWithinPartitions("token", "lo", "hi", "n", "doc_id").mapInPandas(_crossing(percent), "a long, b long").distinct()
-    second = second.join(first, ["a", "b"], "left_anti")
-    more = _verified(second, kept, k)
-    return members, seen_pairs.unionByName(more).where(linked)
+    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("node"), "g").cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
+    rows = rows.select("token", F.least("chunk", "with").alias("lo"), F.greatest("chunk", "with").alias("hi"), "node", "n", "pos", "least", "most", "label", "chunk")
+    second = rows.repartition("token", "lo", "hi").sortWithinPartitions("token", "lo", "hi", "n", "node").mapInPandas(_crossing(percent), "a long, b long").distinct()
+    second = stored(second.join(bounds, ["a", "b"], "left_anti"))
+    if second.isEmpty():
+        return members, links.where(linked)
+    more = _bounded(second, nodes, percent).where("open").select("a", "b")
+    return members, links.unionByName(_verified(more, nodes, docs, k)).where(linked)
 
 
 def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 75) -> DataFrame:
-    """One row per row of df: doc_id, n_shingles, class_id, component_id (the smallest doc_id that links reach)."""
+    """One row per row of df: doc_id, n_shingles, component_id (the smallest doc_id that links and equal sets reach, its own
+    without a set). Rows of null doc_id get the component of their set, if another row has it."""
     members, links = jaccard_links(df, id_col, text_col, k, percent)
-    reach = connected_components(links).withColumnRenamed("id", "class_id")
-    return members.join(reach, "class_id", "left").select("doc_id", "n_shingles", "class_id", F.coalesce("component", "class_id").alias("component_id"))
+    reach = connected_components(links).withColumnRenamed("id", "node").withColumnRenamed("component", "group")
+    rows = members.join(reach, "node", "left").withColumn("group", F.coalesce("group", "node"))
+    least = rows.where("group is not null").groupBy("group").agg(F.min("doc_id").alias("least"))
+    return rows.join(least, "group", "left").select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))

@@ -70,10 +70,12 @@ def with_figures(df: DataFrame, text_col: str = "text") -> DataFrame:
     # A window that would reach past the end has nulls; xxhash64 skips them, so the last two are cut.
     df = df.withColumn("_v", F.slice(F.transform("_h", lambda h, i: F.xxhash64(h, F.get("_h", i + 1), F.get("_h", i + 2))), 1, F.greatest(F.size("_h") - 2, F.lit(0))))
     # Sorting is for texts with a repeated window only.
-    df = df.withColumn("_o", F.when(F.size(F.array_distinct("_v")) < F.size("_v"), F.sort_array(F.transform("_v", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
+    # The partition number fences the steps off: a filter on a verdict would else be pushed below them, with all of them inline.
+    order = F.sort_array(F.transform("_v", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    df = df.withColumn("_o", F.when((F.size(F.array_distinct("_v")) < F.size("_v")) & (F.spark_partition_id() >= 0), order))
     count = lambda c, keep: F.size(F.filter(c, keep)).cast("long")
     return df.select(
-        *[c for c in df.columns if not c.startswith("_") or c not in ("_t", "_w", "_lines", "_h", "_v", "_o")],
+        *[c for c in df.columns if c not in ("_t", "_w", "_lines", "_h", "_v", "_o")],
         F.size("_w").cast("long").alias("n_words"),
         F.length(F.regexp_replace("_t", WORD_GAP, "")).cast("long").alias("word_chars"),
         F.length(F.regexp_replace("_t", SYMBOLS, "")).cast("long").alias("n_symbols"),
