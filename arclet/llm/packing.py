@@ -7,12 +7,16 @@ round to round, and the last partition sees only what earlier ones could not fil
 
 from __future__ import annotations
 
+import os
+import re
+import struct
 import zlib
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
+from tokenizers.pre_tokenizers import ByteLevel
 
 from .common import share_code, stored, text_frame
 
@@ -29,48 +33,80 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 BINS = "used long, items array<struct<doc_id: long, piece: int, length: long>>, full boolean"
 
 
+#: A word of plain small letters with ASCII marks (but apostrophes) after it, once it is in lower case: its letters and its marks are tokenized apart.
+PLAIN = re.compile("([a-z\xdf-\xf6\xf8-\xff]+)([!-&(-/:-@[-`{-~]*)")
+#: White space to Python, but not to the tokenizer.
+SEPARATORS = re.compile("[\x1c-\x1f]")
+
+
 class WordIds:
     """Ids of texts by one tokenizer, as little-endian 32-bit words; ids of frequent words are remembered.
 
-    For tokenizers that drop white space and never look across it: a text's ids are those of its words in turn. Words are
-    parted at spaces, tabs and line breaks only; what other white space they hold, the tokenizer sees.
+    For tokenizers that make all letters small, drop white space and never look across it, nor from letters to marks: a
+    text's ids are those of its words in turn. Of a plain word the letters go straight to the tokenizer's model; any other
+    word passes through the whole tokenizer.
     """
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.model = Tokenizer(self.tokenizer.model)
+        self.model.pre_tokenizer = ByteLevel(add_prefix_space=False, use_regex=False)
         self.known: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {"": b""}
 
-    def learn(self, texts: list[str]) -> None:
-        new: set[str] = set()
-        for t in texts:
-            new.update(t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" "))
-        if len(self.known) > CACHE_WORDS:
-            self.known = {}
-        new = new.difference(self.known)
-        words = list(new)
+    @staticmethod
+    def words(text: str) -> list[str]:
+        return text.split() if SEPARATORS.search(text) is None else re.split("[ \t\n\r]", text)
+
+    def _encode(self, tokenizer: Tokenizer, words: list[str], known: dict[str, bytes]) -> None:
         for a in range(0, len(words), 20_000):
             part = words[a : a + 20_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                self.known[w] = _packed(e.ids)
+            for w, e in zip(part, tokenizer.encode_batch_fast(part, add_special_tokens=False)):
+                known[w] = _packed(e.ids)
 
-    def of(self, text: str) -> bytes:
-        return b"".join(map(self.known.__getitem__, text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")))
+    def learn(self, texts: list[list[str]]) -> None:
+        """Takes up the words of texts."""
+        new: set[str] = set()
+        for words in texts:
+            new.update(words)
+        if len(self.known) > CACHE_WORDS:
+            self.known, self.parts = {}, {"": b""}
+        new = new.difference(self.known)
+        plain, odd, letters, marks = [], [], set(), set()
+        for w in new:
+            m = PLAIN.fullmatch(w.lower())
+            if m is None:
+                odd.append(w)
+            else:
+                plain.append((w, m[1], m[2]))
+                letters.add(m[1])
+                marks.add(m[2])
+        self._encode(self.model, list(letters.difference(self.parts)), self.parts)
+        self._encode(self.tokenizer, list(marks.difference(self.parts)), self.parts)
+        self._encode(self.tokenizer, odd, self.known)
+        for w, a, b in plain:
+            self.known[w] = self.parts[a] + self.parts[b]
+
+    def of(self, words: list[str]) -> bytes:
+        return b"".join(map(self.known.__getitem__, words))
 
 
 def _packed(ids) -> bytes:
-    return b"".join(i.to_bytes(4, "little") for i in ids)
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 def _cut(path: str, capacity: int, end_id: int):
     def run(batches):
+        # A task has one core.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         words, end = WordIds(path), _packed([end_id])
         for pdf in batches:
             texts, rows, part, size = ["" if t is None else t for t in pdf["text"]], [], [], 0
             for i, (doc, text) in enumerate(zip(pdf["doc_id"], texts)):
-                part.append((doc, text))
+                part.append((doc, words.words(text)))
                 size += len(text)
-                if size < 4 << 20 and i < len(texts) - 1:
+                if size < 2 << 20 and i < len(texts) - 1:
                     continue
                 words.learn([t for _, t in part])
                 for d, t in part:

@@ -9,13 +9,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, share_code, text_frame
+from .common import pieces, share_code, stored, text_frame
 from .linear import Sparse, fit, sigmoid
 
-#: Labelled documents that the chain is fitted on: those whose hashed ids are smallest.
-TRAIN_ROWS = 6000
+#: Labelled documents that the chain is fitted on at most: those whose hashed ids are smallest.
+TRAIN_ROWS = 16_000
 #: A word is a feature if its share of labelled documents differs between labels by so many standard errors.
 WORD_Z = 6.0
+#: And if so many of them hold it.
+WORD_DOCUMENTS = 5
 MAX_WORDS = 4096
 FOLDS = 4
 #: The categories before the last hold toxic documents with one of these words; the last holds all.
@@ -68,44 +70,77 @@ class Chain:
         return sigmoid(odds)
 
 
+def _sample(labels: DataFrame, n: int) -> DataFrame:
+    return labels.where("doc_id is not null and y is not null").orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(n)
+
+
 def fit_chain(labelled: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", categories=None, train_rows: int = TRAIN_ROWS) -> Chain:
-    """Fits the chain on labelled rows (id, text, label 0/1); rows of null text or label are left out.
+    """Fits the chain on labelled rows (id, text, label 0/1); rows of null id, text or label are left out.
 
     At most train_rows rows are used, a documented bound. Category by category, out-of-fold log odds of the earlier ones
     are features of the later ones; the models kept are fitted on all rows. Without a row of either label no word is a
     feature and the chain says the base rate.
     """
-    categories = categories or CATEGORIES
-    share_code(labelled.sparkSession)
-    rows = labelled.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(label_col).cast("int").alias("y")).where("text is not null and y is not null")
-    rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(train_rows)
-    data = rows.mapInPandas(_distinct, "doc_id long, y int, words array<long>").toPandas()
-    y = data["y"].to_numpy(np.float64)
-    sizes = data["words"].map(len).to_numpy() if len(data) else np.zeros(0, int)
-    row = np.repeat(np.arange(len(data)), sizes)
-    h = (np.concatenate(data["words"].to_list()) if len(data) else np.zeros(0, np.int64)).astype(np.int64).view(np.uint64)
-    words, col = np.unique(h, return_inverse=True)
-    n1, n0 = y.sum(), len(y) - y.sum()
+    rows = labelled.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(label_col).cast("int").alias("y"))
+    sample = _sample(rows.where("text is not null").select("doc_id", "y"), train_rows)
+    return _fit(rows.drop("y").join(F.broadcast(sample), "doc_id"), categories or CATEGORIES)
+
+
+def toxic_chain(documents: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, categories=None) -> Chain:
+    """The chain for documents (doc_id, text) with labels (doc_id, toxic): the sample of labels is drawn first, so that what is
+    broadcast to the texts has train_rows rows at most."""
+    sample = _sample(labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("y")), train_rows)
+    return _fit(documents.select("doc_id", "text").join(F.broadcast(sample), "doc_id"), categories or CATEGORIES)
+
+
+def _held(words: np.ndarray):
+    """Of each labelled text the numbers of the given words (sorted hashes) that it holds."""
+
+    def run(batches):
+        for pdf in batches:
+            for start, n, row, h in _word_hashes(pdf["text"]):
+                at = np.minimum(np.searchsorted(words, h), max(words.size - 1, 0))
+                hit = words[at] == h if words.size else np.zeros(h.size, bool)
+                pair = np.unique(row[hit] * np.int64(words.size + 1) + at[hit])
+                ends = np.searchsorted(pair // (words.size + 1), np.arange(n), side="right")
+                own = np.split((pair % (words.size + 1)).astype(np.int32), ends[:-1])
+                part = pdf.iloc[start : start + n]
+                yield pd.DataFrame({"doc_id": part["doc_id"], "y": part["y"], "words": own})
+
+    return run
+
+
+def _fit(rows: DataFrame, categories: dict) -> Chain:
+    """rows: doc_id, text, y. Words are counted by Spark; the driver sees those that tell labels apart, and who holds them."""
+    share_code(rows.sparkSession)
+    rows = stored(rows.where("text is not null"))
+    sizes = rows.agg(F.coalesce(F.sum("y"), F.lit(0)).alias("n1"), F.count(F.lit(1)).alias("n")).first()
+    n1, n0 = sizes.n1, sizes.n - sizes.n1
+    words = np.zeros(0, np.uint64)
     if n1 and n0:
-        d1, d0 = np.bincount(col, y[row], words.size), np.bincount(col, 1 - y[row], words.size)
-        rate = np.clip((d1 + d0) / (n1 + n0), 1e-9, 1 - 1e-9)
-        z = (d1 / n1 - d0 / n0) / np.sqrt(rate * (1 - rate) * (1 / n1 + 1 / n0))
-        good = np.flatnonzero((np.abs(z) >= WORD_Z) & (d1 + d0 >= 5))
-        good = np.sort(good[np.argsort(-np.abs(z[good]), kind="stable")[:MAX_WORDS]])
-    else:
-        good = np.zeros(0, int)
-    to = np.full(words.size, -1)
-    to[good] = np.arange(good.size)
-    some = to[col] >= 0
-    x = Sparse(row[some], to[col[some]], np.ones(int(some.sum())), (len(y), good.size))
+        held = rows.mapInPandas(_distinct, "doc_id long, y int, words array<long>").select("y", F.explode("words").alias("h"))
+        counts = held.groupBy("h").agg(F.sum("y").alias("d1"), F.count(F.lit(1)).alias("d")).where(F.col("d") >= WORD_DOCUMENTS)
+        rate = F.col("d") / float(sizes.n)
+        gap = F.abs(F.col("d1") / float(n1) - (F.col("d") - F.col("d1")) / float(n0))
+        z = counts.withColumn("z", gap / F.sqrt(F.greatest(rate * (1 - rate), F.lit(1e-12)) * (1 / n1 + 1 / n0))).where(F.col("z") >= WORD_Z)
+        words = np.sort(np.array([r.h for r in z.orderBy(F.desc("z"), "h").limit(MAX_WORDS).collect()], np.int64).view(np.uint64))
+    seeds = {name: np.array(sorted(_hash_of(w) for w in own), np.uint64) for name, own in categories.items()}
+    listed = np.unique(np.concatenate([words, *seeds.values()]))
+    data = rows.mapInPandas(_held(listed), "doc_id long, y int, words array<int>").toPandas().sort_values("doc_id").reset_index(drop=True)
+    y = data["y"].to_numpy(np.float64)
+    row = np.repeat(np.arange(len(data)), data["words"].map(len).to_numpy().astype(int) if len(data) else 0)
+    h = listed[np.concatenate(data["words"].to_list()).astype(int)] if len(row) else np.zeros(0, np.uint64)
+    at = np.minimum(np.searchsorted(words, h), max(words.size - 1, 0))
+    some = words[at] == h if words.size else np.zeros(h.size, bool)
+    good = words
+    x = Sparse(row[some], at[some], np.ones(int(some.sum())), (len(y), words.size))
     folds = (pd.util.hash_array(data["doc_id"].to_numpy(np.int64)) % FOLDS if len(data) else np.zeros(0, int)).astype(int)
 
     names, weights, before, bias, earlier = list(categories), [], [], [], np.zeros((len(y), 0))
     for name in names:
-        seeds = np.array([_hash_of(w) for w in categories[name]], np.uint64)
         has = np.zeros(len(y), bool)
-        has[row[np.isin(h, seeds)]] = True
-        target = y * has if seeds.size else y
+        has[row[np.isin(h, seeds[name])]] = True
+        target = y * has if seeds[name].size else y
         features = x.add(earlier)
         w, b = fit(features, target)
         weights.append(w[: good.size])
@@ -116,7 +151,7 @@ def fit_chain(labelled: DataFrame, label_col: str = "toxic", id_col: str = "doc_
             fw, fb = fit(features.take(folds != k), target[folds != k])
             out[folds == k] = features.take(folds == k).dot(fw) + fb
         earlier = np.column_stack((earlier, np.clip(out, -12, 12)))
-    return Chain(names, words[good], np.array(weights).reshape(len(names), -1), before, np.array(bias))
+    return Chain(names, words, np.array(weights).reshape(len(names), -1), before, np.array(bias))
 
 
 def _scores(chain: Chain):
@@ -147,10 +182,3 @@ def score_toxicity(df: DataFrame, chain: Chain, id_col: str = "doc_id", text_col
     cols = ", ".join(f"p_{n} double" for n in chain.names)
     out = text_frame(df, id_col, text_col).mapInPandas(_scores(chain), f"doc_id long, {cols}")
     return out.withColumn("rejected", F.col(f"p_{chain.names[-1]}") >= threshold)
-
-
-def toxic_chain(documents: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Chain:
-    """The chain for documents with labels (doc_id, toxic): the sample of labels is drawn first, so that its broadcast to the
-    texts has train_rows rows at most."""
-    sample = labels.select("doc_id", "toxic").where("doc_id is not null and toxic is not null").orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(train_rows)
-    return fit_chain(documents.select("doc_id", "text").join(F.broadcast(sample), "doc_id"), train_rows=train_rows)
