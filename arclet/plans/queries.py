@@ -437,11 +437,13 @@ def asymmetry(spark, sf_dir):
     return _asymmetry(spark, sf_dir).select("line_id", (F.round("asymmetry", 4) + F.lit(0.0)).alias("asymmetry"))
 
 
-@query(f"WITH {_ASYMMETRY}, b AS (SELECT floor(round(asymmetry, 4) * 100 / 10000)::BIGINT AS bucket, round(asymmetry, 4) AS a FROM asym) SELECT bucket, round(avg(a), 3) + 0.0 AS mean, round(stddev_pop(a), 3) + 0.0 AS deviation, count(*) AS n FROM b GROUP BY bucket")
+@query(f"WITH {_ASYMMETRY}, b AS (SELECT floor(round(asymmetry, 4) * 100 / 10000)::BIGINT AS bucket, round(asymmetry, 4) AS a FROM asym) SELECT bucket, floor(avg(a) * 1000 + 0.317) / 1000 AS mean, floor(stddev_pop(a) * 1000 + 0.317) / 1000 AS deviation, count(*) AS n FROM b GROUP BY bucket")
 def asym_buckets(spark, sf_dir):
     a = _asymmetry(spark, sf_dir).withColumn("a", F.round("asymmetry", 4)).withColumn("part", F.col("a") / 10000)
     s = E.bucket_statistics(E.asymmetry_buckets(a, "part"), "a")
-    return s.select("bucket", (F.round("mean", 3) + F.lit(0.0)).alias("mean"), (F.round("deviation", 3) + F.lit(0.0)).alias("deviation"), "n")
+    # Whole thousandths, cut where means of a few four-digit numbers never lie.
+    cut = lambda c: (F.floor(F.col(c) * 1000 + 0.317) / 1000).alias(c)
+    return s.select("bucket", cut("mean"), cut("deviation"), "n")
 
 
 @query(f"""WITH {_ASYMMETRY}, a AS (SELECT round(asymmetry, 4) AS a FROM asym), e AS (SELECT min(a) AS lo, max(a) AS hi FROM a)
@@ -572,13 +574,13 @@ def map_smooth_edges(spark, sf_dir):
     return M.smooth_and_detect(counts_map(spark, sf_dir), 1.0, 52, 12).select("px", "py", (F.round("value", 4) + F.lit(0.0)).alias("value"))
 
 
-@query(f"WITH {DENSE} SELECT range::INT AS sample_idx, px, py, value FROM range(40) JOIN map ON px = round_even(2 + range * 1.0::DOUBLE, 0) AND py = round_even(1 + range * 0.225::DOUBLE, 0)")
+@query(f"WITH {DENSE} SELECT range::INT AS sample_idx, px, py, value FROM range(41) JOIN map ON px = round_even(2 + range * (40::DOUBLE / 41), 0) AND py = round_even(1 + range * (9::DOUBLE / 41), 0)")
 def line_slice(spark, sf_dir):
     return M.line_slice(counts_map(spark, sf_dir), (2.0, 1.0), (42.0, 10.0))
 
 
 @query(f"""WITH {SAMPLED}, {POINTS}, c AS (SELECT DISTINCT floor(bx)::INT AS px, floor(yb / 0.5)::INT AS py FROM pts WHERE parity = 0 AND bx > floor(bx) AND yb / 0.5 > floor(yb / 0.5)),
-t AS (SELECT curve_id, sample_idx, floor(qx)::INT AS px, floor(qy / 0.5)::INT AS py FROM track) SELECT curve_id, sample_idx, px, py FROM t JOIN c USING (px, py) WHERE px BETWEEN 0 AND 51 AND py BETWEEN 0 AND 19""")
+at_pixel AS (SELECT curve_id, sample_idx, floor(qx)::INT AS px, floor(qy / 0.5)::INT AS py FROM track) SELECT curve_id, sample_idx, px, py FROM at_pixel JOIN c USING (px, py) WHERE px BETWEEN 0 AND 51 AND py BETWEEN 0 AND 19""")
 def caustics_along_curve(spark, sf_dir):
     t = track(spark, sf_dir).select("curve_id", "sample_idx", F.floor("qx").cast("int").alias("px"), F.floor(F.col("qy") / 0.5).cast("int").alias("py"))
     return M.caustics_along(t, P.caustic_map(points(spark, sf_dir), PLANE)).select("curve_id", "sample_idx", "px", "py")
