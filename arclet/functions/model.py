@@ -227,3 +227,31 @@ class Animation:
 
     def position(self, t: float) -> Vec:
         return self.start + self.velocity * t
+
+
+@dataclass(frozen=True)
+class MacroParameters:
+    """A whole lens: rays over a region of the sky, without single stars."""
+
+    source: SourceModel
+    lens: LensModel
+    ray_region: Box
+
+    @property
+    def raw_brightness(self) -> float:
+        return 1.0
+
+    def to_micro(self, percent_stars: float, image_center: Vec, minor_axis: float, stars: StarField, **more) -> MicroParameters:
+        """The field about one image: a square source plane of that side, with as many rays."""
+        plane = Box(Vec(0, 0), Vec(minor_axis, minor_axis))
+        return MicroParameters(self.source, self.lens, percent_stars, image_center, (self.ray_region.nx, self.ray_region.ny), plane, stars, **more)
+
+
+def macro_of(p: MicroParameters, einstein_radius: float, pixels: tuple[int, int] = (2000, 2000)) -> MacroParameters:
+    """The whole lens of a field: two Einstein radii wide, about the origin."""
+    return MacroParameters(p.source, p.lens, Box(Vec(0, 0), Vec(2 * einstein_radius, 2 * einstein_radius), *pixels))
+
+
+def similar(a: MicroParameters, b: MicroParameters) -> bool:
+    """Whether rays traced for one serve the other."""
+    return a.ray_print() == b.ray_print()
