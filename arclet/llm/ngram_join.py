@@ -3,7 +3,9 @@
 Sets are ordered by one global order (frequent shingles last, else by hash), and two sets can only link if their
 prefixes share a shingle. The lists of sets by prefix shingle are the index. Pairs are compared in two rounds:
 
-1.  Every list has a centre, its smallest set. Members are verified against it, and linked ones merge.
+1.  Every list has a centre, its smallest set. Members are verified against it, and linked ones merge. A copy of a text
+    may be near the text but not near other copies, so members that this leaves apart are verified against the centre's
+    hub too: the set most similar to it.
 2.  Answers already known for the centre then serve its list: members of one component need no further link, and two
     members whose distances to the centre differ by more than the radius can't link (Jaccard distance is a metric).
     What remains is compared block by block; a block whose sizes or positions leave too little overlap is skipped.
@@ -26,9 +28,13 @@ from .components import connected_components
 #: Shingles that are held to be frequent on the way to the order; more only make the order worse, never a result.
 MAX_FREQUENT = 1 << 20
 #: A shingle counts in a batch from this many documents on.
-BATCH_LEAST = 4
+BATCH_LEAST = 3
 #: Longer lists are dealt out as pairs of chunks of about this many members.
 LIST_CHUNK = 8192
+#: Members of lists this long bring their sketches, so that pairs are bounded where they are met.
+SKETCH_FROM = 8
+#: Pairs that a Python worker gathers before it hands them on.
+MOST_PAIRS = 1 << 16
 #: Members that a skipped or compared block holds.
 BLOCK = 256
 
@@ -42,12 +48,16 @@ def sketch(h: np.ndarray) -> bytes:
 
 def sketch_distance(a: bytes, b: bytes) -> int:
     """A lower bound of the size of the symmetric difference of two sets, from their sketches."""
-    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-    while len(x) > len(y):
+    words = min(len(a), len(b)) // 8
+    return int(np.bitwise_count(folded(a, words) ^ folded(b, words)).sum())
+
+
+def folded(a: bytes, words: int) -> np.ndarray:
+    """A sketch of fewer buckets, from one of more."""
+    x = np.frombuffer(a, np.uint64)
+    while len(x) > words:
         x = x[: len(x) // 2] ^ x[len(x) // 2 :]
-    while len(y) > len(x):
-        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
-    return int(np.bitwise_count(x ^ y).sum())
+    return x
 
 
 def node_of(s: np.ndarray) -> int:
@@ -145,12 +155,10 @@ def _crossing(percent):
     radius = 1 - percent / 100 + 1e-9
 
     def within(rows):
-        n, pos, ids, least, most, label, chunk = rows
-        order = np.argsort(n, kind="stable")
-        n, pos, ids, least, most, label, chunk = (x[order] for x in rows)
+        order = np.argsort(rows[0], kind="stable")
+        n, pos, ids, least, most, label, chunk, sketches = (x[order] for x in rows)
         split = chunk.min() != chunk.max()
         rest = n - pos
-        found = []
         for start in range(0, len(n), BLOCK):
             a = slice(start, min(start + BLOCK, len(n)))
             # Sizes ascend: only partners of at most n / threshold words from here on.
@@ -172,9 +180,15 @@ def _crossing(percent):
                 x, y = np.nonzero(ok)
                 if other == start:
                     x, y = x[x < y], y[x < y]
+                if x.size and sketches[a][0] is not None:
+                    words = min(min(map(len, sketches[a])), min(map(len, sketches[b]))) // 8
+                    p, q = (np.stack([folded(t, words) for t in sketches[c]]) for c in (a, b))
+                    apart = np.maximum(np.bitwise_count(p[x] ^ q[y]).sum(axis=1, dtype=np.int64), np.abs(n[a][x] - n[b][y]))
+                    sizes = n[a][x] + n[b][y]
+                    may = 100 * (sizes - apart) >= percent * (sizes + apart)
+                    x, y = x[may], y[may]
                 if x.size:
-                    found.append(np.stack((ids[a][x], ids[b][y])))
-        return found
+                    yield np.stack((ids[a][x], ids[b][y]))
 
     def run(batches):
         held = None
@@ -189,14 +203,22 @@ def _crossing(percent):
             yield from pairs(held, np.array([0, len(held)]))
 
     def pairs(pdf, bounds):
-        cols = [pdf[c].to_numpy() for c in ("n", "pos", "node", "least", "most", "label", "chunk")]
-        found = []
+        cols = [pdf[c].to_numpy() for c in ("n", "pos", "node", "least", "most", "label", "chunk", "sketch")]
+        found, size = [], 0
         for s, e in zip(bounds[:-1], bounds[1:]):
             if e - s > 1 and (cols[5][s:e] != cols[5][s]).any():
-                found += within([c[s:e] for c in cols])
+                for part in within([c[s:e] for c in cols]):
+                    found.append(part)
+                    size += part.shape[1]
+                    if size > MOST_PAIRS:
+                        yield frame(found)
+                        found, size = [], 0
         if found:
-            a, b = np.concatenate(found, axis=1)
-            yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
+            yield frame(found)
+
+    def frame(found):
+        a, b = np.concatenate(found, axis=1)
+        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
 
     return run
 
@@ -208,6 +230,7 @@ def _sketched(percent):
         for pdf in batches:
             apart = np.array([sketch_distance(x, y) for x, y in zip(pdf["sa"], pdf["sb"])], np.int64)
             sizes = pdf["na"].to_numpy() + pdf["nb"].to_numpy()
+            apart = np.maximum(apart, np.abs(pdf["na"].to_numpy() - pdf["nb"].to_numpy()))
             yield pd.DataFrame({"a": pdf["a"], "b": pdf["b"], "least": 2 * apart / np.maximum(sizes + apart, 1), "open": 100 * (sizes - apart) >= percent * (sizes + apart)})
 
     return run
@@ -279,6 +302,18 @@ def jaccard_links(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     linked = F.expr(f"100 * both >= {percent} * total")
     labels = connected_components(links.where(linked))
 
+    like = links.where(linked).select("a", "b", (F.col("both") / F.col("total")).alias("s"))
+    hubs = like.union(like.select("b", "a", "s")).groupBy(F.col("a").alias("centre")).agg(F.max(F.struct("s", "b"))["b"].alias("hub"))
+    label = lambda x: labels.select(F.col("id").alias(x), F.col("component").alias(f"{x}_label"))
+    star = lists.select("node", "centre").distinct().join(hubs, "centre").where("node <> hub").join(label("node"), "node", "left").join(label("hub"), "hub")
+    star = star.where("node_label is null or node_label <> hub_label").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+    star = stored(star.join(bounds, ["a", "b"], "left_anti"))
+    tried = bounds.select("a", "b")
+    if not star.isEmpty():
+        tried = tried.union(star)
+        links = links.unionByName(_verified(_bounded(star, nodes, percent).where("open").select("a", "b"), nodes, docs, k))
+        labels = connected_components(links.where(linked))
+
     exact = links.select("a", "b", (1 - F.col("both") / F.col("total")).alias("far"))
     known = bounds.join(exact, ["a", "b"], "left").select("a", "b", F.coalesce("far", "least").alias("least"), F.coalesce("far", F.lit(1.0)).alias("most"))
     known = known.select(F.col("a").alias("node"), F.col("b").alias("centre"), "least", "most").union(known.select("b", "a", "least", "most"))
@@ -287,11 +322,13 @@ def jaccard_links(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     least = F.coalesce(apart, "least", 1 - F.least("n", "cn") / F.greatest("n", "cn"))
     rows = rows.select("token", "node", "n", "pos", least.alias("least"), F.coalesce(apart, "most", F.lit(1.0)).alias("most"), F.coalesce("component", "node").alias("label"))
     many = rows.groupBy("token").agg(F.min("label").alias("l"), F.max("label").alias("h"), F.count(F.lit(1)).alias("m")).where("l < h")
-    rows = rows.join(many.select("token", F.ceil(F.col("m") / LIST_CHUNK).cast("int").alias("g")), "token")
+    rows = rows.join(many.select("token", "m", F.ceil(F.col("m") / LIST_CHUNK).cast("int").alias("g")), "token")
+    long = rows.where(F.col("m") >= SKETCH_FROM).join(nodes.select("node", "sketch"), "node")
+    rows = long.unionByName(rows.where(F.col("m") < SKETCH_FROM).withColumn("sketch", F.lit(None).cast("binary")))
     rows = rows.withColumn("chunk", F.pmod(F.xxhash64("node"), "g").cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
-    rows = rows.select("token", F.least("chunk", "with").alias("lo"), F.greatest("chunk", "with").alias("hi"), "node", "n", "pos", "least", "most", "label", "chunk")
+    rows = rows.select("token", F.least("chunk", "with").alias("lo"), F.greatest("chunk", "with").alias("hi"), "node", "n", "pos", "least", "most", "label", "chunk", "sketch")
     second = rows.repartition("token", "lo", "hi").sortWithinPartitions("token", "lo", "hi", "n", "node").mapInPandas(_crossing(percent), "a long, b long").distinct()
-    second = stored(second.join(bounds, ["a", "b"], "left_anti"))
+    second = stored(second.join(tried, ["a", "b"], "left_anti"))
     if second.isEmpty():
         return members, links.where(linked)
     more = _bounded(second, nodes, percent).where("open").select("a", "b")
