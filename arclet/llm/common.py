@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import uuid
-from pathlib import Path
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.session import share_code  # noqa: F401 - its modules take it from here
+
 #: Used only where the session names no shared folder, as in tests on one machine.
 LOCAL_CHECKPOINTS = "file:///tmp/checkpoints/arclet"
 #: What separates words, as a Java expression and as bytes.
@@ -27,15 +28,19 @@ _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 def shared_dir(spark: SparkSession) -> str:
     """A new folder that driver and executors all see, below spark.checkpoint.dir."""
     top = spark.conf.get("spark.checkpoint.dir", None) or LOCAL_CHECKPOINTS
-    return f"{top.rstrip('/')}/arclet-{uuid.uuid4().hex}"
+    _FOLDERS.append(f"{top.rstrip('/')}/arclet-{uuid.uuid4().hex}")
+    return _FOLDERS[-1]
+
+
+_FOLDERS: list[str] = []
 
 
-def share_code(spark: SparkSession) -> None:
-    """Lets Python workers import this package when it runs from a source folder."""
-    root = str(Path(__file__).resolve().parents[2])
-    env = spark.sparkContext.environment
-    if root not in env.get("PYTHONPATH", "").split(":"):
-        env["PYTHONPATH"] = f"{env.get('PYTHONPATH', '')}:{root}".strip(":")
+def drop_stored(spark: SparkSession) -> None:
+    """Deletes the folders that this process has written. Frames made of them can't be read afterwards."""
+    jvm = spark.sparkContext._jvm
+    while _FOLDERS:
+        path = jvm.org.apache.hadoop.fs.Path(_FOLDERS.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def stored(df: DataFrame) -> DataFrame:
@@ -56,6 +61,34 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h
 
 
+_POWERS: dict[int, np.ndarray] = {}
+
+
+def powers(base: np.uint64, n: int) -> np.ndarray:
+    """base ** 0 to base ** (n - 1), or more; those for pieces of the usual size are kept."""
+    have = _POWERS.get(int(base))
+    if have is not None and len(have) >= n:
+        return have[:n]
+    out = np.full(max(n, 5 * PIECE_BYTES // 4), base)
+    out[0] = 1
+    np.multiply.accumulate(out, out=out)
+    if len(out) <= 2 * PIECE_BYTES:
+        _POWERS[int(base)] = out
+    return out[:n]
+
+
+#: Small letters for those of Latin-1.
+_SMALL = bytes(b + 32 if 65 <= b <= 90 or 192 <= b <= 222 and b != 215 else b for b in range(256))
+
+
+def small_bytes(text: str) -> bytes:
+    """text.lower() in UTF-8."""
+    try:
+        return text.encode("latin-1").translate(_SMALL).decode("latin-1").encode()
+    except UnicodeEncodeError:
+        return text.lower().encode("utf-8", "surrogatepass")
+
+
 class Words:
     """The words of many texts as spans of one byte array, and hashes of runs of them.
 
@@ -77,16 +110,12 @@ class Words:
         self.stop = np.flatnonzero(data == 32)
         first = np.concatenate(([0], self.stop[:-1] + 1)).astype(np.int64) if self.stop.size else self.stop
         # Prefix sums of (byte + 1) * base ** place, and base ** -place at the words' starts.
-        sums = np.full(data.size + 1, _BASE)
-        sums[0] = 1
-        np.multiply.accumulate(sums, out=sums)
-        sums[1:] = sums[:-1] * (data.astype(np.uint64) + np.uint64(1))
-        sums[0] = 0
+        sums = np.zeros(data.size + 1, np.uint64)
+        np.add(data, 1, out=sums[1:], casting="unsafe", dtype=np.uint64)
+        sums[1:] *= powers(_BASE, data.size)
         np.cumsum(sums, out=sums)
         self.low, self.high = sums[first], sums[self.stop]
-        back = np.full(data.size + 1, _INVERSE)
-        back[0] = 1
-        self.back = np.multiply.accumulate(back, out=back)[first]
+        self.back = powers(_INVERSE, data.size)[first]
         #: Of each text, the words before and up to it.
         self.word_ends = np.searchsorted(self.stop, upto, side="left")
         self.word_starts = np.concatenate(([0], self.word_ends[:-1])).astype(np.int64) if ends.size else self.word_ends
@@ -102,7 +131,7 @@ def pieces(texts, plain: bool = False):
     Words are parted by white space, and A-Z are lower case; plain: parted by any ASCII mark, and all letters lower case.
     """
     start, size, part = 0, 0, []
-    coded = [b"" if t is None else (t.lower() if plain else t).encode("utf-8", "surrogatepass") for t in texts]
+    coded = [b"" if t is None else small_bytes(t) if plain else t.encode("utf-8", "surrogatepass") for t in texts]
     for i, t in enumerate(coded):
         part.append(t)
         size += len(t) + 1

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, share_code, text_frame
+from .common import pieces, share_code, stored, text_frame
 
 SHINGLE = 5
 SIMILARITY = 0.75
@@ -30,7 +30,7 @@ MAX_WINDOW = 64
 #: Items that are looked for in one pass over the documents; more take more passes.
 ITEMS_A_PASS = 4096
 #: Windows worked on at a time, so that their planes stay in the processor's cache.
-STRIP = 4096
+STRIP = 16384
 
 
 def simhash(h: np.ndarray) -> np.uint64:
@@ -77,32 +77,35 @@ class Probes:
     def candidates(self, h: np.ndarray, width: int):
         """(size, places of windows, probe numbers) within the radius, for hashes of shingles of that width."""
         sizes = [m for w, m in self.by if w == width]
+        store = np.empty((8, STRIP), np.uint64)
+        spare = np.empty((3, STRIP), np.uint64)
         for at in range(0, len(h), STRIP) if sizes else ():
-            n = min(STRIP, len(h) - at)
-            planes: list[np.ndarray] = []
+            n, used = min(STRIP, len(h) - at), 0
             for m in range(1, min(sizes[-1], len(h) - at) + 1):
                 n = min(n, len(h) - at - m + 1)
+                # One more shingle in every window: its bits ripple through the planes, in place.
                 carry = h[at + m - 1 : at + m - 1 + n]
-                planes = [p[:n] for p in planes]
-                for j, p in enumerate(planes):
-                    planes[j], carry = p ^ carry, p & carry
+                for j in range(used):
+                    plane, rest = store[j, :n], spare[j & 1, :n]
+                    np.bitwise_and(plane, carry, out=rest)
+                    np.bitwise_xor(plane, carry, out=plane)
+                    carry = rest
                 if m & (m - 1) == 0:
-                    planes.append(carry if m > 1 else carry.copy())
+                    store[used, :n] = carry
+                    used += 1
                 if (width, m) not in self.by:
                     continue
-                # count >= m // 2 + 1, as the carry out of count + 2 ** len(planes) - that.
-                add, over = (1 << len(planes)) - (m // 2 + 1), None
-                for j, p in enumerate(planes):
-                    if add >> j & 1:
-                        over = p if over is None else p | over
-                    else:
-                        over = None if over is None else p & over
-                over = np.zeros(n, np.uint64) if over is None else over
+                # count >= m // 2 + 1, as the carry out of count + 2 ** used - that.
+                add, over = (1 << used) - (m // 2 + 1), spare[2, :n]
+                low = (add & -add).bit_length() - 1
+                over[:] = store[low, :n]
+                for j in range(low + 1, used):
+                    (np.bitwise_or if add >> j & 1 else np.bitwise_and)(over, store[j, :n], out=over)
                 _, _, prints, tables, _ = self.by[width, m]
-                blocks = np.ascontiguousarray(over).view(np.uint16).reshape(-1, 4)
-                near = tables[0][blocks[:, 0]]
+                blocks = over.view(np.uint16).reshape(-1, 4)
+                near = tables[0].take(blocks[:, 0], mode="clip")
                 for b in (1, 2, 3):
-                    near |= tables[b][blocks[:, b]]
+                    near |= tables[b].take(blocks[:, b], mode="clip")
                 places = np.flatnonzero(near)
                 if places.size:
                     w, q = np.nonzero(np.bitwise_count(over[places][:, None] ^ prints[None, :]) <= self.radius)
@@ -175,5 +178,6 @@ def find_leaks(
 
 def decontaminate(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """df without the rows whose document holds a passage of items; rows of null id stay."""
-    leaks = find_leaks(df, items, id_col, text_col, **how).select(F.col("doc_id").alias(id_col)).distinct()
+    # A table of its own: its size is known, and while it is small texts need no shuffle.
+    leaks = stored(find_leaks(df, items, id_col, text_col, **how).select(F.col("doc_id").alias(id_col)).distinct())
     return df.join(leaks, id_col, "left_anti")
