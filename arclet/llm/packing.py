@@ -9,8 +9,10 @@ from __future__ import annotations
 
 import os
 import re
-import struct
+import sys
 import zlib
+from array import array
+from functools import cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -27,14 +29,15 @@ FREE_SHARE = 1 / 64
 #: Partitions whose underfull bins meet in one.
 FAN_IN = 4
 #: Words whose ids a Python worker remembers.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 350_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 BINS = "used long, items array<struct<doc_id: long, piece: int, length: long>>, full boolean"
 
 
-#: A word of plain small letters with ASCII marks (but apostrophes) after it, once it is in lower case: its letters and its marks are tokenized apart.
-PLAIN = re.compile("([a-z\xdf-\xf6\xf8-\xff]+)([!-&(-/:-@[-`{-~]*)")
+#: Letters whose words go straight to the model, once they are small, and marks that may follow: all of ASCII but the apostrophe.
+LETTERS = re.compile("[a-z\xdf-\xf6\xf8-\xff]*")
+MARKS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'")
 #: White space to Python, but not to the tokenizer.
 SEPARATORS = re.compile("[\x1c-\x1f]")
 
@@ -53,7 +56,15 @@ class WordIds:
         self.model = Tokenizer(self.tokenizer.model)
         self.model.pre_tokenizer = ByteLevel(add_prefix_space=False, use_regex=False)
         self.known: dict[str, bytes] = {}
+        #: Ids of runs of letters and of runs of marks, and those of an older generation.
         self.parts: dict[str, bytes] = {"": b""}
+        self.older: dict[str, bytes] = {}
+
+    @classmethod
+    @cache
+    def of_worker(cls, path: str) -> "WordIds":
+        """One for all tasks of a Python worker."""
+        return cls(path)
 
     @staticmethod
     def words(text: str) -> list[str]:
@@ -62,8 +73,7 @@ class WordIds:
     def _encode(self, tokenizer: Tokenizer, words: list[str], known: dict[str, bytes]) -> None:
         for a in range(0, len(words), 20_000):
             part = words[a : a + 20_000]
-            for w, e in zip(part, tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                known[w] = _packed(e.ids)
+            known.update(zip(part, [_packed(e.ids) for e in tokenizer.encode_batch_fast(part, add_special_tokens=False)]))
 
     def learn(self, texts: list[list[str]]) -> None:
         """Takes up the words of texts."""
@@ -71,36 +81,50 @@ class WordIds:
         for words in texts:
             new.update(words)
         if len(self.known) > CACHE_WORDS:
-            self.known, self.parts = {}, {"": b""}
+            self.known = {}
+        if len(self.parts) > CACHE_WORDS:
+            self.parts, self.older = {"": b""}, self.parts
         new = new.difference(self.known)
-        plain, odd, letters, marks = [], [], set(), set()
+        known, parts, older = self.known, self.parts, self.older
+        plain, odd = [], []
         for w in new:
-            m = PLAIN.fullmatch(w.lower())
-            if m is None:
-                odd.append(w)
+            small = w.lower()
+            letters = small.rstrip(MARKS)
+            marks = small[len(letters) :]
+            a = parts.get(letters)
+            if a is None:
+                a = older.get(letters)
+                if a is not None:
+                    parts[letters] = a
+            b = parts.get(marks)
+            if a is not None and b is not None:
+                known[w] = a + b
+            elif LETTERS.fullmatch(letters):
+                plain.append((w, letters, marks))
             else:
-                plain.append((w, m[1], m[2]))
-                letters.add(m[1])
-                marks.add(m[2])
-        self._encode(self.model, list(letters.difference(self.parts)), self.parts)
-        self._encode(self.tokenizer, list(marks.difference(self.parts)), self.parts)
-        self._encode(self.tokenizer, odd, self.known)
-        for w, a, b in plain:
-            self.known[w] = self.parts[a] + self.parts[b]
+                odd.append(w)
+        self._encode(self.model, list({x[1] for x in plain}.difference(parts)), parts)
+        self._encode(self.tokenizer, list({x[2] for x in plain}.difference(parts)), parts)
+        self._encode(self.tokenizer, odd, known)
+        for w, letters, marks in plain:
+            known[w] = parts[letters] + parts[marks]
 
     def of(self, words: list[str]) -> bytes:
         return b"".join(map(self.known.__getitem__, words))
 
 
 def _packed(ids) -> bytes:
-    return struct.pack(f"<{len(ids)}I", *ids)
+    a = array("I", ids)
+    if sys.byteorder == "big":
+        a.byteswap()
+    return a.tobytes()
 
 
 def _cut(path: str, capacity: int, end_id: int):
     def run(batches):
         # A task has one core.
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        words, end = WordIds(path), _packed([end_id])
+        words, end = WordIds.of_worker(path), _packed([end_id])
         for pdf in batches:
             texts, rows, part, size = ["" if t is None else t for t in pdf["text"]], [], [], 0
             for i, (doc, text) in enumerate(zip(pdf["doc_id"], texts)):
