@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import zlib
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -116,13 +117,11 @@ def fit_codes(labelled: DataFrame, lang_col: str = "lang", id_col: str = "doc_id
     rows = labelled.select(F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
     rows = rows.where(r"lang is not null and text is not null and text rlike '\\p{L}'")
     langs = sorted(r[0] for r in rows.select("lang").distinct().collect())
-    # A top-k by language: each task keeps its own smallest rows before anything moves.
-    parts = [rows.where(F.col("lang") == x).orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(rows_a_language) for x in langs]
-    if not parts:
+    if not langs:
         return Codes([], np.zeros((0, 1)), np.zeros((1, BUCKETS)), np.zeros(1), np.ones(1))
-    sample = parts[0]
-    for p in parts[1:]:
-        sample = sample.unionByName(p)
+    # A top-k of ids by language, each task keeping its own smallest before anything moves; texts follow by a join of these few.
+    parts = [rows.where(F.col("lang") == x).select("doc_id", "lang").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows_a_language) for x in langs]
+    sample = rows.join(F.broadcast(reduce(DataFrame.unionByName, parts)), ["doc_id", "lang"])
     data = sample.mapInPandas(_features_of, "doc_id long, lang string, col array<int>, val array<float>").toPandas()
     data = data.sort_values(["lang", "doc_id"]).reset_index(drop=True)
     if len(data) > TRAIN_ROWS:
