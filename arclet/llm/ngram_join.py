@@ -263,7 +263,8 @@ def _bounded(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
 def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     """Pairs (a, b) of nodes -> a, b, both (intersection), total (union). Sets are made of one text of each node only."""
     ids = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    heads = nodes.join(ids, "node", "left_semi").select("doc_id")
+    # As a table of its own the list of documents has a known size: while it is small it goes to the texts, beyond that texts are shuffled.
+    heads = stored(nodes.join(ids, "node", "left_semi").select("doc_id"))
     sets = stored(docs.join(heads, "doc_id", "left_semi").mapInPandas(_hashed(k), "node long, shingles array<long>").dropDuplicates(["node"]))
     both = pairs.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
     both = both.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a")
@@ -285,8 +286,15 @@ def jaccard_links(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     seen = stored(docs.mapInPandas(_sets(k), "kind byte, doc_id long, n long, node long, sketch binary"))
     members = seen.where("kind = 0").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("node")).alias("node"))
     counts = seen.where("kind = 1").groupBy(F.col("doc_id").alias("token")).agg(F.sum("n").alias("n"))
-    # The order's tail: a bounded list of the most frequent shingles.
-    top = counts.orderBy(F.desc("n"), "token").limit(MAX_FREQUENT).select("token").toArrow()
+    # The order's tail: a bounded list of the most frequent shingles, by the least count that keeps the list within its bound.
+    counts = stored(counts)
+    least, listed = None, 0
+    for r in counts.groupBy("n").agg(F.count(F.lit(1)).alias("m")).orderBy(F.desc("n")).limit(100_000).collect():
+        listed += r.m
+        if listed > MAX_FREQUENT:
+            break
+        least = r.n
+    top = counts.where(F.col("n") >= F.lit(least)).select("token").toArrow()
     frequent = np.sort(top["token"].to_numpy().astype(np.int64).view(np.uint64))
     # One document of each set: the smallest. Sketches of equal sets are equal.
     nodes = seen.where("kind = 0 and n > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.max("sketch").alias("sketch"))
@@ -339,7 +347,8 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """One row per row of df: doc_id, n_shingles, component_id (the smallest doc_id that links and equal sets reach, its own
     without a set). Rows of null doc_id get the component of their set, if another row has it."""
     members, links = jaccard_links(df, id_col, text_col, k, percent)
-    reach = connected_components(links).withColumnRenamed("id", "node").withColumnRenamed("component", "group")
+    # Tables of their own, so that joins with a large class or component split under adaptive execution.
+    reach = stored(connected_components(links).withColumnRenamed("id", "node").withColumnRenamed("component", "group"))
     rows = members.join(reach, "node", "left").withColumn("group", F.coalesce("group", "node"))
-    least = rows.where("group is not null").groupBy("group").agg(F.min("doc_id").alias("least"))
+    least = stored(rows.where("group is not null").groupBy("group").agg(F.min("doc_id").alias("least")))
     return rows.join(least, "group", "left").select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
