@@ -62,3 +62,20 @@ def test_all_that_is_left_is_packed(stages):
 def test_run_gives_the_stages_rows(spark, stages):
     got = corpus_pipeline.run(spark, SF)
     assert got.count() == len(stages[-1][2]) and got.agg(F.sum("length")).first()[0] == stages[-1][2].length.sum()
+
+
+def test_half_copies_lose_their_passage_and_near_copies_go(spark):
+    """A shared passage goes from a document that the next stage won't drop; one that it will drop is left whole for it."""
+    words = lambda tag, n: [" ".join(f"{tag}{i}x{j}" for j in range(4)) + "." for i in range(n)]
+    passage, base = words("p", 40), words("b", 40)
+    texts = {1: passage + words("q", 10), 2: passage + words("r", 16), 3: base, 4: base[:20] + ["other words here now."] + base[21:]}
+    # 6 copies a document that loses a passage itself, so that they may not link afterwards.
+    texts |= {5: words("s", 40) + passage[:20], 6: words("s", 40) + passage[:20] + words("t", 1)}
+    rows = [(i, " ".join(t), "en", "s", len(" ".join(t))) for i, t in texts.items()]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    out = corpus_pipeline.line_dedup(spark, docs, SF)
+    got = {r.doc_id: r.text for r in out.collect()}
+    assert all("p20x0" not in got[i] for i in (2,)) and got[1] == rows[0][1]
+    assert got[4] == rows[3][1] and all("p10x0" not in got.get(i, "") for i in (5, 6))
+    kept = {r.doc_id: r.text for r in corpus_pipeline.near_copies(spark, out, SF).collect()}
+    assert 4 not in kept and sum("p10x0" in t for t in kept.values()) == 1
