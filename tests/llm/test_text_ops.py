@@ -156,6 +156,25 @@ def test_edited_leak_counts_by_weighted_jaccard(spark):
     assert len(got) == 1 and got[0].similarity >= want - 1e-9
 
 
+def test_edited_windows_are_found_whatever_their_fingerprints(spark):
+    """Recall against brute force: windows at similarity 0.75 to 0.85, each in a document of its own."""
+    rng = np.random.default_rng(12)
+    grams = lambda w: Counter(zip(*(w[i:] for i in range(5))))
+    items, texts, want = [], {}, set()
+    for i in range(300):
+        # One other word inside: five shingles of 36 to 45.
+        item = [f"i{i}x{j}" for j in range(int(rng.integers(40, 50)))]
+        near = list(item)
+        near[len(item) // 2] = "other"
+        a, b = grams(item), grams(near)
+        items.append((i, " ".join(item)))
+        texts[i] = " ".join(random_words(rng, 20) + near + random_words(rng, 20))
+        if 0.75 <= sum((a & b).values()) / sum((a | b).values()) <= 0.85:
+            want.add(i)
+    got = {r.doc_id for r in decontaminate.find_leaks(docs(spark, texts), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert len(want) == 300 and want <= got
+
+
 # Op 4.
 
 
