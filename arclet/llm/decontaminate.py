@@ -131,6 +131,23 @@ class Probes:
                     if w.size:
                         yield m, at + places[w], q
 
+    def shorter(self, h: np.ndarray, width: int, words, shared: np.ndarray, similarity: float):
+        """(number of text, (item, similarity, 0, words)) of texts with fewer shingles than an item, each compared whole."""
+        sizes = [m for w, m in self.by if w == width]
+        n = words.word_ends - words.word_starts - width + 1
+        few = np.flatnonzero((n > 0) & (n < sizes[-1]))
+        first = words.word_starts[few]
+        for d in few[shared[first + n[few]] - shared[first] >= similarity * n[few]]:
+            own = int(n[d])
+            mine = Counter(h[words.word_starts[d] :][:own].tolist())
+            for m in sizes:
+                if own < m and similarity * m <= own:
+                    items, counts, *_ = self.by[width, m]
+                    for item, there in zip(items, counts):
+                        low = sum((mine & there).values())
+                        if low and low >= similarity * (m + own - low):
+                            yield d, (item, low / (m + own - low), 0, own + width - 1)
+
 
 def _search(probes: Probes, similarity: float):
     widths = sorted({w for w, _ in probes.by})
@@ -158,6 +175,7 @@ def _search(probes: Probes, similarity: float):
                             low = sum((mine & counts[q]).values())
                             if low >= similarity * (2 * m - low):
                                 rows.append((ids[start + d], items[q], low / (2 * m - low), p - words.word_starts[d], m + width - 1))
+                    rows += [(ids[start + d], *row) for d, row in probes.shorter(h, width, words, shared, similarity)]
             out = pd.DataFrame(rows, columns=["doc_id", "item_id", "similarity", "start_word", "n_words"])
             if len(out):
                 out = out.sort_values(["doc_id", "item_id", "similarity", "start_word"], ascending=[True, True, False, True])
@@ -172,7 +190,8 @@ def find_leaks(
     """Rows (doc_id, item_id, similarity, start_word, n_words): the best window of each document for each item that leaks.
 
     Words are lower case and parted by ASCII marks and white space; shingles have five words, or all of a shorter item.
-    Similarity is weighted Jaccard, of shingles with their counts. Null texts, ids of items and blank items find nothing;
+    Similarity is weighted Jaccard, of shingles with their counts. A document with fewer shingles than an item is
+    one window, whole. Null texts, ids of items and blank items find nothing;
     rows that repeat a doc_id in one batch give one row per item. Items are read to the driver in blocks of ITEMS_A_PASS,
     each block taking one pass over df; documents are not shuffled.
     """

@@ -175,6 +175,26 @@ def test_edited_windows_are_found_whatever_their_fingerprints(spark):
     assert len(want) == 300 and want <= got
 
 
+def test_documents_shorter_than_an_item_are_compared_whole(spark):
+    rng = np.random.default_rng(13)
+    item, long = [f"i{j}" for j in range(30)], random_words(rng, 90, 10**6)
+    texts = {1: item[:29], 2: item[2:], 3: item[:24], 4: item[:23], 5: item[:14] + ["x"] + item[15:29], 6: long[:60], 7: [], 8: ["one"], 9: item[:29] + item[:1], 10: item[:4]}
+    items = spark.createDataFrame([(1, " ".join(item)), (2, " ".join(long)), (3, "one two three four")], "item_id long, text string")
+    grams = lambda w: Counter(zip(*(w[i:] for i in range(5))))
+    want = {}
+    for i, t in texts.items():
+        for k, other in ((1, item), (2, long[:68]), (2, long[22:])):
+            a, b = grams(t), grams(other)
+            j = sum((a & b).values()) / sum((a | b).values())
+            if j >= 0.75:
+                want[i, k] = j
+    df = docs(spark, {i: " ".join(t) for i, t in texts.items()})
+    got = {(r.doc_id, r.item_id): r for r in decontaminate.find_leaks(df, items).collect()}
+    assert {k: r.similarity for k, r in got.items()} == want and {(1, 1), (2, 1), (3, 1), (6, 2), (9, 1)} <= set(want) and (4, 1) not in want
+    assert (got[1, 1].start_word, got[1, 1].n_words) == (0, 29)
+    assert {r.doc_id for r in decontaminate.decontaminate(df, items).collect()} == set(texts) - {i for i, _ in want}
+
+
 # Op 4.
 
 
