@@ -32,7 +32,7 @@ FAN_IN = 4
 CACHE_WORDS = 350_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-BINS = "used long, items array<struct<doc_id: long, piece: int, length: long>>, full boolean"
+BINS = "used long, items array<struct<doc_id: long, piece: int, length: long, row: long>>, full boolean"
 
 
 #: Letters whose words go straight to the model, once they are small, and marks that may follow: all of ASCII but the apostrophe.
@@ -201,21 +201,25 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, partitions: int | None = N
 
     Bins of one round are written to the shared folder before the next, so a lost executor repeats part of a round. Pieces
     are dealt by a hash of id and number, never by chance. A partition holds the sizes and ids of its pieces, and partitions
-    grow in number with the pieces: about 50,000 each by default. sequence_id is that of the bin's first piece, one number
-    per sequence; repeated (doc_id, piece) rows count as one piece. An empty table gives an empty one.
+    grow in number with the pieces: about 50,000 each by default. Every row is a piece of its own, by a key it gets here, whatever
+    its doc_id; sequence_id is the key of the bin's first piece. An empty table gives an empty one.
     """
     spark = pieces.sparkSession
     share_code(spark)
-    pieces = stored(pieces.dropDuplicates(["doc_id", "piece"]))
+    # Written once with its rows' keys, which everything below reads.
+    keyed = stored(pieces.withColumn("_row", F.monotonically_increasing_id()))
+    columns, pieces = pieces.columns, keyed
     n = partitions or -(-pieces.count() // 50_000) or 1
-    one = F.array(F.struct("doc_id", "piece", "length"))
+    one = F.array(F.struct("doc_id", "piece", "length", F.col("_row").alias("row")))
     whole = pieces.where(F.col("length") == capacity).select(F.col("length").alias("used"), one.alias("items"))
     open_items = pieces.where(F.col("length") < capacity).select(F.col("length").alias("used"), one.alias("items"))
     done = [whole]
     while True:
         last = n == 1
-        dealt = open_items.repartition(n, F.xxhash64(F.col("items")[0]["doc_id"], F.col("items")[0]["piece"]))
-        packed = stored(dealt.sortWithinPartitions(F.desc("used"), F.col("items")[0]["doc_id"], F.col("items")[0]["piece"]).mapInPandas(_pack(capacity, 0 if last else capacity * (1 - FREE_SHARE)), BINS))
+        head = F.col("items")[0]
+        # Pieces of null id are many to one key, so their rows' keys deal them.
+        dealt = open_items.repartition(n, F.xxhash64(head["doc_id"], head["piece"], F.when(head["doc_id"].isNull(), head["row"])))
+        packed = stored(dealt.sortWithinPartitions(F.desc("used"), head["doc_id"], head["piece"], head["row"]).mapInPandas(_pack(capacity, 0 if last else capacity * (1 - FREE_SHARE)), BINS))
         done.append(packed.where("full").select("used", "items"))
         if last:
             break
@@ -223,13 +227,11 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, partitions: int | None = N
     bins = done[0]
     for x in done[1:]:
         bins = bins.unionByName(x)
-    # (first piece's id, number) as one number: pieces of a document number less than 2 ** 20 for texts of 4 billion tokens.
-    bins = bins.withColumn("sequence_id", F.coalesce(F.col("items")[0]["doc_id"], F.lit(-1)) * F.lit(1 << 20) + F.col("items")[0]["piece"])
+    bins = bins.withColumn("sequence_id", F.col("items")[0]["row"])
     ends = F.transform("items", lambda x, i: F.aggregate(F.slice("items", 1, i), F.lit(0).cast("long"), lambda s, y: s + y["length"]))
     placed = bins.withColumn("offsets", ends).select("sequence_id", F.explode_outer(F.arrays_zip("items", "offsets")).alias("x"))
-    placed = placed.select(F.col("x.items.doc_id").alias("doc_id"), F.col("x.items.piece").alias("piece"), "sequence_id", F.col("x.offsets").alias("offset"))
-    same = (pieces["doc_id"].eqNullSafe(placed["doc_id"])) & (pieces["piece"] == placed["piece"])
-    return pieces.join(placed, same).select(pieces["*"], "sequence_id", "offset")
+    placed = placed.select(F.col("x.items.row").alias("_row"), "sequence_id", F.col("x.offsets").alias("offset"))
+    return pieces.join(placed, "_row").select(*columns, "sequence_id", "offset")
 
 
 def pack_documents(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:

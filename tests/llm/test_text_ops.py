@@ -375,6 +375,23 @@ def test_tree_of_rounds_packs_as_well(spark):
     assert len(odd) == 2
 
 
+def test_rows_of_null_and_repeated_ids_are_all_packed(spark):
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(tokenizer_path())
+    rng = np.random.default_rng(14)
+    rows = [(i, " ".join(random_words(rng, n))) for i, n in [(None, 3000), (None, 50), (None, 7), (5, 3000), (5, 20), (5, 20), (-1, 9), (6, 30), (1 << 60, 3)]] + [(6, "same"), (6, "same")]
+    got = packing.pack_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), tokenizer_path()).toPandas()
+    want = []
+    for i, t in rows:
+        ids = tok.encode(t, add_special_tokens=False).ids + [1]
+        want += [(-7 if i is None else i, k, len(own), zlib.crc32(struct.pack(f"<{len(own)}I", *own))) for k, own in enumerate(ids[a : a + 4096] for a in range(0, len(ids), 4096))]
+    have = [(-7 if r.doc_id is None else r.doc_id, r.piece, r.length, r.ids_crc32) for r in got.astype(object).where(got.notna(), None).itertuples()]
+    assert sorted(have) == sorted(want)
+    for _, g in got.sort_values("offset").groupby("sequence_id"):
+        assert g.offset.tolist() == (g.length.cumsum() - g.length).tolist() and g.length.sum() <= 4096
+
+
 @pytest.mark.parametrize("sizes", [[], [5], [4, 4, 4], [3, 3, 2, 2, 5, 5]])
 def test_best_fit(sizes):
     bins = packing.best_fit(sizes, 5)
