@@ -375,6 +375,17 @@ def test_tree_of_rounds_packs_as_well(spark):
     assert len(odd) == 2
 
 
+def test_literal_special_tokens_are_those_of_the_tokenizer():
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(tokenizer_path())
+    words = packing.WordIds(tokenizer_path())
+    for t in ("a b <|endoftext|> c", "<|startoftext|>a b<|endoftext|>. <|ENDOFTEXT|> <|endoftext|><|endoftext|> <| |> endoftext|>", "it's<|endoftext|>'s"):
+        w = words.words(t)
+        words.learn([w])
+        assert words.of(w) == packing._packed(tok.encode(t, add_special_tokens=False).ids), t
+
+
 def test_rows_of_null_and_repeated_ids_are_all_packed(spark):
     from tokenizers import Tokenizer
 
