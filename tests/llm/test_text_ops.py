@@ -477,6 +477,35 @@ def test_repeated_passages_go_wherever_they_stand(spark):
     assert got[5].text is None and got[10].text == "only one line" and got[0].hash == "clash"
 
 
+def test_every_repeated_run_of_fifty_words_goes(spark):
+    rng = np.random.default_rng(15)
+    clause = lambda n: " ".join(random_words(rng, n, 10**6))
+    texts, runs, short = {}, {}, {}
+    for k in range(60):
+        n = 2 if k < 10 else int(rng.integers(3, 12))
+        size = -(-int(rng.integers(51, 81)) // n)
+        passage = [clause(size) + str(rng.choice([".", ",", "?"])) for _ in range(n)]
+        one = [f"only {clause(10)}.", f"two {clause(10)}."]
+        for d in (2 * k, 2 * k + 1):
+            texts[d] = "\n".join([" ".join(sentences(rng, 12)), " ".join(passage), " ".join(sentences(rng, 12)), " ".join(one), " ".join(sentences(rng, 9))])
+        runs[k], short[k] = passage, one
+    # A pair that stands in an earlier text too breaks no run; a run that repeats in one text goes as well.
+    texts[-1] = " ".join(runs[20][:2]) + " " + clause(5)
+    texts |= {200: " ".join(runs[30]) + "\n" + clause(5) + ".\n" + " ".join(runs[30]), 201: clause(80), 202: clause(80), 203: None, 204: "", 205: "a. " * 300}
+    texts[202] = texts[201]
+    got = by_id(line_chunks.dedup_lines(docs(spark, texts), run_words=50))
+    base = by_id(line_chunks.dedup_lines(docs(spark, texts)))
+    for k, passage in runs.items():
+        assert all(x in got[2 * k].text for x in passage[2:]) and not any(x in got[2 * k + 1].text for x in passage), k
+        assert got[2 * k + 1].text.count(" ") <= base[2 * k + 1].text.count(" ")
+    assert any(x in base[2 * k + 1].text for k, p in runs.items() for x in p), "chunks alone leave some"
+    assert any(x in got[2 * k + 1].text for k, p in short.items() for x in p) and not any(x in got[200].text for x in runs[30])
+    assert got[202].text == texts[202] and got[203].text is None and got[204].text == "" and got[205].text.count("a.") == 1
+    # No line is lost: each still stands somewhere.
+    left = {x.strip() for r in got.values() for x in plain_lines(r.text or "")}
+    assert {x.strip() for t in texts.values() for x in plain_lines(t or "")} <= left | {""}
+
+
 def test_equal_hashes_of_other_bytes_are_told_apart(spark, monkeypatch):
     """Hashes are made to collide: bytes must decide."""
     monkeypatch.setattr(line_chunks.F, "xxhash64", lambda *c: F.length(F.concat_ws("", *[x.cast("string") for x in c])).cast("long"))
