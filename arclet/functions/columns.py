@@ -35,6 +35,15 @@ def sie_convergence(x: Column, y: Column, b: float, axis_ratio: float, angle: fl
     return F.try_divide(F.lit(b), F.lit(2.0) * F.sqrt(F.lit(axis_ratio**2) * t1 * t1 + t2 * t2))
 
 
+def sie_shear(x: Column, y: Column, b: float, axis_ratio: float, angle: float, shear: float = 0.0, shear_angle: float = 0.0) -> tuple[Column, Column]:
+    """The shear's two components behind a singular isothermal ellipse with external shear; the ellipse's own points along the
+    radius and is as large as its convergence, as the potential is its radius' first power. Null at its centre."""
+    k = sie_convergence(x, y, b, axis_ratio, angle)
+    r2 = x * x + y * y
+    cos2, sin2 = F.try_divide(x * x - y * y, r2), F.try_divide(F.lit(2.0) * x * y, r2)
+    return F.lit(shear * math.cos(2 * shear_angle)) - k * cos2, F.lit(shear * math.sin(2 * shear_angle)) - k * sin2
+
+
 def equal_width_bucket(df: DataFrame, column: str, n: int, out: str = "bucket") -> DataFrame:
     """Adds the number, 0 to n - 1, of column's bucket between its least and largest value, the last one closed.
 

@@ -77,6 +77,15 @@ class PowerLaw:
         out.k = total / out.integral(low, high, 1)
         return out
 
+    def truncated(self, total: float) -> "PowerLaw":
+        """The density of a cluster of that total mass: normalised, and 0 above its largest star."""
+        top = self.largest_star(total)
+        out = self.normalized(total, high=top)
+        inside = int(np.searchsorted(out.limits, top, side="left"))
+        cut = PowerLaw(np.append(out.limits[:inside], top), out.powers[: max(inside, 1)])
+        cut.k = out.k
+        return cut
+
     def largest_star(self, total: float) -> float:
         """The mass above which a cluster of that total mass has one star, by bisection."""
         one = PowerLaw(self.limits, self.powers)
@@ -140,6 +149,19 @@ def density_column(m: Column, law: PowerLaw, weight: int = 0) -> Column:
     return out
 
 
+def integral_column(low: Column, high: Column, law: PowerLaw, weight: int = 0) -> Column:
+    """PowerLaw.integral as a column of two mass columns."""
+
+    def grown(m, p):
+        return F.ln(m) if p == -1 else F.pow(m, F.lit(p + 1)) / F.lit(p + 1)
+
+    total = F.lit(0.0)
+    for c, p, a, b in zip(law.coeffs, law.powers, law.limits[:-1], law.limits[1:]):
+        lo, hi = F.greatest(low, F.lit(float(a))), F.least(high, F.lit(float(b)))
+        total = total + F.when(hi > lo, F.lit(float(c)) * (grown(hi, float(p + weight)) - grown(lo, float(p + weight)))).otherwise(F.lit(0.0))
+    return F.lit(float(law.k)) * total
+
+
 def sample_column(u: Column, law: PowerLaw, top: float | None = None) -> Column:
     """PowerLaw.sample as a column of a uniform column."""
     ends = np.minimum(law.limits, min(law.limits[-1], top if top is not None else math.inf))
@@ -177,3 +199,32 @@ def step_open(x):
 
 def step_closed(x):
     return (np.asarray(x, float) >= 0).astype(float)
+
+
+def half_at_zero(x):
+    """0.5 at 0 and 1 elsewhere."""
+    return np.where(np.asarray(x, float) == 0, 0.5, 1.0)
+
+
+def inside(m, low: float, high: float):
+    """1 between two masses, both included, else 0."""
+    return step_closed(np.asarray(m, float) - low) * step_closed(high - np.asarray(m, float))
+
+
+#: Of the elementary approximation of the error function by Winitzki.
+WINITZKI = 0.140012288686666
+
+
+def error(x):
+    """The error function, to about four digits, by an expression with an inverse."""
+    x = np.asarray(x, float)
+    s = WINITZKI * x * x
+    return np.sign(x) * np.sqrt(-np.expm1(-x * x * (4 / np.pi + s) / (1 + s)))
+
+
+def error_inverse(y):
+    """The inverse of error(), up to a sign the root of a quadratic in the square."""
+    y = np.asarray(y, float)
+    log = np.log1p(-y * y)
+    middle = 2 / (np.pi * WINITZKI) + log / 2
+    return np.sign(y) * np.sqrt(np.sqrt(middle * middle - log / WINITZKI) - middle)

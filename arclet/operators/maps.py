@@ -74,6 +74,14 @@ def line_slice(values: DataFrame, a: tuple[float, float], b: tuple[float, float]
     return values.join(F.broadcast(line_pixels(values.sparkSession, a, b)), ["px", "py"]).select("sample_idx", "px", "py", "value")
 
 
+def drawn_curve(values: DataFrame, a: tuple[float, float], b: tuple[float, float]) -> DataFrame | None:
+    """The light curve of a line drawn from a to b on a map: line_id 0, sample_idx, x, y, v; series operators take it as it is. A
+    line without a length has none."""
+    if a == b:
+        return None
+    return line_slice(values, a, b).select(F.lit(0).alias("trial"), F.lit(0).cast("long").alias("line_id"), "sample_idx", F.col("px").cast("double").alias("x"), F.col("py").cast("double").alias("y"), F.col("value").alias("v"))
+
+
 def is_caustic(values: DataFrame) -> DataFrame:
     return values.withColumn("caustic", F.col("value") > 0)
 

@@ -91,47 +91,62 @@ def peak_candidates(curve: DataFrame, width: int, least: float, keys=KEY) -> Dat
     return curve.withColumn("drop", drop).where(F.col("drop") > F.lit(least)).select(*keys, "sample_idx", "drop")
 
 
+def _by_series(curve: DataFrame, function, columns: str, keys=KEY) -> DataFrame:
+    """function of one series' values in order, an array, gives columns of equal length; keys are added."""
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in curve.select(*keys).schema)
+    share_code(curve.sparkSession)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("sample_idx")
+        out = function(pdf["v"].to_numpy(float), pdf["sample_idx"].to_numpy())
+        n = len(next(iter(out.values())))
+        return pd.DataFrame({**{k: [pdf[k].iloc[0]] * n for k in keys}, **out})
+
+    return curve.select(*keys, "sample_idx", "v").groupBy(*keys).applyInPandas(run, f"{schema}, {columns}")
+
+
 def prominence_of(curve: DataFrame, peaks: DataFrame, keys=KEY) -> DataFrame:
     """keys, peak, prominence: the height above the lowest sample on the way to the nearest higher one.
 
     peaks: keys, peak. The nearer of the two higher samples decides, the right one if both are equally near; with none on
-    either side it is the height above the lowest sample of all. A self-join within one series.
+    either side it is the height above the lowest sample of all. Every series is passed once from each side, whatever the
+    number of its peaks, which are then picked by an equi-join.
     """
-    p = peaks.join(curve.select(*keys, F.col("sample_idx").alias("peak"), F.col("v").alias("h")), [*keys, "peak"])
-    c = p.join(curve.select(*keys, "sample_idx", "v"), list(keys))
-    far = F.abs(F.col("sample_idx") - F.col("peak"))
-    right = F.col("sample_idx") > F.col("peak")
-    near = c.where("v > h").groupBy(*keys, "peak").agg(F.min(F.when(right, far)).alias("r"), F.min(F.when(~right, far)).alias("l"))
-    s = c.join(near, [*keys, "peak"], "left")
-    use_right = F.col("r").isNotNull() & (F.col("l").isNull() | (F.col("r") <= F.col("l")))
-    use_left = F.col("l").isNotNull() & ~use_right
-    counts = F.when(use_right, right & (far < F.col("r"))).when(use_left, ~right & (far < F.col("l"))).otherwise(F.lit(True)) | (far == 0)
-    return s.where(counts).groupBy(*keys, "peak").agg((F.max("h") - F.min("v")).alias("prominence"))
+    every = _by_series(curve, lambda v, at: {"peak": at, "prominence": prominences(v)}, "peak int, prominence double", keys)
+    return every.join(peaks.select(*keys, F.col("peak").cast("int").alias("peak")), [*keys, "peak"])
 
 
 def prominences_above(curve: DataFrame, cutoff: float, keys=KEY) -> DataFrame:
-    """keys, n: samples of a series whose prominence exceeds a cutoff, by a stack from each side in one pass."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        v = pdf.sort_values("sample_idx")["v"].to_numpy()
-        n = sum(prominence(v, i) > cutoff for i in range(len(v)))
-        return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in keys}, "n": [n]})
+    """keys, n: samples of a series whose prominence exceeds a cutoff; time is linear in the series' length."""
+    return _by_series(curve, lambda v, at: {"n": [int((prominences(v) > cutoff).sum())]}, "n long", keys)
 
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in curve.select(*keys).schema)
-    share_code(curve.sparkSession)
-    return curve.groupBy(*keys).applyInPandas(run, f"{schema}, n long")
 
+def _way_up(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each sample how far to the left the nearest higher one lies (len(v): none), and the lowest value on the way.
 
-def prominence(v: np.ndarray, peak: int) -> float:
-    """Of one sample; see prominence_of."""
-    higher = v > v[peak]
-    right = np.flatnonzero(higher[peak + 1 :])
-    left = np.flatnonzero(higher[:peak][::-1])
-    r, left_far = (right[0] + 1 if right.size else np.inf), (left[0] + 1 if left.size else np.inf)
-    if r == left_far == np.inf:
-        return float(v[peak] - v.min())
-    own = v[peak : peak + int(r)] if r <= left_far else v[peak - int(left_far) + 1 : peak + 1]
-    return float(v[peak] - own.min())
+    A stack keeps the samples that still stand above all that follows them, each with the lowest value since the one below.
+    """
+    far, low = np.full(len(v), len(v)), np.empty(len(v))
+    stack: list[tuple[float, int, float]] = []
+    for i, x in enumerate(v.tolist()):
+        least = x
+        while stack and stack[-1][0] <= x:
+            least = min(least, stack.pop()[2])
+        if stack:
+            far[i] = i - stack[-1][1]
+        low[i] = least
+        stack.append((x, i, least))
+    return far, low
+
+
+def prominences(v: np.ndarray) -> np.ndarray:
+    """Of every sample; see prominence_of. Time is linear."""
+    if not len(v):
+        return np.zeros(0)
+    left, low_left = _way_up(v)
+    right, low_right = (x[::-1] for x in _way_up(v[::-1]))
+    low = np.where(right <= left, low_right, low_left)
+    return v - np.where((left == len(v)) & (right == len(v)), v.min(), low)
 
 
 def trim_window(curve: DataFrame, length: int, keys=KEY) -> DataFrame:
@@ -160,6 +175,11 @@ def slices(curve: DataFrame, intervals: DataFrame, keys=KEY) -> DataFrame:
     return curve.join(intervals, list(keys)).where("sample_idx >= s and sample_idx < e").withColumn("pos", F.col("sample_idx") - F.col("s")).drop("s", "e")
 
 
+def interval_extremes(curve: DataFrame, intervals: DataFrame, keys=KEY) -> DataFrame:
+    """keys, event_id, low, high of the samples in each interval; an interval without a sample has no row."""
+    return slices(curve, intervals, keys).groupBy(*keys, "event_id").agg(F.min("v").alias("low"), F.max("v").alias("high"))
+
+
 # Detectors on one series.
 
 
@@ -177,47 +197,54 @@ def sobel_1d(v: np.ndarray) -> np.ndarray:
     return p[2:] - p[:-2]
 
 
+def runs_of(mask: np.ndarray) -> np.ndarray:
+    """Rows (start, end) of the runs of true values, the end exclusive."""
+    step = np.diff(np.concatenate(([0], mask.astype(np.int8), [0])))
+    return np.column_stack((np.flatnonzero(step == 1), np.flatnonzero(step == -1)))
+
+
+def steep_edges(gradient: np.ndarray, threshold: float) -> list[tuple[int, int, int]]:
+    """(start, end, sign) of the runs of a gradient beyond a threshold on either side, in order."""
+    found = [(int(a), int(b), sign) for sign in (1, -1) for a, b in runs_of(sign * gradient > threshold)]
+    return sorted(found)
+
+
+def separated(peaks: list[int], v: np.ndarray, least: int, isolated: bool) -> list[int]:
+    """Peaks more than least samples apart: of two that are closer the higher stays, or, isolated, neither."""
+    kept: list[int] = []
+    for p in peaks:
+        close = bool(kept) and p - kept[-1] <= least
+        if not close:
+            kept.append(p)
+        elif isolated:
+            del kept[-1]
+        else:
+            kept[-1] = max(kept[-1], p, key=lambda i: v[i])
+    return sorted(set(kept))
+
+
 def sobel_peaks(v: np.ndarray, threshold: float, smoothing: float, min_separation: int, isolated: bool) -> list[int]:
-    """Peaks at steep edges: the highest sample in the window of an edge, if higher than both neighbours.
+    """Peaks at steep edges, in three passes: the edges, the highest sample of each edge's window, and their separation.
 
     A rising edge's window starts with the edge and ends min_separation after it; a falling edge's window starts
-    min_separation before it. Of two peaks closer than that the higher stays, or, isolated, neither.
+    min_separation before it. A window's highest sample counts if it is higher than both neighbours. What a rising edge
+    with a peak has in its window, and the sample after any edge, starts no edge of its own. An edge that the series cuts
+    off has no peak.
     """
-    g, n = sobel_1d(gaussian(v, smoothing)), len(v)
-    found: list[int] = []
-
-    def end(i, up):
-        j = i
-        while j < n and (g[j] > threshold if up else g[j] < -threshold):
-            j += 1
-        return j
-
-    def take(a, b):
-        p = a + int(np.argmax(v[a:b]))
-        if not (0 < p < n - 1 and v[p - 1] < v[p] and v[p + 1] < v[p]):
-            return False
-        if not found or p - found[-1] > min_separation:
-            found.append(p)
-        elif isolated:
-            found.pop()
-        elif v[found[-1]] < v[p]:
-            found[-1] = p
-        return True
-
-    i = 0
-    while i < n:
-        up = g[i] > threshold
-        if not up and not g[i] < -threshold:
-            i += 1
+    n, free, tops = len(v), 0, []
+    for start, end, sign in steep_edges(sobel_1d(gaussian(v, smoothing)), threshold):
+        start = max(start, free)
+        if start >= end:
             continue
-        j = end(i, up)
-        if j == n:
-            # An edge that the series cuts off has no peak.
+        if end == n:
             break
-        window = (i, min(j + 1 + min_separation, n)) if up else (max(0, i - min_separation), j + 1)
-        hit = take(*window)
-        i = j + 1 + min_separation if up and hit else j + 1
-    return sorted(set(found))
+        low, high = (start, min(end + 1 + min_separation, n)) if sign > 0 else (max(0, start - min_separation), end + 1)
+        top = low + int(np.argmax(v[low:high]))
+        counts = 0 < top < n - 1 and max(v[top - 1], v[top + 1]) < v[top]
+        if counts:
+            tops.append(top)
+        free = end + 1 + (min_separation if counts and sign > 0 else 0)
+    return separated(tops, v, min_separation, isolated)
 
 
 def drop_peaks(v: np.ndarray, width: int, least: float) -> list[int]:
@@ -232,67 +259,68 @@ def drop_peaks(v: np.ndarray, width: int, least: float) -> list[int]:
     return found
 
 
+def baseline(v: np.ndarray, smoothing_window: int) -> np.ndarray:
+    return gaussian(v, len(v) * 3 / smoothing_window)
+
+
 def threshold_events(v: np.ndarray, area: float, height: float, smoothing_window: int = 55, max_length: int = -1, stitch: int = 10_000_000) -> list[tuple[int, int]]:
-    """Runs above a smooth baseline with enough area or height, joined with the next while the whole stays short."""
-    base = gaussian(v, len(v) * 3 / smoothing_window)
-    d = v - base
-    t = d.copy()
-    t[1:] = (d[:-1] + d[1:]) / 2
-    total, n = np.cumsum(t), len(v)
-
-    def last(start, room):
-        i = start
-        while i < n and t[i] > 0:
-            i += 1
-        if i == n or (total[i] - total[start] < area and t[start:i].max() < height):
-            return -1
-        end = i
-        if room <= 0:
-            return end
-        while i < n and i < end + stitch and i < start + room and t[i] <= 0:
-            i += 1
-        if i < n and t[i] > 0 and i != end + stitch and i != start + room:
-            further = last(i, room - (i - start))
-            if further != -1 and (total[further] > area + total[i] or t[i:further].max() > height):
-                return further
-        return end
-
-    found, i = [], 0
-    while i < n:
-        e = last(i, max_length) if t[i] > 0 else -1
-        if e != -1:
-            found.append((max(i - 1, 0), e))
-            i = e + 1
-        else:
-            i += 1
+    """Runs above a smooth baseline with enough area or height, joined with the next while the whole stays short.
+
+    The runs are a table of arrays: start, end, area (trapezoids after the first, up to and with the end) and height. A run
+    that the series cuts off, or with less of both, is no event and ends a chain. A chain holds runs whose gaps are shorter
+    than stitch and whose starts lie less than max_length after its first; from its last run back, what is joined must
+    itself, gaps included, exceed the area or the height, else the chain ends before it.
+    """
+    d = v - baseline(v, smoothing_window)
+    t = np.concatenate((d[:1], (d[:-1] + d[1:]) / 2)) if len(d) else d
+    upto = np.cumsum(t)
+    runs = runs_of(t > 0)
+    runs = runs[runs[:, 1] < len(v)]
+    if not len(runs):
+        return []
+    start, end = runs.T
+    own_area, top = upto[end] - upto[start], np.array([t[a:b].max() for a, b in runs])
+    worth = (own_area >= area) | (top >= height)
+    # Whether a run can follow the one before it in a chain.
+    follows = np.concatenate(([False], (start[1:] - end[:-1] < stitch) & worth[1:]))
+    found, k = [], 0
+    while k < len(runs):
+        if not worth[k]:
+            k += 1
+            continue
+        last = k
+        while max_length > 0 and last + 1 < len(runs) and follows[last + 1] and start[last + 1] - start[k] < max_length:
+            last += 1
+        for j in range(last, k, -1):
+            if upto[end[last]] - upto[start[j]] <= area and top[j : last + 1].max() <= height:
+                last = j - 1
+        found.append((max(int(start[k]) - 1, 0), int(end[last])))
+        k = last + 1
     return found
 
 
 def isolated_events(v: np.ndarray, tolerance: float = 1.0, smoothing_window: int = 55, max_length: int = -1, stitch: int = 10_000_000, least: float = 0.1) -> list[tuple[int, int]]:
-    """Runs at or above the baseline that rise enough, a sample wider; a neighbour joins across a short, shallow gap."""
-    base = gaussian(v, len(v) * 3 / smoothing_window)
-    d, n, runs, i = v - base, len(v), [], 0
-    while i < n - 1:
-        if d[i] < 0:
-            i += 1
+    """Runs at or above the baseline that rise enough, a sample wider to each side; pairs join across a short, shallow gap.
+
+    A run rises by the range of its samples and the one before. The series' last sample starts and extends no run. A run
+    joins the one before it unless that is a pair already.
+    """
+    d = v - baseline(v, smoothing_window)
+    wide = [(max(0, int(a) - 1), int(b) + 1, d[max(0, int(a) - 1) : int(b)]) for a, b in runs_of(d[:-1] >= 0)]
+    found: list[list[int]] = []
+    pair = False
+    for a, b, part in wide:
+        if np.ptp(part) <= least:
             continue
-        j = i + 1
-        while j < n - 1 and d[j] >= 0:
-            j += 1
-        part = d[max(0, i - 1) : j]
-        if part.max() - part.min() > least:
-            runs.append((max(0, i - 1), min(n, j + 1)))
-        i = j + 1
-    found, i = [], 0
-    while i < len(runs):
-        a, b = runs[i], runs[i + 1] if i + 1 < len(runs) else None
-        if b and b[1] - a[0] < max_length and b[0] - a[1] < stitch and (np.abs(d[a[1] : b[0]]).max(initial=-1.0) < tolerance):
-            found.append((a[0], b[1]))
-            i += 2
-        else:
-            found.append(a)
-            i += 1
-    return found
+        if found and not pair:
+            first, end = found[-1]
+            gap = np.abs(d[end:a])
+            if b - first < max_length and a - end < stitch and (not gap.size or gap.max() < tolerance):
+                found[-1][1], pair = b, True
+                continue
+        found.append([a, b])
+        pair = False
+    return [(a, b) for a, b in found]
 
 
 def clipped_baseline(v: np.ndarray, sigma: float = 3.0) -> tuple[float, float]:
@@ -313,14 +341,11 @@ def detect(curve: DataFrame, detector: str, keys=KEY, **how) -> DataFrame:
     """A detector on every series: keys, event_id, s, e; of the peak detectors s = e - 1 is the peak."""
     find = DETECTORS[detector]
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        v = pdf.sort_values("sample_idx")["v"].to_numpy(float)
+    def run(v, at):
         got = [(x, x + 1) if isinstance(x, (int, np.integer)) else x for x in find(v, **how)]
-        return pd.DataFrame({**{k: [pdf[k].iloc[0]] * len(got) for k in keys}, "event_id": range(len(got)), "s": [g[0] for g in got], "e": [g[1] for g in got]})
+        return {"event_id": range(len(got)), "s": [g[0] for g in got], "e": [g[1] for g in got]}
 
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in curve.select(*keys).schema)
-    share_code(curve.sparkSession)
-    return curve.groupBy(*keys).applyInPandas(run, f"{schema}, event_id int, s int, e int")
+    return _by_series(curve, run, "event_id int, s int, e int", keys)
 
 
 def gaussian_smooth(curve: DataFrame, sigma: float, keys=KEY) -> DataFrame:
@@ -342,6 +367,34 @@ def peak_slices(peaks: DataFrame, lengths: DataFrame, half: int, keys=KEY) -> Da
     return p.withColumn("event_id", (F.row_number().over(w) - 1)).select(*keys, "event_id", "peak", "s", "e")
 
 
+def events_by_length(curve: DataFrame, threshold: float, smoothing: float, separation: float, isolated: bool = False, unit_length: float = 1.0, keys=KEY) -> DataFrame:
+    """Events about steep peaks, all sizes given as lengths: keys, event_id, peak, s, e, x0, y0, x1, y1 (the slice's first and last place).
+
+    curve: keys, sample_idx, x, y, v. threshold is a slope a unit of length, smoothing and separation are lengths;
+    unit_length is the unit's length in that of x and y. Series are grouped by the whole numbers that these sizes make at
+    their density of samples, so one series' density decides for it alone; one with fewer than two samples has no event.
+    """
+    found = with_distance(curve, keys)
+    share_code(curve.sparkSession)
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in curve.select(*keys).schema)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("sample_idx")
+        v, x, y = (pdf[c].to_numpy(float) for c in ("v", "x", "y"))
+        step = float(pdf["distance"].iloc[1]) / unit_length if len(pdf) > 1 else 0.0
+        rows = []
+        if step > 0:
+            half = int(separation / step)
+            for p in sobel_peaks(v, threshold * step, smoothing / step, half, isolated):
+                s, e = max(0, p - half), min(p + half, len(v) - 1)
+                if e - s > 3:
+                    rows.append((len(rows), p, s, e, x[s], y[s], x[e - 1], y[e - 1]))
+        out = pd.DataFrame(rows, columns=["event_id", "peak", "s", "e", "x0", "y0", "x1", "y1"])
+        return out.assign(**{k: pdf[k].iloc[0] for k in keys})[[*keys, *out.columns]]
+
+    return found.groupBy(*keys).applyInPandas(run, f"{schema}, event_id int, peak int, s int, e int, x0 double, y0 double, x1 double, y1 double")
+
+
 def map_series(curve: DataFrame, function, schema: str, keys=KEY) -> DataFrame:
     """A user's function of one series' pandas frame, for every series."""
     share_code(curve.sparkSession)

@@ -7,6 +7,8 @@ get a cell key. naive: every pair, for tests.
 
 from __future__ import annotations
 
+from bisect import bisect_right
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -114,3 +116,36 @@ def frame_pixels(rays: DataFrame, x: float, y: float, r: float, width: int) -> D
     """The lensed image of a source at one place: frame pixels that light comes through."""
     hit = connecting_rays(rays, x, y, r)
     return hit.select((F.col("ray_id") % width).cast("int").alias("px"), F.floor(F.col("ray_id") / width).cast("int").alias("py")).distinct()
+
+
+def by_column(rays: DataFrame, n: int) -> DataFrame:
+    """rays in n partitions of ranges of bx, of about equal size."""
+    return rays.repartitionByRange(n, "bx")
+
+
+def columns_near(edges: list[float], x: float, r: float) -> range:
+    """Which of the columns between ascending edges a disk of radius r about x may meet; the outer columns have no outer edge."""
+    return range(bisect_right(edges, x - r), bisect_right(edges, x + r) + 1)
+
+
+def kth_smallest(points: DataFrame, column: str, k: int, bins: int = 1024, sort_most: int = 100_000) -> float | None:
+    """The k-th smallest value of a column, from 0; nulls don't count. None beyond the last.
+
+    Counts by bins of equal width say which bin holds it, and so on inside that bin, until what is left is small enough
+    to sort or is one value. Each round is one pass with counts combined before the shuffle.
+    """
+    values = points.select(F.col(column).cast("double").alias("v")).where("v is not null")
+    while True:
+        low, high, n = values.agg(F.min("v"), F.max("v"), F.count(F.lit(1))).first()
+        if not 0 <= k < n:
+            return None
+        if low == high:
+            return low
+        if n <= sort_most:
+            return values.orderBy("v").limit(k + 1).agg(F.max("v")).first()[0]
+        place = F.least(F.floor((F.col("v") - low) / ((high - low) / bins)), F.lit(bins - 1))
+        for b, m in values.groupBy(place.alias("b")).count().orderBy("b").collect():
+            if k < m:
+                values = values.where(place == b)
+                break
+            k -= m

@@ -13,8 +13,10 @@ from ..plans.session import share_code
 
 #: A Jacobian smaller than this counts as a caustic.
 PARITY_LIMIT = 1e-3
-#: Stars that are broadcast at most; more are met in blocks, see micro_trace.
+#: Stars in one broadcast array; more are met in several, see micro_trace.
 STARS_A_BLOCK = 200_000
+#: Stars that the join by broadcast takes at most.
+STARS_BY_JOIN = 20_000
 #: Rays times stars that a Python worker holds at once, as doubles.
 TILE = 1 << 21
 
@@ -29,13 +31,16 @@ def smooth_map(x: Column, y: Column, smooth: float, shear: float) -> tuple[Colum
     return F.lit(1 - shear) * x - F.lit(smooth) * x, F.lit(1 + shear) * y - F.lit(smooth) * y
 
 
-def micro_trace(rays: DataFrame, stars: DataFrame, smooth: float, shear: float, jacobian: bool = True, strategy: str = "sql") -> DataFrame:
+def micro_trace(rays: DataFrame, stars: DataFrame, smooth: float, shear: float, jacobian: bool = True, strategy: str = "kernel") -> DataFrame:
     """rays (ray_id, x, y) with bx, by and, if asked for, det and parity.
 
-    strategy "sql": every star meets every ray in a join by broadcast, and sums per ray are combined in the task that
-    made them; rays are shuffled once, as partial sums. "kernel": arrays in Python workers, rays are not shuffled at all;
-    stars come by broadcast, in blocks of STARS_A_BLOCK. A ray at a star's place has no finite place and goes.
+    strategy "kernel": arrays in Python workers, rays are read once and not shuffled at all; stars come by broadcast, in
+    blocks of STARS_A_BLOCK. "sql", for few stars: every star meets every ray in a join by broadcast, and sums per ray are
+    combined in the task that made them; rays are shuffled once, as partial sums. Stars are counted first, and beyond
+    STARS_BY_JOIN the kernel does the work. A ray at a star's place has no finite place and goes.
     """
+    if strategy == "sql" and stars.limit(STARS_BY_JOIN + 1).count() > STARS_BY_JOIN:
+        strategy = "kernel"
     if strategy == "kernel":
         share_code(rays.sparkSession)
         return _kernel(rays, stars, smooth, shear, jacobian)
@@ -60,40 +65,57 @@ def micro_trace(rays: DataFrame, stars: DataFrame, smooth: float, shear: float,
     return t.select(*cols, det.alias("det")).withColumn("parity", parity_of(F.col("det")))
 
 
-def _kernel(rays: DataFrame, stars: DataFrame, smooth: float, shear: float, jacobian: bool) -> DataFrame:
-    """The fields of one block of stars after another are added to the rays; the last step makes places of them."""
-    rays = rays.select("ray_id", "x", "y").withColumns({c: F.lit(0.0) for c in ("ax", "ay", "p", "c")})
-    block: list[tuple[float, float, float]] = []
-
-    def added(rays, block):
-        field = np.array(block, float).reshape(-1, 3)
-
-        def run(batches):
-            for pdf in batches:
-                x, y = pdf["x"].to_numpy(), pdf["y"].to_numpy()
-                sums = np.zeros((4, len(pdf)))
-                wide = max(1, TILE // max(1, len(pdf)))
+def star_blocks(stars: DataFrame) -> list:
+    """Stars as broadcast arrays (x, y, mass) of STARS_A_BLOCK rows, read to the driver block by block."""
+    context, blocks, block = stars.sparkSession.sparkContext, [], []
+    for s in stars.select("x", "y", "mass").toLocalIterator():
+        block.append((s[0], s[1], s[2]))
+        if len(block) == STARS_A_BLOCK:
+            blocks.append(context.broadcast(np.array(block, float)))
+            block = []
+    return [*blocks, context.broadcast(np.array(block, float).reshape(-1, 3))] if block else blocks
+
+
+def star_sums(places: DataFrame, stars: DataFrame, terms, names) -> DataFrame:
+    """places (x, y, ...) with a column for each of names: sums over all stars. terms(dx, dy, r2, mass) gives an array for each name.
+
+    One pass over places whatever the number of blocks; a worker holds TILE pairs at a time.
+    """
+    share_code(places.sparkSession)
+    blocks = star_blocks(stars)
+
+    def run(batches):
+        for pdf in batches:
+            x, y = pdf["x"].to_numpy(), pdf["y"].to_numpy()
+            sums = np.zeros((len(names), len(pdf)))
+            wide = max(1, TILE // max(1, len(pdf)))
+            for block in blocks:
+                field = block.value
                 for a in range(0, len(field), wide):
                     s = field[a : a + wide]
                     dx, dy = x[:, None] - s[:, 0], y[:, None] - s[:, 1]
-                    r2 = dx * dx + dy * dy
                     with np.errstate(divide="ignore", invalid="ignore"):
-                        w = s[:, 2] / r2
-                        sums[0] += (w * dx).sum(axis=1)
-                        sums[1] += (w * dy).sum(axis=1)
-                        if jacobian:
-                            w = w / r2
-                            sums[2] += (w * (dy * dy - dx * dx)).sum(axis=1)
-                            sums[3] += (2 * w * dx * dy).sum(axis=1)
-                yield pd.DataFrame({"ray_id": pdf["ray_id"], "x": x, "y": y, "ax": pdf["ax"] + sums[0], "ay": pdf["ay"] + sums[1], "p": pdf["p"] + sums[2], "c": pdf["c"] + sums[3]})
+                        for total, part in zip(sums, terms(dx, dy, dx * dx + dy * dy, s[:, 2])):
+                            total += part.sum(axis=1)
+            yield pdf.assign(**dict(zip(names, sums)))
 
-        return rays.mapInPandas(run, "ray_id long, x double, y double, ax double, ay double, p double, c double")
+    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in places.schema], *[f"{n} double" for n in names]])
+    return places.mapInPandas(run, schema)
 
-    for s in stars.select("x", "y", "mass").toLocalIterator():
-        block.append((s[0], s[1], s[2]))
-        if len(block) == STARS_A_BLOCK:
-            rays, block = added(rays, block), []
-    rays = added(rays, block) if block else rays
+
+def _kernel(rays: DataFrame, stars: DataFrame, smooth: float, shear: float, jacobian: bool) -> DataFrame:
+    """The fields of all stars are added up, then places made of them."""
+
+    def terms(dx, dy, r2, m):
+        w = m / r2
+        yield w * dx
+        yield w * dy
+        if jacobian:
+            w = w / r2
+            yield w * (dy * dy - dx * dx)
+            yield 2 * w * dx * dy
+
+    rays = star_sums(rays.select("ray_id", "x", "y"), stars, terms, ("ax", "ay", "p", "c") if jacobian else ("ax", "ay"))
     # What isn't a number comes back from pandas as null.
     rays = rays.where(F.col("ax").isNotNull() & F.col("ay").isNotNull() & ~F.isnan("ax") & ~F.isnan("ay"))
     bx, by = smooth_map(F.col("x"), F.col("y"), smooth, shear)
@@ -113,17 +135,19 @@ def with_parity(rays: DataFrame, parity: int | str | None) -> DataFrame:
 def caustic_characteristic(places: DataFrame, stars: DataFrame, convergence: float, shear: float) -> DataFrame:
     """places (x, y, ...) with value: (1 - convergence)² less the squared size of shear plus the sum of m u² / |u|².
 
-    u is the offset as a complex number; its square and size are real columns. Stars come by broadcast, as in micro_trace.
+    u is the offset as a complex number; its square and size are real columns. A star at the place itself adds nothing.
+    Stars come by broadcast, as in micro_trace; places are not shuffled.
     """
+
+    def terms(dx, dy, r2, m):
+        w = np.where(r2 > 0, m / np.where(r2 > 0, r2, 1.0), 0.0)
+        yield w * (dx * dx - dy * dy)
+        yield 2 * w * dx * dy
+
     keys = places.columns
-    s = F.broadcast(stars.select(F.col("x").alias("sx"), F.col("y").alias("sy"), F.col("mass").alias("m")))
-    met = places.join(s, F.lit(True), "left")
-    u, v = F.col("x") - F.col("sx"), F.col("y") - F.col("sy")
-    r2 = u * u + v * v
-    part = lambda a: F.coalesce(F.sum(F.try_divide(F.col("m") * a, r2)), F.lit(0.0))
-    t = met.groupBy(*keys).agg(part(u * u - v * v).alias("re"), part(F.lit(2.0) * u * v).alias("im"))
-    re = F.lit(shear) + F.col("re")
-    return t.select(*keys, (F.lit((1 - convergence) ** 2) - (re * re + F.col("im") * F.col("im"))).alias("value"))
+    t = star_sums(places, stars, terms, ("_re", "_im"))
+    re = F.lit(shear) + F.col("_re")
+    return t.select(*keys, (F.lit((1 - convergence) ** 2) - (re * re + F.col("_im") * F.col("_im"))).alias("value"))
 
 
 def macro_trace(rays: DataFrame, b: float, axis_ratio: float = 1.0, angle: float = 0.0, shear: float = 0.0, shear_angle: float = 0.0) -> DataFrame:

@@ -402,7 +402,7 @@ def argmax_curve(spark, sf_dir):
     return S.peak_of(curves(spark, sf_dir)).select("line_id", "peak", "height", "n")
 
 
-_PROMINENT = f"""WITH {CURVES}, p AS (SELECT line_id, sample_idx AS peak, v AS h FROM curves WHERE sample_idx % 7 = 3),
+_PROMINENT = f"""WITH {CURVES}, p AS (SELECT line_id, sample_idx AS peak, v AS h FROM curves),
 c AS (SELECT p.line_id, peak, h, sample_idx, v, abs(sample_idx - peak) AS far, sample_idx > peak AS rt FROM p JOIN curves USING (line_id)),
 n AS (SELECT line_id, peak, min(far) FILTER (rt AND v > h) AS r, min(far) FILTER (NOT rt AND v > h) AS l FROM c GROUP BY ALL)
 SELECT line_id, peak, round(max(h) - min(v), 6) + 0.0 AS prominence FROM c JOIN n USING (line_id, peak)
@@ -412,11 +412,11 @@ WHERE far = 0 OR (r IS NULL AND l IS NULL) OR (r IS NOT NULL AND (l IS NULL OR r
 @query(_PROMINENT)
 def prominence(spark, sf_dir):
     c = curves(spark, sf_dir)
-    peaks = c.where("sample_idx % 7 = 3").select("trial", "line_id", F.col("sample_idx").alias("peak"))
+    peaks = c.select("trial", "line_id", F.col("sample_idx").alias("peak"))
     return S.prominence_of(c, peaks).select("line_id", "peak", r6("prominence", "prominence"))
 
 
-@query(f"SELECT line_id, count(*) FILTER (prominence > 200) AS n FROM ({_PROMINENT.replace('WHERE sample_idx % 7 = 3', '')}) GROUP BY line_id")
+@query(f"SELECT line_id, count(*) FILTER (prominence > 200) AS n FROM ({_PROMINENT}) GROUP BY line_id")
 def prominences_above(spark, sf_dir):
     return S.prominences_above(curves(spark, sf_dir), 200.0).select("line_id", "n")
 
@@ -460,12 +460,16 @@ def trim_window(spark, sf_dir):
     return S.trim_window(curves(spark, sf_dir), 10).select("line_id", "s", "e")
 
 
+#: Samples brighter than this are taken for peaks.
+BRIGHT = 150
+
+
 def _events(spark, sf_dir):
-    peaks = curves(spark, sf_dir).where("v > 400 and sample_idx % 3 = 0").select("trial", "line_id", F.col("sample_idx").alias("peak"))
+    peaks = curves(spark, sf_dir).where(f"v > {BRIGHT}").select("trial", "line_id", F.col("sample_idx").alias("peak"))
     return S.peak_slices(peaks, S.peak_of(curves(spark, sf_dir)), 6)
 
 
-_EVENTS = f"""{TRIALS}, pk AS (SELECT line_id, sample_idx AS peak FROM curves WHERE trial = 0 AND v > 400 AND sample_idx % 3 = 0),
+_EVENTS = f"""{TRIALS}, pk AS (SELECT line_id, sample_idx AS peak FROM curves WHERE trial = 0 AND v > {BRIGHT}),
 ln AS (SELECT line_id, count(*) AS n FROM curves WHERE trial = 0 GROUP BY line_id),
 iv AS (SELECT line_id, peak, greatest(0, peak - 6) AS s, least(peak + 6, n - 1) AS e FROM pk JOIN ln USING (line_id)),
 ev AS (SELECT *, row_number() OVER (PARTITION BY line_id ORDER BY peak) - 1 AS event_id FROM iv WHERE e - s > 3),
@@ -515,10 +519,10 @@ def light_curve_matrix(spark, sf_dir):
     return m.select("line_id", "sample_idx", "trial_0", F.round("trial_1", 6).alias("trial_1"), F.round("trial_2", 6).alias("trial_2"))
 
 
-@query(f"WITH {CURVES} SELECT line_id, sample_idx, v FROM curves WHERE line_id % 2 = 0 UNION ALL SELECT line_id, sample_idx, v FROM curves WHERE line_id % 3 = 0")
+@query(f"WITH {CURVES} SELECT line_id, sample_idx, v FROM curves UNION ALL SELECT line_id, sample_idx, v FROM curves WHERE v > {BRIGHT}")
 def batch_union(spark, sf_dir):
     c = curves(spark, sf_dir).select("line_id", "sample_idx", "v")
-    return E.append_tables(c.where("line_id % 2 = 0"), c.where("line_id % 3 = 0"))
+    return E.append_tables(c, c.where(f"v > {BRIGHT}"))
 
 
 @query(f"""WITH {CURVES}, z AS (SELECT line_id, sample_idx, v / 100 - 2 AS z FROM curves)
@@ -586,7 +590,7 @@ def caustics_along_curve(spark, sf_dir):
     return M.caustics_along(t, P.caustic_map(points(spark, sf_dir), PLANE)).select("curve_id", "sample_idx", "px", "py")
 
 
-# Detectors that depend on what they found before: tests hold them against plain loops.
+# Detectors. Those that depend on all that they found before have no SQL: tests hold them against plain loops.
 
 
 @query()
@@ -594,7 +598,10 @@ def sobel_detect(spark, sf_dir):
     return S.detect(curves(spark, sf_dir), "sobel", threshold=40.0, smoothing=1.1, min_separation=5, isolated=False)
 
 
-@query()
+@query(f"""WITH RECURSIVE {CURVES}, c AS (SELECT line_id, sample_idx AS i FROM (SELECT *, v - (lag(v, 3) OVER {OVER} + lead(v, 3) OVER {OVER}) / 2 AS d FROM curves) WHERE d > 100),
+hit AS (SELECT line_id, min(i) AS i FROM c GROUP BY line_id UNION ALL SELECT h.line_id, min(c.i) AS i FROM hit h JOIN c ON c.line_id = h.line_id AND c.i >= h.i + 3 GROUP BY h.line_id, h.i),
+top AS (SELECT h.line_id, h.i, arg_max(sample_idx, (v, -sample_idx)) AS p FROM hit h JOIN curves ON curves.line_id = h.line_id AND sample_idx >= h.i - 3 AND sample_idx < h.i + 3 GROUP BY ALL)
+SELECT 0 AS trial, line_id, (row_number() OVER (PARTITION BY line_id ORDER BY i) - 1)::INT AS event_id, p::INT AS s, (p + 1)::INT AS e FROM top""")
 def find_peaks(spark, sf_dir):
     return S.detect(curves(spark, sf_dir), "drop", width=6, least=100.0)
 
@@ -609,6 +616,108 @@ def isolate_events(spark, sf_dir):
     return S.detect(curves(spark, sf_dir), "isolate", tolerance=200.0, max_length=30, stitch=5, least=50.0)
 
 
-@query()
+@query(f"""WITH {CURVES}, n AS (SELECT line_id, count(*) AS n FROM curves GROUP BY line_id), g AS (SELECT i - 8 AS o, exp(-0.125 * (i - 8) * (i - 8)) AS w FROM range(17) AS t(i)),
+put AS (SELECT line_id, sample_idx, n, w / (SELECT sum(w) FROM g) AS w, (((sample_idx + o) % (2 * n)) + 2 * n) % (2 * n) AS m FROM curves JOIN n USING (line_id), g)
+SELECT put.line_id, put.sample_idx, round(sum(w * v), 4) + 0.0 AS smooth FROM put JOIN curves c ON c.line_id = put.line_id AND c.sample_idx = CASE WHEN m < n THEN m ELSE 2 * n - 1 - m END GROUP BY ALL""")
 def gaussian_smooth(spark, sf_dir):
-    return S.gaussian_smooth(curves(spark, sf_dir), 2.0)
+    return S.gaussian_smooth(curves(spark, sf_dir), 2.0).select("line_id", "sample_idx", (F.round("smooth", 4) + F.lit(0.0)).alias("smooth"))
+
+
+# Parts of the above that are of use by themselves.
+
+
+@query(f"""WITH {POINTS}, mesh AS (SELECT (range % 52)::INT AS px, (range // 52)::INT AS py, (range % 52) * (52.0::DOUBLE / 51) AS qx, (range // 52) * (10.0::DOUBLE / 19) AS qy FROM range(1040))
+SELECT px, py, count(*) AS m0 FROM pts JOIN mesh ON {NEAR} GROUP BY px, py""")
+def disk_mesh(spark, sf_dir):
+    """Disks about a mesh that includes its far edges."""
+    return J.disk_join(points(spark, sf_dir), PLANE, RADIUS, mesh=True)
+
+
+@query(f"""WITH {POINTS} SELECT 'bx' AS axis, quantile_disc(bx, 0.25) AS v, count(*) // 4 AS k FROM pts UNION ALL SELECT 'by', quantile_disc(yb, 0.25), count(*) // 4 FROM pts""")
+def kth_by_axis(spark, sf_dir):
+    p = points(spark, sf_dir)
+    n = p.count()
+    return spark.createDataFrame([(c, J.kth_smallest(p, c, -(-n // 4) - 1, sort_most=1000), n // 4) for c in ("bx", "by")], "axis string, v double, k long")
+
+
+@query(f"WITH {POINTS} SELECT 0::BIGINT AS overlaps, count(*) AS n FROM pts")
+def column_partitions(spark, sf_dir):
+    """Partitions by ranges of bx: how many reach into the next one, and how many points they hold."""
+    from pyspark.sql import Window as W
+
+    parts = J.by_column(points(spark, sf_dir), 8).groupBy(F.spark_partition_id().alias("part")).agg(F.min("bx").alias("low"), F.max("bx").alias("high"), F.count(F.lit(1)).alias("m"))
+    after = parts.withColumn("next", F.lead("low").over(W.orderBy("part")))
+    return after.agg(F.count(F.when(F.col("high") > F.col("next"), 1)).alias("overlaps"), F.sum("m").alias("n"))
+
+
+@query(f"WITH {_EVENTS} SELECT line_id, event_id, min(v) AS low, max(v) AS high FROM al WHERE trial = 0 GROUP BY ALL")
+def interval_extremes(spark, sf_dir):
+    return S.interval_extremes(curves(spark, sf_dir), _events(spark, sf_dir)).select("line_id", "event_id", "low", "high")
+
+
+_ENDS = "ends AS (SELECT n_nationkey AS line_id, n_nationkey % 5 + 1 AS n, n_nationkey * 0.5::DOUBLE AS x0, 1.0::DOUBLE AS y0, n_nationkey * 0.25::DOUBLE AS x1, n_nationkey * 2.0::DOUBLE AS y1 FROM nation)"
+_SPREAD = f"{_ENDS}, spread AS (SELECT line_id, i::INT AS sample_idx, x0 + (x1 - x0) * coalesce(i::DOUBLE / nullif(n - 1, 0), 0) AS x, y0 + (y1 - y0) * coalesce(i::DOUBLE / nullif(n - 1, 0), 0) AS y FROM ends, LATERAL (SELECT unnest(range(n)) AS i) r)"
+
+
+def _spread(spark, sf_dir):
+    k = F.col("n_nationkey")
+    ends = table(spark, sf_dir, "nation").select(k.alias("line_id"), (k % 5 + 1).alias("n"), (k * 0.5).alias("x0"), F.lit(1.0).alias("y0"), (k * 0.25).alias("x1"), (k * 2.0).alias("y1"))
+    return S.curve_points(ends)
+
+
+@query(f"WITH {_SPREAD} SELECT line_id, sample_idx, round(x, 6) + 0.0 AS x, round(y, 6) + 0.0 AS y FROM spread")
+def curve_points(spark, sf_dir):
+    return _spread(spark, sf_dir).select("line_id", "sample_idx", r6("x", "x"), r6("y", "y"))
+
+
+@query(f"""WITH {_SPREAD}, d AS (SELECT s.line_id, s.sample_idx, sqrt((s.x - f.x) * (s.x - f.x) + (s.y - f.y) * (s.y - f.y)) AS d FROM spread s JOIN spread f ON f.line_id = s.line_id AND f.sample_idx = 0)
+SELECT line_id, round(arg_max(d, sample_idx), 6) + 0.0 AS length, round(max(d) FILTER (sample_idx = 1), 6) + 0.0 AS density FROM d GROUP BY line_id""")
+def curve_lengths(spark, sf_dir):
+    return S.curve_lengths(_spread(spark, sf_dir), ("line_id",)).select("line_id", r6("length", "length"), r6("density", "density"))
+
+
+@query(f"""WITH {_ASYMMETRY}, a AS (SELECT line_id, round(asymmetry, 4) AS a FROM asym), e AS (SELECT min(a) AS lo, max(a) AS hi FROM a)
+SELECT line_id, round_even((a - lo) / ((hi - lo) / 8), 0)::INT AS class FROM a, e WHERE round_even((a - lo) / ((hi - lo) / 8), 0) IN (0, 2, 8)""")
+def merge_buckets(spark, sf_dir):
+    a = _asymmetry(spark, sf_dir).withColumn("asymmetry", F.round("asymmetry", 4))
+    return E.merge_buckets(E.classification(a, 8), (0, 2, 8)).select("line_id", "class")
+
+
+@query(f"""WITH {_SHIFTS}, pk2 AS (SELECT line_id, event_id, trial, arg_max(pos, (v, -pos)) AS p, count(*) AS n FROM al GROUP BY ALL),
+k2 AS (SELECT line_id, event_id, trial, pos - p AS k, least(p, n - p) - 1 AS half, v FROM al JOIN pk2 USING (line_id, event_id, trial)),
+d2 AS (SELECT line_id, event_id, trial, abs(k) AS far, max(v) FILTER (k > 0) - max(v) FILTER (k < 0) AS d FROM k2 WHERE k <> 0 AND abs(k) <= half GROUP BY ALL),
+a2 AS (SELECT line_id, event_id, trial, sqrt(sum(d * d * 10000)) AS a FROM d2 GROUP BY ALL)
+SELECT line_id, event_id, trial, shift, round(coalesce(a, 0), 3) + 0.0 AS asymmetry FROM sh LEFT JOIN a2 USING (line_id, event_id, trial)""")
+def bulk_analysis(spark, sf_dir):
+    b = E.bulk_analysis(curves(spark, sf_dir, (0, 1, 2)), _events(spark, sf_dir))
+    return b.select("line_id", "event_id", "trial", "shift", (F.round("asymmetry", 3) + F.lit(0.0)).alias("asymmetry"))
+
+
+@query(f"WITH {POINTS}, {GRID} SELECT px, py, round(coalesce(sum((x - bx) * (y - yb)), 0), 6) + 0.0 AS value FROM grid LEFT JOIN pts ON {NEAR} GROUP BY px, py")
+def moment_selection(spark, sf_dir):
+    return M.moment(P.moment_map(points(spark, sf_dir), PLANE, RADIUS), 4).select("px", "py", r6("value", "value"))
+
+
+@query(f"""WITH {DENSE}, line AS (SELECT range::INT AS sample_idx, px, py, -2.5 * log10(value + 0.001) AS v FROM range(41) JOIN map ON px = round_even(2 + range * (40::DOUBLE / 41), 0) AND py = round_even(1 + range * (9::DOUBLE / 41), 0)),
+f AS (SELECT px AS x0, py AS y0 FROM line WHERE sample_idx = 0)
+SELECT sample_idx, round(v, 6) + 0.0 AS v, round(sqrt((px - x0) * (px - x0) + (py - y0) * (py - y0)), 6) + 0.0 AS distance FROM line, f""")
+def drawn_curve(spark, sf_dir):
+    """A line drawn on a map, as a light curve with its distance axis."""
+    return S.with_distance(M.drawn_curve(M.scaled(counts_map(spark, sf_dir)), (2.0, 1.0), (42.0, 10.0))).select("sample_idx", r6("v", "v"), r6("distance", "distance"))
+
+
+@query(f"""WITH {LATTICE}, k AS (SELECT ray_id, x, y, 1.5 / nullif(2 * sqrt(0.64::DOUBLE * (x * sin(0.4) + y * cos(0.4)) * (x * sin(0.4) + y * cos(0.4)) + (y * sin(0.4) - x * cos(0.4)) * (y * sin(0.4) - x * cos(0.4))), 0) AS k FROM lattice)
+SELECT ray_id, round(0.1::DOUBLE * cos(0.6) - k * ((x * x - y * y) / nullif(x * x + y * y, 0)), 6) + 0.0 AS g1, round(0.1::DOUBLE * sin(0.6) - k * (2 * x * y / nullif(x * x + y * y, 0)), 6) + 0.0 AS g2 FROM k""")
+def sie_shear(spark, sf_dir):
+    g1, g2 = C.sie_shear(F.col("x"), F.col("y"), 1.5, 0.8, 0.4, 0.1, 0.3)
+    return lattice(spark).select("ray_id", r6(g1, "g1"), r6(g2, "g2"))
+
+
+@query(f"""WITH m AS (SELECT p_partkey, {_MASS} * 0.5 AS lo, {_MASS} AS hi FROM part),
+c AS (SELECT *, greatest(lo, 0.08) AS a1, least(hi, 0.5) AS b1, greatest(lo, 0.5) AS a2, least(hi, 1.5) AS b2 FROM m)
+SELECT p_partkey, round(CASE WHEN b1 > a1 THEN (b1 ** -0.3 - a1 ** -0.3) / -0.3 ELSE 0 END + CASE WHEN b2 > a2 THEN {float(_KROUPA.coeffs[1])!r}::DOUBLE * (b2 ** -1.7 - a2 ** -1.7) / -1.7 ELSE 0 END, 6) + 0.0 AS number,
+  round(CASE WHEN b1 > a1 THEN (b1 ** 0.7 - a1 ** 0.7) / 0.7 ELSE 0 END + CASE WHEN b2 > a2 THEN {float(_KROUPA.coeffs[1])!r}::DOUBLE * (b2 ** -0.7 - a2 ** -0.7) / -0.7 ELSE 0 END, 6) + 0.0 AS mass FROM c""")
+def imf_integral(spark, sf_dir):
+    """Stars and their mass between two masses."""
+    high = (F.col("p_partkey") % 200 + 1) * F.lit(0.01)
+    return table(spark, sf_dir, "part").select("p_partkey", r6(imf.integral_column(high * 0.5, high, _KROUPA), "number"), r6(imf.integral_column(high * 0.5, high, _KROUPA, 1), "mass"))

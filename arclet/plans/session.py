@@ -13,3 +13,9 @@ def share_code(spark: SparkSession) -> None:
     env = spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(":"):
         env["PYTHONPATH"] = f"{env.get('PYTHONPATH', '')}:{root}".strip(":")
+
+
+def file_system(spark: SparkSession, path: str):
+    """Spark's file system for a path, and the path as it takes it: for files of any store, not only local ones."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where

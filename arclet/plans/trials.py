@@ -11,11 +11,12 @@ from pyspark.sql import functions as F
 from ..functions.model import Animation, Box, LensModel, MicroParameters, Polar, Simulation, SourceModel, StarField, Vec
 from ..operators.products import caustic_map, light_curves, magnification_map, moment_map
 from ..operators.series import with_distance
-from ..operators.spatial import connecting_rays
+from ..operators.spatial import by_column, connecting_rays
 from ..operators.trace import micro_trace
 from ..sources.lattice import ray_lattice
 from ..sources.lines import clip_lines, interpolate_lines, random_lines
 from ..sources.stars import star_table
+from .session import file_system
 
 KINDS = ("magmap", "momentmap", "causticmap", "lightcurves")
 
@@ -38,10 +39,15 @@ def trial_parameters(sim: Simulation, trial: int) -> MicroParameters:
 
 
 class Engine:
-    """Traces rays once for all trials that share what they depend on (all but the source's radius and mass)."""
+    """Traces rays once for all trials that share what they depend on (all but the source's radius and mass).
 
-    def __init__(self, spark: SparkSession, strategy: str = "kernel"):
-        self.spark, self.strategy = spark, strategy
+    index: a folder that all executors see. Traced rays are kept there by their parameters' fingerprint, in files of ranges
+    of bx, for later sessions too: a join with a region reads only files and row groups that may hold its rays, and a lost
+    executor costs no trace. Without it rays are kept in memory.
+    """
+
+    def __init__(self, spark: SparkSession, strategy: str = "kernel", index: str | None = None, index_files: int = 200):
+        self.spark, self.strategy, self.index, self.index_files = spark, strategy, index, index_files
         self._print: str | None = None
         self._rays: DataFrame | None = None
 
@@ -58,9 +64,17 @@ class Engine:
             w, h = p.ray_count
             step = p.ray_region.step
             lattice = ray_lattice(self.spark, w, h, step.x, step.y)
-            self._rays, self._print = micro_trace(lattice, self.stars(p), smooth, shear, True, self.strategy).persist(), own
+            traced = lambda: micro_trace(lattice, self.stars(p), smooth, shear, True, self.strategy)
+            self._rays, self._print = self._indexed(own, traced) if self.index else traced().persist(), own
         return self._rays
 
+    def _indexed(self, own: str, traced) -> DataFrame:
+        path = f"{self.index.rstrip('/')}/rays={own}"
+        files, done = file_system(self.spark, f"{path}/_SUCCESS")
+        if not files.exists(done):
+            by_column(traced(), self.index_files).sortWithinPartitions("bx").write.mode("overwrite").parquet(path)
+        return self.spark.read.parquet(path)
+
     def result(self, p: MicroParameters, kind: str, settings: dict) -> DataFrame:
         """One result as a table of the store: px, py, moment_index, value, or line_id, sample_idx, x, y, distance, value."""
         rays, plane, r = self.rays(p), p.source_plane, p.source.radius
@@ -84,7 +98,7 @@ class Engine:
         return connecting_rays(self.rays(a.parameters), at.x, at.y, a.parameters.source.radius)
 
     def close(self) -> None:
-        if self._rays is not None:
+        if self._rays is not None and not self.index:
             self._rays.unpersist()
         self._rays, self._print = None, None
 

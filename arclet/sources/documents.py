@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..functions import cosmology
 from ..functions.model import Animation, Box, LensModel, MacroParameters, MicroParameters, Polar, Simulation, SourceModel, StarField, Vec
-from ..plans.session import share_code
+from ..plans.session import file_system, share_code
 
 ARCSEC = math.pi / 180 / 3600
 #: Radians in angles, metres in lengths; lengths are seen at the source's distance.
@@ -110,15 +110,21 @@ def open_parameters(spark: SparkSession, path: str):
 
 
 def read_results_file(spark: SparkSession, path: str) -> DataFrame:
-    """trial, result, row, column, value of a file of a JSON head, a table of offsets and arrays. Pickled arrays are refused."""
+    """trial, result, row, column, value of a file of a JSON head, a table of places (counted from its own end) and arrays.
+
+    Pickled arrays are refused. A file is one task's work; read_one_result() reads one array of a large one.
+    """
 
     def rows(batches):
         for pdf in batches:
             for content in pdf["content"]:
-                start = content.index(ARRAY_START)
-                table = np.lib.format.read_array(io.BytesIO(content[start:]), allow_pickle=False)
+                file = io.BytesIO(content)
+                file.seek(content.index(ARRAY_START))
+                table = np.lib.format.read_array(file, allow_pickle=False)
+                first = file.tell()
                 for (trial, result), at in np.ndenumerate(np.atleast_2d(table)):
-                    a = np.atleast_2d(np.lib.format.read_array(io.BytesIO(content[int(at) :]), allow_pickle=False)).astype(float)
+                    file.seek(first + int(at))
+                    a = np.atleast_2d(np.lib.format.read_array(file, allow_pickle=False)).astype(float)
                     a = a.reshape(-1, a.shape[-1])
                     r, c = np.indices(a.shape)
                     yield pd.DataFrame({"trial": trial, "result": result, "row": r.ravel(), "column": c.ravel(), "value": a.ravel()})
@@ -131,3 +137,60 @@ def results_head(content: bytes) -> dict:
     """The JSON head of such a file."""
     end = content.find(ARRAY_START)
     return json.loads(content[: end if end >= 0 else len(content)].decode())
+
+
+def _array_bytes(a: np.ndarray) -> bytes:
+    out = io.BytesIO()
+    np.lib.format.write_array(out, a, allow_pickle=False)
+    return out.getvalue()
+
+
+def write_results_file(spark: SparkSession, path: str, head: dict, results: list[list]) -> None:
+    """A results file: head as JSON, a table of places by trial and result, and the arrays.
+
+    results: of each trial its arrays, or functions that make them, of which the driver holds one at a time. Every trial has
+    as many. Places count from the table's end.
+    """
+    made = lambda a: _array_bytes(np.asarray(a() if callable(a) else a, float))
+    sizes = np.array([[len(made(a)) for a in trial] for trial in results], np.int64).reshape(len(results), len(results[0]) if results else 0)
+    places = (np.cumsum(sizes) - sizes.ravel()).reshape(sizes.shape)
+    fs, where = file_system(spark, path)
+    out = fs.create(where, True)
+    try:
+        out.write(json.dumps(head).encode() + _array_bytes(places))
+        for trial in results:
+            for a in trial:
+                out.write(made(a))
+    finally:
+        out.close()
+
+
+def read_one_result(spark: SparkSession, path: str, trial: int, result: int) -> np.ndarray:
+    """One array of a results file: its head, its table and the array's own bytes are read, nothing else."""
+    fs, where = file_system(spark, path)
+    file = fs.open(where)
+    try:
+
+        def array_at(at: int) -> tuple[np.ndarray, int]:
+            file.seek(at)
+            start = bytes(file.readNBytes(10))
+            size = 10 + int.from_bytes(start[8:10], "little")
+            file.seek(at)
+            form = io.BytesIO(bytes(file.readNBytes(size)))
+            np.lib.format.read_magic(form)
+            shape, _, kind = np.lib.format.read_array_header_1_0(form)
+            if kind.hasobject:
+                raise ValueError("pickled arrays are refused")
+            n = int(np.prod(shape)) * kind.itemsize
+            return np.lib.format.read_array(io.BytesIO(form.getvalue() + bytes(file.readNBytes(n))), allow_pickle=False), at + size + n
+
+        text, at = b"", 0
+        while (end := text.find(ARRAY_START)) < 0:
+            more = bytes(file.readNBytes(1 << 16))
+            if not more:
+                raise ValueError(f"{path} is no results file")
+            text += more
+        table, first = array_at(end)
+        return array_at(first + int(np.atleast_2d(table)[trial, result]))[0]
+    finally:
+        file.close()

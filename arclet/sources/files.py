@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import json
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.model import DOCUMENTS
-from ..plans.session import share_code
+from ..plans.session import file_system, share_code
 
 
 def read_stars(spark: SparkSession, path: str) -> DataFrame:
@@ -26,10 +24,28 @@ def read_stars(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("content").mapInPandas(rows, "star_id long, x double, y double, mass double")
 
 
-def star_bytes(stars: DataFrame) -> bytes:
-    """The binary form of a star table, which is small: it is broadcast in any trace."""
-    pdf = stars.orderBy("star_id").select("x", "y", "mass").toPandas()
-    return pdf.to_numpy(np.float64).tobytes()
+def write_binary(df: DataFrame, path: str, order, columns, kind=np.float64, head: bytes = b"", tail: bytes = b"") -> None:
+    """One file of columns' values, row by row in an order, between a head and a tail. Spark sorts; the driver passes on one partition at a time."""
+    share_code(df.sparkSession)
+
+    def chunks(batches):
+        for pdf in batches:
+            yield pd.DataFrame({"chunk": [pdf.to_numpy(kind).tobytes()]})
+
+    files, where = file_system(df.sparkSession, path)
+    out = files.create(where, True)
+    try:
+        out.write(head)
+        for r in df.orderBy(*order).select(*columns).mapInPandas(chunks, "chunk binary").toLocalIterator():
+            out.write(bytes(r.chunk))
+        out.write(tail)
+    finally:
+        out.close()
+
+
+def write_stars(stars: DataFrame, path: str) -> None:
+    """What read_stars() reads."""
+    write_binary(stars, path, ["star_id"], ["x", "y", "mass"])
 
 
 def read_points(spark: SparkSession, path: str, curves: int) -> DataFrame:
@@ -48,9 +64,10 @@ def read_points(spark: SparkSession, path: str, curves: int) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("content").mapInPandas(rows, "curve_id long, sample_idx int, qx double, qy double")
 
 
-def point_bytes(points: pd.DataFrame) -> bytes:
-    p = points.sort_values(["curve_id", "sample_idx"])
-    return p.groupby("curve_id").size().to_numpy(np.int32).tobytes() + p[["qx", "qy"]].to_numpy(np.float64).tobytes()
+def write_points(points: DataFrame, path: str) -> None:
+    """What read_points() reads: curves in the order of their ids; their lengths, one number each, are held by the driver."""
+    lengths = points.groupBy("curve_id").count().orderBy("curve_id").toArrow()["count"].to_numpy()
+    write_binary(points, path, ["curve_id", "sample_idx"], ["qx", "qy"], head=lengths.astype(np.int32).tobytes())
 
 
 def read_values(spark: SparkSession, path: str, nx: int) -> DataFrame:
@@ -67,8 +84,9 @@ def read_values(spark: SparkSession, path: str, nx: int) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("content").mapInPandas(rows, "px int, py int, value double")
 
 
-def value_bytes(values: pd.DataFrame) -> bytes:
-    return values.sort_values(["py", "px"])["value"].to_numpy(np.float64).tobytes()
+def write_values(values: DataFrame, path: str) -> None:
+    """What read_values() reads: a dense map (px, py, value)."""
+    write_binary(values, path, ["py", "px"], ["value"])
 
 
 def kind_of(path: str) -> str:
@@ -91,33 +109,97 @@ def write_document(df: DataFrame, path: str) -> None:
     document_json(df).coalesce(1).write.text(path)
 
 
-def fits_bytes(image: np.ndarray, header: dict | None = None) -> bytes:
-    """A FITS file of one image of doubles, first row last in Fortran order as the format has it."""
-    image = np.asarray(image, float)
-    cards = [("SIMPLE", "T"), ("BITPIX", "-64"), ("NAXIS", str(image.ndim))]
-    cards += [(f"NAXIS{i + 1}", str(n)) for i, n in enumerate(reversed(image.shape))]
+def fits_head(shape, header: dict | None = None) -> bytes:
+    """The header of a FITS file of one image of doubles."""
+    cards = [("SIMPLE", "T"), ("BITPIX", "-64"), ("NAXIS", str(len(shape)))]
+    cards += [(f"NAXIS{i + 1}", str(n)) for i, n in enumerate(reversed(shape))]
     for k, v in (header or {}).items():
         cards.append((k.upper()[:8], "T" if v is True else "F" if v is False else str(v) if isinstance(v, (int, float)) else "'" + str(v).replace("'", "''").ljust(8) + "'"))
     text = "".join(f"{k:<8}= {v:>20}"[:80].ljust(80) for k, v in cards) + "END".ljust(80)
-    data = image.astype(">f8").tobytes()
-    return text.ljust(-(-len(text) // 2880) * 2880).encode() + data.ljust(-(-len(data) // 2880) * 2880, b"\0")
+    return text.ljust(-(-len(text) // 2880) * 2880).encode()
 
 
-def fits_image(content: bytes) -> tuple[np.ndarray, dict]:
-    """The image and header of fits_bytes()."""
+def fits_bytes(image: np.ndarray, header: dict | None = None) -> bytes:
+    """A FITS file of one image, its first axis the slowest."""
+    data = np.asarray(image, float).astype(">f8").tobytes()
+    return fits_head(np.shape(image), header) + data.ljust(-(-len(data) // 2880) * 2880, b"\0")
+
+
+def _fits_value(text: str):
+    """The value of a card after its equals sign: a quoted text, or a word up to the comment."""
+    text = text.strip()
+    if text.startswith("'"):
+        body, at = "", 1
+        while at < len(text):
+            if text[at] == "'" and text[at + 1 : at + 2] != "'":
+                break
+            body += text[at]
+            at += 2 if text[at] == "'" else 1
+        return body.rstrip()
+    word = text.partition("/")[0].strip()
+    if word in ("T", "F"):
+        return word == "T"
+    try:
+        return int(word)
+    except ValueError:
+        pass
+    try:
+        return float(word.replace("D", "E"))
+    except ValueError:
+        return word or None
+
+
+#: Array types by BITPIX.
+FITS_TYPES = {8: ">u1", 16: ">i2", 32: ">i4", 64: ">i8", -32: ">f4", -64: ">f8"}
+
+
+def fits_image(content: bytes) -> tuple[np.ndarray | None, dict]:
+    """The first image of a FITS file, scaled as its header says, and that header; None where it has no axes."""
     header: dict = {}
     at, done = 0, False
     while not done:
-        for i in range(36):
-            card = content[at + 80 * i : at + 80 * i + 80].decode()
-            if card.startswith("END"):
+        if at >= len(content):
+            raise ValueError("a FITS header without an end")
+        for card in (content[at + 80 * i : at + 80 * i + 80].decode("ascii", "replace") for i in range(36)):
+            if card[:8].rstrip() == "END":
                 done = True
                 break
-            value = card[10:].strip()
-            header[card[:8].strip()] = value.strip("'").strip() if value.startswith("'") else value == "T" if value in "TF" else json.loads(value)
+            if card[8:10] == "= ":
+                header[card[:8].strip()] = _fits_value(card[10:])
         at += 2880
-    shape = [int(header[f"NAXIS{i}"]) for i in range(int(header["NAXIS"]), 0, -1)]
-    return np.frombuffer(content, ">f8", int(np.prod(shape)), at).reshape(shape).astype(float), header
+    if header.get("SIMPLE") is not True:
+        raise ValueError("no FITS file")
+    shape = [header[f"NAXIS{i}"] for i in range(header["NAXIS"], 0, -1)]
+    if not shape:
+        return None, header
+    kind = np.dtype(FITS_TYPES[header["BITPIX"]])
+    raw = np.frombuffer(content, kind, int(np.prod(shape)), at).reshape(shape)
+    image = raw.astype(float)
+    if "BLANK" in header and kind.kind in "iu":
+        image[raw == header["BLANK"]] = np.nan
+    return image * header.get("BSCALE", 1) + header.get("BZERO", 0), header
+
+
+def read_fits(spark: SparkSession, path: str) -> DataFrame:
+    """path, px, py, value of the images of FITS files of two axes (of more, the first plane), a file a task."""
+
+    def rows(batches):
+        for pdf in batches:
+            for name, content in zip(pdf["path"], pdf["content"]):
+                image, _ = fits_image(content)
+                if image is None:
+                    continue
+                plane = np.atleast_2d(image.reshape(-1, *image.shape[-2:])[0] if image.ndim > 2 else image)
+                for py in range(len(plane)):
+                    yield pd.DataFrame({"path": name, "px": np.arange(plane.shape[1], dtype=np.int32), "py": np.int32(py), "value": plane[py]})
+
+    share_code(spark)
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(rows, "path string, px int, py int, value double")
+
+
+def write_fits(values: DataFrame, path: str, nx: int, ny: int, header: dict | None = None) -> None:
+    """A dense map (px, py, value) as a FITS image; Spark sorts, the driver passes on one partition at a time."""
+    write_binary(values, path, ["py", "px"], ["value"], ">f8", fits_head((ny, nx), header), b"\0" * (-8 * nx * ny % 2880))
 
 
 def map_image(values: DataFrame, nx: int, ny: int) -> np.ndarray:

@@ -55,10 +55,25 @@ def test_results_files_come_back(spark, tmp_path):
     blob = lambda a: (b := io.BytesIO(), np.save(b, a))[0].getvalue()
     head = json.dumps({"name": "n"}).encode()
     table = np.zeros((2, 1), np.int64)
-    start = len(head) + len(blob(table))
-    table[:, 0] = [start, start + len(blob(maps[0]))]
+    table[:, 0] = [0, len(blob(maps[0]))]
     content = head + blob(table) + b"".join(map(blob, maps))
     (tmp_path / "a.res").write_bytes(content)
     assert D.results_head(content) == {"name": "n"}
     got = D.read_results_file(spark, str(tmp_path / "a.res"))
     assert got.count() == 12 and got.where("trial = 0 and row = 1 and column = 2").first().value == 5.0
+
+
+def test_results_files_are_written_and_read_one_by_one(spark, tmp_path):
+    maps = [[np.arange(6.0).reshape(2, 3), lambda: np.ones(70_000)], [np.zeros((4, 4)), np.full((1, 2), 7.0)]]
+    path = str(tmp_path / "b.res")
+    D.write_results_file(spark, path, {"name": "é", "n": 3}, maps)
+    assert D.results_head((tmp_path / "b.res").read_bytes()) == {"name": "é", "n": 3}
+    for t, r in ((0, 0), (0, 1), (1, 0), (1, 1)):
+        want = maps[t][r]() if callable(maps[t][r]) else maps[t][r]
+        assert np.array_equal(D.read_one_result(spark, path, t, r), want)
+    assert D.read_results_file(spark, path).where("trial = 1 and result = 1").agg({"value": "sum"}).first()[0] == 14.0
+    D.write_results_file(spark, str(tmp_path / "e.res"), {}, [])
+    assert D.read_results_file(spark, str(tmp_path / "e.res")).count() == 0
+    with pytest.raises(ValueError):
+        (tmp_path / "c.res").write_bytes(b"{}")
+        D.read_one_result(spark, str(tmp_path / "c.res"), 0, 0)

@@ -10,13 +10,13 @@ from arclet.sources import files as X
 
 def test_binary_tables_come_back(spark, tmp_path):
     stars = spark.createDataFrame([(0, 1.0, 2.0, 3.0), (1, -1.0, 0.5, 0.25)], "star_id long, x double, y double, mass double")
-    (tmp_path / "stars").write_bytes(X.star_bytes(stars))
+    X.write_stars(stars, str(tmp_path / "stars"))
     assert sorted(X.read_stars(spark, str(tmp_path / "stars")).collect()) == sorted(stars.collect())
     points = pd.DataFrame({"curve_id": [0, 0, 1], "sample_idx": [0, 1, 0], "qx": [1.0, 2.0, 3.0], "qy": [4.0, 5.0, 6.0]})
-    (tmp_path / "points").write_bytes(X.point_bytes(points))
+    X.write_points(spark.createDataFrame(points, "curve_id long, sample_idx int, qx double, qy double").repartition(3), str(tmp_path / "points"))
     assert [tuple(r) for r in sorted(X.read_points(spark, str(tmp_path / "points"), 2).collect())] == list(points.itertuples(index=False, name=None))
     values = pd.DataFrame({"px": [0, 1, 0, 1], "py": [0, 0, 1, 1], "value": [1.0, 2.0, 3.0, 4.0]})
-    (tmp_path / "values").write_bytes(X.value_bytes(values))
+    X.write_values(spark.createDataFrame(values, "px int, py int, value double").repartition(3), str(tmp_path / "values"))
     assert X.read_values(spark, str(tmp_path / "values"), 2).where("px = 1 and py = 0").first().value == 2.0
 
 
@@ -42,6 +42,24 @@ def test_fits_image_comes_back():
     assert (got == image).all() and header["MAGNIF"] == 1.5 and header["LENSED"] is True and len(content) % 2880 == 0
 
 
+def test_fits_files_of_others_are_read(spark, tmp_path):
+    cards = ["SIMPLE  =                    T / conforms", "BITPIX  =                   16", "NAXIS   =                    2", "NAXIS1  =                    3", "NAXIS2  =                    2", "BSCALE  =                  0.5 / scale", "BZERO   =              1.0E+01",
+             "BLANK   =               -32768", "OBJECT  = 'it''s / one'        / a name", "COMMENT free text = here", "EQUINOX ="]
+    head = ("".join(c.ljust(80) for c in cards) + "END".ljust(80)).ljust(2880).encode()
+    data = np.array([[0, 2, 4], [-2, -32768, 6]], ">i2").tobytes().ljust(2880, b"\0")
+    image, header = X.fits_image(head + data)
+    assert np.array_equal(image, [[10, 11, 12], [9, np.nan, 13]], equal_nan=True) and header["OBJECT"] == "it's / one" and header["BSCALE"] == 0.5
+    (tmp_path / "a.fits").write_bytes(head + data)
+    assert X.read_fits(spark, str(tmp_path / "a.fits")).where("px = 2 and py = 1").first().value == 13.0
+    values = spark.createDataFrame([(x, y, x + 10.0 * y) for x in range(5) for y in range(4)], "px int, py int, value double").repartition(3)
+    X.write_fits(values, str(tmp_path / "b.fits"), 5, 4, {"OBJECT": "map"})
+    content = (tmp_path / "b.fits").read_bytes()
+    assert content == X.fits_bytes(np.add.outer(10.0 * np.arange(4), np.arange(5.0)), {"OBJECT": "map"})
+    assert X.fits_image(("".join(c.ljust(80) for c in ("SIMPLE  =                    T", "BITPIX  =                    8", "NAXIS   =                    0", "END"))).ljust(2880).encode())[0] is None
+    with pytest.raises(ValueError):
+        X.fits_image(b"x" * 2880)
+
+
 def test_vectors():
     assert (Vec(3, 4) * 2 - 1).x == 5 and Vec(3, 4).magnitude == 5 and Vec(1, 2).to("uas", 0.5).y == 4
     assert Polar(2.0, 0.0).cartesian.x == 2.0 and Vec(0, 5).direction == Vec(0, 1)

@@ -170,3 +170,54 @@ def test_stream_of_frames_counts_as_a_batch(spark, tmp_path):
     assert q.awaitTermination(60)
     assert sorted(spark.table("lit").collect()) == sorted(frame_rays(batch, rays, 0.2).collect())
     assert brightness_by_window(batch, rays, 0.2).agg(F.sum("rays")).first()[0] == frame_rays(batch, rays, 0.2).count()
+
+
+def test_many_stars_go_to_the_kernel_and_come_in_blocks(spark, monkeypatch):
+    from arclet.operators import trace
+
+    rays = ray_lattice(spark, 12, 12, 0.5, 0.5)
+    stars = star_frame(spark, [(i, 0.1 + i * 0.3, -0.2 - i * 0.1, 1.0 + i) for i in range(7)])
+    want = {r.ray_id: r for r in micro_trace(rays, stars, 0.3, 0.2, True, "sql").collect()}
+    monkeypatch.setattr(trace, "STARS_A_BLOCK", 2)
+    monkeypatch.setattr(trace, "STARS_BY_JOIN", 3)
+    many = micro_trace(rays, stars, 0.3, 0.2, True, "sql")
+    assert "Join" not in many._jdf.queryExecution().toString()
+    got = {r.ray_id: r for r in many.collect()}
+    assert set(got) == set(want) and all(got[i].bx == pytest.approx(want[i].bx) and got[i].det == pytest.approx(want[i].det) for i in want)
+
+
+def test_rays_of_an_index_are_traced_once(spark, tmp_path, monkeypatch):
+    from arclet.plans import trials
+
+    sim = simulation()
+    p = sim.parameters
+    first = trials.Engine(spark, index=str(tmp_path / "i"), index_files=4)
+    rays = sorted(map(tuple, first.rays(p).select("ray_id", "bx").collect()))
+    monkeypatch.setattr(trials, "micro_trace", None)
+    again = trials.Engine(spark, index=str(tmp_path / "i"))
+    assert sorted(map(tuple, again.rays(p).select("ray_id", "bx").collect())) == rays and len(rays) > 0
+    ends = again.rays(p).groupBy(F.input_file_name().alias("f")).agg(F.min("bx").alias("lo"), F.max("bx").alias("hi")).orderBy("lo").collect()
+    assert all(a.hi <= b.lo for a, b in zip(ends, ends[1:]))
+
+
+def test_kth_value_and_columns(spark):
+    from arclet.operators import spatial
+
+    rng = np.random.default_rng(0)
+    v = np.concatenate((rng.exponential(5, 3000), np.full(2000, 1.5), [1e9]))
+    p = spark.createDataFrame([(float(x),) for x in v], "bx double").union(spark.createDataFrame([(None,)], "bx double"))
+    for k in (0, 1, 700, 2500, 4999, 5000):
+        assert spatial.kth_smallest(p, "bx", k, bins=16, sort_most=50) == np.sort(v)[k]
+    assert spatial.kth_smallest(p, "bx", len(v)) is None and spatial.kth_smallest(p.limit(0), "bx", 0) is None
+    assert list(spatial.columns_near([1.0, 2.0, 3.0], 1.5, 0.6)) == [0, 1, 2] and list(spatial.columns_near([], 0, 1)) == [0]
+
+
+def test_truncated_mass_functions_and_error_function():
+    law = imf.PowerLaw.named("Kroupa_2001")
+    cut = law.truncated(500.0)
+    top = cut.limits[-1]
+    assert cut.integral(0.01, 1e3, 1) == pytest.approx(500, rel=1e-6) and cut.density(top * 1.01) == 0 < cut.density(top * 0.99)
+    assert cut.integral(0.02, top + 5) == pytest.approx(cut.integral(0.02, top))
+    x = np.linspace(-3, 3, 25)
+    assert imf.error(x) == pytest.approx([math.erf(a) for a in x], abs=4e-4) and imf.error_inverse(imf.error(x[6:19])) == pytest.approx(x[6:19])
+    assert imf.half_at_zero([0.0, 2.0]).tolist() == [0.5, 1.0] and imf.inside([1, 2, 4.0], 1, 3).tolist() == [1, 1, 0]
