@@ -2,45 +2,67 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.session import share_code  # noqa: F401 - its modules take it from here
+from ..plans import session
+from ..plans.session import file_system
 
-#: Used only where the session names no shared folder, as in tests on one machine.
-LOCAL_CHECKPOINTS = "file:///tmp/checkpoints/arclet"
+#: Bytes of rows that go to a Python worker at a time, so that its memory doesn't depend on how long texts are.
+BATCH_BYTES = 4 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 #: What separates words, as a Java expression and as bytes.
 WORD_GAP = "[\\x20\\x09-\\x0D]+"
 GAP_BYTES = np.zeros(256, bool)
 GAP_BYTES[[9, 10, 11, 12, 13, 32]] = True
 #: The same for words without marks: every ASCII byte that is no letter or digit.
 MARK_BYTES = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
-#: Text bytes hashed at a time; a longer text is a piece of its own.
-PIECE_BYTES = 1 << 20
+#: Text bytes hashed at a time.
+PIECE_BYTES = 1 << 19
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 
 
+def share_code(spark: SparkSession) -> None:
+    """Lets Python workers import this package, and sends them rows in batches of BATCH_BYTES or less. A row that is larger is a
+    batch of its own."""
+    session.share_code(spark)
+    if int(spark.conf.get(_BATCH).rstrip("bB")) > BATCH_BYTES:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder that driver and executors all see, below spark.checkpoint.dir."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or LOCAL_CHECKPOINTS
-    _FOLDERS.append(f"{top.rstrip('/')}/arclet-{uuid.uuid4().hex}")
-    return _FOLDERS[-1]
+    """A new folder that driver and executors all see, below spark.checkpoint.dir. Where that is unset it is a temporary folder if
+    all is one machine, as in tests, else an error."""
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if top is None:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
+        top = f"file://{tempfile.gettempdir()}/checkpoints/arclet"
+    path = f"{top.rstrip('/')}/arclet-{uuid.uuid4().hex}"
+    _FOLDERS.append(path)
+    return path
 
 
 _FOLDERS: list[str] = []
 
 
-def drop_stored(spark: SparkSession) -> None:
-    """Deletes the folders that this process has written. Frames made of them can't be read afterwards."""
-    jvm = spark.sparkContext._jvm
-    while _FOLDERS:
-        path = jvm.org.apache.hadoop.fs.Path(_FOLDERS.pop())
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def drop_stored(spark: SparkSession, since: int = 0) -> None:
+    """Deletes the folders that this process has written, or those after the first so many (see mark()). Frames made of them
+    can't be read afterwards."""
+    while len(_FOLDERS) > since:
+        files, path = file_system(spark, _FOLDERS.pop())
+        files.delete(path, True)
+
+
+def mark() -> int:
+    """For drop_stored(): how many folders there are now."""
+    return len(_FOLDERS)
 
 
 def stored(df: DataFrame) -> DataFrame:
@@ -124,35 +146,82 @@ class Words:
         """Hashes of the runs from word first to word last, both included."""
         return mixed((self.high[last] - self.low[first]) * self.back[first])
 
+    @property
+    def count(self) -> int:
+        return self.stop.size
+
+    def runs(self, width: int) -> np.ndarray:
+        """Hashes of all runs of so many words, one from each word that has as many after it, whichever text they are of."""
+        first = np.arange(max(0, self.count - width + 1))
+        return self.hashes(first, first + width - 1) if first.size else np.zeros(0, np.uint64)
+
+
+class LongText:
+    """As Words, of one text too long to be held in arrays of its bytes: it is taken in pieces, each with the last words of the
+    one before. What is held is the text and the hashes asked for. A single word is one piece, whatever its length."""
+
+    def __init__(self, raw: bytes, gaps: np.ndarray):
+        self.raw, self.gaps = raw, gaps
+        self.count = sum(w.stop.size for w in self._pieces(1))
+        self.word_starts, self.word_ends = np.array([0]), np.array([self.count])
+
+    def _pieces(self, width: int):
+        at, kept, raw, gaps = 0, b"", self.raw, self.gaps
+        while at < len(raw):
+            end = at + PIECE_BYTES
+            while end < len(raw) and not (hit := np.flatnonzero(gaps[np.frombuffer(raw, np.uint8, min(PIECE_BYTES, len(raw) - end), end)])).size:
+                end += PIECE_BYTES
+            end = end + int(hit[0]) + 1 if end < len(raw) else len(raw)
+            part = np.frombuffer(kept + raw[at:end] + b" ", np.uint8)
+            words = Words(part, np.array([len(part)]), gaps)
+            yield words
+            if width > 1:
+                # The last width - 1 words go before the next piece.
+                inside = np.flatnonzero(np.diff(np.concatenate(([1], gaps[part].astype(np.int8)))) == -1)
+                kept = part[inside[-(width - 1) :][0] :].tobytes() if inside.size else b""
+            at = end
+
+    def runs(self, width: int) -> np.ndarray:
+        return np.concatenate([np.zeros(0, np.uint64), *(w.runs(width) for w in self._pieces(width))])
+
 
 def pieces(texts, plain: bool = False):
     """Texts in pieces of bounded size: (start, stop, words) with numbers of texts. Null texts have no word.
 
     Words are parted by white space, and A-Z are lower case; plain: parted by any ASCII mark, and all letters lower case.
     """
-    start, size, part = 0, 0, []
-    coded = [b"" if t is None else small_bytes(t) if plain else t.encode("utf-8", "surrogatepass") for t in texts]
-    for i, t in enumerate(coded):
-        part.append(t)
-        size += len(t) + 1
-        if size >= PIECE_BYTES or i == len(coded) - 1:
-            raw = np.frombuffer(b" ".join(part) + b" ", np.uint8)
-            ends = np.cumsum([len(x) + 1 for x in part])
-            yield start, i + 1, Words(raw, ends, MARK_BYTES if plain else GAP_BYTES)
+    start, size, part, gaps = 0, 0, [], MARK_BYTES if plain else GAP_BYTES
+
+    def joined():
+        raw = np.frombuffer(b" ".join(part) + b" ", np.uint8)
+        return start, start + len(part), Words(raw, np.cumsum([len(x) + 1 for x in part]), gaps)
+
+    for i, t in enumerate(texts):
+        coded = b"" if t is None else small_bytes(t) if plain else t.encode("utf-8", "surrogatepass")
+        if len(coded) > 2 * PIECE_BYTES:
+            if part:
+                yield joined()
+            yield i, i + 1, LongText(coded, gaps)
+            start, size, part = i + 1, 0, []
+            continue
+        part.append(coded)
+        size += len(coded) + 1
+        if size >= PIECE_BYTES:
+            yield joined()
             start, size, part = i + 1, 0, []
+    if part:
+        yield joined()
 
 
 def shingle_sets(texts, k: int = 5):
     """Of each text its distinct shingles of k words, as sorted hashes; with fewer words, all of them as one."""
-    for start, stop, words in pieces(texts):
-        total = words.stop.size
-        runs = np.arange(max(0, total - k + 1))
-        hashes = words.hashes(runs, runs + k - 1) if runs.size else np.zeros(0, np.uint64)
+    for _, _, words in pieces(texts):
+        hashes = words.runs(k)
         for a, b in zip(words.word_starts, words.word_ends):
             if b - a >= k:
                 yield np.unique(hashes[a : b - k + 1])
             elif b > a:
-                yield words.hashes(np.array([a]), np.array([b - 1]))
+                yield words.hashes(np.array([a]), np.array([b - 1])) if isinstance(words, Words) else words.runs(b - a)
             else:
                 yield np.zeros(0, np.uint64)
 

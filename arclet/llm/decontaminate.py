@@ -158,8 +158,7 @@ def _search(probes: Probes, similarity: float):
             rows = []
             for start, stop, words in pieces(pdf["text"], plain=True):
                 for width in widths:
-                    runs = np.arange(max(0, words.stop.size - width + 1))
-                    h = words.hashes(runs, runs + width - 1)
+                    h = words.runs(width)
                     shared = probes.shared(h)
                     # At similarity s at least 2s / (1 + s) of the shingles are shared; s is a bound that rounding can't reach.
                     for m, places, which in probes.candidates(h, width, shared, similarity):

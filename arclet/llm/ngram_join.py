@@ -27,7 +27,8 @@ from .components import connected_components
 
 #: Shingles that are held to be frequent on the way to the order; more only make the order worse, never a result.
 MAX_FREQUENT = 1 << 20
-#: A shingle counts in a batch from this many documents on.
+#: Hashes that a Python worker counts together, and how often one must be among them to count at all.
+MOST_COUNTED = 1 << 21
 BATCH_LEAST = 3
 #: Longer lists are dealt out as pairs of chunks of about this many members.
 LIST_CHUNK = 8192
@@ -35,6 +36,8 @@ LIST_CHUNK = 8192
 SKETCH_FROM = 8
 #: Pairs that a Python worker gathers before it hands them on.
 MOST_PAIRS = 1 << 16
+#: Hashes that a Python worker gathers before it hands them on.
+MOST_HELD = 1 << 19
 #: Members that a skipped or compared block holds.
 BLOCK = 256
 
@@ -65,19 +68,28 @@ def node_of(s: np.ndarray) -> int:
 
 
 def _sets(k):
+    def counted(often):
+        values, counts = np.unique(np.concatenate(often), return_counts=True)
+        some = counts >= BATCH_LEAST
+        return pd.DataFrame({"kind": np.int8(1), "doc_id": values[some].view(np.int64), "n": counts[some].astype(np.int64), "node": 0, "sketch": None})
+
     def run(batches):
+        often, held = [], 0
         for pdf in batches:
-            ids, sizes, nodes, sketches, often = [], [], [], [], []
+            ids, sizes, nodes, sketches = [], [], [], []
             for i, s in zip(pdf["doc_id"], shingle_sets(pdf["text"], k)):
                 ids.append(i)
                 sizes.append(len(s))
                 nodes.append(node_of(s))
                 sketches.append(sketch(s))
                 often.append(s)
+                held += len(s)
+                if held > MOST_COUNTED:
+                    yield counted(often)
+                    often, held = [], 0
             yield pd.DataFrame({"kind": np.int8(0), "doc_id": ids, "n": sizes, "node": nodes, "sketch": sketches})
-            values, counts = np.unique(np.concatenate(often), return_counts=True) if often else (np.zeros(0, np.uint64), np.zeros(0))
-            some = counts >= BATCH_LEAST
-            yield pd.DataFrame({"kind": np.int8(1), "doc_id": values[some].view(np.int64), "n": counts[some].astype(np.int64), "node": 0, "sketch": None})
+        if often:
+            yield counted(often)
 
     return run
 
@@ -104,7 +116,7 @@ def _prefixes(k, percent, frequent):
                 out["n"].append(np.full(p, n, np.int32))
                 out["pos"].append(np.arange(p, dtype=np.int32))
                 size += p
-                if size > 1 << 20:
+                if size > MOST_HELD:
                     yield pd.DataFrame({c: np.concatenate(v) for c, v in out.items()})
                     out, size = {c: [] for c in out}, 0
             if out["n"]:
@@ -244,7 +256,7 @@ def _hashed(k):
                 ids.append(node_of(s))
                 sets.append(s.view(np.int64))
                 size += len(s)
-                if size > 1 << 20:
+                if size > MOST_HELD:
                     yield pd.DataFrame({"node": ids, "shingles": sets})
                     ids, sets, size = [], [], 0
             if ids:

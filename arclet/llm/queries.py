@@ -10,7 +10,7 @@ from . import quotation
 from .decontaminate import find_leaks
 from .html_text import extract_text
 from .language_id import fit_codes, predict_language
-from .line_chunks import RUN_WORDS, dedup_lines
+from .line_chunks import CLAUSES, RUN_WORDS, dedup_lines
 from .ngram_join import jaccard_components
 from .packing import pack_documents
 from .toxicity import score_toxicity, toxic_chain
@@ -76,7 +76,7 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its text after removal."""
-    out = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), run_words=RUN_WORDS)
+    out = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), run_words=RUN_WORDS, ends=CLAUSES)
     return out.select("doc_id", "text", "n_removed_lines", "n_removed_chunks")
 
 

@@ -31,8 +31,7 @@ CATEGORIES = {
 def _word_hashes(texts):
     """For each piece of texts: first text, number of texts, and of each word its text's number and hash."""
     for start, stop, words in pieces(texts, plain=True):
-        all_words = np.arange(words.stop.size)
-        yield start, stop - start, np.repeat(np.arange(stop - start), words.word_ends - words.word_starts), words.hashes(all_words, all_words)
+        yield start, stop - start, np.repeat(np.arange(stop - start), words.word_ends - words.word_starts), words.runs(1)
 
 
 def _hash_of(word: str) -> int:
