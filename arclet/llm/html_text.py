@@ -1,8 +1,8 @@
 """Main text of web pages: flat text blocks, told apart by a decision tree.
 
-A page is cut into flat blocks at tags that start a new line. Each block has a word count, a link density, and those of
-the blocks before and after it; what kind of element it stands in is a feature too. A small tree, trained here on a
-labelled table of such blocks, says which blocks are the article.
+A page is cut into flat blocks at tags that start a new line. A block's features are its word count and link density, those
+of the blocks before and after it, and what the elements around it say, by their tags and, weakly, by their names. A
+tree, trained here on the blocks of a few labelled pages, says which blocks are the article.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from __future__ import annotations
 import html
 import re
 from dataclasses import dataclass, field
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -25,47 +26,63 @@ BLOCK_TAGS = frozenset(
 )
 RAW_TAGS = frozenset("script style textarea title noscript template iframe svg math noembed noframes xmp".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-AROUND_TAGS = frozenset("nav header footer aside form menu dialog button select option label legend fieldset noscript".split())
-AROUND_WORDS = frozenset(
-    "ad ads advert adverts advertisement advertisements banner breadcrumb breadcrumbs comment comments cookie cookies consent disqus footer header menu modal nav navbar navigation newsletter "
-    "notice overlay pager pagination popup promo promoted promotion recommended related replies reply respond share sharing sidebar social sponsor sponsored subscribe toolbar widget".split()
+SELF_CLOSING = frozenset("p li dd dt tr td th option".split())
+AROUND_TAGS = frozenset("nav header footer aside menu dialog button select option label legend fieldset noscript".split())
+ARTICLE_TAGS = frozenset("article main".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+ITEMS = frozenset("li dd dt".split())
+AROUND_NAMES = frozenset(
+    "ad ads advert adverts advertisement advertisements banner breadcrumb breadcrumbs cookie cookies consent footer header menu modal nav navbar navigation newsletter "
+    "notice overlay pager pagination popup promo promoted promotion recommended related share sharing sidebar social sponsor sponsored subscribe toolbar widget".split()
 )
+COMMENT_NAMES = frozenset("comment comments disqus replies reply respond".split())
+ARTICLE_NAMES = frozenset("article content entry main post story body text".split())
+#: Names with one of these say how a page is laid out, not what an element is.
+LAYOUT_NAMES = frozenset("no has with without enabled disabled layout wrapper hide show is left right".split())
 AROUND_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert form menu".split())
-ARTICLE_WORDS = frozenset("article content entry main post story body text".split())
-#: A tag, a comment, a declaration, or a less-than sign that opens none of them.
-MARKUP = re.compile(r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
-ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]*)))?", re.I)
-SPACE = re.compile(r"[\s ]+")
 
-FEATURES = ("words", "link_density", "words_before", "links_before", "words_after", "links_after", "around", "article", "heading", "item")
+ATTRIBUTE = re.compile(r"([a-zA-Z][^\s=/>\"']*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]*)))?")
+TAG_NAME = re.compile(r"/?([a-zA-Z][^\s/>]*)")
+IN_TAG = re.compile("[>\"']")
+HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 
-#: The labelled table: features of blocks as above, and whether the block is the article's. Drawn up by hand.
+FEATURES = ("words", "link_density", "words_before", "links_before", "words_after", "links_after", "tag", "name", "form", "heading", "item")
+
+#: The labelled pages: {n} stands for n words, and what an element with y holds is the article's.
 LABELLED = (
-    # paragraphs of an article element, long and short, after headings, at its ends
-    ((60, 0.0, 12, 0.0, 80, 0.0, 0, 1, 0, 0), 1), ((80, 0.02, 60, 0.0, 45, 0.0, 0, 1, 0, 0), 1), ((12, 0.0, 60, 0.0, 70, 0.0, 0, 1, 0, 0), 1),
-    ((5, 0.0, 40, 0.0, 30, 0.0, 0, 1, 0, 0), 1), ((2, 0.0, 20, 0.0, 9, 0.0, 0, 1, 0, 0), 1), ((1, 0.0, 1, 1.0, 20, 0.0, 0, 1, 1, 0), 1),
-    ((35, 0.1, 9, 0.0, 3, 1.0, 0, 1, 0, 0), 1), ((9, 0.0, 5, 1.0, 60, 0.0, 0, 1, 1, 0), 1), ((14, 0.3, 40, 0.0, 22, 0.0, 0, 1, 0, 0), 1),
-    ((25, 0.0, 30, 0.0, 8, 0.1, 0, 1, 0, 0), 1), ((8, 0.0, 6, 0.0, 7, 0.0, 0, 1, 0, 1), 1), ((15, 0.2, 14, 0.1, 16, 0.0, 0, 1, 0, 1), 1),
-    ((3, 0.0, 12, 0.0, 0, 0.0, 0, 1, 0, 0), 1), ((4, 0.5, 30, 0.0, 30, 0.0, 0, 1, 0, 0), 1), ((1, 1.0, 25, 0.0, 30, 0.0, 0, 1, 0, 0), 1),
-    # ... and where short blocks, links or other elements follow
-    ((20, 0.0, 30, 0.0, 2, 0.0, 0, 1, 0, 0), 1), ((8, 0.0, 25, 0.0, 4, 0.0, 0, 1, 0, 0), 1), ((3, 0.0, 5, 0.0, 3, 0.0, 0, 1, 0, 0), 1),
-    ((40, 0.0, 2, 0.0, 5, 0.0, 0, 1, 0, 0), 1), ((6, 0.0, 3, 1.0, 2, 1.0, 0, 1, 0, 0), 1), ((11, 0.1, 9, 0.0, 4, 0.5, 0, 1, 0, 1), 1),
-    ((2, 0.0, 1, 1.0, 1, 1.0, 0, 1, 1, 0), 1), ((4, 1.0, 15, 0.0, 3, 1.0, 0, 1, 0, 0), 1), ((13, 0.6, 8, 0.8, 5, 0.7, 0, 1, 0, 1), 1),
-    ((1, 0.0, 2, 0.0, 2, 0.0, 0, 1, 0, 0), 1), ((50, 0.0, 0, 0.0, 3, 0.0, 0, 1, 0, 0), 1), ((7, 0.0, 90, 0.0, 1, 0.0, 0, 1, 0, 0), 1),
-    # prose on pages that mark no article
-    ((45, 0.0, 50, 0.0, 38, 0.0, 0, 0, 0, 0), 1), ((30, 0.05, 8, 0.0, 40, 0.0, 0, 0, 0, 0), 1), ((22, 0.1, 35, 0.0, 28, 0.1, 0, 0, 0, 0), 1),
-    ((12, 0.0, 30, 0.0, 25, 0.0, 0, 0, 0, 0), 1), ((7, 0.0, 2, 1.0, 45, 0.0, 0, 0, 1, 0), 1), ((9, 0.0, 40, 0.0, 35, 0.0, 0, 0, 0, 1), 1),
-    ((70, 0.2, 3, 1.0, 4, 1.0, 0, 0, 0, 0), 1), ((16, 0.0, 20, 0.0, 2, 1.0, 0, 0, 0, 0), 1), ((25, 0.0, 0, 0.0, 0, 0.0, 0, 0, 0, 0), 1),
-    # menus, headers, footers, notices, adverts, forms and comments, whatever their length and whatever holds them
-    ((1, 1.0, 1, 1.0, 1, 1.0, 1, 0, 0, 1), 0), ((2, 1.0, 0, 0.0, 3, 1.0, 1, 0, 0, 1), 0), ((9, 0.0, 1, 1.0, 12, 0.0, 1, 0, 0, 0), 0),
-    ((14, 0.0, 60, 0.0, 0, 0.0, 1, 0, 0, 0), 0), ((40, 0.0, 35, 0.0, 30, 0.0, 1, 0, 0, 0), 0), ((25, 0.3, 50, 0.0, 6, 0.0, 1, 0, 0, 0), 0),
-    ((60, 0.0, 40, 0.0, 45, 0.0, 1, 0, 0, 0), 0), ((18, 0.0, 70, 0.0, 20, 0.0, 1, 1, 0, 0), 0), ((6, 1.0, 30, 0.0, 5, 1.0, 1, 1, 0, 1), 0),
-    ((30, 0.0, 22, 0.0, 40, 0.0, 1, 1, 0, 0), 0), ((3, 0.0, 40, 0.0, 10, 0.0, 1, 1, 1, 0), 0), ((8, 0.0, 3, 0.0, 50, 0.0, 1, 0, 1, 0), 0),
-    # links and crumbs of text outside any element that says what it is
-    ((1, 1.0, 1, 1.0, 1, 1.0, 0, 0, 0, 1), 0), ((3, 1.0, 2, 1.0, 4, 1.0, 0, 0, 0, 0), 0), ((6, 0.9, 5, 1.0, 7, 0.8, 0, 0, 0, 1), 0),
-    ((2, 0.0, 2, 1.0, 1, 1.0, 0, 0, 0, 0), 0), ((4, 0.0, 1, 0.5, 2, 1.0, 0, 0, 0, 0), 0), ((5, 0.6, 40, 0.0, 3, 1.0, 0, 0, 0, 0), 0),
-    ((12, 0.8, 9, 0.9, 14, 0.7, 0, 0, 0, 0), 0), ((3, 0.0, 0, 0.0, 2, 0.0, 0, 0, 0, 0), 0), ((2, 0.0, 4, 0.0, 3, 0.0, 0, 0, 0, 1), 0),
-)
+    # elements that say what they are
+    "<header><h1>{2}</h1></header><nav><ul><li><a>{1}</a><li><a>{2}</a><li><a>{1}</a></ul></nav><article y><h1>{9}</h1><p>{60}<p>{8}<p>{2}<p>{80}</article><footer>{9}</footer>",
+    "<nav><a>{1}</a> <a>{1}</a></nav><main y><h2>{4}</h2><p>{25} <a>{3}</a> {12}</p><ul><li>{6}<li>{9}<li>{14}</ul><p>{40}</p><p>{3}</p></main><aside><h3>{2}</h3><p>{30}</p></aside><footer>{20} <a>{2}</a></footer>",
+    "<div class=ad>{8}</div><article y><h1>{7}</h1><p>{4}</p><p>{1}</p><p>{120}</p><blockquote>{15}</blockquote></article><footer>{30}</footer>",
+    "<article y><p>{12}</p><p>{3} <a>{2}</a></p><p>{2}</p></article><footer>{12}</footer>",
+    "<header><p>{14}</p></header><article y><h1>{1}</h1><p>{1}</p></article><footer>{2}</footer>",
+    "<article y><p>{90}</p><p>{2}</p><p>{150}</p><p>{1}</p><p>{60}</p><p>{5}</p><p>{3}</p><p>{4}</p><p>{70}</p></article><footer>{70}</footer>",
+    # what stands in an article and isn't of it: link lists, adverts, notes
+    "<article y><h1>{6}</h1><p>{45}</p><div y=0 class=advert>{20}</div><p>{30}</p><aside y=0>{25}</aside><p>{50}</p><ul y=0><li><a>{5}</a><li><a>{6}</a><li><a>{4}</a></ul></article>",
+    "<main><div y><h1>{5}</h1><p>{70}</p><p>{20}</p></div><ul><li><a>{7}</a><li><a>{8}</a><li><a>{6}</a></ul><section class=comments><p>{25}</p><p>{40}</p><p>{3}</p></section></main>",
+    "<article y><p>{50}</p><p>{9} <a>{1}</a></p><div y=0 class=share-bar><a>{1}</a> <a>{1}</a> {2}</div><div y=0 class=newsletter><p>{16}</p></div></article>",
+    "<article y><h2>{5}</h2><p><a>{3}</a> {30}</p><p>{35}</p></article><div id=comments><h3>{2}</h3><article class=comment><p>{28}</p></article><article class=comment><p>{9}</p></article></div>",
+    # names only
+    "<div class=header>{4}</div><div class=menu><a>{1}</a> | <a>{1}</a></div><div class=entry-content y><p>{55}</p><p>{6}</p><p>{44}</p></div><div class=sidebar><p>{35}</p><p>{15}</p></div><div class=footer>{12}</div>",
+    "<div id=cookie-consent>{24} <a>{2}</a></div><div id=post y><h1>{8}</h1><p>{33}</p><p>{3}</p></div><div id=related><p><a>{7}</a></p><p><a>{6}</a></p></div>",
+    # nothing but words and links, in plain elements
+    "<div><a>{1}</a> <a>{2}</a> <a>{1}</a></div><div>{3}</div><div y><p>{40}</p><p>{35}</p><p>{11}</p><p>{60}</p></div><div><a>{3}</a></div><div>{4} <a>{1}</a></div><div><a>{2}</a> <a>{2}</a></div>",
+    "<table><tr><td><a>{1}</a><td><a>{2}</a></tr></table><p y>{28}</p><p y>{9}</p><p y>{48}</p><p>{2}</p><p><a>{4}</a></p>",
+    "<div><a>{2}</a></div><h1 y>{4}</h1><p y>{45}</p><p y>{3}</p><p y>{38}</p><p y>{1}</p><p y>{52}</p><p y>{5}</p><p y>{20}</p><div>{2}</div><div><a>{3}</a></div><div>{4}</div>",
+    "<div>{2}</div><div>{3}</div><div>{1} <a>{2}</a></div><div y>{31}</div><div y>{4}</div><div y>{64}</div><div y>{2}</div><div y>{27}</div><div>{3}</div><div>{2}</div>",
+    "<ul><li><a>{2}</a><li><a>{1}</a><li><a>{3}</a></ul><h1 y>{2}</h1><p y>{70}</p><p y>{8} <a>{2}</a> {25}</p><p y>{31}</p><div>{1} <a>{1}</a> <a>{1}</a></div><div>{5}</div>",
+    "<div>{2} <a>{2}</a></div><div y>{22}</div><div y>{12}</div><div y>{26}</div><div><a>{6}</a></div><div>{3} <a>{5}</a></div>",
+    "<p><a>{8}</a></p><p><a>{9}</a></p><p><a>{7}</a> {1}</p><h2>{3}</h2><p><a>{10}</a></p><p>{2}</p>",
+    "<p y>{25}</p>",
+    "<p>{3}</p><p><a>{2}</a></p>",
+    "<div>{4}</div><div y>{18}</div><div y>{90}</div><div>{1}</div>",
+    # a form about the page, and forms on it
+    "<form><div><a>{1}</a> <a>{1}</a></div><div y><h1>{6}</h1><p>{42}</p><p>{38}</p></div><div><input>{2}</div></form>",
+    "<form><p y>{20}</p><p y>{30}</p><p y>{16}</p><p y>{25}</p></form>",
+    "<form><article y><h1>{5}</h1><p>{21}</p><p>{4}</p></article></form>",
+    "<article y><p>{44}</p><form y=0>{3} <input> {2}</form><p>{3}</p><p>{39}</p></article><form><p>{5}</p><p>{12}</p></form>",
+    "<form>{2}<input><p>{9}</p></form><p y>{36}</p><p y>{30}</p>",
+)
 
 
 @dataclass
@@ -78,9 +95,20 @@ class Node:
     low: "Node | None" = None
     high: "Node | None" = None
 
+    def report(self) -> dict[str, int]:
+        """How often the tree splits on each feature."""
+        if self.low is None:
+            return {}
+        counts = {FEATURES[self.feature]: 1}
+        for part in (self.low.report(), self.high.report()):
+            for k, n in part.items():
+                counts[k] = counts.get(k, 0) + n
+        return counts
+
 
-def train_tree(table=LABELLED, depth: int = 6, least: int = 1) -> Node:
-    """A classification tree by Gini impurity; ties go to the first feature and the lowest threshold."""
+def train_tree(table=None, depth: int = 9, least: int = 1) -> Node:
+    """A classification tree by Gini impurity on rows (features, label); ties go to the first feature and the lowest threshold."""
+    table = labelled_blocks() if table is None else table
     x, y = np.array([f for f, _ in table], float), np.array([label for _, label in table], float)
 
     def grow(rows, depth):
@@ -114,112 +142,200 @@ def classify(tree: Node, x) -> bool:
     return tree.verdict
 
 
+def labelled_blocks(pages=LABELLED) -> list[tuple[tuple, int]]:
+    """The labelled table: features and label of every block of the labelled pages."""
+    return [(b.features, int(b.marked)) for page in pages for b in blocks(re.sub(r"\{(\d+)\}", lambda m: " ".join(["word"] * int(m[1])), page))]
+
+
+@dataclass
+class State:
+    """What an element and those around it say: tag and name are -1 around the article, 1 for it, 0 for nothing."""
+
+    tag: int = 0
+    name: int = 0
+    comment: bool = False
+    hidden: bool = False
+    form: bool = False
+    heading: bool = False
+    item: bool = False
+    marked: bool = False
+
+
 @dataclass
 class Block:
-    around: bool
-    article: bool
-    heading: bool
-    item: bool
-    text: str = ""
-    words: int = 0
-    linked: int = 0
+    state: State
+    text: str
+    words: int
+    linked: int
     features: tuple = field(default=())
 
+    @property
+    def marked(self) -> bool:
+        return self.state.marked
 
-def _kind(tag: str, attributes: str) -> tuple[bool, bool]:
-    """Whether an element stands around the article, and whether it holds one."""
-    around, article = tag in AROUND_TAGS, tag in ("article", "main")
-    if attributes and "=" in attributes or "hidden" in attributes:
+
+SAYING = AROUND_TAGS | ARTICLE_TAGS | HEADINGS | ITEMS | {"form"}
+
+
+@cache
+def _named(value: str) -> int:
+    """What a class or id says: 2 for comments, -1 for what stands around an article, 1 for one."""
+    said = 0
+    for name in value.lower().split():
+        parts = set(re.split(r"[^a-z0-9]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", name)))
+        if parts & LAYOUT_NAMES:
+            continue
+        if parts & COMMENT_NAMES:
+            return 2
+        if parts & AROUND_NAMES:
+            said = -1
+        elif parts & ARTICLE_NAMES and said == 0:
+            said = 1
+    return said
+
+
+def _inside(outer: State, tag: str, attributes: str) -> State:
+    """The state inside an element that opens in another's. What is further in decides, but a name never calls back what an
+    element around it has said, and an article among comments is one of them."""
+    if not attributes and tag not in SAYING:
+        return outer
+    s = State(outer.tag, outer.name, outer.comment, outer.hidden, outer.form or tag == "form", outer.heading or tag in HEADINGS, outer.item or tag in ITEMS, outer.marked)
+    if tag in AROUND_TAGS or tag == "form" and max(outer.tag, outer.name) > 0:
+        # A form inside an article is none of it; one that an article, or all of a page, stands in says little.
+        s.tag = -1
+    elif tag in ARTICLE_TAGS and outer.tag >= 0:
+        s.tag, s.name, s.form = 1, 0, False
+    if "=" in attributes or "hidden" in attributes or " y" in attributes:
         for m in ATTRIBUTE.finditer(attributes):
-            name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
-            if name in ("class", "id"):
-                parts = set(re.split(r"[^a-z0-9]+", value))
-                around |= bool(parts & AROUND_WORDS)
-                article |= bool(parts & ARTICLE_WORDS)
+            name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+            if name in ("class", "id") and tag not in ("html", "body"):
+                said = _named(value[:200])
+                s.comment |= said == 2
+                if said < 0 or said == 1 and s.name == 0:
+                    s.name = said
+                    s.form &= said < 0
             elif name == "role":
-                around |= value in AROUND_ROLES
-                article |= value in ("main", "article")
-            elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-                around = True
-    return around, article and not around
+                s.tag = -1 if value.lower() in AROUND_ROLES else 1 if value.lower() in ("main", "article") and s.tag >= 0 else s.tag
+            elif name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and HIDDEN.search(value.lower()):
+                s.hidden = True
+            elif name == "y":
+                s.marked = value != "0"
+    if s.comment:
+        s.name = -1
+    return s
+
+
+def _tags(page: str):
+    """(start, end, name, closes, attributes) of tags, in order; name is empty for comments and declarations. Time is linear."""
+    at, last, quotes = 0, page.rfind(">"), {q: page.rfind(q) for q in "\"'"}
+    raw = ""
+    while (start := page.find("<", at)) >= 0:
+        if raw:
+            # Up to the end of an element that holds no markup.
+            end = re.compile(rf"</{re.escape(raw)}(?=[\s/>])", re.I).search(page, start)
+            start = end.start() if end else -1
+            raw = ""
+            if start < 0 or start > last:
+                yield at, len(page), "", False, None
+                return
+            yield at, start, "", False, None
+        if page.startswith("<!--", start):
+            end = page.find("-->", start + 4)
+            at = end + 3 if end >= 0 else len(page)
+            yield start, at, "", False, ""
+            continue
+        name = TAG_NAME.match(page, start + 1)
+        if name is None and page[start + 1 : start + 2] not in ("!", "?", "/"):
+            at = start + 1
+            continue
+        if start > last:
+            # A tag that the end of the page cuts short is no text.
+            yield start, len(page), "", False, ""
+            return
+        end = name.end() if name else start + 1
+        while (stop := IN_TAG.search(page, end)) is not None and stop[0] != ">":
+            close = page.find(stop[0], stop.end()) if stop.end() <= quotes[stop[0]] else -1
+            end = close + 1 if close >= 0 else stop.end()
+        # A quotation that takes the last ">" with it was none.
+        end = stop.end() if stop else page.find(">", start) + 1
+        tag = name[1].lower() if name else ""
+        yield start, end, tag, page[start + 1] == "/", page[name.end() : end - 1] if name else ""
+        at = end
+        if tag in RAW_TAGS and page[start + 1] != "/":
+            raw = tag
+
+
+def plain(text: str) -> str:
+    return html.unescape(text) if "&" in text else text
 
 
 def blocks(page: str) -> list[Block]:
     """The flat blocks with text of a page, in order, with features. Markup may be unclosed or cut short."""
     found: list[Block] = []
-    open_tags: list[tuple[str, bool, bool]] = []
-    depth = {"around": 0, "article": 0, "a": 0}
+    stack: list[tuple[str, State]] = []
+    count: dict[str, int] = {}
+    links = 0
     text: list[str] = []
     linked: list[str] = []
-    at, state = 0, (False, False, False, False)
+    state = State()
 
     def flush():
         nonlocal text, linked
         if text:
-            whole = SPACE.sub(" ", html.unescape("".join(text))).strip()
-            if whole:
-                links = SPACE.sub(" ", html.unescape("".join(linked))).strip()
-                found.append(Block(*state, whole, whole.count(" ") + 1, links.count(" ") + 1 if links else 0))
+            words = plain("".join(text)).split()
+            if words and not state.hidden:
+                found.append(Block(state, " ".join(words), len(words), len(plain("".join(linked)).split()) if linked else 0))
             text, linked = [], []
 
     def add(part: str):
         nonlocal state
         if part:
             if not text:
-                names = [t for t, _, _ in open_tags[-6:]]
-                state = (depth["around"] > 0, depth["article"] > 0, any(len(t) == 2 and t[0] == "h" and t[1].isdigit() for t in names), any(t in ("li", "dd", "dt") for t in names))
+                state = stack[-1][1] if stack else State()
             text.append(part)
-            if depth["a"]:
+            if links:
                 linked.append(part + " ")
 
     def close(tag: str):
         # Up to the element itself; what it left open ends with it.
-        for i in range(len(open_tags) - 1, -1, -1):
-            if open_tags[i][0] == tag:
-                for t, around, article in open_tags[i:]:
-                    depth["around"] -= around
-                    depth["article"] -= article
-                    depth["a"] -= t == "a"
-                del open_tags[i:]
+        nonlocal links
+        while count.get(tag):
+            t, _ = stack.pop()
+            count[t] -= 1
+            links -= t == "a"
+            if t == tag:
                 return
 
-    while (m := MARKUP.search(page, at)) is not None:
-        add(page[at : m.start()])
-        at = m.end()
-        tag = (m[2] or "").lower()
+    at = 0
+    for start, end, tag, closes, attributes in _tags(page):
+        if attributes is not None:
+            add(page[at:start])
+        at = end
         if not tag:
             continue
         if tag in BLOCK_TAGS:
             flush()
-        if m[1]:
+        if closes:
             close(tag)
             continue
-        if tag in RAW_TAGS:
-            end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-            at = end.end() if end else len(page)
-            continue
-        if tag in VOID_TAGS or m[3].endswith("/") and tag not in BLOCK_TAGS:
+        if tag in RAW_TAGS or tag in VOID_TAGS or attributes.endswith("/") and tag not in BLOCK_TAGS:
             continue
-        if tag in ("p", "li", "dd", "dt", "tr", "td", "th", "option") and any(t == tag for t, _, _ in open_tags[-3:]):
+        if tag in SELF_CLOSING and any(t == tag for t, _ in stack[-3:]):
             close(tag)
         if tag == "body":
             # What the head left open is over.
-            open_tags, depth = [], {"around": 0, "article": 0, "a": 0}
-        around, article = _kind(tag, m[3])
-        open_tags.append((tag, around, article))
-        depth["around"] += around
-        depth["article"] += article
-        depth["a"] += tag == "a"
-    rest = page[at:]
-    # A tag that the end of the page cuts short is no text.
-    cut = re.search(r"<[a-zA-Z/!][^<]*$", rest)
-    add(rest[: cut.start()] if cut else rest)
+            stack, count, links = [], {}, 0
+        stack.append((tag, _inside(stack[-1][1] if stack else State(), tag, attributes)))
+        count[tag] = count.get(tag, 0) + 1
+        links += tag == "a"
+    add(page[at:])
     flush()
-    density = [b.linked / b.words for b in found]
+    density = [min(1.0, b.linked / b.words) for b in found]
     for i, b in enumerate(found):
         before = (found[i - 1].words, density[i - 1]) if i else (0, 0.0)
         after = (found[i + 1].words, density[i + 1]) if i + 1 < len(found) else (0, 0.0)
-        b.features = (b.words, density[i], *before, *after, int(b.around), int(b.article), int(b.heading), int(b.item))
+        s = b.state
+        b.features = (b.words, density[i], *before, *after, s.tag, s.name, int(s.form), int(s.heading), int(s.item))
     return found
 
 
@@ -238,10 +354,11 @@ def _extract(tree: Node):
 
 
 def extract_text(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", tree: Node | None = None) -> DataFrame:
-    """One row per row of df: page_id, url, text, n_chars (code points). Null or empty html gives an empty text.
+    """One row per row of df: page_id, url, text, n_chars (code points). Null or empty html gives an empty text; null ids and urls
+    stay null, repeated rows are rows each, an empty table gives an empty one, and other columns of df are not looked at.
 
-    Whole pages are read; nothing is shuffled, and a page costs its length. Character references are decoded once per block,
-    white space inside a block becomes one space.
+    Whole pages are read; nothing is shuffled, and a page takes time in proportion to its length, whatever its markup. It is held
+    by one task. Character references are decoded once per block, white space inside a block becomes one space.
     """
     share_code(df.sparkSession)
     pages = df.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))

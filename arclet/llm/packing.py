@@ -1,8 +1,10 @@
 """Best-fit packing of token sequences, partition by partition and then up a tree.
 
-Each partition packs its own pieces best-fit, longest first. Bins that are nearly full leave for good; the underfull ones
-go on as items, whole, to a quarter of the partitions, where they are packed again. So the rows that move shrink from
-round to round, and the last partition sees only what earlier ones could not fill.
+Each partition packs its own pieces best-fit, longest first. Bins that are nearly full leave for good; underfull ones go on as
+items, whole, to a quarter of the partitions, where they are packed again. Best fit leaves a partition at most one bin
+that is no more than half full, so where FAN_IN partitions meet only FAN_IN bins look for room, and no more bins than that
+can give it to them: a partition sends its FAN_IN + 1 emptiest bins, and all others leave too, as no further round could
+fill them. So the last partition sees some twenty bins, however many there are.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from .common import share_code, stored, text_frame
 
 CAPACITY = 4096
 END_ID = 1
-#: A bin with at most this share of its places free is left as it is, but in the last round.
+#: A bin with at most this share of its places free is left as it is.
 FREE_SHARE = 1 / 64
 #: Partitions whose underfull bins meet in one.
 FAN_IN = 4
@@ -144,7 +146,9 @@ def _cut(path: str, capacity: int, end_id: int):
 
 
 def token_pieces(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
-    """One row per piece of at most capacity ids: doc_id, piece, start, length, ids_crc32. A null text has the end id alone.
+    """One row per piece of at most capacity ids: doc_id, piece, start, length, ids_crc32. A null text has the end id alone, as an
+    empty one; rows that share an id, or have none, are cut each for itself; an empty table has no piece. A text of any
+    length is one task's: it is held as words and ids.
 
     tokenizer_path: a file that driver and executors see; it must drop white space between words (see WordIds).
     """
@@ -175,17 +179,19 @@ def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def _pack(capacity: int, least: float):
+def _pack(capacity: int, least: float, onward: int):
+    """onward: the emptiest bins go on, if they are under least; all others are full."""
+
     def run(batches):
         items: list[list] = []
         sizes: list[int] = []
         for pdf in batches:
             items += pdf["items"].tolist()
             sizes += pdf["used"].tolist()
+        bins = sorted(((sum(sizes[i] for i in own), own) for own in best_fit(sizes, capacity)), key=lambda b: b[0])
         out = []
-        for own in best_fit(sizes, capacity):
-            used = sum(sizes[i] for i in own)
-            out.append((used, [dict(x) for i in own for x in items[i]], used >= least))
+        for k, (used, own) in enumerate(bins):
+            out.append((used, [dict(x) for i in own for x in items[i]], used >= least or k >= onward))
             if len(out) == 2000:
                 yield pd.DataFrame(out, columns=["used", "items", "full"])
                 out = []
@@ -218,7 +224,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, partitions: int | None = N
         head = F.col("items")[0]
         # Pieces of null id are many to one key, so their rows' keys deal them.
         dealt = open_items.repartition(n, F.xxhash64(head["doc_id"], head["piece"], F.when(head["doc_id"].isNull(), head["row"])))
-        packed = stored(dealt.sortWithinPartitions(F.desc("used"), head["doc_id"], head["piece"], head["row"]).mapInPandas(_pack(capacity, 0 if last else capacity * (1 - FREE_SHARE)), BINS))
+        packed = stored(dealt.sortWithinPartitions(F.desc("used"), head["doc_id"], head["piece"], head["row"]).mapInPandas(_pack(capacity, capacity * (1 - FREE_SHARE), 0 if last else FAN_IN + 1), BINS))
         done.append(packed.where("full").select("used", "items"))
         if last:
             break
@@ -234,5 +240,6 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, partitions: int | None = N
 
 
 def pack_documents(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
-    """Tokenizes, cuts and packs documents: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
+    """Tokenizes, cuts and packs documents: doc_id, piece, start, length, ids_crc32, sequence_id, offset. Other columns of df are
+    not looked at; see token_pieces() and pack() for nulls, repeated rows, ties and empty tables."""
     return pack(token_pieces(df, tokenizer_path, id_col, text_col, capacity, end_id), capacity)

@@ -1,13 +1,14 @@
 """A content-addressed web archive: payloads once, by a strong digest; record headers apart; records by joins.
 
-The archive is two tables in one folder: payloads (key, payload) and headers (page_id, key, and the exact bytes of each
-record's head). A record is its head, its payload (none for a revisit) and two line ends, and is rebuilt by joining the
-two. Reading takes nothing from the writer but these bytes: heads are parsed, lengths and digests verified.
+The archive is tables in one folder: payloads (key, payload) and headers (page_id, key, and the exact bytes of each record's
+head, that of HTTP included). A record is its head, its payload (none for a revisit) and two line ends, and is rebuilt by
+joining the two. Reading takes nothing from the writer but these bytes: heads are parsed, lengths and digests verified.
 """
 
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import uuid
 
@@ -15,6 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.session import file_system
 from .common import share_code, shared_dir
 
 #: Payloads of so many bytes and more are written once and then revisited.
@@ -22,36 +24,43 @@ LEAST_BYTES = 0
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2020-01-01T00:00:00Z"
 CRLF = "\r\n"
+#: Of a record's number, whether its page has no id.
+NO_PAGE = 1 << 63
 
 
 def base32_sha1(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record_id(page_id: int) -> str:
-    return f"<urn:uuid:{uuid.UUID(int=(page_id & (1 << 64) - 1) | (0xA7C << 112))}>"
+def record_id(page_id: int | None, row: int) -> str:
+    """Of a page's id and its row's number, so that rows that share an id are records each."""
+    high = row | (NO_PAGE if page_id is None else 0)
+    return f"<urn:uuid:{uuid.UUID(int=high << 64 | (page_id or 0) & ((1 << 64) - 1))}>"
 
 
-def page_of(record: str) -> int:
-    low = uuid.UUID(record.strip("<>").removeprefix("urn:uuid:")).int & ((1 << 64) - 1)
-    return low - (1 << 64) if low >> 63 else low
+def page_of(record: str) -> int | None:
+    whole = uuid.UUID(record.strip("<>").removeprefix("urn:uuid:")).int
+    low = whole & ((1 << 64) - 1)
+    return None if whole >> 64 & NO_PAGE else low - (1 << 64) if low >> 63 else low
 
 
-def record_head(page_id: int, url: str | None, size: int, sha1: str, kept: bool, first: int | None) -> bytes:
-    """The head of a WARC 1.1 resource-style record, up to and with the empty line. size: bytes of the full payload."""
-    lines = ["WARC/1.1", f"WARC-Type: {'response' if kept else 'revisit'}", f"WARC-Record-ID: {record_id(page_id)}", f"WARC-Date: {DATE}"]
+def record_head(page_id: int | None, row: int, url: str | None, size: int, sha1: str, first: str | None) -> bytes:
+    """The head of a WARC 1.1 record of an HTTP answer, up to and with the empty line of the HTTP head. size: bytes of the
+    full payload; first: the record that this one revisits, or None for a response."""
+    answer = CRLF.join(["HTTP/1.1 200 OK", "Content-Type: text/html; charset=utf-8", f"Content-Length: {size}"]) + CRLF * 2
+    lines = ["WARC/1.1", f"WARC-Type: {'response' if first is None else 'revisit'}", f"WARC-Record-ID: {record_id(page_id, row)}", f"WARC-Date: {DATE}"]
     if url is not None:
         # A line end in a URL would end the header.
         lines.append("WARC-Target-URI: " + url.replace("%", "%25").replace("\r", "%0D").replace("\n", "%0A"))
-    lines += [f"WARC-Payload-Digest: sha1:{sha1}", f"X-Payload-Length: {size}"]
-    if not kept:
-        lines += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {record_id(first)}"]
-    lines.append(f"Content-Length: {size if kept else 0}")
-    return (CRLF.join(lines) + CRLF * 2).encode()
+    lines += ["Content-Type: application/http; msgtype=response", f"WARC-Payload-Digest: sha1:{sha1}"]
+    if first is not None:
+        lines += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {first}"]
+    lines.append(f"Content-Length: {len(answer) + (size if first is None else 0)}")
+    return (CRLF.join(lines) + CRLF * 2 + answer).encode()
 
 
-def parse_record(record: bytes) -> tuple[dict[str, str], bytes]:
-    """Headers and block of one record; ValueError if its form or length is wrong."""
+def parse_record(record: bytes) -> tuple[dict[str, str], dict[str, str], bytes]:
+    """Headers, those of HTTP and the payload of one record; ValueError if its form or length is wrong."""
     head, gap, rest = record.partition(b"\r\n\r\n")
     lines = head.decode().split(CRLF)
     if lines[0] != "WARC/1.1" or not gap:
@@ -60,21 +69,28 @@ def parse_record(record: bytes) -> tuple[dict[str, str], bytes]:
     size = int(fields["Content-Length"])
     if rest[size:] != b"\r\n\r\n":
         raise ValueError("a record's length is wrong")
-    return fields, rest[:size]
+    if fields["WARC-Type"] == "warcinfo":
+        return fields, {}, rest[:size]
+    head, _, payload = rest[:size].partition(b"\r\n\r\n")
+    return fields, dict(x.split(": ", 1) for x in head.decode().split(CRLF)[1:]), payload
 
 
 def _digests(batches):
     for pdf in batches:
         payloads = [b"" if h is None else h.encode("utf-8", "surrogatepass") for h in pdf["html"]]
-        yield pd.DataFrame({"page_id": pdf["page_id"], "url": pdf["url"], "key": [hashlib.sha256(p).digest() for p in payloads], "sha1": [base32_sha1(p) for p in payloads], "size": [len(p) for p in payloads]})
+        yield pd.DataFrame({"row": pdf["row"], "page_id": pdf["page_id"].astype("Int64"), "url": pdf["url"], "key": [hashlib.sha256(p).digest() for p in payloads], "sha1": [base32_sha1(p) for p in payloads], "size": [len(p) for p in payloads]})
+
+
+def _number(x) -> int | None:
+    return None if pd.isna(x) else int(x)
 
 
 def _heads(batches):
     for pdf in batches:
-        heads = []
-        for page, url, size, sha1, first in zip(pdf["page_id"], pdf["url"], pdf["size"], pdf["sha1"], pdf["first"]):
-            heads.append(record_head(page, url, size, sha1, page == first, first))
-        yield pd.DataFrame({"page_id": pdf["page_id"], "key": pdf["key"], "kept": pdf["page_id"] == pdf["first"], "head": heads})
+        pages, heads = [_number(p) for p in pdf["page_id"]], []
+        for page, row, url, size, sha1, first, first_row in zip(pages, pdf["row"], pdf["url"], pdf["size"], pdf["sha1"], pdf["first_page"], pdf["first_row"]):
+            heads.append(record_head(page, row, url, size, sha1, None if row == first_row else record_id(_number(first), int(first_row))))
+        yield pd.DataFrame({"page_id": pd.array(pages, "Int64"), "key": pdf["key"], "kept": pdf["row"] == pdf["first_row"], "head": heads})
 
 
 def _verified(batches):
@@ -86,24 +102,28 @@ def _verified(batches):
 
 
 def write_archive(df: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_bytes: int = LEAST_BYTES) -> None:
-    """Writes df's pages as an archive in the folder path, which all executors see.
+    """Writes df's pages as an archive in the folder path, which all executors see: a record for every row.
 
     The payload is html in UTF-8 (null: empty). Of equal payloads of least_bytes bytes or more the one with the smallest
-    page_id is stored, as a response; the others are revisits of it. Pages of null id are left out; rows that repeat a
-    page_id with the same html are one page (the smallest url stays). Payloads move only once each: copies meet as digests,
-    and the smallest id of a payload that very many pages share is found before the shuffle.
+    page_id is stored, as a response; the others are revisits of it. Null ids come last, and of rows that share an id one is
+    first. Payloads move only once each: copies meet as digests, and the first of a payload that very many pages share is
+    found before the shuffle. An empty table makes an empty archive; other columns of df are not looked at. A page, however
+    long, is one task's.
     """
-    share_code(df.sparkSession)
-    pages = df.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html")).where("page_id is not null")
-    seen = pages.mapInPandas(_digests, "page_id long, url string, key binary, sha1 string, size long").groupBy("page_id", "key", "sha1", "size").agg(F.min("url").alias("url"))
     spark = df.sparkSession
-    seen.write.parquet(f"{path}/seen")
+    share_code(spark)
+    pages = df.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
+    # Rows' numbers are made once, with the table that all else reads.
+    numbered = pages.withColumn("row", F.monotonically_increasing_id())
+    numbered.mapInPandas(_digests, "row long, page_id long, url string, key binary, sha1 string, size long").write.parquet(f"{path}/seen")
     seen = spark.read.parquet(f"{path}/seen")
-    firsts = seen.groupBy("key").agg(F.min("page_id").alias("low"), F.max("page_id").alias("high"))
-    # A digest that one page has needs no join: its page is its own first.
-    shared = seen.join(firsts.where("low < high").select("key", "low"), "key", "left")
-    first = F.when(F.col("size") >= least_bytes, F.coalesce("low", "page_id")).otherwise(F.col("page_id"))
-    shared.withColumn("first", first).select("page_id", "url", "key", "sha1", "size", "first").mapInPandas(_heads, "page_id long, key binary, kept boolean, head binary").write.parquet(f"{path}/headers")
+    # By id, then by row; ids that are null last.
+    firsts = seen.groupBy("key").agg(F.min(F.struct(F.col("page_id").isNull().alias("none"), "page_id", "row")).alias("f"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    # A digest that one row has needs no join: its row is its own first.
+    shared = seen.join(firsts.select("key", "f"), "key", "left")
+    copy = (F.col("size") >= least_bytes) & F.col("f").isNotNull()
+    heads = shared.withColumn("first_page", F.when(copy, F.col("f.page_id")).otherwise(F.col("page_id"))).withColumn("first_row", F.when(copy, F.col("f.row")).otherwise(F.col("row")))
+    heads.drop("f").mapInPandas(_heads, "page_id long, key binary, kept boolean, head binary").write.parquet(f"{path}/headers")
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     stored = pages.withColumn("payload", payload).withColumn("key", F.unhex(F.sha2("payload", 256)))
     # Bytes of one digest are compared by a second digest of another family, before and after the shuffle.
@@ -114,19 +134,19 @@ def write_archive(df: DataFrame, path: str, id_col: str = "page_id", url_col: st
 def _read(batches):
     for pdf in batches:
         rows = []
-        for record, payload in zip(pdf["record"], pdf["payload"]):
-            fields, block = parse_record(record)
+        for record, stored in zip(pdf["record"], pdf["payload"]):
+            fields, answer, payload = parse_record(record)
             kept = fields["WARC-Type"] == "response"
             sha1 = fields["WARC-Payload-Digest"].removeprefix("sha1:")
-            size = int(fields["X-Payload-Length"])
-            full = block if kept else payload
+            size = int(answer["Content-Length"])
+            full = payload if kept else stored
             if len(full) != size or base32_sha1(full) != sha1:
                 raise ValueError(f"the payload of {fields['WARC-Record-ID']} is not that of its digest")
             url = fields.get("WARC-Target-URI")
             url = None if url is None else url.replace("%0A", "\n").replace("%0D", "\r").replace("%25", "%")
             rows.append((page_of(fields["WARC-Record-ID"]), url, size, sha1, fields["WARC-Type"], page_of(fields["WARC-Refers-To"]) if not kept else None))
         out = pd.DataFrame(rows, columns=["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to"])
-        yield out.assign(refers_to=out["refers_to"].astype("Int64"))
+        yield out.assign(page_id=out["page_id"].astype("Int64"), refers_to=out["refers_to"].astype("Int64"))
 
 
 def records(spark: SparkSession, path: str) -> DataFrame:
@@ -143,8 +163,39 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
     return records(spark, path).select("record", "payload").mapInPandas(_read, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
+def export_warc(spark: SparkSession, path: str, folder: str) -> list[str]:
+    """The archive as .warc.gz files in a folder, each a warcinfo record and members of one record each; their paths.
+
+    Records are packed by tasks into members; the driver passes on one task's at a time. A file ends after about 1 GB.
+    """
+    share_code(spark)
+
+    def members(batches):
+        for pdf in batches:
+            yield pd.DataFrame({"chunk": [b"".join(gzip.compress(bytes(r), mtime=0) for r in pdf["record"])]})
+
+    made: list[str] = []
+    out, size = None, 0
+    for r in records(spark, path).select("record").mapInPandas(members, "chunk binary").toLocalIterator():
+        if out is None or size > 1 << 30:
+            if out is not None:
+                out.close()
+            made.append(f"{folder.rstrip('/')}/{len(made):05d}.warc.gz")
+            files, where = file_system(spark, made[-1])
+            out, size = files.create(where, True), 0
+            block = f"software: arclet{CRLF}format: WARC File Format 1.1{CRLF}".encode()
+            info = CRLF.join(["WARC/1.1", "WARC-Type: warcinfo", f"WARC-Record-ID: <urn:uuid:{uuid.uuid4()}>", f"WARC-Date: {DATE}", "Content-Type: application/warc-fields", f"Content-Length: {len(block)}"])
+            out.write(gzip.compress(info.encode() + b"\r\n\r\n" + block + b"\r\n\r\n", mtime=0))
+        out.write(bytes(r.chunk))
+        size += len(r.chunk)
+    if out is not None:
+        out.close()
+    return made
+
+
 def round_trip(df: DataFrame, path: str | None = None, **columns) -> DataFrame:
-    """Writes df's pages to an archive and reads it back."""
+    """Writes df's pages to an archive, in a new shared folder by default, and reads it back: a row per row of df; see
+    write_archive() for nulls, repeats and columns."""
     spark = df.sparkSession
     path = path or shared_dir(spark)
     write_archive(df, path, **columns)
