@@ -138,6 +138,7 @@ class Words:
         np.cumsum(sums, out=sums)
         self.low, self.high = sums[first], sums[self.stop]
         self.back = powers(_INVERSE, data.size)[first]
+        self._sums, self._first = sums, first
         #: Of each text, the words before and up to it.
         self.word_ends = np.searchsorted(self.stop, upto, side="left")
         self.word_starts = np.concatenate(([0], self.word_ends[:-1])).astype(np.int64) if ends.size else self.word_ends
@@ -146,6 +147,10 @@ class Words:
         """Hashes of the runs from word first to word last, both included."""
         return mixed((self.high[last] - self.low[first]) * self.back[first])
 
+    def beginnings(self, n: int) -> np.ndarray:
+        """Hashes of the first n bytes of every word, other than those of words."""
+        return mixed((self._sums[np.minimum(self._first + n, self.stop)] - self.low) * self.back ^ np.uint64(n))
+
     @property
     def count(self) -> int:
         return self.stop.size
@@ -184,6 +189,9 @@ class LongText:
     def runs(self, width: int) -> np.ndarray:
         return np.concatenate([np.zeros(0, np.uint64), *(w.runs(width) for w in self._pieces(width))])
 
+    def beginnings(self, n: int) -> np.ndarray:
+        return np.concatenate([np.zeros(0, np.uint64), *(w.beginnings(n) for w in self._pieces(1))])
+
 
 def pieces(texts, plain: bool = False):
     """Texts in pieces of bounded size: (start, stop, words) with numbers of texts. Null texts have no word.

@@ -12,20 +12,22 @@ from __future__ import annotations
 
 import zlib
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import share_code, text_frame
+from .common import share_code, stored, text_frame
 
 #: Learning rows at most, a documented bound: of each language those whose hashed ids are smallest.
 TRAIN_ROWS_A_LANGUAGE = 500
 #: The same for all languages together.
 TRAIN_ROWS = 4000
-#: Buckets that n-grams are hashed to.
+#: Languages that are learned at most.
+MAX_LANGUAGES = 1000
+#: Buckets that n-grams are hashed to; those that share one count together.
 BUCKETS = 1 << 12
 RIDGE = 0.05
 #: Log odds of a regression value of 1.
@@ -111,21 +113,27 @@ def _features_of(batches):
 def fit_codes(labelled: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", rows_a_language: int = TRAIN_ROWS_A_LANGUAGE) -> Codes:
     """Learns from rows with text and language: at most rows_a_language of each, taken by hashed id.
 
-    The number of languages is held to be small (each takes a codeword). Without rows every text is "und".
+    Documented bounds: rows_a_language, TRAIN_ROWS in all, and the MAX_LANGUAGES languages with the most rows. Rows of one id
+    and language are drawn together. Without rows every text is "und". Two passes: one over ids and languages alone, for
+    their numbers, and one that takes texts of the lowest hashes.
     """
     share_code(labelled.sparkSession)
-    rows = labelled.select(F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
-    rows = rows.where(r"lang is not null and text is not null and text rlike '\\p{L}'")
-    langs = sorted(r[0] for r in rows.select("lang").distinct().collect())
-    if not langs:
-        return Codes([], np.zeros((0, 1)), np.zeros((1, BUCKETS)), np.zeros(1), np.ones(1))
-    # A top-k of ids by language, each task keeping its own smallest before anything moves; texts follow by a join of these few.
-    parts = [rows.where(F.col("lang") == x).select("doc_id", "lang").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows_a_language) for x in langs]
-    sample = rows.join(F.broadcast(reduce(DataFrame.unionByName, parts)), ["doc_id", "lang"])
+    rows = labelled.select(F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")).where("lang is not null")
+    # One row a language, and MAX_LANGUAGES at most.
+    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES)
+    # Hashes lie evenly, so this share of a language holds about twice as many rows as are wanted.
+    rank = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) / float(1 << 40)
+    some = rows.join(F.broadcast(sizes), "lang").where(rank * F.col("n") <= 2.0 * rows_a_language + 50).drop("n")
+    some = stored(some.where(r"text is not null and text rlike '\\p{L}'"))
+    nth = F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")))
+    sample = some.withColumn("nth", nth).where(F.col("nth") <= rows_a_language).drop("nth")
     data = sample.mapInPandas(_features_of, "doc_id long, lang string, col array<int>, val array<float>").toPandas()
     data = data.sort_values(["lang", "doc_id"]).reset_index(drop=True)
     if len(data) > TRAIN_ROWS:
         data = data.iloc[np.linspace(0, len(data) - 1, TRAIN_ROWS).astype(int)].reset_index(drop=True)
+    langs = sorted(set(data["lang"]))
+    if not langs:
+        return Codes([], np.zeros((0, 1)), np.zeros((1, BUCKETS)), np.zeros(1), np.ones(1))
     x = np.zeros((len(data), BUCKETS), np.float32)
     for i, (col, val) in enumerate(zip(data["col"], data["val"])):
         x[i, col] = val
@@ -163,7 +171,9 @@ def _predict(codes: Codes):
 def predict_language(df: DataFrame, codes: Codes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of df: doc_id, lang_pred, score (the language's share, 0 to 1), ambiguous.
 
-    Whole texts count. Null texts and texts without a letter are "und" with score 0. Nothing is shuffled.
+    Whole texts count. Null texts and texts without a letter are "und" with score 0; of equally near languages the first by name
+    is taken. Null and repeated ids keep their rows, an empty table gives an empty one, and other columns of df are not
+    looked at. Nothing is shuffled, and a text of any length is one task's, counted STRIP bytes at a time.
     """
     share_code(df.sparkSession)
     return text_frame(df, id_col, text_col).mapInPandas(_predict(codes), "doc_id long, lang_pred string, score double, ambiguous boolean")

@@ -49,7 +49,7 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's language; held-out documents are those of which nothing is learned."""
+    """Every document's language; held-out documents are those of which nothing is learned. A null id is not held out."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
     codes = fit_codes(docs.where(~held_out))

@@ -1,4 +1,10 @@
-"""Toxicity categories by a chain of linear classifiers."""
+"""Toxicity categories by a chain of linear classifiers.
+
+Labels say whether a document is toxic. Categories come from columns of the labels where there are any; else they are kinds
+of toxic documents, found by grouping those of the sample by the words that tell them from others. The chain goes through
+the categories and ends with toxic itself: each model sees the words and the probabilities of all categories before it.
+While fitting, these probabilities are out of fold, and the words of a fold's model are chosen without that fold.
+"""
 
 from __future__ import annotations
 
@@ -10,32 +16,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import pieces, share_code, stored, text_frame
-from .linear import Sparse, fit, sigmoid
+from .linear import Sparse, fit, kinds, sigmoid
 
 #: Labelled documents that the chain is fitted on at most: those whose hashed ids are smallest.
 TRAIN_ROWS = 16_000
-#: A word is a feature if its share of labelled documents differs between labels by so many standard errors.
+#: A word, or its first BEGINNING bytes, is a feature if its share of labelled documents differs between labels by so many
+#: standard errors, and if so many of them hold it.
 WORD_Z = 6.0
-#: And if so many of them hold it.
 WORD_DOCUMENTS = 5
-MAX_WORDS = 4096
+BEGINNING = 5
+#: Features that a chain has at most: those that differ most.
+MAX_WORDS = 16_384
 FOLDS = 4
-#: The categories before the last hold toxic documents with one of these words; the last holds all.
-CATEGORIES = {
-    "insult": ("idiot", "moron", "loser", "clown", "scum", "stupid"),
-    "contempt": ("worthless", "pathetic", "disgusting", "trash"),
-    "toxic": (),
-}
+#: Kinds of toxic documents, where labels name no categories.
+KINDS = 3
 
 
 def _word_hashes(texts):
-    """For each piece of texts: first text, number of texts, and of each word its text's number and hash."""
+    """For each piece of texts: first text, number of texts, and of each word and beginning its text's number and hash."""
     for start, stop, words in pieces(texts, plain=True):
-        yield start, stop - start, np.repeat(np.arange(stop - start), words.word_ends - words.word_starts), words.runs(1)
-
-
-def _hash_of(word: str) -> int:
-    return int(next(_word_hashes([word]))[3][0])
+        row = np.repeat(np.arange(stop - start), words.word_ends - words.word_starts)
+        yield start, stop - start, np.tile(row, 2), np.concatenate((words.runs(1), words.beginnings(BEGINNING)))
 
 
 def _distinct(batches):
@@ -47,12 +48,13 @@ def _distinct(batches):
             new[1:] = (row[1:] != row[:-1]) | (h[1:] != h[:-1])
             row, h = row[new], h[new]
             ends = np.searchsorted(row, np.arange(n), side="right")
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].iloc[start : start + n].to_numpy(), "y": pdf["y"].iloc[start : start + n].to_numpy(), "words": np.split(h.view(np.int64), ends[:-1])})
+            part = pdf.iloc[start : start + n]
+            yield pd.DataFrame({"y": part["y"].to_numpy(), "fold": part["fold"].to_numpy(), "words": np.split(h.view(np.int64), ends[:-1])})
 
 
 @dataclass
 class Chain:
-    """words: sorted hashes; weights: of each category its words'; before: of each its earlier categories' log odds."""
+    """words: sorted hashes; weights: of each category its words'; before: of each its earlier categories' probabilities'."""
 
     names: list[str]
     words: np.ndarray
@@ -62,34 +64,41 @@ class Chain:
 
     def score(self, row: np.ndarray, col: np.ndarray, n: int) -> np.ndarray:
         """Probabilities (n, categories) of n texts from the distinct (text, word number) that they hold."""
-        odds = np.zeros((n, len(self.names)))
+        p = np.zeros((n, len(self.names)))
         for c in range(len(self.names)):
-            odds[:, c] = np.bincount(row, self.weights[c][col], n) + self.bias[c] + odds[:, :c] @ self.before[c]
-            odds[:, c] = np.clip(odds[:, c], -12, 12)
-        return sigmoid(odds)
+            p[:, c] = sigmoid(np.bincount(row, self.weights[c][col], n) + self.bias[c] + p[:, :c] @ self.before[c])
+        return p
 
 
 def _sample(labels: DataFrame, n: int) -> DataFrame:
-    return labels.where("doc_id is not null and y is not null").orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(n)
+    return labels.where("doc_id is not null and y is not null").orderBy(F.xxhash64("doc_id"), "doc_id", *[c for c in labels.columns if c != "doc_id"]).limit(n)
+
+
+def _labels(df: DataFrame, id_col: str, label_col: str, categories) -> DataFrame:
+    """doc_id, y and a column of 0 or 1 for each category; any number but 0 is 1, and of an id's labels the largest counts."""
+    one = lambda c: (F.col(c) != 0).cast("int")
+    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), one(label_col).alias("y"), *[F.coalesce(one(c), F.lit(0)).alias(f"c{i}") for i, c in enumerate(categories)])
+    return rows.groupBy("doc_id").agg(*[F.max(c).alias(c) for c in rows.columns if c != "doc_id"])
 
 
-def fit_chain(labelled: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", categories=None, train_rows: int = TRAIN_ROWS) -> Chain:
+def fit_chain(labelled: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", categories=(), train_rows: int = TRAIN_ROWS) -> Chain:
     """Fits the chain on labelled rows (id, text, label 0/1); rows of null id, text or label are left out.
 
-    At most train_rows rows are used, a documented bound. Category by category, out-of-fold log odds of the earlier ones
-    are features of the later ones; the models kept are fitted on all rows. Without a row of either label no word is a
+    categories: columns of 0/1 that come before the label in the chain; without them, kinds of toxic documents do.
+    At most train_rows rows are used, and MAX_WORDS features, documented bounds. Without rows of both labels no word is a
     feature and the chain says the base rate.
     """
-    rows = labelled.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(label_col).cast("int").alias("y"))
-    sample = _sample(rows.where("text is not null").select("doc_id", "y"), train_rows)
-    return _fit(rows.drop("y").join(F.broadcast(sample), "doc_id"), categories or CATEGORIES)
+    labels = _labels(labelled.where(F.col(text_col).isNotNull()), id_col, label_col, categories)
+    sample = _sample(labels, train_rows)
+    texts = labelled.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return _fit(texts.join(F.broadcast(sample), "doc_id"), list(categories))
 
 
-def toxic_chain(documents: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, categories=None) -> Chain:
+def toxic_chain(documents: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, categories=()) -> Chain:
     """The chain for documents (doc_id, text) with labels (doc_id, toxic): the sample of labels is drawn first, so that what is
     broadcast to the texts has train_rows rows at most."""
-    sample = _sample(labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("y")), train_rows)
-    return _fit(documents.select("doc_id", "text").join(F.broadcast(sample), "doc_id"), categories or CATEGORIES)
+    sample = _sample(_labels(labels, "doc_id", "toxic", categories), train_rows)
+    return _fit(documents.select("doc_id", "text").join(F.broadcast(sample), "doc_id"), list(categories))
 
 
 def _held(words: np.ndarray):
@@ -103,53 +112,72 @@ def _held(words: np.ndarray):
                 pair = np.unique(row[hit] * np.int64(words.size + 1) + at[hit])
                 ends = np.searchsorted(pair // (words.size + 1), np.arange(n), side="right")
                 own = np.split((pair % (words.size + 1)).astype(np.int32), ends[:-1])
-                part = pdf.iloc[start : start + n]
-                yield pd.DataFrame({"doc_id": part["doc_id"], "y": part["y"], "words": own})
+                yield pdf.iloc[start : start + n].drop(columns="text").assign(words=own)
 
     return run
 
 
-def _fit(rows: DataFrame, categories: dict) -> Chain:
-    """rows: doc_id, text, y. Words are counted by Spark; the driver sees those that tell labels apart, and who holds them."""
+def _telling(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of the words that tell labels apart, and (FOLDS + 1, words): whether each does without each fold, and at all."""
+    sizes = {r.fold: (r.n, r.n1) for r in rows.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("n1")).collect()}
+    held = rows.mapInPandas(_distinct, "y int, fold int, words array<long>").select("y", "fold", F.explode("words").alias("h"))
+    of = lambda k: F.col("fold") == k
+    counts = held.groupBy("h").agg(*[F.count(F.when(of(k), 1)).alias(f"d{k}") for k in range(FOLDS)], *[F.coalesce(F.sum(F.when(of(k), F.col("y"))), F.lit(0)).alias(f"t{k}") for k in range(FOLDS)])
+
+    def score(without: int):
+        n, n1 = (sum(sizes.get(k, (0, 0))[i] for k in range(FOLDS) if k != without) for i in (0, 1))
+        if not 0 < n1 < n:
+            return F.lit(0.0)
+        d, d1 = (sum((F.col(f"{c}{k}") for k in range(FOLDS) if k != without), F.lit(0)) for c in "dt")
+        rate = d / float(n)
+        gap = F.abs(d1 / float(n1) - (d - d1) / float(n - n1))
+        return F.when(d >= WORD_DOCUMENTS, gap / F.sqrt(F.greatest(rate * (1 - rate), F.lit(1e-12)) * (1 / n1 + 1 / (n - n1)))).otherwise(F.lit(0.0))
+
+    z = counts.select("h", F.array(*[score(k) for k in range(FOLDS + 1)]).alias("z")).where(F.array_max("z") >= WORD_Z)
+    got = sorted((r.h & ((1 << 64) - 1), r.z) for r in z.orderBy(F.desc(F.array_max("z")), "h").limit(MAX_WORDS).collect())
+    chosen = np.array([x for _, x in got]).reshape(len(got), FOLDS + 1).T >= WORD_Z
+    return np.array([h for h, _ in got], np.uint64), chosen
+
+
+def _fit(rows: DataFrame, categories: list[str]) -> Chain:
+    """rows: doc_id, text, y and c0, c1, ... Words are counted by Spark; the driver sees those that tell labels apart, and who
+    holds them."""
     share_code(rows.sparkSession)
-    rows = stored(rows.where("text is not null"))
-    sizes = rows.agg(F.coalesce(F.sum("y"), F.lit(0)).alias("n1"), F.count(F.lit(1)).alias("n")).first()
-    n1, n0 = sizes.n1, sizes.n - sizes.n1
-    words = np.zeros(0, np.uint64)
-    if n1 and n0:
-        held = rows.mapInPandas(_distinct, "doc_id long, y int, words array<long>").select("y", F.explode("words").alias("h"))
-        counts = held.groupBy("h").agg(F.sum("y").alias("d1"), F.count(F.lit(1)).alias("d")).where(F.col("d") >= WORD_DOCUMENTS)
-        rate = F.col("d") / float(sizes.n)
-        gap = F.abs(F.col("d1") / float(n1) - (F.col("d") - F.col("d1")) / float(n0))
-        z = counts.withColumn("z", gap / F.sqrt(F.greatest(rate * (1 - rate), F.lit(1e-12)) * (1 / n1 + 1 / n0))).where(F.col("z") >= WORD_Z)
-        words = np.sort(np.array([r.h for r in z.orderBy(F.desc("z"), "h").limit(MAX_WORDS).collect()], np.int64).view(np.uint64))
-    seeds = {name: np.array(sorted(_hash_of(w) for w in own), np.uint64) for name, own in categories.items()}
-    listed = np.unique(np.concatenate([words, *seeds.values()]))
-    data = rows.mapInPandas(_held(listed), "doc_id long, y int, words array<int>").toPandas().sort_values("doc_id").reset_index(drop=True)
-    y = data["y"].to_numpy(np.float64)
+    fold = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(FOLDS)).cast("int")
+    rows = stored(rows.where("text is not null").withColumn("fold", fold))
+    words, chosen = _telling(rows)
+    targets = [f"c{i}" for i in range(len(categories))]
+    schema = ", ".join(["doc_id long", "y int", *[f"{c} int" for c in targets], "fold int", "words array<int>"])
+    data = rows.mapInPandas(_held(words), schema).toPandas().sort_values(["doc_id", "y"]).reset_index(drop=True)
+    y, folds = data["y"].to_numpy(np.float64), data["fold"].to_numpy()
     row = np.repeat(np.arange(len(data)), data["words"].map(len).to_numpy().astype(int) if len(data) else 0)
-    h = listed[np.concatenate(data["words"].to_list()).astype(int)] if len(row) else np.zeros(0, np.uint64)
-    at = np.minimum(np.searchsorted(words, h), max(words.size - 1, 0))
-    some = words[at] == h if words.size else np.zeros(h.size, bool)
-    good = words
-    x = Sparse(row[some], at[some], np.ones(int(some.sum())), (len(y), words.size))
-    folds = (pd.util.hash_array(data["doc_id"].to_numpy(np.int64)) % FOLDS if len(data) else np.zeros(0, int)).astype(int)
-
-    names, weights, before, bias, earlier = list(categories), [], [], [], np.zeros((len(y), 0))
-    for name in names:
-        has = np.zeros(len(y), bool)
-        has[row[np.isin(h, seeds[name])]] = True
-        target = y * has if seeds[name].size else y
+    col = np.concatenate(data["words"].to_list()).astype(int) if len(row) else np.zeros(0, int)
+    x = Sparse(row, col, np.ones(len(row)), (len(y), words.size))
+
+    if categories:
+        goals = [data[c].to_numpy(np.float64) for c in targets]
+    else:
+        categories, goals = [f"kind_{j + 1}" for j in range(KINDS)], [np.zeros(len(y)) for _ in range(KINDS)]
+        if y.any() and words.size:
+            group = kinds(x.take(y > 0).only(chosen[FOLDS]), KINDS)
+            for j in range(KINDS):
+                goals[j][y > 0] = group == j
+    weights, before, bias, earlier = [], [], [], np.zeros((len(y), 0))
+    for goal in [*goals, y]:
+        # Whatever the words, the earlier probabilities are columns too.
+        seen = lambda k: np.concatenate((chosen[k], np.ones(earlier.shape[1], bool))) if words.size else np.ones(earlier.shape[1], bool)  # noqa: B023,E731
         features = x.add(earlier)
-        w, b = fit(features, target)
-        weights.append(w[: good.size])
-        before.append(w[good.size :])
+        w, b = fit(features.only(seen(FOLDS)), goal)
+        weights.append(w[: words.size])
+        before.append(w[words.size :])
         bias.append(b)
         out = np.zeros(len(y))
         for k in range(FOLDS):
-            fw, fb = fit(features.take(folds != k), target[folds != k])
-            out[folds == k] = features.take(folds == k).dot(fw) + fb
-        earlier = np.column_stack((earlier, np.clip(out, -12, 12)))
+            part = features.only(seen(k))
+            fw, fb = fit(part.take(folds != k), goal[folds != k])
+            out[folds == k] = sigmoid(part.take(folds == k).dot(fw) + fb)
+        earlier = np.column_stack((earlier, out))
+    names = [*categories, "toxic"]
     return Chain(names, words, np.array(weights).reshape(len(names), -1), before, np.array(bias))
 
 
@@ -172,10 +200,11 @@ def _scores(chain: Chain):
 
 
 def score_toxicity(df: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
-    """One row per row of df: doc_id, p_<category> of every category, rejected (the last category at the threshold or over).
+    """One row per row of df: doc_id, p_<category> of every category, rejected (toxic at the threshold or over).
 
-    A null or blank text gets the base rates of the chain. Whole texts count; each distinct word counts once, so that
-    length alone moves no score. Nothing is shuffled.
+    A null or blank text gets the base rates of the chain; null and repeated ids keep their rows, an empty table gives an
+    empty one, and other columns of df are not looked at. Whole texts count; each distinct word counts once, so that length
+    alone moves no score. Nothing is shuffled, and a text of any length is one task's.
     """
     share_code(df.sparkSession)
     cols = ", ".join(f"p_{n} double" for n in chain.names)

@@ -278,11 +278,53 @@ def test_chain_learns_toxic_words_and_leaves_clean_texts(spark):
     got = by_id(toxicity.score_toxicity(df.withColumn("rejected", F.lit(1)), chain))
     assert all(got[i].rejected == (i % 4 == 0) for i in range(400)) and len(got) == 402
     assert not got[500].rejected and 0 <= got[500].p_toxic <= 1
-    assert [len(b) for b in chain.before] == [0, 1, 2], "each category sees the earlier ones"
+    assert chain.names == ["kind_1", "kind_2", "kind_3", "toxic"] and [len(b) for b in chain.before] == [0, 1, 2, 3], "each category sees the earlier ones"
     long = toxicity.score_toxicity(docs(spark, ["clean word " * 50_000, "clean word " * 50_000 + "IDIOT! trash", ""]), chain).collect()
     assert [r.rejected for r in sorted(long)] == [False, True, False]
 
 
+def test_chain_takes_categories_of_the_labels_and_feeds_probabilities(spark):
+    rng = np.random.default_rng(31)
+    rows = []
+    for i in range(600):
+        w = random_words(rng, 30, 200)
+        rude, threat = i % 5 == 0, i % 7 == 0
+        w[:2] = [f"rude{i % 3}" if rude else "x", f"threat{i % 2}" if threat else "y"]
+        # Repeated and conflicting labels, and other numbers than 0 and 1.
+        rows.append((i, " ".join(w), 2 * int(rude or threat), int(rude), int(threat)))
+    rows += [(3, rows[3][1], None, 0, 0), (0, rows[0][1], 0, 0, 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int, rude int, threat int")
+    chain = toxicity.fit_chain(df, categories=["rude", "threat"])
+    got = by_id(toxicity.score_toxicity(df.dropDuplicates(["doc_id"]), chain))
+    assert chain.names == ["rude", "threat", "toxic"]
+    for i in range(1, 600):
+        r = got[i]
+        assert (r.p_rude > 0.5, r.p_threat > 0.5, r.rejected) == (i % 5 == 0, i % 7 == 0, i % 5 == 0 or i % 7 == 0)
+    # A chain by hand: what the models see of earlier categories are probabilities.
+    words, weights = np.array([5], np.uint64), np.array([[2.0], [0.0]])
+    p = toxicity.Chain(["a", "b"], words, weights, [np.zeros(0), np.array([3.0])], np.array([-1.0, -1.5])).score(np.array([0]), np.array([0]), 2)
+    s = lambda z: 1 / (1 + np.exp(-z))
+    assert p == pytest.approx(np.array([[s(1.0), s(3 * s(1.0) - 1.5)], [s(-1.0), s(3 * s(-1.0) - 1.5)]]))
+    assert toxicity.score_toxicity(df.limit(0), chain).count() == 0
+
+
+def test_words_of_a_fold_are_chosen_without_it(spark):
+    rows = [(i, ("bad " if i % 3 == 0 else "") + " ".join(random_words(np.random.default_rng(i), 5)), int(i % 3 == 0), i % 4) for i in range(400)]
+    # A word that tells labels apart in one fold only.
+    rows = [(i, t + (" only" if k == 2 and y else ""), y, k) for i, t, y, k in rows]
+    words, chosen = toxicity._telling(spark.createDataFrame(rows, "doc_id long, text string, y int, fold int"))
+    bad, only = (int(np.searchsorted(words, next(toxicity._word_hashes([w]))[3][0])) for w in ("bad", "only"))
+    assert chosen[:, bad].all() and chosen[:, only].tolist() == [True, True, False, True, True]
+
+
+def test_held_out_toxic_documents_are_found(spark):
+    d, labels = spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    held = F.col("doc_id") % 4 == 1
+    chain = toxicity.toxic_chain(d, labels.where(~held))
+    got = toxicity.score_toxicity(d, chain).join(labels.where(held), "doc_id").toPandas()
+    assert got["rejected"][got["toxic"] == 1].mean() >= 0.8 and (~got["rejected"][got["toxic"] == 0]).mean() >= 0.99 and len(got) > 800
+
+
 def test_chain_without_labels_says_the_base_rate(spark):
     df = spark.createDataFrame([], "doc_id long, text string, toxic int")
     assert [r.rejected for r in toxicity.score_toxicity(docs(spark, ["a"]), toxicity.fit_chain(df), threshold=0.9).collect()] == [False]
@@ -312,6 +354,9 @@ def test_language_of_odd_texts(spark):
     codes = language_id.fit_codes(spark.createDataFrame([(i, "der die das und", "de") if i % 2 else (i, "the of and is", "en") for i in range(20)], "doc_id long, text string, lang string"))
     got = by_id(language_id.predict_language(docs(spark, [None, "", "123 !?", "das und die " * 40_000, "the and of"]), codes))
     assert [got[i].lang_pred for i in range(5)] == ["und", "und", "und", "de", "en"] and got[0].score == 0.0
+    assert language_id.predict_language(docs(spark, ["text"]).limit(0), codes).count() == 0
+    twice = language_id.predict_language(docs(spark, ["the of", "the of"], lang_pred="clash", score=2).unionByName(docs(spark, ["the of"], lang_pred="x", score=1)), codes).collect()
+    assert [r.lang_pred for r in twice] == ["en"] * 3
     none = language_id.fit_codes(spark.createDataFrame([], "doc_id long, text string, lang string"))
     assert language_id.predict_language(docs(spark, ["text"]), none).first().lang_pred == "und"
 
