@@ -91,25 +91,136 @@ def test_quotes_are_cut_and_linked_by_level(spark):
     rows = [
         (1, 0, "user", "Where is it?\nI lost  the KEY."),
         (1, 1, "assistant", "In the car."),
-        (1, 2, "user", "> i lost the key.\nNot there."),
+        (1, 2, "user", "On Monday, user wrote:\n> i lost the key.\nNot there."),
         (1, 3, "user", ">> I lost the key.\n> Not there.\nLook again"),
         (1, 4, "assistant", "> never said\nHm"),
         (2, 0, "user", None), (2, 5, "user", ""), (None, 1, "user", "x"), (3, None, "user", "y"), (4, 0, "user", "same"), (4, 0, "user", "same"),
+        # Wrapped anew, and an attribution that is none as nothing quoted follows.
+        (5, 0, "user", "hello there my friend, how\nare you? All is well.\n\nHe wrote:\nno more"),
+        (5, 1, "user", "> hello there\n> my friend, how are\n> you?\n\nFine."),
+        (5, 2, "user", "user schrieb am 3. Mai:\n\n> > hello there my friend, how are you?\n> Fine.\nGood\n> All is well.\n"),
     ]
-    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("depth", F.lit("clash"))
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("depth", F.lit("clash")).withColumn("lines", F.lit(1))
     got = quotation.reply_threads(df).collect()
     assert len(got) == len(rows)
     r = {(x.conv_id, x.turn): x for x in got}
-    assert r[1, 2].text == "Not there." and r[1, 2].parent_turn == 0 and r[1, 2].n_linked_lines == 1
-    assert r[1, 3].parent_turn == 2 and r[1, 3].quote_depth == 2 and r[1, 3].n_linked_lines == 2 and r[1, 3].text == "Look again"
-    assert r[1, 4].parent_turn == 3 and r[1, 4].n_linked_lines == 0 and r[1, 4].n_quoted_lines == 1
-    assert r[2, 5].parent_turn is None and r[2, 0].text == ""
+    assert r[1, 2].text == "Not there." and r[1, 2].parent_turn == 0 and r[1, 2].n_linked == 1
+    assert r[1, 3].parent_turn == 2 and r[1, 3].quote_depth == 2 and r[1, 3].n_linked == 2 and r[1, 3].text == "Look again"
+    assert r[1, 4].parent_turn == 3 and r[1, 4].n_linked == 0 and r[1, 4].n_quoted == 1
+    assert r[2, 5].parent_turn is None and r[2, 0].text == "" and r[None, 1].reply_order is None and r[3, None].reply_order is None
     order = [r[1, t].reply_order for t in range(5)]
     assert sorted(order) == [1, 2, 3, 4, 5] and all(r[1, t].parent_turn is None or r[1, r[1, t].parent_turn].reply_order < r[1, t].reply_order for t in range(5))
     assert sorted(x.reply_order for x in got if x.conv_id == 4) == [1, 2]
+    assert "He wrote:" in r[5, 0].text and r[5, 1].text == "Fine." and (r[5, 1].n_quoted, r[5, 1].n_linked, r[5, 1].parent_turn) == (1, 1, 0)
+    assert (r[5, 2].n_quoted, r[5, 2].n_linked, r[5, 2].parent_turn, r[5, 2].text) == (3, 3, 1, "Good")
     assert quotation.reply_threads(df.limit(0)).count() == 0
 
 
+def quoting_talks(seed, convs=60):
+    """Conversations whose turns quote earlier ones: parts of them, at several levels, wrapped anew, with attributions."""
+    rng = np.random.default_rng(seed)
+    rows = []
+    for c in range(convs):
+        said, turns = [], int(rng.integers(1, 40 if c else 120))
+        for t in range(turns):
+            lines = []
+            if said and rng.random() < 0.6:
+                for _ in range(int(rng.integers(1, 3))):
+                    k = int(rng.integers(0, len(said)))
+                    part = said[k][int(rng.integers(0, len(said[k]))) :][: int(rng.integers(1, 4))]
+                    marks = ">" * int(rng.integers(1, 4))
+                    marks = " ".join(marks) if rng.random() < 0.3 else marks
+                    if rng.random() < 0.5:
+                        lines += [str(rng.choice(["On Tuesday, A B wrote:", "C schrieb am 4. Mai:", "D a écrit :"]))] + [""] * int(rng.integers(0, 2))
+                    words = (" " * int(rng.integers(1, 3))).join(part).split(" ")
+                    cuts = sorted({0, len(words), *rng.integers(0, len(words) + 1, 2).tolist()})
+                    lines += [f"{marks} " + " ".join(words[a:b]).upper() if rng.random() < 0.2 else f"{marks} " + " ".join(words[a:b]) for a, b in zip(cuts, cuts[1:])]
+                    lines += [""] * int(rng.integers(0, 2))
+            own = [" ".join(random_words(rng, int(rng.integers(1, 9)), 400)) + str(rng.choice([".", "?", "!"])) for _ in range(int(rng.integers(1, 5)))]
+            said.append(own)
+            lines += ["  ".join(own[: len(own) // 2]), "\t".join(own[len(own) // 2 :])]
+            rows.append((c, t * (1 + c % 3), "user" if t % 2 else "assistant", "\n".join(lines) if rng.random() < 0.9 else "\r\n".join(lines)))
+    return rows + rows[5:8] + [(None, 1, "user", "> a\nb"), (2, None, "user", "> a\nb"), (7, -3, None, None)]
+
+
+def plain_threads(rows):
+    def read(text):
+        lines = []
+        for x in re.split("\r?\n", text or ""):
+            marks = re.match(r"[ \t]*(?:>[ \t]?)*", x)[0]
+            level = marks.count(">")
+            lines.append([level, x[len(marks) :] if level else x])
+        kept, blocks, last = [], [], None
+        for i, (level, body) in enumerate(lines):
+            after = [x for x in lines[i + 1 : i + 3]]
+            deeper = bool(after) and (after[0][0] > level or not after[0][1].strip() and len(after) > 1 and after[1][0] > level)
+            by = re.search(r"(?i)(wrote|writes|said|schrieb|a écrit|escribió)[^!?]{0,40}:[ \t]*$", body) and deeper
+            if not level and not by:
+                kept.append(body)
+            if not body.strip() or by:
+                last = None
+                continue
+            if last != level:
+                blocks.append([level, []])
+            blocks[-1][1].append(body)
+            last = level
+        found = [(level, s) for level, b in blocks for s in re.sub(r"([.!?]) ", "\\1\x01", " ".join(" ".join(b).lower().split())).split("\x01") if s]
+        depth = max(level for level, _ in lines)
+        return ("\n".join(kept).strip(" \t\r\n") if depth else text or ""), found, depth
+
+    first = {}
+    for c, t, _, x in rows:
+        if c is not None and t is not None:
+            for level, s in read(x)[1]:
+                if not level:
+                    first[c, s] = min(t, first.get((c, s), t))
+    turns, merged = {(c, t) for c, t, _, _ in rows}, {}
+    for c, t, _, x in rows:
+        if c is not None and t is not None:
+            merged.setdefault((c, t), []).extend((level, first[c, s]) for level, s in read(x)[1] if level and first.get((c, s), t) < t)
+    out = []
+    for c, t, role, x in rows:
+        own, found, depth = read(x)
+        links = merged.get((c, t), [])
+        votes = Counter(links)
+        parent = min(votes, key=lambda v: (v[0], -votes[v], -v[1]))[1] if votes else t - 1 if c is not None and t is not None and (c, t - 1) in turns else None
+        out.append([c, t, role, own, sum(level > 0 for level, _ in found), len(links), depth, parent, None])
+    low = -(10**9)
+    for c in {r[0] for r in out if r[0] is not None}:
+        for k, r in enumerate(sorted((r for r in out if r[0] == c and r[1] is not None), key=lambda r: (low if r[7] is None else r[7], r[1], r[2] or "", r[3]))):
+            r[8] = k + 1
+    return Counter(map(tuple, out))
+
+
+def test_threads_are_those_of_plain_python_and_of_sql(spark, monkeypatch):
+    duckdb = pytest.importorskip("duckdb")
+    rows = quoting_talks(41)
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    want = plain_threads(rows)
+    assert sum(n for r, n in want.items() if r[5]) > 200 and max(r[6] for r in want) >= 3
+    for block in (4096, 3):
+        monkeypatch.setattr(quotation, "BLOCK", block)
+        assert Counter(map(tuple, quotation.reply_threads(df.repartition(4)).collect())) == want
+    talks = pd.DataFrame(rows, columns=["conv_id", "turn", "role", "text"]).astype({"conv_id": "Int64", "turn": "Int64"})
+    con = duckdb.connect()
+    con.register("conversations", talks)
+    got = con.sql(quotation.ORACLE).fetchall()
+    assert Counter(got) == want
+
+
+def test_conversations_are_whole_and_in_order(spark, monkeypatch):
+    monkeypatch.setattr(quotation, "MESSAGES", 7)
+    threads = quotation.reply_threads(spark.createDataFrame(quoting_talks(42, 6), "conv_id long, turn long, role string, text string"))
+    want = {}
+    for r in sorted((r for r in threads.collect() if r.reply_order), key=lambda r: (r.conv_id, r.reply_order)):
+        want.setdefault(r.conv_id, []).append((r.turn, r.role, r.text))
+    got = {}
+    for r in sorted(quotation.conversations(threads).collect(), key=lambda r: (r.conv_id, r.part)):
+        assert len(r.messages) <= 7 and r.part == len(got.get(r.conv_id, [])) // 7
+        got.setdefault(r.conv_id, []).extend(map(tuple, r.messages))
+    assert got == want and not any(">" in x for m in got.values() for _, _, x in m)
+
+
 # Op 3.
 
 
