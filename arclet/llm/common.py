@@ -52,12 +52,13 @@ def shared_dir(spark: SparkSession) -> str:
 _FOLDERS: list[str] = []
 
 
-def drop_stored(spark: SparkSession, since: int = 0) -> None:
-    """Deletes the folders that this process has written, or those after the first so many (see mark()). Frames made of them
-    can't be read afterwards."""
-    while len(_FOLDERS) > since:
-        files, path = file_system(spark, _FOLDERS.pop())
+def drop_stored(spark: SparkSession, since: int = 0, keep: int = 0) -> None:
+    """Deletes the folders that this process has written, but for the first since (see mark()) and the last keep of them. Frames
+    made of them can't be read afterwards."""
+    for folder in _FOLDERS[since : len(_FOLDERS) - keep]:
+        files, path = file_system(spark, folder)
         files.delete(path, True)
+        _FOLDERS.remove(folder)
 
 
 def mark() -> int:

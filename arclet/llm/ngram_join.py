@@ -12,7 +12,7 @@ prefixes share a shingle. The lists of sets by prefix shingle are the index. Pai
 
 Before texts are touched, parity sketches of the sets bound a pair's symmetric difference from below, and so its
 similarity from above. So a group of m near copies costs about m comparisons and not m squared, and no link between
-components is lost. Equal sets are one node; a node's name is a 64-bit digest of its set, and shingles are 64-bit hashes.
+components is lost. Equal sets are one node, told from others by two digests of 64 bits; shingles are 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -63,45 +63,53 @@ def folded(a: bytes, words: int) -> np.ndarray:
     return x
 
 
-def node_of(s: np.ndarray) -> int:
-    return int(mixed(np.add.reduce(s * (s | np.uint64(1)), keepdims=True) ^ np.uint64(len(s)))[0].view(np.int64))
+def digest_of(s: np.ndarray) -> int:
+    """A second digest of a set, of which the first says nothing."""
+    return int(mixed(np.add.reduce(mixed(s ^ np.uint64(0xC2B2AE3D27D4EB4F)), keepdims=True) + np.uint64(len(s)))[0].view(np.int64))
+
+
+def node_of(s: np.ndarray, shared: frozenset[int] = frozenset()) -> int:
+    """A set's name; shared: digests that stand for more than one set, which then bear a name of both digests."""
+    own = int(mixed(np.add.reduce(s * (s | np.uint64(1)), keepdims=True) ^ np.uint64(len(s)))[0].view(np.int64))
+    return own ^ digest_of(s) if own in shared else own
 
 
 def _sets(k):
     def counted(often):
         values, counts = np.unique(np.concatenate(often), return_counts=True)
         some = counts >= BATCH_LEAST
-        return pd.DataFrame({"kind": np.int8(1), "doc_id": values[some].view(np.int64), "n": counts[some].astype(np.int64), "node": 0, "sketch": None})
+        return pd.DataFrame({"kind": np.int8(1), "doc_id": values[some].view(np.int64), "n": counts[some].astype(np.int64), "node": 0, "second": 0, "sketch": None})
 
     def run(batches):
         often, held = [], 0
         for pdf in batches:
-            ids, sizes, nodes, sketches = [], [], [], []
+            ids, sizes, nodes, seconds, sketches = [], [], [], [], []
             for i, s in zip(pdf["doc_id"], shingle_sets(pdf["text"], k)):
                 ids.append(i)
                 sizes.append(len(s))
                 nodes.append(node_of(s))
+                seconds.append(digest_of(s))
                 sketches.append(sketch(s))
                 often.append(s)
                 held += len(s)
                 if held > MOST_COUNTED:
                     yield counted(often)
                     often, held = [], 0
-            yield pd.DataFrame({"kind": np.int8(0), "doc_id": ids, "n": sizes, "node": nodes, "sketch": sketches})
+            yield pd.DataFrame({"kind": np.int8(0), "doc_id": pd.array(ids, "Int64"), "n": sizes, "node": nodes, "second": seconds, "sketch": sketches})
         if often:
             yield counted(often)
 
     return run
 
 
-def _prefixes(k, percent, frequent):
+def _prefixes(k, percent, frequent, shared):
     """frequent: sorted hashes; they come last in the order of a set."""
 
     def run(batches):
         for pdf in batches:
             out, size, done = {"token": [], "node": [], "n": [], "pos": []}, 0, set()
             for s in shingle_sets(pdf["text"], k):
-                n, node = len(s), node_of(s)
+                n, node = len(s), node_of(s, shared)
                 if not n or node in done:
                     continue
                 done.add(node)
@@ -248,12 +256,12 @@ def _sketched(percent):
     return run
 
 
-def _hashed(k):
+def _hashed(k, shared):
     def run(batches):
         for pdf in batches:
             ids, sets, size = [], [], 0
             for s in shingle_sets(pdf["text"], k):
-                ids.append(node_of(s))
+                ids.append(node_of(s, shared))
                 sets.append(s.view(np.int64))
                 size += len(s)
                 if size > MOST_HELD:
@@ -272,12 +280,12 @@ def _bounded(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return stored(both.mapInPandas(_sketched(percent), "a long, b long, least double, open boolean"))
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, shared: frozenset[int]) -> DataFrame:
     """Pairs (a, b) of nodes -> a, b, both (intersection), total (union). Sets are made of one text of each node only."""
     ids = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     # As a table of its own the list of documents has a known size: while it is small it goes to the texts, beyond that texts are shuffled.
     heads = stored(nodes.join(ids, "node", "left_semi").select("doc_id"))
-    sets = stored(docs.join(heads, "doc_id", "left_semi").mapInPandas(_hashed(k), "node long, shingles array<long>").dropDuplicates(["node"]))
+    sets = stored(docs.join(heads, "doc_id", "left_semi").mapInPandas(_hashed(k, shared), "node long, shingles array<long>").dropDuplicates(["node"]))
     both = pairs.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
     both = both.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a")
     both = both.select("a", "b", (F.size("sa") + F.size("sb")).alias("sizes"), F.size(F.array_intersect("sa", "sb")).alias("both"))
@@ -295,7 +303,13 @@ def jaccard_links(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     spark = df.sparkSession
     share_code(spark)
     docs = text_frame(df, id_col, text_col)
-    seen = stored(docs.mapInPandas(_sets(k), "kind byte, doc_id long, n long, node long, sketch binary"))
+    seen = stored(docs.mapInPandas(_sets(k), "kind byte, doc_id long, n long, node long, second long, sketch binary"))
+    # Of n sets about n * n / 2 ** 65 pairs have one digest: with 10 ** 10 sets 3. Both digests then make their names.
+    twins = seen.where("kind = 0 and n > 0").groupBy("node").agg(F.min("second").alias("low"), F.max("second").alias("high")).where("low < high")
+    shared = frozenset(r.node for r in twins.select("node").collect())
+    if shared:
+        two = F.col("node").isin(*shared)
+        seen = seen.withColumn("node", F.when(two, F.col("node").bitwiseXOR(F.col("second"))).otherwise(F.col("node")))
     members = seen.where("kind = 0").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("node")).alias("node"))
     counts = seen.where("kind = 1").groupBy(F.col("doc_id").alias("token")).agg(F.sum("n").alias("n"))
     # The order's tail: a bounded list of the most frequent shingles, by the least count that keeps the list within its bound.
@@ -312,13 +326,13 @@ def jaccard_links(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     nodes = seen.where("kind = 0 and n > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.max("sketch").alias("sketch"))
     nodes = stored(nodes)
 
-    entries = docs.where("doc_id is not null").mapInPandas(_prefixes(k, percent, frequent), "token long, node long, n int, pos int")
+    entries = docs.where("doc_id is not null").mapInPandas(_prefixes(k, percent, frequent, shared), "token long, node long, n int, pos int")
     lists = entries.repartition("token").sortWithinPartitions("token", "n", "node").mapInPandas(_lists, "token long, node long, n int, pos int, centre long, cn int, cpos int")
     lists = stored(lists)
     fits = f"100 * least(n, cn) >= {percent} * greatest(n, cn) and {100 + percent} * least(n - pos, cn - cpos) >= {percent} * (n + cn)"
     first = lists.where(f"node <> centre and {fits}").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
     bounds = _bounded(first, nodes, percent)
-    links = _verified(bounds.where("open").select("a", "b"), nodes, docs, k)
+    links = _verified(bounds.where("open").select("a", "b"), nodes, docs, k, shared)
     linked = F.expr(f"100 * both >= {percent} * total")
     labels = connected_components(links.where(linked))
 
@@ -331,7 +345,7 @@ def jaccard_links(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     tried = bounds.select("a", "b")
     if not star.isEmpty():
         tried = tried.union(star)
-        links = links.unionByName(_verified(_bounded(star, nodes, percent).where("open").select("a", "b"), nodes, docs, k))
+        links = links.unionByName(_verified(_bounded(star, nodes, percent).where("open").select("a", "b"), nodes, docs, k, shared))
         labels = connected_components(links.where(linked))
 
     exact = links.select("a", "b", (1 - F.col("both") / F.col("total")).alias("far"))
@@ -352,7 +366,7 @@ def jaccard_links(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     if second.isEmpty():
         return members, links.where(linked)
     more = _bounded(second, nodes, percent).where("open").select("a", "b")
-    return members, links.unionByName(_verified(more, nodes, docs, k)).where(linked)
+    return members, links.unionByName(_verified(more, nodes, docs, k, shared)).where(linked)
 
 
 def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 75) -> DataFrame:

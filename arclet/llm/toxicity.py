@@ -23,7 +23,7 @@ TRAIN_ROWS = 16_000
 #: A word, or its first BEGINNING bytes, is a feature if its share of labelled documents differs between labels by so many
 #: standard errors, and if so many of them hold it.
 WORD_Z = 6.0
-WORD_DOCUMENTS = 5
+WORD_DOCUMENTS = 3
 BEGINNING = 5
 #: Features that a chain has at most: those that differ most.
 MAX_WORDS = 16_384

@@ -589,6 +589,23 @@ def test_links_are_those_of_all_pairs(spark):
     assert {i: (r.n_shingles, r.component_id) for i, r in got.items()} == want
 
 
+def test_sets_of_one_digest_are_told_apart(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "mixed", lambda h: h & np.uint64(3))
+    rng = np.random.default_rng(51)
+    base = [random_words(rng, 12) for _ in range(12)]
+    texts = {i: " ".join(base[i % 12]) for i in range(30)}
+    monkeypatch.setattr(ngram_join, "digest_of", lambda s: int(np.bitwise_xor.reduce(s).view(np.int64)))
+    assert len({ngram_join.node_of(s) for s in shingle_sets(texts.values())}) <= 4
+    # Workers import the module anew, so what they run is run here.
+    def here(df, f, schema):
+        return df.sparkSession.createDataFrame(pd.concat([x for x in f(iter([df.toPandas()]))] or [pd.DataFrame()], ignore_index=True), schema)
+
+    seen = here(docs(spark, texts), ngram_join._sets(5), "kind byte, doc_id long, n long, node long, second long, sketch binary").where("kind = 0").collect()
+    twins = {r.node for r in seen if len({x.second for x in seen if x.node == r.node}) > 1}
+    names = {i: ngram_join.node_of(s, frozenset(twins)) for i, s in zip(texts, shingle_sets(texts.values()))}
+    assert twins and len(set(names.values())) == 12 and all((names[a] == names[b]) == (a % 12 == b % 12) for a in texts for b in texts)
+
+
 def test_chunks_of_long_lists_lose_no_link(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "LIST_CHUNK", 7)
     monkeypatch.setattr(ngram_join, "BLOCK", 3)
