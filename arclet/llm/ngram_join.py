@@ -339,7 +339,9 @@ def jaccard_links(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     like = links.where(linked).select("a", "b", (F.col("both") / F.col("total")).alias("s"))
     hubs = like.union(like.select("b", "a", "s")).groupBy(F.col("a").alias("centre")).agg(F.max(F.struct("s", "b"))["b"].alias("hub"))
     label = lambda x: labels.select(F.col("id").alias(x), F.col("component").alias(f"{x}_label"))
-    star = lists.select("node", "centre").distinct().join(hubs, "centre").where("node <> hub").join(label("node"), "node", "left").join(label("hub"), "hub")
+    # What is known of a member and a centre holds for all lists that have both: it is put together once, and lists meet it once.
+    own = stored(lists.select("node", "centre", "n", "cn").distinct())
+    star = own.select("node", "centre").join(hubs, "centre").where("node <> hub").join(label("node"), "node", "left").join(label("hub"), "hub")
     star = star.where("node_label is null or node_label <> hub_label").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
     star = stored(star.join(bounds, ["a", "b"], "left_anti"))
     tried = bounds.select("a", "b")
@@ -351,10 +353,11 @@ def jaccard_links(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     exact = links.select("a", "b", (1 - F.col("both") / F.col("total")).alias("far"))
     known = bounds.join(exact, ["a", "b"], "left").select("a", "b", F.coalesce("far", "least").alias("least"), F.coalesce("far", F.lit(1.0)).alias("most"))
     known = known.select(F.col("a").alias("node"), F.col("b").alias("centre"), "least", "most").union(known.select("b", "a", "least", "most"))
-    rows = lists.join(known, ["node", "centre"], "left").join(labels.withColumnRenamed("id", "node"), "node", "left")
     apart = F.when(F.col("node") == F.col("centre"), 0.0)
     least = F.coalesce(apart, "least", 1 - F.least("n", "cn") / F.greatest("n", "cn"))
-    rows = rows.select("token", "node", "n", "pos", least.alias("least"), F.coalesce(apart, "most", F.lit(1.0)).alias("most"), F.coalesce("component", "node").alias("label"))
+    info = own.join(known, ["node", "centre"], "left").join(labels.withColumnRenamed("id", "node"), "node", "left")
+    info = stored(info.select("node", "centre", least.alias("least"), F.coalesce(apart, "most", F.lit(1.0)).alias("most"), F.coalesce("component", "node").alias("label")))
+    rows = stored(lists.select("token", "node", "centre", "n", "pos").join(info, ["node", "centre"]).drop("centre"))
     many = rows.groupBy("token").agg(F.min("label").alias("l"), F.max("label").alias("h"), F.count(F.lit(1)).alias("m")).where("l < h")
     rows = rows.join(many.select("token", "m", F.ceil(F.col("m") / LIST_CHUNK).cast("int").alias("g")), "token")
     long = rows.where(F.col("m") >= SKETCH_FROM).join(nodes.select("node", "sketch"), "node")
