@@ -38,7 +38,7 @@ class Rule:
 RULES = (
     Rule("word_length", "word_chars", "n_words", 1.5, 14),
     Rule("symbol_words", "n_symbols", "n_words", None, 0.1),
-    Rule("stop_words", "n_stop_words", "", 2, None),
+    Rule("stop_words", "n_stop_words", "n_words", 0.04, None),
     Rule("letter_words", "n_letter_words", "n_words", 0.7, None),
     Rule("repeated_lines", "n_dup_lines", "n_lines", None, 0.5),
     Rule("bullet_lines", "n_bullet_lines", "n_lines", None, 0.9),

@@ -28,16 +28,21 @@ MESSAGES = 1000
 
 def quoted_lines(df: DataFrame, text_col: str = "text") -> DataFrame:
     """df with lines, an array of (level, body, kind): level 0 for a turn's own lines; kind is "blank", "by" for a line that
-    names the author of what follows, or "text"."""
-    lines = F.split(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "\r?\n")
-    level = lambda x: F.length(F.regexp_replace(F.regexp_extract(x, MARKS, 0), "[^>]", ""))
-    read = lambda x: F.struct(level(x).alias("level"), F.when(level(x) > 0, F.regexp_replace(x, MARKS, "")).otherwise(x).alias("body"))
-    df = df.withColumn("lines", F.transform(lines, read))
-    blank = lambda x: F.regexp_replace(x["body"], WORD_GAP, "") == ""
+    names the author of what follows, or "text". Only texts with a mark are looked at closely."""
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    lines = F.split(text, "\r?\n")
+    marked = F.contains(text, F.lit(">"))
+    level = lambda m: F.length(F.regexp_replace(m, "[^>]", ""))
+    read = lambda x: F.struct(level(F.regexp_extract(x, MARKS, 0)).alias("level"), x.alias("body"))
+    bare = lambda x: F.struct(x["level"].alias("level"), F.when(x["level"] > 0, F.regexp_replace(x["body"], MARKS, "")).otherwise(x["body"]).alias("body"))
+    blank = lambda body: F.btrim(body, F.lit(" \t\n\x0b\f\r")) == ""
+    df = df.withColumn("lines", F.when(marked, F.transform(F.transform(lines, read), bare)))
     after = lambda i, n: F.get("lines", i + n)
-    deeper = lambda x, i: F.coalesce((after(i, 1)["level"] > x["level"]) | (blank(after(i, 1)) & (after(i, 2)["level"] > x["level"])), F.lit(False))
-    kind = lambda x, i: F.when(blank(x), "blank").when(x["body"].rlike(ATTRIBUTION) & deeper(x, i), "by").otherwise("text")
-    return df.withColumn("lines", F.transform("lines", lambda x, i: F.struct(x["level"].alias("level"), x["body"].alias("body"), kind(x, i).alias("kind"))))
+    deeper = lambda x, i: F.coalesce((after(i, 1)["level"] > x["level"]) | (blank(after(i, 1)["body"]) & (after(i, 2)["level"] > x["level"])), F.lit(False))
+    kind = lambda x, i: F.when(blank(x["body"]), "blank").when(deeper(x, i) & x["body"].rlike(ATTRIBUTION), "by").otherwise("text")
+    close = F.transform("lines", lambda x, i: F.struct(x["level"].alias("level"), x["body"].alias("body"), kind(x, i).alias("kind")))
+    plain = F.transform(lines, lambda x: F.struct(F.lit(0).alias("level"), x.alias("body"), F.when(blank(x), "blank").otherwise("text").alias("kind")))
+    return df.withColumn("lines", F.when(marked, close).otherwise(plain))
 
 
 def passages(lines: str = "lines"):
@@ -64,18 +69,20 @@ def reply_threads(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "tur
     passage, so one that very many conversations share makes no pairs between them.
     """
     rows = df.select(F.col(conv_col).cast("long").alias("conv_id"), F.col(turn_col).cast("long").alias("turn"), F.col(role_col).alias("role"), F.col(text_col).alias("text"))
-    rows = quoted_lines(rows)
-    rows = rows.withColumn("depth", F.coalesce(F.array_max(F.transform("lines", lambda x: x["level"])), F.lit(0)))
+    # What a turn quotes takes a close look at turns with a mark only, and of other turns none but those of their conversations.
+    near = quoted_lines(rows).withColumn("marked", F.contains(F.coalesce("text", F.lit("")), F.lit(">")))
+    depth = F.coalesce(F.array_max(F.transform("lines", lambda x: x["level"])), F.lit(0))
     own = F.array_join(F.transform(F.filter("lines", lambda x: (x["level"] == 0) & (x["kind"] != "by")), lambda x: x["body"]), "\n")
-    rows = rows.withColumn("own", F.when(F.col("depth") > 0, F.btrim(own, F.lit(" \t\r\n"))).otherwise(F.coalesce("text", F.lit(""))))
-    rows = rows.withColumn("passages", passages()).drop("lines")
-    rows = rows.withColumn("n_quoted", F.size(F.filter("passages", lambda x: x["level"] > 0)).cast("long"))
+    near = near.withColumn("depth", F.when(F.col("marked"), depth).otherwise(F.lit(0)))
+    near = near.withColumn("own", F.when(F.col("depth") > 0, F.btrim(own, F.lit(" \t\r\n"))).otherwise(F.coalesce("text", F.lit(""))))
+    near = near.withColumn("quoted", F.when(F.col("depth") > 0, F.filter(passages(), lambda x: x["level"] > 0)))
+    rows = near.withColumn("n_quoted", F.coalesce(F.size("quoted"), F.lit(0)).cast("long")).withColumn("n_quoted", F.greatest("n_quoted", F.lit(0).cast("long"))).drop("lines", "marked")
 
     keyed = rows.where("conv_id is not null and turn is not null")
     # Only conversations with a quotation need their passages.
-    quoting = keyed.where("n_quoted > 0").select("conv_id", "turn", F.explode_outer("passages").alias("x")).where("x.level > 0").select("conv_id", "turn", "x.level", "x.h")
-    mine = keyed.join(keyed.where("n_quoted > 0").select("conv_id").distinct(), "conv_id", "left_semi")
-    mine = mine.select("conv_id", F.col("turn").alias("origin"), F.explode_outer("passages").alias("x")).where("x.level = 0").select("conv_id", "origin", "x.h")
+    quoting = keyed.where("n_quoted > 0").select("conv_id", "turn", F.explode_outer("quoted").alias("x")).select("conv_id", "turn", "x.level", "x.h")
+    mine = keyed.select("conv_id", "turn", "text").join(quoting.select("conv_id").distinct(), "conv_id", "left_semi")
+    mine = quoted_lines(mine).select("conv_id", F.col("turn").alias("origin"), F.explode_outer(passages()).alias("x")).where("x.level = 0").select("conv_id", "origin", "x.h")
     origins = mine.groupBy("conv_id", "h").agg(F.min("origin").alias("origin"))
     links = quoting.join(origins, ["conv_id", "h"]).where("origin < turn")
     votes = links.groupBy("conv_id", "turn", "level", "origin").agg(F.count(F.lit(1)).alias("votes"))
