@@ -200,7 +200,8 @@ def _scores(chain: Chain):
 
 
 def score_toxicity(df: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
-    """One row per row of df: doc_id, p_<category> of every category, rejected (toxic at the threshold or over).
+    """One row per row of df: doc_id, p_<category> of every category, rejected (toxic at the threshold or over; a chain that has
+    learned no word rejects nothing).
 
     A null or blank text gets the base rates of the chain; null and repeated ids keep their rows, an empty table gives an
     empty one, and other columns of df are not looked at. Whole texts count; each distinct word counts once, so that length
@@ -209,4 +210,4 @@ def score_toxicity(df: DataFrame, chain: Chain, id_col: str = "doc_id", text_col
     share_code(df.sparkSession)
     cols = ", ".join(f"p_{n} double" for n in chain.names)
     out = text_frame(df, id_col, text_col).mapInPandas(_scores(chain), f"doc_id long, {cols}")
-    return out.withColumn("rejected", F.col(f"p_{chain.names[-1]}") >= threshold)
+    return out.withColumn("rejected", F.col(f"p_{chain.names[-1]}") >= threshold if chain.words.size else F.lit(False))
