@@ -194,11 +194,18 @@ class LongText:
         return np.concatenate([np.zeros(0, np.uint64), *(w.beginnings(n) for w in self._pieces(1))])
 
 
+#: What frees things that a Python worker keeps from task to task for one operator.
+HELD: list = []
+
+
 def pieces(texts, plain: bool = False):
     """Texts in pieces of bounded size: (start, stop, words) with numbers of texts. Null texts have no word.
 
     Words are parted by white space, and A-Z are lower case; plain: parted by any ASCII mark, and all letters lower case.
+    What the worker still keeps for another operator goes.
     """
+    while HELD:
+        HELD.pop()()
     start, size, part, gaps = 0, 0, [], MARK_BYTES if plain else GAP_BYTES
 
     def joined():

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 from tokenizers.pre_tokenizers import ByteLevel
 
+from . import common
 from .common import share_code, stored, text_frame
 
 CAPACITY = 4096
@@ -31,7 +32,7 @@ FREE_SHARE = 1 / 64
 #: Partitions whose underfull bins meet in one.
 FAN_IN = 4
 #: Words whose ids a Python worker remembers.
-CACHE_WORDS = 350_000
+CACHE_WORDS = 220_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 BINS = "used long, items array<struct<doc_id: long, piece: int, length: long, row: long>>, full boolean"
@@ -126,6 +127,9 @@ def _cut(path: str, capacity: int, end_id: int):
         # A task has one core.
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         words, end = WordIds.of_worker(path), _packed([end_id])
+        # By the module: this function travels with copies of what it names.
+        if WordIds.of_worker.cache_clear not in common.HELD:
+            common.HELD.append(WordIds.of_worker.cache_clear)
         for pdf in batches:
             texts, rows, part, size = ["" if t is None else t for t in pdf["text"]], [], [], 0
             for i, (doc, text) in enumerate(zip(pdf["doc_id"], texts)):
