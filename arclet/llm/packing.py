@@ -32,7 +32,7 @@ FREE_SHARE = 1 / 64
 #: Partitions whose underfull bins meet in one.
 FAN_IN = 4
 #: Words whose ids a Python worker remembers.
-CACHE_WORDS = 220_000
+CACHE_WORDS = 280_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 BINS = "used long, items array<struct<doc_id: long, piece: int, length: long, row: long>>, full boolean"
