@@ -15,13 +15,14 @@ from __future__ import annotations
 
 import heapq
 from bisect import bisect_left
-from collections import Counter, defaultdict
+from collections import Counter
 from functools import reduce
 from itertools import count
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -31,8 +32,6 @@ from .common import share_code, stored, text_frame
 TOP = 10
 #: Text that one shard holds, about; a document is never parted.
 SEGMENT_BYTES = 16 << 20
-#: Text that is parted into terms at a time.
-PIECE = 1 << 20
 #: What one pass over the shards looks for at most: items, and terms of all of them together. More take more passes.
 ITEMS_A_PASS = 2048
 TERMS_A_PASS = 200_000
@@ -42,18 +41,25 @@ _PLAIN = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97
 INDEX = "shard long, doc_ids array<long>, lengths array<int>, terms array<string>, holders array<int>, ends array<long>, postings binary"
 
 
-def terms_of(text: str | None):
-    """Lists of the terms of a text in UTF-8, a bounded piece at a time."""
-    raw = b"" if text is None else text.encode("utf-8", "surrogatepass")
-    if len(raw) <= PIECE:
-        yield raw.translate(_PLAIN).split()
-        return
-    at, plain = 0, raw.translate(_PLAIN)
-    while at < len(plain):
-        end = plain.find(b" ", at + PIECE)
-        end = len(plain) if end < 0 else end
-        yield plain[at:end].split()
-        at = end
+def terms_of(text: str) -> list[str]:
+    """The terms of one text, in order."""
+    return [t.decode("utf-8", "replace") for t in text.encode("utf-8", "surrogatepass").translate(_PLAIN).split()]
+
+
+def parted(texts: pa.StringArray) -> tuple[np.ndarray, pa.StringArray]:
+    """Of each text its number of terms, and all terms in order. Texts are parted where their bytes lie, all at once."""
+    if not len(texts):
+        return np.zeros(0, np.int64), pa.array([], pa.string())
+    at = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1]
+    data = texts.buffers()[2]
+    plain = data.slice(int(at[0]), int(at[-1] - at[0])).to_pybytes().translate(_PLAIN) if data else b""
+    lists = pc.ascii_split_whitespace(pa.StringArray.from_buffers(len(texts), pa.py_buffer(at - at[0]), pa.py_buffer(plain)))
+    found = lists.flatten()
+    # A gap before the first term or after the last makes an empty one.
+    some = pc.not_equal(pc.binary_length(found), 0)
+    before = np.concatenate(([0], np.cumsum(some.to_numpy(zero_copy_only=False))))
+    ends = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+    return np.diff(before[ends]), found.filter(some)
 
 
 def packed(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -84,29 +90,29 @@ class Shard:
     """Documents that become one shard."""
 
     def __init__(self):
-        self.number = defaultdict(count().__next__)
-        self.ids: list[int | None] = []
-        self.lengths: list[int] = []
-        self.found: list[np.ndarray] = []
+        self.ids: list[pa.Array] = []
+        self.lengths: list[np.ndarray] = []
+        self.terms: list[pa.StringArray] = []
         self.size = 0
 
-    def add(self, doc_id: int | None, text: str | None) -> None:
-        own = [np.fromiter(map(self.number.__getitem__, part), np.int64, len(part)) for part in terms_of(text)]
-        if n := sum(map(len, own)):
-            self.ids.append(doc_id)
-            self.lengths.append(n)
-            self.found += own
-            self.size += len(text)
+    def add(self, ids: pa.Array, texts: pa.StringArray) -> None:
+        n, terms = parted(texts)
+        self.ids.append(ids.filter(pa.array(n > 0)))
+        self.lengths.append(n[n > 0])
+        self.terms.append(terms)
+        self.size += texts.nbytes
 
     def row(self, shard: int) -> pa.RecordBatch:
-        # Numbers of documents follow their ids, nulls last; of terms, their bytes.
-        order = sorted(range(len(self.ids)), key=lambda i: (self.ids[i] is None, self.ids[i] or 0))
+        # Numbers of documents follow their ids, nulls last; those of terms their bytes.
+        ids, lengths = pa.chunked_array(self.ids), np.concatenate(self.lengths)
+        order = pc.sort_indices(ids, null_placement="at_end").to_numpy()
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
-        terms = sorted(self.number)
-        rank = np.empty(len(terms), np.int64)
-        rank[np.fromiter(map(self.number.__getitem__, terms), np.int64, len(terms))] = np.arange(len(terms))
-        pair = rank[np.concatenate(self.found)] * len(order) + np.repeat(place, self.lengths)
+        every = pa.concat_arrays(self.terms).dictionary_encode()
+        by_name = pc.sort_indices(every.dictionary)
+        rank = np.empty(len(by_name), np.int64)
+        rank[by_name.to_numpy()] = np.arange(len(by_name))
+        pair = rank[every.indices.to_numpy()] * len(order) + np.repeat(place, lengths)
         pair.sort()
         new = np.flatnonzero(np.concatenate(([True], pair[1:] != pair[:-1])))
         times = np.diff(np.append(new, pair.size))
@@ -115,12 +121,12 @@ class Shard:
         gap = np.where(first, doc, doc - np.concatenate(([0], doc[:-1])))
         raw, ends = packed(np.column_stack((gap, times)).ravel())
         holders = np.diff(np.append(np.flatnonzero(first), term.size))
-        lists = {
-            "shard": pa.array([shard]), "doc_ids": pa.array([[self.ids[i] for i in order]], pa.list_(pa.int64())), "lengths": pa.array([[self.lengths[i] for i in order]], pa.list_(pa.int32())),
-            "terms": pa.array([[t.decode("utf-8", "replace") for t in terms]], pa.list_(pa.string())), "holders": pa.array([holders.astype(np.int32)], pa.list_(pa.int32())),
-            "ends": pa.array([ends[2 * np.cumsum(holders) - 1]], pa.list_(pa.int64())), "postings": pa.array([raw.tobytes()], pa.binary()),
-        }
-        return pa.RecordBatch.from_pydict(lists)
+        whole = lambda values, kind: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), pa.array(values, kind) if isinstance(values, np.ndarray) else values)
+        columns = [
+            pa.array([shard]), whole(ids.take(pa.array(order)).combine_chunks(), None), whole(lengths[order], pa.int32()), whole(every.dictionary.take(by_name), None),
+            whole(holders, pa.int32()), whole(ends[2 * np.cumsum(holders) - 1], pa.int64()), pa.array([raw.tobytes()], pa.binary()),
+        ]
+        return pa.RecordBatch.from_arrays(columns, names=["shard", "doc_ids", "lengths", "terms", "holders", "ends", "postings"])
 
 
 def _shards(segment_bytes: int):
@@ -130,12 +136,11 @@ def _shards(segment_bytes: int):
         # Unique over tasks, and the same if a task runs again.
         at, shard = TaskContext.get().partitionId() << 32, Shard()
         for batch in batches:
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
-                shard.add(doc_id, text.as_py())
-                if shard.size >= segment_bytes:
-                    yield shard.row(at)
-                    at, shard = at + 1, Shard()
-        if shard.ids:
+            shard.add(batch.column("doc_id"), batch.column("text"))
+            if shard.size >= segment_bytes and sum(map(len, shard.ids)):
+                yield shard.row(at)
+                at, shard = at + 1, Shard()
+        if sum(map(len, shard.ids)):
             yield shard.row(at)
 
     return run
@@ -148,29 +153,29 @@ def build_index(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
 
 
 class Postings:
-    """Of the terms asked for, one shard's lists, parted when first wanted."""
+    """Of the terms asked for, one shard's lists, unpacked when first wanted."""
 
-    def __init__(self, batch, row: int, weights: dict[str, int], n_docs: int, n_terms: int):
+    def __init__(self, batch, row: int, asked: pa.StringArray, weights: np.ndarray, n_docs: int, n_terms: int):
         part = lambda c: batch.column(c)[row]
         self.ids = part("doc_ids").as_py()
         lengths = part("lengths").values.to_numpy().astype(np.int64)
         self.norm = 8 * (25 + 75 * lengths * n_docs // n_terms)
         self.raw, self.ends = np.frombuffer(part("postings").as_py(), np.uint8), part("ends").values.to_numpy()
-        # Terms are in the order of their bytes, which is that of their code points.
-        self.place = {t: i for i, t in enumerate(part("terms").as_py()) if t in weights}
+        self.place = pc.fill_null(pc.index_in(asked, value_set=part("terms").values), -1).to_pylist()
         self.weights, self.have = weights, {}
 
-    def list(self, term: str):
-        """Numbers of documents, what the term adds to each, the largest of these; None where no document holds it."""
-        if term not in self.have:
-            i = self.place.get(term)
-            self.have[term] = None
-            if i is not None:
-                doc, times = unpacked(self.raw[self.ends[i - 1] if i else 0 : self.ends[i]]).reshape(-1, 2).T
+    def list(self, term: int, times: int):
+        """Numbers of documents, what the term, asked for so many times, adds to each, as an array and as a list, and the largest
+        of these; None where no document holds it, or where it adds nothing."""
+        if (term, times) not in self.have:
+            i = self.place[term]
+            self.have[term, times] = None
+            if i >= 0 and self.weights[term]:
+                doc, n = unpacked(self.raw[self.ends[i - 1] if i else 0 : self.ends[i]]).reshape(-1, 2).T
                 doc = np.cumsum(doc)
-                adds = self.weights[term] * (1_000_000_000 * times // (1000 * times + self.norm[doc]))
-                self.have[term] = (doc, adds, int(adds.max()))
-        return self.have[term]
+                adds = times * self.weights[term] * (1_000_000_000 * n // (1000 * n + self.norm[doc]))
+                self.have[term, times] = (doc, adds.tolist(), int(adds.max()))
+        return self.have[term, times]
 
 
 class Best:
@@ -191,7 +196,7 @@ class Best:
             heapq.heapreplace(self.heap, key)
 
 
-def rank_shard(lists: list[tuple[np.ndarray, np.ndarray, int]], ids: list, best: Best) -> None:
+def rank_shard(lists: list[tuple[np.ndarray, list, int]], ids: list, best: Best) -> None:
     """Offers best what a shard's documents score over (documents, additions, largest addition) of each term."""
     lists = sorted(lists, key=lambda x: x[2])
     upto = np.cumsum([x[2] for x in lists]).tolist()
@@ -202,8 +207,8 @@ def rank_shard(lists: list[tuple[np.ndarray, np.ndarray, int]], ids: list, best:
     bits = len(lists).bit_length()
     mask = (1 << bits) - 1
     names = [(d << bits | j).tolist() if j >= head else None for j, (d, _, _) in enumerate(lists)]
-    adds = [a.tolist() if j >= head else None for j, (_, a, _) in enumerate(lists)]
-    looked: dict[int, tuple[list, list]] = {}
+    adds = [a for _, a, _ in lists]
+    looked: dict[int, list] = {}
     at = [0] * len(lists)
     heap = [own[0] for own in names[head:]]
     heapq.heapify(heap)
@@ -230,37 +235,33 @@ def rank_shard(lists: list[tuple[np.ndarray, np.ndarray, int]], ids: list, best:
             if score + upto[j] < least:
                 break
             if j not in looked:
-                looked[j] = (lists[j][0].tolist(), lists[j][1].tolist())
-            docs, own = looked[j]
+                looked[j] = lists[j][0].tolist()
+            docs = looked[j]
             k = bisect_left(docs, doc)
             if k < len(docs) and docs[k] == doc:
-                score += own[k]
+                score += adds[j][k]
         if score >= least:
             best.offer(score, ids[doc])
             least = best.least
             if head < len(lists) and upto[head] < least:
                 # More lists can leave the heap.
                 while head < len(lists) and upto[head] < least:
-                    looked[head] = (lists[head][0].tolist(), adds[head])
                     head += 1
                 heap = [own[at[j]] for j, own in enumerate(names) if j >= head and at[j] < len(own)]
                 heapq.heapify(heap)
                 low = upto[head - 1]
 
 
-def _search(items: list[tuple[int, dict[str, int]]], weights: dict[str, int], n_docs: int, n_terms: int, top: int):
+def _search(items: list[tuple[int, list[tuple[int, int]]]], names: list[str], weights: list[int], n_docs: int, n_terms: int, top: int):
+    """items: numbers, and of their terms (place in names, times)."""
+
     def run(batches):
-        best = [Best(top) for _ in items]
+        best, asked, weight = [Best(top) for _ in items], pa.array(names, pa.string()), np.array(weights, np.int64)
         for batch in batches:
             for row in range(batch.num_rows):
-                shard = Postings(batch, row, weights, n_docs, n_terms)
+                shard = Postings(batch, row, asked, weight, n_docs, n_terms)
                 for kept, (_, terms) in zip(best, items):
-                    lists = []
-                    for term, times in terms.items():
-                        own = shard.list(term)
-                        if own and own[2]:
-                            lists.append(own if times == 1 else (own[0], own[1] * times, own[2] * times))
-                    rank_shard(lists, shard.ids, kept)
+                    rank_shard([own for term in terms if (own := shard.list(*term))], shard.ids, kept)
         rows = [(item, key[4], key[0]) for kept, (item, _) in zip(best, items) for key in kept.heap]
         yield pa.RecordBatch.from_pydict({"item": pa.array([r[0] for r in rows], pa.int64()), "doc_id": pa.array([r[1] for r in rows], pa.int64()), "score": pa.array([r[2] for r in rows], pa.int64())})
 
@@ -283,20 +284,21 @@ def search(index: DataFrame, items: DataFrame, item_col: str = "item_id", text_c
         if not n_docs or not asked:
             return []
         names = spark.createDataFrame(pd.DataFrame({"term": asked}), "term string")
-        held = index.select(F.explode(F.arrays_zip("terms", "holders")).alias("t")).select("t.terms", "t.holders")
-        df = held.join(F.broadcast(names), F.col("terms") == F.col("term")).groupBy("term").agg(F.sum("holders").alias("df"))
+        lists = index.select(F.explode(F.arrays_zip("terms", "holders")).alias("t")).select("t.terms", "t.holders")
+        df = lists.join(F.broadcast(names), F.col("terms") == F.col("term")).groupBy("term").agg(F.sum("holders").alias("df"))
         weight = F.floor(1000 * F.log((2.0 * n_docs + 2) / (2.0 * F.col("df") + 1)))
-        weights = {r.term: r.w for r in df.select("term", weight.alias("w")).collect()}
-        own = [(number, {t: k for t, k in terms.items() if t in weights}) for number, _, terms in block]
+        held = df.select("term", weight.alias("w")).collect()
+        place = {r.term: i for i, r in enumerate(held)}
+        own = [(number, [(place[t], k) for t, k in terms.items() if t in place]) for number, _, terms in block]
         ids = spark.createDataFrame(pd.DataFrame({"item": [b[0] for b in block], "item_id": pd.array([b[1] for b in block], "Int64")}), "item long, item_id long")
         # A task may run over several shards, and sends top rows an item at most.
-        found = index.mapInArrow(_search(own, weights, n_docs, n_terms, top), "item long, doc_id long, score long")
+        found = index.mapInArrow(_search(own, [r.term for r in held], [r.w for r in held], n_docs, n_terms, top), "item long, doc_id long, score long")
         return [found.join(F.broadcast(ids), "item").select("item_id", "item", "doc_id", "score")]
 
     found, block, size, number = [], [], 0, 0
     rows = items.select(F.col(item_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t")).where("t is not null").distinct()
     for r in rows.toLocalIterator():
-        terms = Counter(t.decode("utf-8", "replace") for part in terms_of(r.t) for t in part)
+        terms = Counter(terms_of(r.t))
         block.append((number, r.i, terms))
         size, number = size + len(terms), number + 1
         if len(block) >= ITEMS_A_PASS or size >= TERMS_A_PASS:
@@ -318,6 +320,6 @@ def rank_documents(
     texts without a term are no documents; an item without one, or whose terms no document holds, has no row. Rows that share a
     doc_id are documents each, those of null id too, which come last among equals; repeated rows of items count once, and
     items that share an id but not a text are ranked each. Empty tables give an empty one, other columns are not looked at.
-    A document of any length is one task's, parted PIECE bytes at a time; a shard holds it whole, as numbers of terms.
+    A document of any length is one task's, and one shard's.
     """
     return search(build_index(df, id_col, text_col, segment_bytes), items, item_col, item_text, top)
