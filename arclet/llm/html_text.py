@@ -10,7 +10,7 @@ from __future__ import annotations
 import html
 import re
 from dataclasses import dataclass, field
-from functools import cache
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -44,6 +44,12 @@ AROUND_ROLES = frozenset("navigation banner contentinfo complementary search dia
 ATTRIBUTE = re.compile(r"([a-zA-Z][^\s=/>\"']*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]*)))?")
 TAG_NAME = re.compile(r"/?([a-zA-Z][^\s/>]*)")
 IN_TAG = re.compile("[>\"']")
+#: Elements that "/>" ends at once, and a slash that is the last of an unquoted value, so that it ends nothing.
+FOREIGN = frozenset("svg math".split())
+IN_VALUE = re.compile(r"=\s*[^\s\"'>]*/$")
+#: A bit for each element that another of its kind ends, and elements beyond which none does.
+ENDING = {tag: 1 << i for i, tag in enumerate(sorted(SELF_CLOSING))}
+HOLDING = BLOCK_TAGS - SELF_CLOSING
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 
 FEATURES = ("words", "link_density", "words_before", "links_before", "words_after", "links_after", "tag", "name", "form", "heading", "item")
@@ -177,9 +183,12 @@ class Block:
 SAYING = AROUND_TAGS | ARTICLE_TAGS | HEADINGS | ITEMS | {"form"}
 
 
-@cache
 def _named(value: str) -> int:
     """What a class or id says: 2 for comments, -1 for what stands around an article, 1 for one."""
+    return _known(value) if len(value) < 500 else _said(value)
+
+
+def _said(value: str) -> int:
     said = 0
     for name in value.lower().split():
         parts = set(re.split(r"[^a-z0-9]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", name)))
@@ -194,6 +203,10 @@ def _named(value: str) -> int:
     return said
 
 
+#: Pages of a site say the same again and again.
+_known = lru_cache(1 << 16)(_said)
+
+
 def _inside(outer: State, tag: str, attributes: str) -> State:
     """The state inside an element that opens in another's. What is further in decides, but a name never calls back what an
     element around it has said, and an article among comments is one of them."""
@@ -209,7 +222,7 @@ def _inside(outer: State, tag: str, attributes: str) -> State:
         for m in ATTRIBUTE.finditer(attributes):
             name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
             if name in ("class", "id") and tag not in ("html", "body"):
-                said = _named(value[:200])
+                said = _named(value)
                 s.comment |= said == 2
                 if said < 0 or said == 1 and s.name == 0:
                     s.name = said
@@ -262,7 +275,7 @@ def _tags(page: str):
         yield start, end, tag, page[start + 1] == "/", page[name.end() : end - 1] if name else ""
         at = end
         if tag in RAW_TAGS and page[start + 1] != "/":
-            raw = tag
+            raw = "" if tag in FOREIGN and page[end - 2 : end - 1] == "/" and not IN_VALUE.search(page, start, end - 1) else tag
 
 
 def plain(text: str) -> str:
@@ -272,7 +285,8 @@ def plain(text: str) -> str:
 def blocks(page: str) -> list[Block]:
     """The flat blocks with text of a page, in order, with features. Markup may be unclosed or cut short."""
     found: list[Block] = []
-    stack: list[tuple[str, State]] = []
+    # Of each open element its kind, what it says, and which kinds that another ends are open in its block, as bits.
+    stack: list[tuple[str, State, int]] = []
     count: dict[str, int] = {}
     links = 0
     text: list[str] = []
@@ -300,7 +314,7 @@ def blocks(page: str) -> list[Block]:
         # Up to the element itself; what it left open ends with it.
         nonlocal links
         while count.get(tag):
-            t, _ = stack.pop()
+            t = stack.pop()[0]
             count[t] -= 1
             links -= t == "a"
             if t == tag:
@@ -320,12 +334,13 @@ def blocks(page: str) -> list[Block]:
             continue
         if tag in RAW_TAGS or tag in VOID_TAGS or attributes.endswith("/") and tag not in BLOCK_TAGS:
             continue
-        if tag in SELF_CLOSING and any(t == tag for t, _ in stack[-3:]):
+        if tag in ENDING and stack and stack[-1][2] & ENDING[tag]:
             close(tag)
         if tag == "body":
             # What the head left open is over.
             stack, count, links = [], {}, 0
-        stack.append((tag, _inside(stack[-1][1] if stack else State(), tag, attributes)))
+        _, outer, ending = stack[-1] if stack else ("", State(), 0)
+        stack.append((tag, _inside(outer, tag, attributes), 0 if tag in HOLDING else ending | ENDING.get(tag, 0)))
         count[tag] = count.get(tag, 0) + 1
         links += tag == "a"
     add(page[at:])
