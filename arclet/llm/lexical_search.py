@@ -20,7 +20,6 @@ from functools import reduce
 from itertools import count
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -283,14 +282,14 @@ def search(index: DataFrame, items: DataFrame, item_col: str = "item_id", text_c
         asked = sorted({t for _, _, terms in block for t in terms})
         if not n_docs or not asked:
             return []
-        names = spark.createDataFrame(pd.DataFrame({"term": asked}), "term string")
+        names = spark.createDataFrame([(t,) for t in asked], "term string")
         lists = index.select(F.explode(F.arrays_zip("terms", "holders")).alias("t")).select("t.terms", "t.holders")
         df = lists.join(F.broadcast(names), F.col("terms") == F.col("term")).groupBy("term").agg(F.sum("holders").alias("df"))
         weight = F.floor(1000 * F.log((2.0 * n_docs + 2) / (2.0 * F.col("df") + 1)))
         held = df.select("term", weight.alias("w")).collect()
         place = {r.term: i for i, r in enumerate(held)}
         own = [(number, [(place[t], k) for t, k in terms.items() if t in place]) for number, _, terms in block]
-        ids = spark.createDataFrame(pd.DataFrame({"item": [b[0] for b in block], "item_id": pd.array([b[1] for b in block], "Int64")}), "item long, item_id long")
+        ids = spark.createDataFrame([(number, item) for number, item, _ in block], "item long, item_id long")
         # A task may run over several shards, and sends top rows an item at most.
         found = index.mapInArrow(_search(own, [r.term for r in held], [r.w for r in held], n_docs, n_terms, top), "item long, doc_id long, score long")
         return [found.join(F.broadcast(ids), "item").select("item_id", "item", "doc_id", "score")]
