@@ -23,10 +23,8 @@ from .common import share_code, stored, text_frame
 
 #: Learning rows at most, a documented bound: of each language those whose hashed ids are smallest.
 TRAIN_ROWS_A_LANGUAGE = 500
-#: The same for all languages together.
+#: The same for all languages together. Every language has a row at least, so that this bounds their number too.
 TRAIN_ROWS = 4000
-#: Languages that are learned at most.
-MAX_LANGUAGES = 1000
 #: Buckets that n-grams are hashed to; those that share one count together.
 BUCKETS = 1 << 12
 RIDGE = 0.05
@@ -113,24 +111,28 @@ def _features_of(batches):
 def fit_codes(labelled: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", rows_a_language: int = TRAIN_ROWS_A_LANGUAGE) -> Codes:
     """Learns from rows with text and language: at most rows_a_language of each, taken by hashed id.
 
-    Documented bounds: rows_a_language, TRAIN_ROWS in all, and the MAX_LANGUAGES languages with the most rows. Rows of one id
-    and language are drawn together. Without rows every text is "und". Two passes: one over ids and languages alone, for
-    their numbers, and one that takes texts of the lowest hashes.
+    Documented bounds: rows_a_language, and TRAIN_ROWS in all, which all languages that have a text with a letter share: of
+    those with many rows as many go as it takes, and a language keeps one at least. Beyond TRAIN_ROWS languages the first by
+    name are learned. Rows of one id and language are drawn together; rows of null id come last. Without rows every text is
+    "und". Two passes: one finds which rows are drawn, of which it moves numbers only, one takes their texts.
     """
     share_code(labelled.sparkSession)
-    rows = labelled.select(F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")).where("lang is not null")
-    # One row a language, and MAX_LANGUAGES at most.
-    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES)
-    # Hashes lie evenly, so this share of a language holds about twice as many rows as are wanted.
-    rank = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) / float(1 << 40)
-    some = rows.join(F.broadcast(sizes), "lang").where(rank * F.col("n") <= 2.0 * rows_a_language + 50).drop("n")
-    some = stored(some.where(r"text is not null and text rlike '\\p{L}'"))
-    nth = F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")))
-    sample = some.withColumn("nth", nth).where(F.col("nth") <= rows_a_language).drop("nth")
+    rows = labelled.select(F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
+    rows = rows.where(r"lang is not null and text is not null and text rlike '\\p{L}'").withColumn("mark", F.xxhash64("text"))
+    # Each task sends rows_a_language rows of a language at most.
+    nth = F.row_number().over(W.partitionBy("lang").orderBy(F.col("doc_id").isNull(), F.xxhash64("doc_id"), "doc_id", "mark"))
+    drawn = rows.select("doc_id", "lang", "mark").withColumn("nth", nth).where(F.col("nth") <= rows_a_language)
+    # So many of each language that all have TRAIN_ROWS at most: bounded numbers, one for each place in a language's order.
+    drawn = stored(drawn)
+    upto, quota = 0, 0
+    for r in drawn.groupBy("nth").count().orderBy("nth").collect():
+        upto += r["count"]
+        quota = r["nth"] if upto <= TRAIN_ROWS or r["nth"] == 1 else quota
+    drawn = drawn.where(F.col("nth") <= quota).orderBy("nth", "lang").limit(TRAIN_ROWS).drop("nth").distinct()
+    sample = rows.join(F.broadcast(drawn.withColumnRenamed("doc_id", "id")), F.col("doc_id").eqNullSafe(F.col("id")) & (rows["lang"] == drawn["lang"]) & (rows["mark"] == drawn["mark"]))
+    sample = sample.select("doc_id", rows["lang"], "text").dropDuplicates(["doc_id", "lang", "text"])
     data = sample.mapInPandas(_features_of, "doc_id long, lang string, col array<int>, val array<float>").toPandas()
-    data = data.sort_values(["lang", "doc_id"]).reset_index(drop=True)
-    if len(data) > TRAIN_ROWS:
-        data = data.iloc[np.linspace(0, len(data) - 1, TRAIN_ROWS).astype(int)].reset_index(drop=True)
+    data = data.sort_values(["lang", "doc_id"], kind="stable").reset_index(drop=True)
     langs = sorted(set(data["lang"]))
     if not langs:
         return Codes([], np.zeros((0, 1)), np.zeros((1, BUCKETS)), np.zeros(1), np.ones(1))
