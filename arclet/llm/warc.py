@@ -2,7 +2,7 @@
 
 The archive is tables in one folder: payloads (key, payload) and headers (page_id, key, and the exact bytes of each record's
 head, that of HTTP included). A record is its head, its payload (none for a revisit) and two line ends, and is rebuilt by
-joining the two. Reading takes nothing from the writer but these bytes: heads are parsed, lengths and digests verified.
+joining the two. Reading parses these bytes and verifies lengths, digests and addresses.
 """
 
 from __future__ import annotations
@@ -44,14 +44,18 @@ def page_of(record: str) -> int | None:
     return None if whole >> 64 & NO_PAGE else low - (1 << 64) if low >> 63 else low
 
 
-def record_head(page_id: int | None, row: int, url: str | None, size: int, sha1: str, first: str | None) -> bytes:
+def target_uri(url: str) -> str:
+    """A URL as its header has it: byte by byte, but for what would end the line."""
+    return url.replace("\r", "%0D").replace("\n", "%0A")
+
+
+def record_head(page_id: int | None, row: int, url: str | None, size: int, sha1: str, first: str | None, date: str = DATE) -> bytes:
     """The head of a WARC 1.1 record of an HTTP answer, up to and with the empty line of the HTTP head. size: bytes of the
     full payload; first: the record that this one revisits, or None for a response."""
     answer = CRLF.join(["HTTP/1.1 200 OK", "Content-Type: text/html; charset=utf-8", f"Content-Length: {size}"]) + CRLF * 2
-    lines = ["WARC/1.1", f"WARC-Type: {'response' if first is None else 'revisit'}", f"WARC-Record-ID: {record_id(page_id, row)}", f"WARC-Date: {DATE}"]
+    lines = ["WARC/1.1", f"WARC-Type: {'response' if first is None else 'revisit'}", f"WARC-Record-ID: {record_id(page_id, row)}", f"WARC-Date: {date}"]
     if url is not None:
-        # A line end in a URL would end the header.
-        lines.append("WARC-Target-URI: " + url.replace("%", "%25").replace("\r", "%0D").replace("\n", "%0A"))
+        lines.append("WARC-Target-URI: " + target_uri(url))
     lines += ["Content-Type: application/http; msgtype=response", f"WARC-Payload-Digest: sha1:{sha1}"]
     if first is not None:
         lines += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {first}"]
@@ -85,12 +89,15 @@ def _number(x) -> int | None:
     return None if pd.isna(x) else int(x)
 
 
-def _heads(batches):
-    for pdf in batches:
-        pages, heads = [_number(p) for p in pdf["page_id"]], []
-        for page, row, url, size, sha1, first, first_row in zip(pages, pdf["row"], pdf["url"], pdf["size"], pdf["sha1"], pdf["first_page"], pdf["first_row"]):
-            heads.append(record_head(page, row, url, size, sha1, None if row == first_row else record_id(_number(first), int(first_row))))
-        yield pd.DataFrame({"page_id": pd.array(pages, "Int64"), "key": pdf["key"], "kept": pdf["row"] == pdf["first_row"], "head": heads})
+def _heads(date: str):
+    def run(batches):
+        for pdf in batches:
+            pages, heads = [_number(p) for p in pdf["page_id"]], []
+            for page, row, url, size, sha1, first, first_row in zip(pages, pdf["row"], pdf["url"], pdf["size"], pdf["sha1"], pdf["first_page"], pdf["first_row"]):
+                heads.append(record_head(page, row, url, size, sha1, None if row == first_row else record_id(_number(first), int(first_row)), date))
+            yield pd.DataFrame({"page_id": pd.array(pages, "Int64"), "url": pdf["url"], "key": pdf["key"], "kept": pdf["row"] == pdf["first_row"], "head": heads})
+
+    return run
 
 
 def _verified(batches):
@@ -101,14 +108,15 @@ def _verified(batches):
         yield pdf[["key", "payload"]]
 
 
-def write_archive(df: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_bytes: int = LEAST_BYTES) -> None:
+def write_archive(df: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_bytes: int = LEAST_BYTES, date: str = DATE) -> None:
     """Writes df's pages as an archive in the folder path, which all executors see: a record for every row.
 
     The payload is html in UTF-8 (null: empty). Of equal payloads of least_bytes bytes or more the one with the smallest
     page_id is stored, as a response; the others are revisits of it. Null ids come last, and of rows that share an id one is
     first. Payloads move only once each: copies meet as digests, and the first of a payload that very many pages share is
-    found before the shuffle. An empty table makes an empty archive; other columns of df are not looked at. A page, however
-    long, is one task's.
+    found before the shuffle. A URL goes into its header as it is, but for line ends, and as it was into the table of headers; date
+    is when the pages were fetched. An empty table makes an empty archive, a folder that is there already is an error; other
+    columns of df are not looked at. A page, however long, is one task's.
     """
     spark = df.sparkSession
     share_code(spark)
@@ -123,7 +131,7 @@ def write_archive(df: DataFrame, path: str, id_col: str = "page_id", url_col: st
     shared = seen.join(firsts.select("key", "f"), "key", "left")
     copy = (F.col("size") >= least_bytes) & F.col("f").isNotNull()
     heads = shared.withColumn("first_page", F.when(copy, F.col("f.page_id")).otherwise(F.col("page_id"))).withColumn("first_row", F.when(copy, F.col("f.row")).otherwise(F.col("row")))
-    heads.drop("f").mapInPandas(_heads, "page_id long, key binary, kept boolean, head binary").write.parquet(f"{path}/headers")
+    heads.drop("f").mapInPandas(_heads(date), "page_id long, url string, key binary, kept boolean, head binary").write.parquet(f"{path}/headers")
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     stored = pages.withColumn("payload", payload).withColumn("key", F.unhex(F.sha2("payload", 256)))
     # Bytes of one digest are compared by a second digest of another family, before and after the shuffle.
@@ -134,39 +142,52 @@ def write_archive(df: DataFrame, path: str, id_col: str = "page_id", url_col: st
 def _read(batches):
     for pdf in batches:
         rows = []
-        for record, stored in zip(pdf["record"], pdf["payload"]):
+        for record, url, sha1, size in zip(pdf["record"], pdf["url"], pdf["sha1"], pdf["size"]):
             fields, answer, payload = parse_record(record)
             kept = fields["WARC-Type"] == "response"
-            sha1 = fields["WARC-Payload-Digest"].removeprefix("sha1:")
-            size = int(answer["Content-Length"])
-            full = payload if kept else stored
-            if len(full) != size or base32_sha1(full) != sha1:
+            said = (fields["WARC-Payload-Digest"].removeprefix("sha1:"), int(answer["Content-Length"]))
+            # A revisit's payload is in another record; what is known of it is its digest and size.
+            if said != ((base32_sha1(payload), len(payload)) if kept else (sha1, size)):
                 raise ValueError(f"the payload of {fields['WARC-Record-ID']} is not that of its digest")
-            url = fields.get("WARC-Target-URI")
-            url = None if url is None else url.replace("%0A", "\n").replace("%0D", "\r").replace("%25", "%")
-            rows.append((page_of(fields["WARC-Record-ID"]), url, size, sha1, fields["WARC-Type"], page_of(fields["WARC-Refers-To"]) if not kept else None))
+            if fields.get("WARC-Target-URI") != (None if url is None else target_uri(url)):
+                raise ValueError(f"{fields['WARC-Record-ID']} has another URL than its head")
+            rows.append((page_of(fields["WARC-Record-ID"]), url, said[1], said[0], fields["WARC-Type"], page_of(fields["WARC-Refers-To"]) if not kept else None))
         out = pd.DataFrame(rows, columns=["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to"])
         yield out.assign(page_id=out["page_id"].astype("Int64"), refers_to=out["refers_to"].astype("Int64"))
 
 
+def _measured(batches):
+    for pdf in batches:
+        yield pd.DataFrame({"key": pdf["key"], "sha1": [base32_sha1(p) for p in pdf["payload"]], "size": [len(p) for p in pdf["payload"]]})
+
+
 def records(spark: SparkSession, path: str) -> DataFrame:
-    """The archive's records, rebuilt: page_id, record (exact bytes), payload (the full payload, of revisits too)."""
+    """The archive's records, rebuilt: page_id, url, key, kept, record (exact bytes). A payload moves once, to the record that has
+    it (each, where copies were too short to be revisits)."""
     heads, payloads = spark.read.parquet(f"{path}/headers"), spark.read.parquet(f"{path}/payloads")
     end = F.lit(b"\r\n\r\n")
-    rows = heads.join(payloads, "key")
-    return rows.select("page_id", F.when(F.col("kept"), F.concat("head", "payload", end)).otherwise(F.concat("head", end)).alias("record"), "payload")
+    kept = heads.where("kept").join(payloads, "key").withColumn("record", F.concat("head", "payload", end))
+    others = heads.where("not kept").withColumn("record", F.concat("head", end))
+    columns = ["page_id", "url", "key", "kept", "record"]
+    return kept.select(columns).unionByName(others.select(columns))
 
 
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
-    """What the records say: page_id, url, payload_bytes, payload_digest, record_type, refers_to. Every digest is verified."""
+    """What the records say: page_id, url, payload_bytes, payload_digest, record_type, refers_to. Every digest is verified: that of a
+    revisit by the digest and size of its payload, so that no payload is sent to the records that revisit it."""
     share_code(spark)
-    return records(spark, path).select("record", "payload").mapInPandas(_read, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    every = records(spark, path)
+    sizes = spark.read.parquet(f"{path}/payloads").mapInPandas(_measured, "key binary, sha1 string, size long")
+    none = [F.lit(None).cast("string").alias("sha1"), F.lit(0).cast("long").alias("size")]
+    rows = every.where("kept").select("record", "url", *none).unionByName(every.where("not kept").join(sizes, "key").select("record", "url", "sha1", "size"))
+    return rows.mapInPandas(_read, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
-def export_warc(spark: SparkSession, path: str, folder: str) -> list[str]:
+def export_warc(spark: SparkSession, path: str, folder: str, date: str = DATE) -> list[str]:
     """The archive as .warc.gz files in a folder, each a warcinfo record and members of one record each; their paths.
 
-    Records are packed by tasks into members; the driver passes on one task's at a time. A file ends after about 1 GB.
+    Records are packed by tasks into members; the driver passes on one task's at a time. A file ends after about 1 GB. Files of
+    the same names in the folder are written over; an empty archive makes none.
     """
     share_code(spark)
 
@@ -184,7 +205,7 @@ def export_warc(spark: SparkSession, path: str, folder: str) -> list[str]:
             files, where = file_system(spark, made[-1])
             out, size = files.create(where, True), 0
             block = f"software: arclet{CRLF}format: WARC File Format 1.1{CRLF}".encode()
-            info = CRLF.join(["WARC/1.1", "WARC-Type: warcinfo", f"WARC-Record-ID: <urn:uuid:{uuid.uuid4()}>", f"WARC-Date: {DATE}", "Content-Type: application/warc-fields", f"Content-Length: {len(block)}"])
+            info = CRLF.join(["WARC/1.1", "WARC-Type: warcinfo", f"WARC-Record-ID: <urn:uuid:{uuid.uuid4()}>", f"WARC-Date: {date}", "Content-Type: application/warc-fields", f"Content-Length: {len(block)}"])
             out.write(gzip.compress(info.encode() + b"\r\n\r\n" + block + b"\r\n\r\n", mtime=0))
         out.write(bytes(r.chunk))
         size += len(r.chunk)
