@@ -1,4 +1,4 @@
-"""python -m arclet --run x.sim --outfile folder [--overrides trials.json]: runs a simulation document."""
+"""python -m arclet --run x.sim --outfile folder [--overrides trials.json] [--index folder]: runs a simulation document."""
 
 from __future__ import annotations
 
@@ -16,11 +16,12 @@ def main(argv: list[str] | None = None) -> None:
     parser.add_argument("--run", required=True)
     parser.add_argument("--outfile", required=True)
     parser.add_argument("--overrides", help="JSON: by trial number, parameters that differ there")
+    parser.add_argument("--index", help="a folder that all executors see, where traced rays stay for later runs")
     args = parser.parse_args(argv)
     spark = SparkSession.builder.appName("arclet").getOrCreate()
     read = lambda path: json.loads(spark.read.text(path, wholetext=True).first()[0])
     overrides = {int(k): v for k, v in read(args.overrides).items()} if args.overrides else {}
-    run_simulation(spark, simulation(read(args.run), overrides), args.outfile)
+    run_simulation(spark, simulation(read(args.run), overrides), args.outfile, index=args.index)
 
 
 if __name__ == "__main__":

@@ -19,6 +19,8 @@ NAMED = {
 }
 # Stars from this mass on have become remnants of that mass.
 REMNANTS = ((0.8, 0.6), (8.0, 1.4), (30.0, 10.0))
+#: Halvings of the interval that holds a largest star.
+BISECTIONS = 60
 
 
 def power_integral(m, power: float):
@@ -87,14 +89,18 @@ class PowerLaw:
         return cut
 
     def largest_star(self, total: float) -> float:
-        """The mass above which a cluster of that total mass has one star, by bisection."""
+        """The mass of the largest star of a cluster of that total mass: above it lies one star, and below it the total.
+
+        So the mass up to it over the number of stars from it to the largest possible one, which no star of the cluster
+        passes, is the total; that quotient grows with it, and bisection finds it.
+        """
         one = PowerLaw(self.limits, self.powers)
-        a, c = self.limits[0], min(self.limits[-1], total)
-        b = (a + c) / 2
-        while (c - a) / b > 1e-5:
-            a, c = (b, c) if one.integral(self.limits[0], b, 1) / one.integral(b, c if math.isfinite(c) else 1e12, 0) < total else (a, b)
+        low, high = self.limits[0], min(self.limits[-1], total)
+        a, c = low, high
+        for _ in range(BISECTIONS):
             b = (a + c) / 2
-        return b
+            a, c = (b, c) if one.integral(low, b, 1) < total * one.integral(b, high) else (a, b)
+        return (a + c) / 2
 
     def sample(self, u, top: float | None = None):
         """Masses for uniform numbers in [0, 1), by inverting the cumulative number up to top."""
@@ -162,14 +168,53 @@ def integral_column(low: Column, high: Column, law: PowerLaw, weight: int = 0) -
     return F.lit(float(law.k)) * total
 
 
-def sample_column(u: Column, law: PowerLaw, top: float | None = None) -> Column:
-    """PowerLaw.sample as a column of a uniform column."""
-    ends = np.minimum(law.limits, min(law.limits[-1], top if top is not None else math.inf))
-    mass = [c * float(power_integral(b, p) - power_integral(a, p)) if b > a else 0.0 for c, p, a, b in zip(law.coeffs, law.powers, ends[:-1], ends[1:])]
+def largest_star_column(total: Column, law: PowerLaw) -> Column:
+    """PowerLaw.largest_star as a column of total masses: the interval is halved in an array's fold, row by row."""
+    low = float(law.limits[0])
+    one = PowerLaw(law.limits, law.powers)
+
+    def halved(s, _):
+        b = (s["a"] + s["c"]) / 2
+        more = integral_column(F.lit(low), b, one, 1) < s["total"] * integral_column(b, s["high"], one)
+        return F.struct(F.when(more, b).otherwise(s["a"]).alias("a"), F.when(more, s["c"]).otherwise(b).alias("c"), s["total"].alias("total"), s["high"].alias("high"))
+
+    high = F.least(F.lit(float(law.limits[-1])), total.cast("double"))
+    first = F.struct(F.lit(low).alias("a"), high.alias("c"), total.cast("double").alias("total"), high.alias("high"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(BISECTIONS)), first, halved, lambda s: (s["a"] + s["c"]) / 2)
+
+
+def log_normal_column(m: Column, mean: float, sigma: float) -> Column:
+    """log_normal() as a column."""
+    z = F.log10(m) - F.lit(mean)
+    return F.exp(-(z * z) / F.lit(2 * sigma**2)) / m
+
+
+def step_column(x: Column, closed: bool = False) -> Column:
+    """1 above 0, or from 0 on, else 0."""
+    return (x >= 0 if closed else x > 0).cast("double")
+
+
+def error_column(x: Column) -> Column:
+    """error() as a column."""
+    s = F.lit(WINITZKI) * x * x
+    return F.signum(x) * F.sqrt(-F.expm1(-x * x * (F.lit(4 / math.pi) + s) / (F.lit(1.0) + s)))
+
+
+def log_normal_integral_column(m: Column, mean: float, sigma: float) -> Column:
+    """log_normal_integral() as a column, by error_column()."""
+    z = (F.log10(m) - F.lit(mean)) / F.lit(math.sqrt(2) * sigma)
+    return F.lit(sigma * math.log(10) * math.sqrt(math.pi / 2)) * error_column(z)
+
+
+def sample_column(u: Column, law: PowerLaw, top: float | Column | None = None) -> Column:
+    """PowerLaw.sample as a column of a uniform column; top may be a column too."""
+    one = PowerLaw(law.limits, law.powers)
+    ends = one.limits if isinstance(top, Column) else np.minimum(one.limits, min(one.limits[-1], top if top is not None else math.inf))
+    mass = [c * float(power_integral(b, p) - power_integral(a, p)) if b > a else 0.0 for c, p, a, b in zip(one.coeffs, one.powers, ends[:-1], ends[1:])]
     cum = np.concatenate(([0.0], np.cumsum(mass)))
-    x, out = u * float(cum[-1]), None
-    for s in range(len(law.powers)):
-        p, y = float(law.powers[s]), (x - float(cum[s])) / float(law.coeffs[s]) + float(power_integral(ends[s], law.powers[s]))
+    x, out = u * (integral_column(F.lit(float(one.limits[0])), top, one) if isinstance(top, Column) else float(cum[-1])), None
+    for s in range(len(one.powers)):
+        p, y = float(one.powers[s]), (x - float(cum[s])) / float(one.coeffs[s]) + float(power_integral(ends[s], one.powers[s]))
         m = F.exp(y) if p == -1 else F.pow(y * (p + 1), F.lit(1 / (p + 1)))
         out = m if out is None else F.when(x >= float(cum[s]), m).otherwise(out)
     return out

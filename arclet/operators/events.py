@@ -69,6 +69,14 @@ def bucket_sample(rows: DataFrame, n: int, seed: int) -> DataFrame:
     return rows.orderBy(F.rand(seed)).limit(n)
 
 
+def bucket_samples(rows: DataFrame, n: int, seed: int, bucket: str = "class", keys=("line_id",)) -> DataFrame:
+    """n rows of every bucket without replacement: those whose keys' hash with a seed is least, so that the same are drawn whatever
+    the partitions. Each task sends n rows of a bucket at most."""
+    mark = F.md5(F.concat_ws(":", F.lit(str(seed)), *keys))
+    nth = F.row_number().over(W.partitionBy(bucket).orderBy(mark, *keys))
+    return rows.withColumn("_nth", nth).where(F.col("_nth") <= n).drop("_nth")
+
+
 def normalized_sample(curve: DataFrame, keys=("line_id", "event_id")) -> DataFrame:
     """keys, pos, v: the least value at 0, turned round if it starts no lower than it ends, the peak at pos 0."""
     w = W.partitionBy(*keys)

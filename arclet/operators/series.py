@@ -334,6 +334,28 @@ def clipped_baseline(v: np.ndarray, sigma: float = 3.0) -> tuple[float, float]:
         own = kept
 
 
+def clipped_baselines(curve: DataFrame, sigma: float = 3.0, keys=KEY) -> DataFrame:
+    """keys, mean, middle: clipped_baseline() of every series, as a fold of its sorted values: a round keeps those within the bounds
+    of the round before, until none goes. Rounds are at most as many as samples, and those after the last cost nothing."""
+
+    def figures(own: Column) -> Column:
+        n = F.size(own)
+        mean = F.aggregate(own, F.lit(0.0), lambda s, x: s + x) / n
+        return F.get(F.transform(F.array(mean), lambda m: F.struct(n.alias("n"), m.alias("mean"), F.sqrt(F.aggregate(own, F.lit(0.0), lambda s, x: s + (x - m) * (x - m)) / n).alias("deviation"))), F.lit(0))
+
+    def clipped(s, _):
+        kept = F.filter("_v", lambda x: (x >= s["mean"] - F.lit(sigma) * s["deviation"]) & (x <= s["mean"] + F.lit(sigma) * s["deviation"]))
+        now = lambda own: F.when(F.size(own) == s["n"], F.struct(s["n"].alias("n"), s["mean"].alias("mean"), s["deviation"].alias("deviation"), F.lit(True).alias("done"))).otherwise(
+            F.get(F.transform(F.array(figures(own)), lambda f: F.struct(f["n"].alias("n"), f["mean"].alias("mean"), f["deviation"].alias("deviation"), F.lit(False).alias("done"))), F.lit(0)))
+        return F.when(s["done"], s).otherwise(F.get(F.transform(F.array(kept), now), F.lit(0)))
+
+    rows = curve.groupBy(*keys).agg(F.sort_array(F.collect_list(F.col("v").cast("double"))).alias("_v")).withColumn("_f", figures(F.col("_v")))
+    first = F.struct(F.col("_f.n").alias("n"), F.col("_f.mean").alias("mean"), F.col("_f.deviation").alias("deviation"), F.lit(False).alias("done"))
+    end = rows.withColumn("_s", F.aggregate(F.sequence(F.lit(1), F.size("_v")), first, clipped))
+    # The bounds lie evenly about the mean of what they keep.
+    return end.select(*keys, F.col("_s.mean").alias("mean"), F.col("_s.mean").alias("middle"))
+
+
 DETECTORS = {"sobel": sobel_peaks, "drop": drop_peaks, "threshold": threshold_events, "isolate": isolated_events}
 
 

@@ -82,6 +82,17 @@ sums AS (SELECT ray_id, x, y, sum(m * dx / (dx * dx + dy * dy)) AS ax, sum(m * d
 rays AS (SELECT ray_id, x, y, {1 - SHEAR - SMOOTH}::DOUBLE * x - ax AS bx, {1 + SHEAR - SMOOTH}::DOUBLE * y - ay AS yb, ({1 - SHEAR - SMOOTH}::DOUBLE - p) * ({1 + SHEAR - SMOOTH}::DOUBLE + p) - c * c AS det FROM sums)"""
 
 
+def lens_places(spark, sf_dir):
+    """Places in the lens plane, one for each line item, and what lens each is behind."""
+    k, n = F.col("l_orderkey"), F.col("l_linenumber")
+    return table(spark, sf_dir, "lineitem").select(
+        (k * 8 + n).alias("ray_id"), ((k % 193 - 96) * 0.0625).alias("x"), ((F.col("l_partkey") % 161 - 80) * 0.0625).alias("y"),
+    )
+
+
+PLACES = """places AS (SELECT l_orderkey * 8 + l_linenumber AS ray_id, (l_orderkey % 193 - 96) * 0.0625::DOUBLE AS x, (l_partkey % 161 - 80) * 0.0625::DOUBLE AS y FROM lineitem)"""
+
+
 def points(spark, sf_dir):
     """Source-plane points of lineitem with their places in the lens plane and a parity."""
     return table(spark, sf_dir, "lineitem").select(
@@ -164,7 +175,7 @@ def cell_map(spark, sf_dir):
 
 @query(f"WITH {TRACED} SELECT ray_id, round(bx, 6) + 0.0 AS bx, round(yb, 6) + 0.0 AS \"by\" FROM rays")
 def ray_trace_micro(spark, sf_dir):
-    return traced(spark, sf_dir).select("ray_id", r6("bx", "bx"), r6("by", "by"))
+    return T.micro_trace(lattice(spark), stars(spark, sf_dir), SMOOTH, SHEAR, False, "sql").select("ray_id", r6("bx", "bx"), r6("by", "by"))
 
 
 @query(ORACLE["ray_trace_micro"])
@@ -177,19 +188,19 @@ def jacobian_parity(spark, sf_dir):
     return traced(spark, sf_dir).groupBy(F.col("parity").cast("int").alias("parity")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"WITH {LATTICE} SELECT ray_id, round({1 - SHEAR}::DOUBLE * x - {SMOOTH}::DOUBLE * x, 6) + 0.0 AS bx, round({1 + SHEAR}::DOUBLE * y - {SMOOTH}::DOUBLE * y, 6) + 0.0 AS \"by\" FROM lattice")
+@query(f"WITH {PLACES} SELECT ray_id, round({1 - SHEAR}::DOUBLE * x - {SMOOTH}::DOUBLE * x, 6) + 0.0 AS bx, round({1 + SHEAR}::DOUBLE * y - {SMOOTH}::DOUBLE * y, 6) + 0.0 AS \"by\" FROM places")
 def star_free_map(spark, sf_dir):
     bx, by = T.smooth_map(F.col("x"), F.col("y"), SMOOTH, SHEAR)
-    return lattice(spark).select("ray_id", r6(bx, "bx"), r6(by, "by"))
+    return lens_places(spark, sf_dir).select("ray_id", r6(bx, "bx"), r6(by, "by"))
 
 
-@query(f"""WITH {LATTICE}, e AS (SELECT *, x * sin(0.4) + y * cos(0.4) AS u, y * sin(0.4) - x * cos(0.4) AS v FROM lattice),
+@query(f"""WITH {PLACES}, e AS (SELECT *, x * sin(0.4) + y * cos(0.4) AS u, y * sin(0.4) - x * cos(0.4) AS v FROM places),
 s AS (SELECT *, sqrt(0.64::DOUBLE * u * u + v * v) AS s FROM e),
 d AS (SELECT ray_id, x, y, coalesce(atan(0.6::DOUBLE * u / nullif(s, 0)) * (1.5::DOUBLE / 0.6), 0) AS ex, coalesce(atanh(0.6::DOUBLE * v / nullif(s, 0)) * (1.5::DOUBLE / 0.6), 0) AS ey FROM s)
 SELECT ray_id, round(x - (ex * sin(0.4) - ey * cos(0.4) + 0.1 * cos(0.6) * x + 0.1 * sin(0.6) * y), 6) + 0.0 AS bx,
        round(y - (ex * cos(0.4) + ey * sin(0.4) + 0.1 * sin(0.6) * x - 0.1 * cos(0.6) * y), 6) + 0.0 AS "by" FROM d""")
 def ray_trace_macro(spark, sf_dir):
-    return T.macro_trace(lattice(spark), 1.5, 0.8, 0.4, 0.1, 0.3).select("ray_id", r6("bx", "bx"), r6("by", "by"))
+    return T.macro_trace(lens_places(spark, sf_dir), 1.5, 0.8, 0.4, 0.1, 0.3).select("ray_id", r6("bx", "bx"), r6("by", "by"))
 
 
 @query(f"""WITH {TRACED}, f AS (SELECT ray_id, sum(m * (dx * dx - dy * dy) / (dx * dx + dy * dy)) AS re, sum(2 * m * dx * dy / (dx * dx + dy * dy)) AS im FROM met GROUP BY ray_id)
@@ -269,12 +280,66 @@ def evolved_mass(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", imf.evolved_column(F.col("p_partkey") % 320 * 0.125).alias("mass"))
 
 
+_WK = imf.PowerLaw.named("Kroupa_2001")
+
+
+def _wk_integral(low, high, weight):
+    """The integral of the mass function between two SQL expressions."""
+    parts = []
+    for c, p, a, b in zip(_WK.coeffs, _WK.powers, _WK.limits[:-1], _WK.limits[1:]):
+        lo, hi, q = f"greatest({low}, {float(a)!r}::DOUBLE)", high if b == float("inf") else f"least({high}, {float(b)!r}::DOUBLE)", float(p + weight + 1)
+        parts.append(f"CASE WHEN {hi} > {lo} THEN {float(c)!r}::DOUBLE * (({hi}) ** {q!r}::DOUBLE - ({lo}) ** {q!r}::DOUBLE) / {q!r}::DOUBLE ELSE 0 END")
+    return "(" + " + ".join(parts) + ")"
+
+
+@query(f"""WITH RECURSIVE b AS (SELECT c_custkey, 100 + c_custkey % 2000::DOUBLE AS total, 0.01::DOUBLE AS a, 100 + c_custkey % 2000::DOUBLE AS c, 0 AS k FROM customer
+UNION ALL SELECT c_custkey, total, CASE WHEN below THEN m ELSE a END, CASE WHEN below THEN c ELSE m END, k + 1 FROM
+  (SELECT *, (a + c) / 2 AS m, {_wk_integral('0.01::DOUBLE', '((a + c) / 2)', 1)} < total * {_wk_integral('((a + c) / 2)', 'total', 0)} AS below FROM b) WHERE k < {imf.BISECTIONS})
+SELECT c_custkey, total, round((a + c) / 2, 4) AS top FROM b WHERE k = {imf.BISECTIONS}""")
+def largest_stars(spark, sf_dir):
+    """The largest star of clusters of given masses."""
+    total = (F.lit(100) + F.col("c_custkey") % 2000).cast("double")
+    return table(spark, sf_dir, "customer").select("c_custkey", total.alias("total"), F.round(imf.largest_star_column(total, _WK), 4).alias("top"))
+
+
+_SALPETER = imf.PowerLaw.named("Salpeter_1955")
+_SP = [float(imf.power_integral(m, -2.3)) for m in _SALPETER.limits]
+
+
+@query(f"""WITH c AS (SELECT n_nationkey AS cluster, 200 + n_nationkey * 7::DOUBLE AS total FROM nation),
+e AS (SELECT *, ceil(2 * total * ({_SP[1] - _SP[0]!r}::DOUBLE) / ({float(imf.power_integral(10.0, -1.3) - imf.power_integral(0.4, -1.3))!r}::DOUBLE))::BIGINT AS n FROM c),
+u AS (SELECT cluster, total, i AS star_id, ('0x' || substr(md5('11:' || cluster || ':' || i), 1, 13))::BIGINT / {1 << 52}.0::DOUBLE AS u FROM e, LATERAL (SELECT unnest(range(n + 101)) AS i)),
+m AS (SELECT *, ((u * {_SP[1] - _SP[0]!r}::DOUBLE + {_SP[0]!r}::DOUBLE) * -1.3::DOUBLE) ** (1 / -1.3::DOUBLE) AS mass FROM u),
+r AS (SELECT *, sum(round(mass * {1 << 30})::BIGINT) OVER (PARTITION BY cluster ORDER BY star_id) - round(total * {1 << 30})::BIGINT AS past FROM m),
+f AS (SELECT cluster, arg_min(star_id, (abs(past), star_id)) AS last FROM r GROUP BY cluster)
+SELECT cluster, star_id, round(mass, 6) AS mass FROM r JOIN f USING (cluster) WHERE star_id <= last""")
+def star_clusters(spark, sf_dir):
+    """The stars of a cluster for each nation, drawn by tasks."""
+    clusters = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("cluster"), (F.col("n_nationkey") * 7 + 200).cast("double").alias("total"))
+    return ST.star_clusters(clusters, _SALPETER, 11).select("cluster", "star_id", F.round("mass", 6).alias("mass"))
+
+
+@query(f"""WITH m AS (SELECT p_partkey, {_MASS} AS m FROM part), e AS (SELECT *, (log10(m) + 0.5) / {(2 ** 0.5 * 0.4)!r}::DOUBLE AS z FROM m)
+SELECT p_partkey, round(exp(-((log10(m) + 0.5) ** 2) / {2 * 0.4 ** 2!r}::DOUBLE) / m, 6) + 0.0 AS density,
+  round({0.4 * 2.302585092994046 * (3.141592653589793 / 2) ** 0.5!r}::DOUBLE * sign(z) * sqrt(1 - exp(-z * z * ({4 / 3.141592653589793!r}::DOUBLE + {imf.WINITZKI}::DOUBLE * z * z) / (1 + {imf.WINITZKI}::DOUBLE * z * z))), 6) + 0.0 AS integral,
+  (m > 1)::INT::DOUBLE AS above, (m >= 1)::INT::DOUBLE AS at_least FROM e""")
+def log_normal_masses(spark, sf_dir):
+    """The log-normal mass function and its integral by the elementary error function, and steps at one solar mass."""
+    m = (F.col("p_partkey") % 200 + 1) * F.lit(0.01)
+    cols = [r6(imf.log_normal_column(m, -0.5, 0.4), "density"), r6(imf.log_normal_integral_column(m, -0.5, 0.4), "integral"), imf.step_column(m - 1).alias("above"), imf.step_column(m - 1, True).alias("at_least")]
+    return table(spark, sf_dir, "part").select("p_partkey", *cols)
+
+
 # Lattices and lines.
 
 
-@query("SELECT (range % 21)::INT AS px, (range // 21)::INT AS py, -5 + (range % 21) * 0.5::DOUBLE AS qx, -2 + (range // 21) * 0.25::DOUBLE AS qy FROM range(357)")
+@query(f"""WITH {POINTS}, mesh AS (SELECT (range % 21)::INT AS px, (range // 21)::INT AS py, 21 + (range % 21) * 0.5::DOUBLE AS qx, 3 + (range // 21) * 0.25::DOUBLE AS qy FROM range(357))
+SELECT px, py, qx, qy, count(bx) AS n FROM mesh LEFT JOIN pts ON bx = qx AND yb = qy GROUP BY ALL""")
 def pixel_mesh(spark, sf_dir):
-    return L.query_lattice(spark, Box(Vec(0.0, 0.0), Vec(10.0, 4.0), 21, 17), True)
+    """A mesh from edge to edge, and how many points lie right on each of its nodes."""
+    at = points(spark, sf_dir).groupBy(F.col("bx").alias("qx"), F.col("by").alias("qy")).agg(F.count(F.lit(1)).alias("n"))
+    mesh = L.query_lattice(spark, Box(Vec(26.0, 5.0), Vec(10.0, 4.0), 21, 17), True)
+    return mesh.join(at, ["qx", "qy"], "left").select("px", "py", "qx", "qy", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 @query(f"WITH {POINTS} SELECT bx, yb AS \"by\", floor(bx / 0.5)::INT AS px, floor((10 - yb) / 0.25)::INT AS py, count(*) AS n FROM pts GROUP BY ALL")
@@ -334,6 +399,22 @@ def moment_map(spark, sf_dir):
     return P.moment_map(points(spark, sf_dir), PLANE, RADIUS)
 
 
+RADII = (1.5, 0.25, 2.5, 1.0, 2.0)
+_EACH = " UNION ALL ".join(f"SELECT {i} AS trial, px, py, count(*) AS m0, sum(x - bx) AS m1, sum((y - yb) * (y - yb)) AS m5 FROM pts JOIN grid ON (bx - qx) * (bx - qx) + (yb - qy) * (yb - qy) <= {r * r} GROUP BY px, py" for i, r in enumerate(RADII))
+
+
+@query(f"WITH {POINTS}, {GRID} {_EACH}")
+def multi_radius_map(spark, sf_dir):
+    """Trials that differ in their source's radius, from one pass over the rays."""
+    return J.disk_join(points(spark, sf_dir), PLANE, RADII, (0, 1, 5)).select("trial", "px", "py", "m0", "m1", "m5")
+
+
+@query(f"""WITH {SAMPLED}, {POINTS} {' UNION ALL '.join(f"SELECT {i} AS trial, curve_id, sample_idx, count(*) AS m0 FROM track JOIN pts ON (bx - qx) * (bx - qx) + (yb - qy) * (yb - qy) <= {r * r} GROUP BY ALL" for i, r in enumerate(RADII))}""")
+def multi_radius_curves(spark, sf_dir):
+    """The same for light curves."""
+    return J.disk_points(points(spark, sf_dir), track(spark, sf_dir), RADII).select("trial", "curve_id", "sample_idx", "m0")
+
+
 @query(f"""WITH {POINTS}, {GRID}, c AS (SELECT floor(bx)::INT AS px, floor(yb / 0.5)::INT AS py, count(*) AS n FROM pts WHERE parity = 0 AND bx > floor(bx) AND yb / 0.5 > floor(yb / 0.5) GROUP BY 1, 2)
 SELECT px, py, coalesce(n, 0)::DOUBLE AS value FROM grid LEFT JOIN c USING (px, py)""")
 def caustic_map(spark, sf_dir):
@@ -538,9 +619,9 @@ def magnification(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", r6(m, "magnification"))
 
 
-@query(f"WITH {LATTICE} SELECT ray_id, round(1.5 / nullif(2 * sqrt(0.64::DOUBLE * (x * sin(0.4) + y * cos(0.4)) * (x * sin(0.4) + y * cos(0.4)) + (y * sin(0.4) - x * cos(0.4)) * (y * sin(0.4) - x * cos(0.4))), 0), 6) + 0.0 AS k FROM lattice")
+@query(f"WITH {PLACES} SELECT ray_id, round(1.5 / nullif(2 * sqrt(0.64::DOUBLE * (x * sin(0.4) + y * cos(0.4)) * (x * sin(0.4) + y * cos(0.4)) + (y * sin(0.4) - x * cos(0.4)) * (y * sin(0.4) - x * cos(0.4))), 0), 6) + 0.0 AS k FROM places")
 def sie_convergence(spark, sf_dir):
-    return lattice(spark).select("ray_id", r6(C.sie_convergence(F.col("x"), F.col("y"), 1.5, 0.8, 0.4), "k"))
+    return lens_places(spark, sf_dir).select("ray_id", r6(C.sie_convergence(F.col("x"), F.col("y"), 1.5, 0.8, 0.4), "k"))
 
 
 # Maps.
@@ -590,10 +671,36 @@ def caustics_along_curve(spark, sf_dir):
     return M.caustics_along(t, P.caustic_map(points(spark, sf_dir), PLANE)).select("curve_id", "sample_idx", "px", "py")
 
 
-# Detectors. Those that depend on all that they found before have no SQL: tests hold them against plain loops.
+# Detectors. What depends on all that was found before is a recursion over a table of runs in SQL, one run or one decision at a time.
+
+
+def _smooth_sql(sigma: str) -> str:
+    """own: a Gaussian with a line's sigma, cut at four of it, over the line mirrored at its ends."""
+    return f"""{CURVES}, n AS (SELECT line_id, count(*) AS n, {sigma} AS s FROM curves GROUP BY line_id), g AS (SELECT line_id, n, unnest(range(-floor(4 * s + 0.5)::INT, floor(4 * s + 0.5)::INT + 1)) AS o, s FROM n),
+kw AS (SELECT *, exp(-0.5 * (o / s) ** 2) AS w, sum(exp(-0.5 * (o / s) ** 2)) OVER (PARTITION BY line_id) AS whole FROM g),
+put AS (SELECT c.line_id, c.sample_idx, n, w / whole AS w, (((sample_idx + o) % (2 * n)) + 2 * n) % (2 * n) AS m FROM curves c JOIN kw USING (line_id)),
+own AS (SELECT put.line_id, put.sample_idx, put.n, sum(w * v) AS sm FROM put JOIN curves c ON c.line_id = put.line_id AND c.sample_idx = CASE WHEN m < n THEN m ELSE 2 * n - 1 - m END GROUP BY ALL)"""
+
 
+_LINE = "(PARTITION BY line_id ORDER BY sample_idx)"
 
-@query()
+
+@query(f"""WITH RECURSIVE {_smooth_sql('1.1::DOUBLE')},
+gr AS (SELECT line_id, sample_idx, n, coalesce(lead(sm) OVER {_LINE}, sm) - coalesce(lag(sm) OVER {_LINE}, sm) AS g FROM own),
+sg AS (SELECT *, CASE WHEN g > 40 THEN 1 WHEN g < -40 THEN -1 ELSE 0 END AS side FROM gr),
+isl AS (SELECT *, sample_idx - row_number() OVER (PARTITION BY line_id, side ORDER BY sample_idx) AS island FROM sg),
+edge AS (SELECT line_id, n, side, min(sample_idx) AS a, max(sample_idx) + 1 AS b, row_number() OVER (PARTITION BY line_id ORDER BY min(sample_idx)) AS k FROM isl WHERE side <> 0 GROUP BY line_id, n, side, island),
+vs AS (SELECT line_id, list(v ORDER BY sample_idx) AS vs FROM curves GROUP BY line_id),
+r AS (SELECT line_id, vs, 0::BIGINT AS k, 0::BIGINT AS free, []::BIGINT[] AS kept FROM vs
+ UNION ALL SELECT line_id, vs, k, CASE WHEN skip THEN free ELSE b + 1 + CASE WHEN counts AND side > 0 THEN 5 ELSE 0 END END,
+   CASE WHEN skip OR NOT counts THEN kept WHEN len(kept) = 0 OR top - kept[-1] > 5 THEN list_append(kept, top) WHEN vs[top + 1] > vs[kept[-1] + 1] THEN list_append(kept[:-2], top) ELSE kept END
+ FROM (SELECT *, 0 < top AND top < n - 1 AND greatest(vs[top], vs[top + 2]) < vs[top + 1] AS counts FROM
+  (SELECT *, low + list_position(vs[low + 1:high], list_max(vs[low + 1:high])) - 1 AS top FROM
+   (SELECT r.line_id, vs, e.k, free, kept, side, b, n, greatest(a, free) >= b OR b = n AS skip,
+      CASE WHEN side > 0 THEN greatest(a, free) ELSE greatest(0, greatest(a, free) - 5) END AS low, CASE WHEN side > 0 THEN least(b + 6, n) ELSE b + 1 END AS high
+    FROM r JOIN edge e ON e.line_id = r.line_id AND e.k = r.k + 1)))),
+fin AS (SELECT line_id, arg_max(kept, k) AS kept FROM r GROUP BY line_id), pk AS (SELECT DISTINCT line_id, unnest(kept) AS p FROM fin)
+SELECT 0 AS trial, line_id, (row_number() OVER (PARTITION BY line_id ORDER BY p) - 1)::INT AS event_id, p::INT AS s, (p + 1)::INT AS e FROM pk""")
 def sobel_detect(spark, sf_dir):
     return S.detect(curves(spark, sf_dir), "sobel", threshold=40.0, smoothing=1.1, min_separation=5, isolated=False)
 
@@ -606,16 +713,51 @@ def find_peaks(spark, sf_dir):
     return S.detect(curves(spark, sf_dir), "drop", width=6, least=100.0)
 
 
-@query()
+_BASE = f"""{_smooth_sql('count(*) * 3 / 55.0::DOUBLE')}, df AS (SELECT line_id, sample_idx, n, v - sm AS d FROM own JOIN curves USING (line_id, sample_idx))"""
+
+
+@query(f"""WITH RECURSIVE {_BASE},
+t AS (SELECT *, coalesce((d + lag(d) OVER {_LINE}) / 2, d) AS t FROM df), u AS (SELECT *, sum(t) OVER {_LINE} AS upto FROM t),
+isl AS (SELECT *, sample_idx - row_number() OVER (PARTITION BY line_id ORDER BY sample_idx) AS island FROM u WHERE t > 0),
+rn AS (SELECT line_id, min(sample_idx) AS a, max(sample_idx) + 1 AS b, max(t) AS top FROM isl GROUP BY line_id, n, island HAVING max(sample_idx) + 1 < n),
+ru AS (SELECT rn.line_id, a, b, top, p.upto AS ua, q.upto AS ub FROM rn JOIN u p ON p.line_id = rn.line_id AND p.sample_idx = a JOIN u q ON q.line_id = rn.line_id AND q.sample_idx = b),
+ls AS (SELECT line_id, list(a ORDER BY a) AS la, list(b ORDER BY a) AS lb, list(top ORDER BY a) AS lt, list(ua ORDER BY a) AS lua, list(ub ORDER BY a) AS lub, count(*) AS m FROM ru GROUP BY line_id),
+-- phase 0: a run by itself; 1: the chain grows; 2: it is cut back from its end; 3: an event.
+st AS (SELECT line_id, 0 AS phase, 1::BIGINT AS k, 1::BIGINT AS e, 1::BIGINT AS j FROM ls
+ UNION ALL SELECT line_id, CASE phase WHEN 0 THEN CASE WHEN worth THEN 1 ELSE 0 END WHEN 1 THEN CASE WHEN grows THEN 1 ELSE 2 END WHEN 2 THEN CASE WHEN j <= k THEN 3 ELSE 2 END ELSE 0 END,
+   CASE WHEN phase = 0 AND NOT worth THEN k + 1 WHEN phase = 3 THEN e + 1 ELSE k END,
+   CASE WHEN phase = 0 THEN k WHEN phase = 1 AND grows THEN e + 1 WHEN phase = 2 AND j > k AND weak THEN j - 1 ELSE e END,
+   CASE WHEN phase = 1 THEN e WHEN phase = 2 THEN j - 1 ELSE j END
+ FROM (SELECT st.*, lub[k] - lua[k] >= 50 OR lt[k] >= 100 AS worth,
+     coalesce(e < m AND la[e + 1] - lb[e] < 5 AND (lub[e + 1] - lua[e + 1] >= 50 OR lt[e + 1] >= 100) AND la[e + 1] - la[k] < 40, false) AS grows,
+     lub[e] - lua[j] <= 50 AND list_max(lt[j:e]) <= 100 AS weak FROM st JOIN ls USING (line_id) WHERE k <= m))
+SELECT 0 AS trial, line_id, (row_number() OVER (PARTITION BY line_id ORDER BY k) - 1)::INT AS event_id, greatest(la[k] - 1, 0)::INT AS s, lb[e]::INT AS e FROM st JOIN ls USING (line_id) WHERE phase = 3""")
 def find_events(spark, sf_dir):
     return S.detect(curves(spark, sf_dir), "threshold", area=50.0, height=100.0, max_length=40, stitch=5)
 
 
-@query()
+@query(f"""WITH RECURSIVE {_BASE},
+isl AS (SELECT *, sample_idx - row_number() OVER (PARTITION BY line_id ORDER BY sample_idx) AS island FROM df WHERE d >= 0 AND sample_idx < n - 1),
+rn AS (SELECT line_id, greatest(0, min(sample_idx) - 1) AS a, max(sample_idx) + 2 AS b FROM isl GROUP BY line_id, island),
+big AS (SELECT rn.line_id, a, b, row_number() OVER (PARTITION BY rn.line_id ORDER BY a) AS k FROM rn JOIN df ON df.line_id = rn.line_id AND sample_idx >= a AND sample_idx < b - 1 GROUP BY rn.line_id, a, b HAVING max(d) - min(d) > 50),
+ds AS (SELECT line_id, list(d ORDER BY sample_idx) AS ds FROM df GROUP BY line_id),
+r AS (SELECT line_id, k, a, b, false AS pair, 1 AS ev FROM big WHERE k = 1
+ UNION ALL SELECT line_id, k, CASE WHEN joins THEN a ELSE na END, nb, joins, CASE WHEN joins THEN ev ELSE ev + 1 END
+ FROM (SELECT r.line_id, big.k, r.a, r.ev, big.a AS na, big.b AS nb,
+     NOT r.pair AND big.b - r.a < 30 AND big.a - r.b < 5 AND coalesce(list_max(list_transform(ds[r.b + 1:big.a], lambda x: abs(x))) < 200, true) AS joins
+   FROM r JOIN big ON big.line_id = r.line_id AND big.k = r.k + 1 JOIN ds ON ds.line_id = r.line_id))
+SELECT 0 AS trial, line_id, (ev - 1)::INT AS event_id, arg_max(a, k)::INT AS s, arg_max(b, k)::INT AS e FROM r GROUP BY line_id, ev""")
 def isolate_events(spark, sf_dir):
     return S.detect(curves(spark, sf_dir), "isolate", tolerance=200.0, max_length=30, stitch=5, least=50.0)
 
 
+@query(f"""WITH RECURSIVE {CURVES}, c AS (SELECT line_id, list(v) AS own, 0 AS k FROM curves GROUP BY line_id
+UNION ALL SELECT line_id, list_filter(own, lambda x: abs(x - list_avg(own)) <= 1.5 * list_stddev_pop(own)), k + 1 FROM c WHERE k < 60)
+SELECT line_id, round(list_avg(own), 4) + 0.0 AS mean, round(list_avg(own), 4) + 0.0 AS middle FROM c WHERE k = 60""")
+def clipped_baseline(spark, sf_dir):
+    return S.clipped_baselines(curves(spark, sf_dir), 1.5).select("line_id", (F.round("mean", 4) + F.lit(0.0)).alias("mean"), (F.round("middle", 4) + F.lit(0.0)).alias("middle"))
+
+
 @query(f"""WITH {CURVES}, n AS (SELECT line_id, count(*) AS n FROM curves GROUP BY line_id), g AS (SELECT i - 8 AS o, exp(-0.125 * (i - 8) * (i - 8)) AS w FROM range(17) AS t(i)),
 put AS (SELECT line_id, sample_idx, n, w / (SELECT sum(w) FROM g) AS w, (((sample_idx + o) % (2 * n)) + 2 * n) % (2 * n) AS m FROM curves JOIN n USING (line_id), g)
 SELECT put.line_id, put.sample_idx, round(sum(w * v), 4) + 0.0 AS smooth FROM put JOIN curves c ON c.line_id = put.line_id AND c.sample_idx = CASE WHEN m < n THEN m ELSE 2 * n - 1 - m END GROUP BY ALL""")
@@ -633,21 +775,22 @@ def disk_mesh(spark, sf_dir):
     return J.disk_join(points(spark, sf_dir), PLANE, RADIUS, mesh=True)
 
 
-@query(f"""WITH {POINTS} SELECT 'bx' AS axis, quantile_disc(bx, 0.25) AS v, count(*) // 4 AS k FROM pts UNION ALL SELECT 'by', quantile_disc(yb, 0.25), count(*) // 4 FROM pts""")
+@query(f"""WITH {POINTS}, n AS (SELECT count(*) AS n FROM pts), k AS (SELECT unnest([1, n // 4 + 1, n // 2, n]) AS k FROM n),
+x AS (SELECT bx AS v, row_number() OVER (ORDER BY bx) AS k FROM pts), y AS (SELECT yb AS v, row_number() OVER (ORDER BY yb) AS k FROM pts)
+SELECT 'bx' AS axis, k, v FROM x JOIN k USING (k) UNION ALL SELECT 'by', k, v FROM y JOIN k USING (k)""")
 def kth_by_axis(spark, sf_dir):
-    p = points(spark, sf_dir)
-    n = p.count()
-    return spark.createDataFrame([(c, J.kth_smallest(p, c, -(-n // 4) - 1, sort_most=1000), n // 4) for c in ("bx", "by")], "axis string, v double, k long")
+    """The least, the greatest and two values between of each axis, by rank."""
+    n = F.col("n")
+    ranks = [F.lit(1), F.floor(n / 4) + 1, F.floor(n / 2), n]
+    return J.order_statistics(points(spark, sf_dir), {"bx": ranks, "by": ranks}).select("axis", "k", "v")
 
 
-@query(f"WITH {POINTS} SELECT 0::BIGINT AS overlaps, count(*) AS n FROM pts")
+@query(f"""WITH {POINTS}, r AS (SELECT bx, row_number() OVER (ORDER BY bx) AS k, count(*) OVER () AS n FROM pts),
+cut AS (SELECT DISTINCT bx AS c FROM r, (SELECT unnest([1, 2, 3, 4, 5, 6, 7]) AS i) WHERE k = ceil(n * i / 8.0))
+SELECT column_, min(bx) AS low, max(bx) AS high, count(*) AS n FROM (SELECT bx, (SELECT count(*) FROM cut WHERE c < bx)::INT AS column_ FROM pts) GROUP BY column_""".replace("column_", '"column"'))
 def column_partitions(spark, sf_dir):
-    """Partitions by ranges of bx: how many reach into the next one, and how many points they hold."""
-    from pyspark.sql import Window as W
-
-    parts = J.by_column(points(spark, sf_dir), 8).groupBy(F.spark_partition_id().alias("part")).agg(F.min("bx").alias("low"), F.max("bx").alias("high"), F.count(F.lit(1)).alias("m"))
-    after = parts.withColumn("next", F.lead("low").over(W.orderBy("part")))
-    return after.agg(F.count(F.when(F.col("high") > F.col("next"), 1)).alias("overlaps"), F.sum("m").alias("n"))
+    """Columns of about equal size along x: their edges and how many points they hold."""
+    return J.column_ranges(points(spark, sf_dir), "bx", 8)
 
 
 @query(f"WITH {_EVENTS} SELECT line_id, event_id, min(v) AS low, max(v) AS high FROM al WHERE trial = 0 GROUP BY ALL")
@@ -683,6 +826,15 @@ def merge_buckets(spark, sf_dir):
     return E.merge_buckets(E.classification(a, 8), (0, 2, 8)).select("line_id", "class")
 
 
+@query(f"""WITH {_ASYMMETRY}, a AS (SELECT line_id, round(asymmetry, 4) AS a FROM asym), e AS (SELECT min(a) AS lo, max(a) AS hi FROM a),
+c AS (SELECT line_id, round_even((a - lo) / ((hi - lo) / 8), 0)::INT AS class FROM a, e)
+SELECT line_id, class FROM (SELECT *, row_number() OVER (PARTITION BY class ORDER BY md5('5:' || line_id), line_id) AS n FROM c) WHERE n <= 3""")
+def bucket_samples(spark, sf_dir):
+    """Three curves of every class."""
+    a = _asymmetry(spark, sf_dir).withColumn("asymmetry", F.round("asymmetry", 4))
+    return E.bucket_samples(E.classification(a, 8), 3, 5).select("line_id", "class")
+
+
 @query(f"""WITH {_SHIFTS}, pk2 AS (SELECT line_id, event_id, trial, arg_max(pos, (v, -pos)) AS p, count(*) AS n FROM al GROUP BY ALL),
 k2 AS (SELECT line_id, event_id, trial, pos - p AS k, least(p, n - p) - 1 AS half, v FROM al JOIN pk2 USING (line_id, event_id, trial)),
 d2 AS (SELECT line_id, event_id, trial, abs(k) AS far, max(v) FILTER (k > 0) - max(v) FILTER (k < 0) AS d FROM k2 WHERE k <> 0 AND abs(k) <= half GROUP BY ALL),
@@ -706,11 +858,11 @@ def drawn_curve(spark, sf_dir):
     return S.with_distance(M.drawn_curve(M.scaled(counts_map(spark, sf_dir)), (2.0, 1.0), (42.0, 10.0))).select("sample_idx", r6("v", "v"), r6("distance", "distance"))
 
 
-@query(f"""WITH {LATTICE}, k AS (SELECT ray_id, x, y, 1.5 / nullif(2 * sqrt(0.64::DOUBLE * (x * sin(0.4) + y * cos(0.4)) * (x * sin(0.4) + y * cos(0.4)) + (y * sin(0.4) - x * cos(0.4)) * (y * sin(0.4) - x * cos(0.4))), 0) AS k FROM lattice)
+@query(f"""WITH {PLACES}, k AS (SELECT ray_id, x, y, 1.5 / nullif(2 * sqrt(0.64::DOUBLE * (x * sin(0.4) + y * cos(0.4)) * (x * sin(0.4) + y * cos(0.4)) + (y * sin(0.4) - x * cos(0.4)) * (y * sin(0.4) - x * cos(0.4))), 0) AS k FROM places)
 SELECT ray_id, round(0.1::DOUBLE * cos(0.6) - k * ((x * x - y * y) / nullif(x * x + y * y, 0)), 6) + 0.0 AS g1, round(0.1::DOUBLE * sin(0.6) - k * (2 * x * y / nullif(x * x + y * y, 0)), 6) + 0.0 AS g2 FROM k""")
 def sie_shear(spark, sf_dir):
     g1, g2 = C.sie_shear(F.col("x"), F.col("y"), 1.5, 0.8, 0.4, 0.1, 0.3)
-    return lattice(spark).select("ray_id", r6(g1, "g1"), r6(g2, "g2"))
+    return lens_places(spark, sf_dir).select("ray_id", r6(g1, "g1"), r6(g2, "g2"))
 
 
 @query(f"""WITH m AS (SELECT p_partkey, {_MASS} * 0.5 AS lo, {_MASS} AS hi FROM part),

@@ -9,13 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.model import Animation, Box, LensModel, MicroParameters, Polar, Simulation, SourceModel, StarField, Vec
-from ..operators.products import caustic_map, light_curves, magnification_map, moment_map
+from ..operators.products import caustic_map, light_curves, magnification_map, moment_map, radius_maps, radius_moments
 from ..operators.series import with_distance
 from ..operators.spatial import by_column, connecting_rays
 from ..operators.trace import micro_trace
 from ..sources.lattice import ray_lattice
 from ..sources.lines import clip_lines, interpolate_lines, random_lines
-from ..sources.stars import star_table
+from ..sources.stars import star_field
 from .session import file_system
 
 KINDS = ("magmap", "momentmap", "causticmap", "lightcurves")
@@ -54,7 +54,7 @@ class Engine:
     def stars(self, p: MicroParameters) -> DataFrame:
         """The star field: its mass is the convergence in stars over the starry disk, in Einstein units."""
         disk = p.starry_region
-        return star_table(self.spark, p.stars, disk, p.split[1] * disk.area / 3.141592653589793)
+        return star_field(self.spark, p.stars, disk, p.split[1] * disk.area / 3.141592653589793)
 
     def rays(self, p: MicroParameters) -> DataFrame:
         own = p.ray_print()
@@ -92,6 +92,20 @@ class Engine:
             return caustic_map(rays, box).withColumn("moment_index", F.lit(0)).select("px", "py", "moment_index", "value")
         raise ValueError(f"no result {kind}")
 
+    def radius_result(self, trials: dict[int, MicroParameters], kind: str, settings: dict) -> DataFrame:
+        """As result(), with a trial column, for trials whose parameters differ in the source's radius only: one pass over the rays."""
+        numbers, ps = list(trials), list(trials.values())
+        p, radii = ps[0], [x.source.radius for x in ps]
+        box = Box(p.source_plane.center, p.source_plane.dims, settings["nx"], settings["ny"])
+        if kind == "magmap":
+            out = radius_maps(self.rays(p), box, radii, [x.raw_brightness for x in ps]).withColumn("moment_index", F.lit(0))
+        elif kind == "momentmap":
+            out = radius_moments(self.rays(p), box, radii)
+        else:
+            raise ValueError(f"{kind} is made trial by trial")
+        number = F.get(F.array(*[F.lit(n) for n in numbers]), F.col("trial"))
+        return out.select(number.alias("trial"), "px", "py", "moment_index", "value")
+
     def frame(self, a: Animation, t: float) -> DataFrame:
         """Rays that the source of an animation lights at a time."""
         at = a.position(t)
@@ -103,13 +117,34 @@ class Engine:
         self._rays, self._print = None, None
 
 
-def run_simulation(spark: SparkSession, sim: Simulation, path: str, strategy: str = "kernel") -> None:
-    """Writes every trial's results below path, as kind=<kind>/trial=<i> in Parquet, and a manifest in JSON."""
-    engine = Engine(spark, strategy)
+def radius_groups(sim: Simulation) -> list[dict[int, MicroParameters]]:
+    """Trials by what they share besides the source's radius, in order of their first."""
+    groups: list[tuple[MicroParameters, dict[int, MicroParameters]]] = []
     for trial in range(sim.trial_count):
         p = trial_parameters(sim, trial)
+        common = replace(p, source=replace(p.source, radius=0.0))
+        own = next((g for c, g in groups if c == common), None)
+        if own is None:
+            groups.append((common, own := {}))
+        own[trial] = p
+    return [g for _, g in groups]
+
+
+def run_simulation(spark: SparkSession, sim: Simulation, path: str, strategy: str = "kernel", index: str | None = None) -> None:
+    """Writes every trial's results below path, as kind=<kind>/trial=<i> in Parquet, and a manifest in JSON.
+
+    Trials that differ in the source's radius only have their maps made together, from one pass over the rays. index: a folder
+    that keeps traced rays for later runs, see Engine.
+    """
+    engine = Engine(spark, strategy, index)
+    for group in radius_groups(sim):
         for kind in sorted(sim.results, reverse=True):
-            engine.result(p, kind, sim.results[kind]).write.mode("overwrite").parquet(f"{path}/kind={kind}/trial={trial}")
+            if kind in ("magmap", "momentmap") and len(group) > 1:
+                rows = engine.radius_result(group, kind, sim.results[kind])
+                rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("trial").parquet(f"{path}/kind={kind}")
+                continue
+            for trial, p in group.items():
+                engine.result(p, kind, sim.results[kind]).write.mode("overwrite").parquet(f"{path}/kind={kind}/trial={trial}")
     engine.close()
     spark.createDataFrame([(json.dumps(asdict(sim)),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/manifest")
 

@@ -200,11 +200,3 @@ def read_fits(spark: SparkSession, path: str) -> DataFrame:
 def write_fits(values: DataFrame, path: str, nx: int, ny: int, header: dict | None = None) -> None:
     """A dense map (px, py, value) as a FITS image; Spark sorts, the driver passes on one partition at a time."""
     write_binary(values, path, ["py", "px"], ["value"], ">f8", fits_head((ny, nx), header), b"\0" * (-8 * nx * ny % 2880))
-
-
-def map_image(values: DataFrame, nx: int, ny: int) -> np.ndarray:
-    """A finished map (px, py, value) as an array [py, px], for export."""
-    pdf = values.select("px", "py", "value").toPandas()
-    out = np.zeros((ny, nx))
-    out[pdf["py"], pdf["px"]] = pdf["value"]
-    return out

@@ -6,10 +6,10 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.imf import PowerLaw
+from ..functions.imf import PowerLaw, evolved_column, integral_column, sample_column
 from ..functions.model import STAR, Disk, StarField
 
 
@@ -34,6 +34,58 @@ def draw_stars(field: StarField, disk: Disk, total_mass: float) -> pd.DataFrame:
     return pd.DataFrame({"star_id": np.arange(len(masses)), "x": at[:, 0], "y": at[:, 1], "mass": masses})
 
 
+#: Stars in one block of a cluster's running sums.
+BLOCK = 1 << 16
+#: Parts of a solar mass that running sums count, so that their order doesn't matter.
+MASS_PARTS = float(1 << 30)
+
+
+def uniform(seed, *of) -> Column:
+    """A number in [0, 1) by a hash of columns and a seed: the same wherever and in whatever order rows are made."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), *of)), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
+
+
+def star_clusters(clusters: DataFrame, law: PowerLaw, seed: int, remnants=(), key: str = "cluster", total: str = "total") -> DataFrame:
+    """key, star_id, mass: stars of clusters (key, total), whose masses add up to the totals as nearly as whole stars can.
+
+    Stars are numbers whose masses follow from hashes, twice as many as are expected and a hundred more, cut where the running
+    mass is nearest to the total. Running sums go by blocks: sums of blocks, then of the blocks before, and star by star in the
+    one block of each cluster where the cut lies. So the same stars come out for any number of partitions, and none of them
+    passes through the driver. remnants: masses after evolution count, see evolved().
+    """
+    top = F.least(F.lit(float(law.limits[-1])), F.col(total).cast("double"))
+    law = PowerLaw(law.limits, law.powers)
+    low = F.lit(float(law.limits[0]))
+    expected = F.col(total) * F.try_divide(integral_column(low, top, law), integral_column(low, top, law, 1))
+    rows = clusters.select(F.col(key), F.col(total).cast("double").alias("_total"), top.alias("_top"), F.coalesce(F.ceil(2 * expected), F.lit(0)).cast("long").alias("_n")).where(F.col("_total") > F.lit(float(law.limits[0])))
+    # Blocks first, so that the numbers of one large cluster are made by many tasks.
+    rows = rows.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_n") + 100) / BLOCK)))).repartition(key, "_block")
+    last = F.least(F.col("_block") * BLOCK + (BLOCK - 1), F.col("_n") + 100)
+    rows = rows.withColumn("star_id", F.explode(F.sequence(F.col("_block") * BLOCK, last)))
+    mass = sample_column(uniform(seed, F.col(key), F.col("star_id")), law, F.col("_top"))
+    stars = rows.withColumn("mass", evolved_column(mass, tuple(remnants)) if remnants else mass).withColumn("_m", F.round(F.col("mass") * MASS_PARTS).cast("long"))
+    stars = stars.withColumn("_goal", F.round(F.col("_total") * MASS_PARTS).cast("long"))
+    blocks = stars.groupBy(key, "_block").agg(F.sum("_m").alias("_sum"), F.first("_goal").alias("_goal"))
+    upto = F.sum("_sum").over(Window.partitionBy(key).orderBy("_block"))
+    # The cut lies in the first block that reaches the total, or right before it; without one all stars stay.
+    cut = blocks.withColumn("_upto", upto).where("_upto >= _goal").groupBy(key).agg(F.min("_block").alias("_cut"), F.min_by(F.col("_upto") - F.col("_sum"), "_block").alias("_before"))
+    inside = stars.join(cut, key).where("_block = _cut")
+    running = F.col("_before") + F.sum("_m").over(Window.partitionBy(key).orderBy("star_id"))
+    ends = inside.withColumn("_far", F.abs(running - F.col("_goal"))).groupBy(key).agg(F.min(F.struct("_far", "star_id")).alias("_e"), F.min("star_id").alias("_first"), F.first(F.col("_goal") - F.col("_before")).alias("_left"))
+    # The last star before the block may be nearer than any inside.
+    end = ends.select(key, F.when(F.col("_left") <= F.col("_e._far"), F.col("_first") - 1).otherwise(F.col("_e.star_id")).alias("_end"))
+    kept = stars.join(end, key, "left").where("_end is null or star_id <= _end")
+    return kept.select(key, "star_id", "mass")
+
+
+def star_field(spark: SparkSession, field: StarField, disk: Disk, total_mass: float) -> DataFrame:
+    """star_id, x, y, mass of one field, made by tasks: masses as in star_clusters(), places uniform in the disk."""
+    clusters = spark.createDataFrame([(0, float(total_mass))], "cluster int, total double")
+    stars = star_clusters(clusters, mass_function(field), field.seed, field.conversions)
+    r, t = F.lit(disk.radius) * F.sqrt(uniform(f"{field.seed} r", F.col("star_id"))), F.lit(2 * math.pi) * uniform(f"{field.seed} t", F.col("star_id"))
+    return stars.select("star_id", (F.lit(disk.center.x) + r * F.cos(t)).alias("x"), (F.lit(disk.center.y) + r * F.sin(t)).alias("y"), "mass")
+
+
 def star_table(spark: SparkSession, field: StarField, disk: Disk, total_mass: float) -> DataFrame:
     """draw_stars as a DataFrame. total_mass: convergence in stars times the disk's area over pi, in lens units."""
     return spark.createDataFrame(draw_stars(field, disk, total_mass), STAR)

@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -12,6 +13,7 @@ from arclet.operators.trace import macro_trace, micro_trace
 from arclet.plans.trials import Engine, describe, load_result, load_simulation, overridden, run_simulation
 from arclet.sources.lattice import cell_lattice, query_lattice, ray_lattice
 from arclet.sources.lines import ragged, slice_region, unragged
+from arclet.sources import stars as stars_module
 from arclet.sources.stars import draw_stars, star_velocities
 
 BOX = Box(Vec(0, 0), Vec(4, 4), 16, 16)
@@ -206,12 +208,62 @@ def test_kth_value_and_columns(spark):
     rng = np.random.default_rng(0)
     v = np.concatenate((rng.exponential(5, 3000), np.full(2000, 1.5), [1e9]))
     p = spark.createDataFrame([(float(x),) for x in v], "bx double").union(spark.createDataFrame([(None,)], "bx double"))
-    for k in (0, 1, 700, 2500, 4999, 5000):
-        assert spatial.kth_smallest(p, "bx", k, bins=16, sort_most=50) == np.sort(v)[k]
-    assert spatial.kth_smallest(p, "bx", len(v)) is None and spatial.kth_smallest(p.limit(0), "bx", 0) is None
+    ranks = (1, 2, 701, 2501, 5000, 5001, 5002)
+    p = p.withColumn("by", -F.col("bx"))
+    for bins in (1, 16, 1024):
+        got = {(r.axis, r.k): r.v for r in spatial.order_statistics(p, {c: [F.lit(k) for k in ranks] for c in ("bx", "by")}, bins).collect()}
+        assert got == {**{("bx", k): np.sort(v)[k - 1] for k in ranks[:-1]}, **{("by", k): np.sort(-v)[k - 1] for k in ranks[:-1]}}
+    assert spatial.order_statistics(p.limit(0), {"bx": [F.lit(1)]}).count() == 0
+    parts = spatial.column_ranges(p, "bx", 4).orderBy("column").collect()
+    # 2,000 equal values stay together.
+    assert sum(r.n for r in parts) == len(v) and all(a.high < b.low for a, b in zip(parts, parts[1:])) and spatial.column_ranges(p.limit(0), "bx", 4).count() == 0
     assert list(spatial.columns_near([1.0, 2.0, 3.0], 1.5, 0.6)) == [0, 1, 2] and list(spatial.columns_near([], 0, 1)) == [0]
 
 
+@pytest.mark.parametrize("name,total,top", [("Kroupa_2001", 1000.0, 51.0), ("Kroupa_2001", 1e4, 283.0), ("Salpeter_1955", 100.0, 6.8)])
+def test_above_the_largest_star_lies_one(spark, name, total, top):
+    law = imf.PowerLaw.named(name)
+    x, high = law.largest_star(total), min(law.limits[-1], total)
+    assert x == pytest.approx(top, rel=2e-3) and law.integral(law.limits[0], x, 1) / law.integral(x, high) == pytest.approx(total)
+    got = spark.range(1).select(imf.largest_star_column(F.lit(total), law).alias("x")).first().x
+    assert got == pytest.approx(x)
+
+
+def test_clusters_are_the_same_for_any_partitions(spark):
+    law, want = imf.PowerLaw.named("Kroupa_2001"), None
+    clusters = [(1, 300.0), (2, 5000.0), (3, 0.005), (4, 40.0)]
+    for partitions, block in ((1, 1 << 16), (5, 64), (3, 7)):
+        stars_module.BLOCK, kept = block, stars_module.BLOCK
+        df = spark.createDataFrame(clusters, "cluster int, total double").repartition(partitions)
+        got = sorted(map(tuple, stars_module.star_clusters(df, law, 3).collect()))
+        stars_module.BLOCK = kept
+        want = want or got
+        assert got == want
+    by = {c: [m for k, _, m in want if k == c] for c in (1, 2, 3, 4)}
+    for c, total in clusters[:2]:
+        running = np.cumsum(by[c])
+        # No star more or less comes nearer, and none is larger than the cluster.
+        assert abs(running[-1] - total) <= abs(running[-2] - total) and running[-2] < total and max(by[c]) < total
+    assert not by[3] and np.mean(np.array(by[2]) < 0.5) == pytest.approx(law.integral(0.01, 0.5) / law.integral(0.01, 5000), abs=0.02)
+    old = stars_module.star_clusters(spark.createDataFrame(clusters[1:2], "cluster int, total double"), law, 3, imf.REMNANTS)
+    assert old.agg(F.sum("mass"), F.max("mass")).first()[0] == pytest.approx(5000, abs=5) and old.agg(F.max("mass")).first()[0] <= 10
+
+
+def test_several_radii_are_one_pass(spark):
+    from arclet.functions.model import Box, Vec
+    from arclet.operators import spatial
+
+    rng = np.random.default_rng(2)
+    rays = spark.createDataFrame(pd.DataFrame(np.round(rng.normal(0, 3, (500, 4)) * 8) / 8, columns=["x", "y", "bx", "by"]))
+    box, radii = Box(Vec(0.0, 0.0), Vec(8.0, 8.0), 16, 16), [1.0, 0.25, 2.0, 1.0]
+    for strategy in ("scatter", "cells", "naive"):
+        got = sorted(map(tuple, spatial.disk_join(rays, box, radii, (0, 1, 4), strategy).select("trial", "px", "py", "m0", "m1", "m4").collect()))
+        want = [(i, *r) for i, r0 in enumerate(radii) for r in spatial.disk_join(rays, box, r0, (0, 1, 4), strategy).select("px", "py", "m0", "m1", "m4").collect()]
+        assert got == sorted(want)
+    plan = spatial.disk_join(rays, box, radii, strategy="scatter")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD") + plan.count("LocalRelation") == 1
+
+
 def test_truncated_mass_functions_and_error_function():
     law = imf.PowerLaw.named("Kroupa_2001")
     cut = law.truncated(500.0)
