@@ -11,12 +11,12 @@ from pyspark.sql import functions as F
 from ..functions.model import Animation, Box, LensModel, MicroParameters, Polar, Simulation, SourceModel, StarField, Vec
 from ..operators.products import caustic_map, light_curves, magnification_map, moment_map, radius_maps, radius_moments
 from ..operators.series import with_distance
-from ..operators.spatial import by_column, connecting_rays
+from ..operators.spatial import connecting_rays
 from ..operators.trace import micro_trace
 from ..sources.lattice import ray_lattice
 from ..sources.lines import clip_lines, interpolate_lines, random_lines
+from ..sources.ray_store import RayStore, has_rays, write_rays
 from ..sources.stars import star_field
-from .session import file_system
 
 KINDS = ("magmap", "momentmap", "causticmap", "lightcurves")
 
@@ -41,15 +41,16 @@ def trial_parameters(sim: Simulation, trial: int) -> MicroParameters:
 class Engine:
     """Traces rays once for all trials that share what they depend on (all but the source's radius and mass).
 
-    index: a folder that all executors see. Traced rays are kept there by their parameters' fingerprint, in files of ranges
-    of bx, for later sessions too: a join with a region reads only files and row groups that may hold its rays, and a lost
-    executor costs no trace. Without it rays are kept in memory.
+    index: a folder that all executors see. Traced rays are kept there by their parameters' fingerprint, as a RayStore, for
+    later sessions too: a map or a set of curves reads only files that may hold its rays, and a lost executor costs no
+    trace. Without it rays are kept in memory.
     """
 
     def __init__(self, spark: SparkSession, strategy: str = "kernel", index: str | None = None, index_files: int = 200):
         self.spark, self.strategy, self.index, self.index_files = spark, strategy, index, index_files
         self._print: str | None = None
         self._rays: DataFrame | None = None
+        self._store: RayStore | None = None
 
     def stars(self, p: MicroParameters) -> DataFrame:
         """The star field: its mass is the convergence in stars over the starry disk, in Einstein units."""
@@ -57,6 +58,7 @@ class Engine:
         return star_field(self.spark, p.stars, disk, p.split[1] * disk.area / 3.141592653589793)
 
     def rays(self, p: MicroParameters) -> DataFrame:
+        """All rays of the parameters, traced if they aren't there yet."""
         own = p.ray_print()
         if own != self._print:
             self.close()
@@ -65,25 +67,34 @@ class Engine:
             step = p.ray_region.step
             lattice = ray_lattice(self.spark, w, h, step.x, step.y)
             traced = lambda: micro_trace(lattice, self.stars(p), smooth, shear, True, self.strategy)
-            self._rays, self._print = self._indexed(own, traced) if self.index else traced().persist(), own
-        return self._rays
-
-    def _indexed(self, own: str, traced) -> DataFrame:
-        path = f"{self.index.rstrip('/')}/rays={own}"
-        files, done = file_system(self.spark, f"{path}/_SUCCESS")
-        if not files.exists(done):
-            by_column(traced(), self.index_files).sortWithinPartitions("bx").write.mode("overwrite").parquet(path)
-        return self.spark.read.parquet(path)
+            if self.index:
+                path = f"{self.index.rstrip('/')}/rays={own}"
+                self._store = RayStore(self.spark, path) if has_rays(self.spark, path) else write_rays(traced(), path, p.source_plane, self.index_files)
+            else:
+                self._rays = traced().persist()
+            self._print = own
+        return self._store.all() if self._store else self._rays
+
+    def rays_inside(self, p: MicroParameters, box: Box, r: float) -> DataFrame:
+        """Rays that may end within r of a box; of a store only files that may hold one are read."""
+        rays = self.rays(p)
+        return self._store.inside(box, r) if self._store else rays
+
+    def rays_near(self, p: MicroParameters, points: DataFrame, r: float) -> DataFrame:
+        """The same for points (qx, qy)."""
+        rays = self.rays(p)
+        return self._store.near(points, r) if self._store else rays
 
     def result(self, p: MicroParameters, kind: str, settings: dict) -> DataFrame:
         """One result as a table of the store: px, py, moment_index, value, or line_id, sample_idx, x, y, distance, value."""
-        rays, plane, r = self.rays(p), p.source_plane, p.source.radius
+        plane, r = p.source_plane, p.source.radius
         if kind == "lightcurves":
             lines = random_lines(self.spark, plane, settings["num_curves"], settings["seed"])
             points = interpolate_lines(clip_lines(lines, plane), settings["step"])
-            curves = with_distance(light_curves(rays, points, r, p.raw_brightness), ("line_id",))
+            curves = with_distance(light_curves(self.rays_near(p, points, r), points, r, p.raw_brightness), ("line_id",))
             return curves.select("line_id", "sample_idx", "x", "y", "distance", F.col("magnification").alias("value"))
         box = Box(plane.center, plane.dims, settings["nx"], settings["ny"])
+        rays = self.rays_inside(p, box, 0.0 if kind == "causticmap" else r)
         if kind == "magmap":
             return magnification_map(rays, box, r, p.raw_brightness).withColumn("moment_index", F.lit(0)).select("px", "py", "moment_index", "value")
         if kind == "momentmap":
@@ -97,10 +108,11 @@ class Engine:
         numbers, ps = list(trials), list(trials.values())
         p, radii = ps[0], [x.source.radius for x in ps]
         box = Box(p.source_plane.center, p.source_plane.dims, settings["nx"], settings["ny"])
+        rays = self.rays_inside(p, box, max(radii))
         if kind == "magmap":
-            out = radius_maps(self.rays(p), box, radii, [x.raw_brightness for x in ps]).withColumn("moment_index", F.lit(0))
+            out = radius_maps(rays, box, radii, [x.raw_brightness for x in ps]).withColumn("moment_index", F.lit(0))
         elif kind == "momentmap":
-            out = radius_moments(self.rays(p), box, radii)
+            out = radius_moments(rays, box, radii)
         else:
             raise ValueError(f"{kind} is made trial by trial")
         number = F.get(F.array(*[F.lit(n) for n in numbers]), F.col("trial"))
@@ -108,13 +120,13 @@ class Engine:
 
     def frame(self, a: Animation, t: float) -> DataFrame:
         """Rays that the source of an animation lights at a time."""
-        at = a.position(t)
-        return connecting_rays(self.rays(a.parameters), at.x, at.y, a.parameters.source.radius)
+        at, r = a.position(t), a.parameters.source.radius
+        return connecting_rays(self.rays_inside(a.parameters, Box(at, Vec(0.0, 0.0)), r), at.x, at.y, r)
 
     def close(self) -> None:
-        if self._rays is not None and not self.index:
+        if self._rays is not None:
             self._rays.unpersist()
-        self._rays, self._print = None, None
+        self._rays, self._store, self._print = None, None, None
 
 
 def radius_groups(sim: Simulation) -> list[dict[int, MicroParameters]]:

@@ -128,6 +128,19 @@ def simulation():
     return Simulation("small", micro, results, 2, "two radii", {1: {"source.radius": 0.2}})
 
 
+def test_runs_with_an_index_give_the_same_and_trace_once(spark, tmp_path, monkeypatch):
+    from arclet.plans import trials
+
+    sim, index = simulation(), str(tmp_path / "index")
+    run_simulation(spark, sim, str(tmp_path / "a"))
+    run_simulation(spark, sim, str(tmp_path / "b"), index=index)
+    monkeypatch.setattr(trials, "micro_trace", None)
+    run_simulation(spark, sim, str(tmp_path / "c"), index=index)
+    for kind in sim.results:
+        a, b, c = (sorted(map(repr, load_result(spark, str(tmp_path / x), kind).drop("distance").collect())) for x in "abc")
+        assert a and b == c and (a == b or kind == "momentmap")
+
+
 def test_simulation_is_stored_and_read_by_trial(spark, tmp_path):
     sim, path = simulation(), str(tmp_path / "out.res")
     run_simulation(spark, sim, path)
@@ -193,13 +206,22 @@ def test_rays_of_an_index_are_traced_once(spark, tmp_path, monkeypatch):
 
     sim = simulation()
     p = sim.parameters
-    first = trials.Engine(spark, index=str(tmp_path / "i"), index_files=4)
+    first = trials.Engine(spark, index=str(tmp_path / "i"), index_files=30)
     rays = sorted(map(tuple, first.rays(p).select("ray_id", "bx").collect()))
     monkeypatch.setattr(trials, "micro_trace", None)
     again = trials.Engine(spark, index=str(tmp_path / "i"))
     assert sorted(map(tuple, again.rays(p).select("ray_id", "bx").collect())) == rays and len(rays) > 0
-    ends = again.rays(p).groupBy(F.input_file_name().alias("f")).agg(F.min("bx").alias("lo"), F.max("bx").alias("hi")).orderBy("lo").collect()
-    assert all(a.hi <= b.lo for a, b in zip(ends, ends[1:]))
+    store = again._store
+    points = spark.createDataFrame([(0, i, 0.1 * i - 1, 0.05 * i) for i in range(20)], "curve_id int, sample_idx int, qx double, qy double")
+    few, every = again.rays_near(p, points, 0.2), again.rays(p)
+    assert 0 < len(few.inputFiles()) < len(store.boxes) == len(every.inputFiles())
+    keys = ("curve_id", "sample_idx", "m0")
+    assert sorted(map(tuple, disk_points(few, points, 0.2).select(*keys).collect())) == sorted(map(tuple, disk_points(every, points, 0.2).select(*keys).collect()))
+    box = Box(Vec(1.0, 1.0), Vec(1.0, 1.0), 8, 8)
+    part = again.rays_inside(p, box, 0.1)
+    assert 0 < len(part.inputFiles()) < len(store.boxes)
+    assert sorted(map(tuple, disk_join(part, box, 0.1).collect())) == sorted(map(tuple, disk_join(every, box, 0.1).collect()))
+    assert not again.rays_near(p, points.select("curve_id", "sample_idx", (F.col("qx") + 1e6).alias("qx"), "qy"), 0.2).inputFiles()
 
 
 def test_kth_value_and_columns(spark):
