@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import equal_width_bucket, log_brightness
+from ..plans.session import share_code
 
 
 def scaled(values: DataFrame, log: bool = True) -> DataFrame:
@@ -35,25 +38,79 @@ def convolved(values: DataFrame, kernel: list[tuple[int, int, float]], nx: int,
     return to.where(f"px between 0 and {nx - 1} and py between 0 and {ny - 1}").groupBy("px", "py").agg(F.sum("v").alias("value"))
 
 
-def gaussian_smoothed(values: DataFrame, sigma: float, nx: int, ny: int) -> DataFrame:
-    """Gaussian smoothing in x, then in y; the kernel is cut at four sigma."""
+#: Pixels along a tile's side.
+TILE = 256
+
+
+def tiled(values: DataFrame, halo: int, nx: int, ny: int, function, tile: int = TILE) -> DataFrame:
+    """function of every tile of a dense map with so many pixels more on each side, edge pixels repeated beyond the map.
+
+    function(array, y0, x0) gets the tile's array with its halo, whose first row and column are pixels y0 and x0, and gives
+    an array of the tile alone. A pixel goes to its own tile and to those whose halo has it, in the one shuffle; a pixel
+    that isn't there is 0, and of repeated ones the last counts.
+    """
+    share_code(values.sparkSession)
+    whole = lambda c: F.floor(c / tile).cast("int")
+    tiles = lambda c, n: F.sequence(F.greatest(whole(F.col(c) - halo), F.lit(0)), F.least(whole(F.col(c) + halo), F.lit((n - 1) // tile)))
+    at = values.select("px", "py", F.col("value").cast("double").alias("value")).withColumn("tx", F.explode(tiles("px", nx))).withColumn("ty", F.explode(tiles("py", ny)))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        x0, y0 = int(pdf["tx"].iloc[0]) * tile, int(pdf["ty"].iloc[0]) * tile
+        x1, y1 = min(x0 + tile, nx), min(y0 + tile, ny)
+        left, low = max(0, x0 - halo), max(0, y0 - halo)
+        part = np.zeros((min(ny, y1 + halo) - low, min(nx, x1 + halo) - left))
+        part[pdf["py"].to_numpy() - low, pdf["px"].to_numpy() - left] = pdf["value"].to_numpy()
+        more = [(low - (y0 - halo), y1 + halo - min(ny, y1 + halo)), (left - (x0 - halo), x1 + halo - min(nx, x1 + halo))]
+        out = function(np.pad(part, more, "edge"), y0 - halo, x0 - halo)
+        py, px = np.mgrid[y0:y1, x0:x1]
+        return pd.DataFrame({"px": px.ravel().astype(np.int32), "py": py.ravel().astype(np.int32), "value": out.ravel()})
+
+    return at.groupBy("tx", "ty").applyInPandas(run, "px int, py int, value double")
+
+
+def _weights(sigma: float) -> np.ndarray:
     r = int(4 * sigma + 0.5)
-    w = [math.exp(-0.5 * (i / sigma) ** 2) for i in range(-r, r + 1)]
-    w = [x / sum(w) for x in w]
-    across = convolved(values, [(i - r, 0, x) for i, x in enumerate(w)], nx, ny)
-    return convolved(across, [(0, i - r, x) for i, x in enumerate(w)], nx, ny)
+    w = np.exp(-0.5 * (np.arange(-r, r + 1) / sigma) ** 2)
+    return w / w.sum()
+
+
+def _along(a: np.ndarray, w: np.ndarray, axis: int) -> np.ndarray:
+    """Weighted sums along an axis, where the window fits."""
+    n = a.shape[axis] - len(w) + 1
+    return sum(x * a.take(range(i, i + n), axis) for i, x in enumerate(w))
+
 
+def _smoothed(a: np.ndarray, w: np.ndarray) -> np.ndarray:
+    return _along(_along(a, w, 1), w, 0)
 
-def sobel_edges(values: DataFrame, nx: int, ny: int) -> DataFrame:
+
+def _edges(a: np.ndarray) -> np.ndarray:
+    smooth, slope = np.array([1.0, 2.0, 1.0]), np.array([-1.0, 0.0, 1.0])
+    return np.abs(_along(_along(a, slope, 1), smooth, 0)) + np.abs(_along(_along(a, smooth, 1), slope, 0))
+
+
+def gaussian_smoothed(values: DataFrame, sigma: float, nx: int, ny: int, tile: int = TILE) -> DataFrame:
+    """Gaussian smoothing in x, then in y; the kernel is cut at four sigma."""
+    w = _weights(sigma)
+    return tiled(values, len(w) // 2, nx, ny, lambda a, *_: _smoothed(a, w), tile)
+
+
+def sobel_edges(values: DataFrame, nx: int, ny: int, tile: int = TILE) -> DataFrame:
     """|horizontal| + |vertical| Sobel gradient."""
-    smooth, slope = (1, 2, 1), (-1, 0, 1)
-    gx = convolved(values, [(a, b, slope[a + 1] * smooth[b + 1]) for a in (-1, 0, 1) for b in (-1, 0, 1) if a], nx, ny).withColumnRenamed("value", "gx")
-    gy = convolved(values, [(a, b, smooth[a + 1] * slope[b + 1]) for a in (-1, 0, 1) for b in (-1, 0, 1) if b], nx, ny).withColumnRenamed("value", "gy")
-    return gx.join(gy, ["px", "py"]).select("px", "py", (F.abs("gx") + F.abs("gy")).alias("value"))
+    return tiled(values, 1, nx, ny, lambda a, *_: _edges(a), tile)
+
+
+def smooth_and_detect(values: DataFrame, sigma: float, nx: int, ny: int, tile: int = TILE) -> DataFrame:
+    """The edges of the smoothed map: both in one pass over tiles."""
+    w = _weights(sigma)
 
+    def run(a, y0, x0):
+        s = _smoothed(a, w)
+        # Beyond the map it is the smoothed edge that is repeated, not the edge that is smoothed.
+        rows, cols = np.clip(np.arange(s.shape[0]) + y0 + len(w) // 2, 0, ny - 1), np.clip(np.arange(s.shape[1]) + x0 + len(w) // 2, 0, nx - 1)
+        return _edges(s[rows - y0 - len(w) // 2][:, cols - x0 - len(w) // 2])
 
-def smooth_and_detect(values: DataFrame, sigma: float, nx: int, ny: int) -> DataFrame:
-    return sobel_edges(gaussian_smoothed(values, sigma, nx, ny), nx, ny)
+    return tiled(values, len(w) // 2 + 1, nx, ny, run, tile)
 
 
 def histogram(values: DataFrame, bins: int = 100) -> DataFrame:
