@@ -139,6 +139,10 @@ def results_head(content: bytes) -> dict:
     return json.loads(content[: end if end >= 0 else len(content)].decode())
 
 
+#: Bytes copied at a time.
+COPY_BYTES = 4 << 20
+
+
 def _array_bytes(a: np.ndarray) -> bytes:
     out = io.BytesIO()
     np.lib.format.write_array(out, a, allow_pickle=False)
@@ -148,21 +152,34 @@ def _array_bytes(a: np.ndarray) -> bytes:
 def write_results_file(spark: SparkSession, path: str, head: dict, results: list[list]) -> None:
     """A results file: head as JSON, a table of places by trial and result, and the arrays.
 
-    results: of each trial its arrays, or functions that make them, of which the driver holds one at a time. Every trial has
-    as many. Places count from the table's end.
+    results: of each trial its arrays, or functions that make them, each called once. Every trial has as many. Places count from
+    the table's end, and are known when all arrays are made, so these go to a file beside it first and are copied behind the
+    table; the driver holds one at a time.
     """
-    made = lambda a: _array_bytes(np.asarray(a() if callable(a) else a, float))
-    sizes = np.array([[len(made(a)) for a in trial] for trial in results], np.int64).reshape(len(results), len(results[0]) if results else 0)
-    places = (np.cumsum(sizes) - sizes.ravel()).reshape(sizes.shape)
     fs, where = file_system(spark, path)
-    out = fs.create(where, True)
+    _, beside = file_system(spark, f"{path}.part")
+    places, at = [], 0
+    part = fs.create(beside, True)
     try:
-        out.write(json.dumps(head).encode() + _array_bytes(places))
         for trial in results:
+            places.append([])
             for a in trial:
-                out.write(made(a))
+                made = _array_bytes(np.asarray(a() if callable(a) else a, float))
+                part.write(made)
+                places[-1].append(at)
+                at += len(made)
+    finally:
+        part.close()
+    table = np.array(places, np.int64).reshape(len(results), len(results[0]) if results else 0)
+    out, part = fs.create(where, True), fs.open(beside)
+    try:
+        out.write(json.dumps(head).encode() + _array_bytes(table))
+        while more := bytes(part.readNBytes(COPY_BYTES)):
+            out.write(more)
     finally:
+        part.close()
         out.close()
+    fs.delete(beside, False)
 
 
 def read_one_result(spark: SparkSession, path: str, trial: int, result: int) -> np.ndarray:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.model import DOCUMENTS
@@ -12,16 +12,23 @@ from ..plans.session import file_system, share_code
 
 
 def read_stars(spark: SparkSession, path: str) -> DataFrame:
-    """star_id, x, y, mass from files of (x, y, mass) doubles; numbers follow the file."""
+    """star_id, x, y, mass from files of (x, y, mass) doubles; numbers follow the files by name, and go on from one to the next.
+
+    A file a task, through any store that Spark reads; formats.read_table() reads parts of large files.
+    """
 
     def rows(batches):
         for pdf in batches:
-            for content in pdf["content"]:
+            for first, content in zip(pdf["first"], pdf["content"]):
                 a = np.frombuffer(content, np.float64).reshape(-1, 3)
-                yield pd.DataFrame({"star_id": np.arange(len(a)), "x": a[:, 0], "y": a[:, 1], "mass": a[:, 2]})
+                yield pd.DataFrame({"star_id": np.arange(len(a)) + first, "x": a[:, 0], "y": a[:, 1], "mass": a[:, 2]})
 
     share_code(spark)
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(rows, "star_id long, x double, y double, mass double")
+    files = spark.read.format("binaryFile").load(path)
+    # A row for each file, without its bytes.
+    before = F.sum(F.floor(F.col("length") / 24)).over(Window.orderBy("path")) - F.floor(F.col("length") / 24)
+    firsts = files.select("path", "length").withColumn("first", before).select("path", "first")
+    return files.select("path", "content").join(firsts, "path").select("first", "content").mapInPandas(rows, "star_id long, x double, y double, mass double")
 
 
 def write_binary(df: DataFrame, path: str, order, columns, kind=np.float64, head: bytes = b"", tail: bytes = b"") -> None:

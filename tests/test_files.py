@@ -63,3 +63,45 @@ def test_fits_files_of_others_are_read(spark, tmp_path):
 def test_vectors():
     assert (Vec(3, 4) * 2 - 1).x == 5 and Vec(3, 4).magnitude == 5 and Vec(1, 2).to("uas", 0.5).y == 4
     assert Polar(2.0, 0.0).cartesian.x == 2.0 and Vec(0, 5).direction == Vec(0, 1)
+
+
+def test_large_tables_are_read_in_parts_by_number(spark, tmp_path):
+    from arclet.sources import formats
+
+    a = np.random.default_rng(0).normal(size=(1000, 3))
+    (tmp_path / "t").mkdir()
+    for k, part in enumerate((a[:700], a[700:700], a[700:])):
+        (tmp_path / "t" / f"{k}.bin").write_bytes(part.tobytes())
+    df = formats.read_table(spark, str(tmp_path / "t"), partition_bytes=24 * 150)
+    assert df.rdd.getNumPartitions() == 5 + 2
+    got = df.orderBy("row").toPandas()
+    assert got["row"].tolist() == list(range(1000)) and (got[["x", "y", "mass"]].to_numpy() == a).all()
+    stars = X.read_stars(spark, str(tmp_path / "t")).orderBy("star_id").toPandas()
+    assert stars["star_id"].tolist() == list(range(1000)) and (stars[["x", "y", "mass"]].to_numpy() == a).all()
+    (tmp_path / "t" / "3.bin").write_bytes(b"odd")
+    with pytest.raises(Exception, match="no table"):
+        formats.read_table(spark, str(tmp_path / "t")).count()
+
+
+def test_results_are_read_by_trial_without_the_rest(spark, tmp_path):
+    from arclet.sources import documents, formats
+
+    calls = []
+
+    def made(k):
+        calls.append(k)
+        return np.full((40, 5), float(k + 10 * calls.count(k)))
+
+    path = str(tmp_path / "a.res")
+    documents.write_results_file(spark, path, {"n": 3}, [[lambda k=k: made(k), np.arange(6.0) + k] for k in range(3)])
+    assert calls == [0, 1, 2] and not (tmp_path / "a.res.part").exists()
+    df = formats.read_results(spark, path, partition_bytes=40 * 10)
+    assert df.rdd.getNumPartitions() == 3 * (4 + 1)
+    one = df.where("trial = 1 and result = 0")
+    assert one.rdd.getNumPartitions() == 4 and df.where("trial = 9").rdd.getNumPartitions() == 1
+    pdf = one.orderBy("row", "column").toPandas()
+    assert pdf["value"].tolist() == [11.0] * 200 and pdf["row"].tolist() == [i // 5 for i in range(200)] and set(pdf["trial"]) == {1}
+    assert df.where("trial = 2 and result = 1 and column = 4").first().value == 6.0 and df.where("trial = 9").count() == 0
+    every = sorted(map(tuple, df.collect()))
+    assert every == sorted(map(tuple, documents.read_results_file(spark, path).collect()))
+    assert documents.read_one_result(spark, path, 2, 1).tolist() == (np.arange(6.0) + 2).tolist()
