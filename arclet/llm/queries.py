@@ -11,7 +11,7 @@ from .decontaminate import find_leaks
 from .html_text import extract_text
 from .language_id import fit_codes, predict_language
 from .lexical_search import rank_documents
-from .line_chunks import CLAUSES, RUN_WORDS, dedup_lines
+from .line_chunks import CLAUSES, LINES, RUN_WORDS, dedup_lines
 from .ngram_join import jaccard_components
 from .packing import pack_documents
 from .toxicity import score_toxicity, toxic_chain
@@ -83,6 +83,37 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "text", "n_removed_lines", "n_removed_chunks")
 
 
+def quoting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The conversations as mail would have them: a turn quotes the one before it, and every third that one's own predecessor too,
+    a level deeper, below a line that says who wrote it."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    first = turns.groupBy("conv_id", "turn").agg(F.min("text").alias("said"))
+    before = lambda n: first.select("conv_id", (F.col("turn") + n).alias("turn"), F.col("said").alias(f"said_{n}"))
+    marked = lambda c, mark: F.concat(F.lit(mark), F.regexp_replace(c, "\n", f"\n{mark}"), F.lit("\n"))
+    outer = F.when(F.col("turn") % 3 == 0, F.coalesce(F.concat(F.lit("> they wrote:\n"), marked("said_2", ">> ")), F.lit(""))).otherwise("")
+    whole = F.when(F.col("said_1").isNotNull(), F.concat(F.lit("someone wrote:\n"), outer, marked("said_1", "> "), F.col("text"))).otherwise(F.col("text"))
+    rows = turns.join(before(1), ["conv_id", "turn"], "left").join(before(2), ["conv_id", "turn"], "left")
+    return rows.select("conv_id", "turn", "role", whole.alias("text"))
+
+
+def quoted_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As op2, over turns that quote others."""
+    return quotation.reply_threads(quoting(spark, sf_dir))
+
+
+def quoted_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations built from turns that quote others, without the quotations and in reply order."""
+    whole = quotation.conversations(quoted_turns(spark, sf_dir))
+    message = lambda m: F.concat(F.coalesce(m["role"], F.lit("")), F.lit(": "), m["text"])
+    return whole.select("conv_id", "part", F.size("messages").alias("n_messages"), F.array_join(F.transform("messages", message), "\n").alias("text"))
+
+
+def line_breaks_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As op10, with lines that end at line breaks only."""
+    out = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), run_words=RUN_WORDS, ends=LINES)
+    return out.select("doc_id", "text", "n_removed_lines", "n_removed_chunks")
+
+
 #: Rules of op11: action, host, path.
 URL_RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
 
@@ -108,7 +139,7 @@ QUERIES = {
     for f in (
         op1_quality_rules, op2_chat_formatting, op3_benchmark_decontamination, op4_toxicity, op5_language_id,
         op6_html_extraction, op7_ngram_jaccard_join, op8_best_fit_packing, op9_warc, op10_line_dedup,
-        op11_url_filters, op12_ranked_lexical_search, op13_vector_code_compression,
+        op11_url_filters, op12_ranked_lexical_search, op13_vector_code_compression, quoted_turns, quoted_conversations, line_breaks_dedup,
     )
 }
 
@@ -120,6 +151,17 @@ c AS (SELECT page_id, string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 +
 SELECT d.page_id, payload_bytes, b AS payload_digest, CASE WHEN low = d.page_id THEN 'response' ELSE 'revisit' END AS record_type,
        CASE WHEN low <> d.page_id THEN low END AS refers_to FROM d JOIN c ON c.page_id = d.page_id"""
 
+_QUOTING = """
+WITH f0 AS (SELECT conv_id, turn, min(text) AS said FROM conversations GROUP BY ALL),
+quoting AS (SELECT c.conv_id, c.turn, c.role, CASE WHEN a.said IS NOT NULL THEN 'someone wrote:' || chr(10)
+    || CASE WHEN c.turn % 3 = 0 AND b.said IS NOT NULL THEN '> they wrote:' || chr(10) || '>> ' || replace(b.said, chr(10), chr(10) || '>> ') || chr(10) ELSE '' END
+    || '> ' || replace(a.said, chr(10), chr(10) || '> ') || chr(10) || c.text ELSE c.text END AS text
+  FROM conversations c LEFT JOIN f0 a ON a.conv_id = c.conv_id AND a.turn = c.turn - 1 LEFT JOIN f0 b ON b.conv_id = c.conv_id AND b.turn = c.turn - 2),
+""" + quotation.ORACLE.replace("FROM conversations", "FROM quoting").strip().removeprefix("WITH")
+
+_BUILT = f"""SELECT conv_id, (reply_order - 1) // {quotation.MESSAGES} AS part, count(*) AS n_messages, string_agg(coalesce(role, '') || ': ' || text, chr(10) ORDER BY reply_order) AS text
+FROM ({_QUOTING}) WHERE reply_order IS NOT NULL GROUP BY ALL"""
+
 _URLS = rf"""
 WITH p AS (SELECT page_id, translate(coalesce(regexp_extract(url, '://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
                   coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path, coalesce(regexp_extract(url, '://[^?#]*\?([^#]*)', 1), '') AS q FROM pages),
@@ -166,4 +208,5 @@ SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS labe
 ORACLE: dict[str, str] = {
     "op1_quality_rules": rules.oracle(), "op2_chat_formatting": quotation.ORACLE, "op9_warc": _WARC,
     "op11_url_filters": _URLS, "op12_ranked_lexical_search": _SEARCH, "op13_vector_code_compression": _vector_sql(),
+    "quoted_turns": _QUOTING, "quoted_conversations": _BUILT,
 }

@@ -96,5 +96,6 @@ def test_stages_take_nulls_repeats_and_empty_tables(spark):
     for name, stage in corpus_pipeline.STAGES:
         out = stage(spark, odd, SF)
         got = out.count()
-        assert got == (odd.count() if name != "n-gram Jaccard join" else got) and got >= 7, name
+        # Of the two texts of id 3 the join keeps both, as rows of one id go or stay together.
+        assert got == odd.count(), name
         assert stage(spark, odd.limit(0), SF).count() == 0, name

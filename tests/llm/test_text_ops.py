@@ -436,6 +436,31 @@ def test_held_out_toxic_documents_are_found(spark):
     assert got["rejected"][got["toxic"] == 1].mean() >= 0.8 and (~got["rejected"][got["toxic"] == 0]).mean() >= 0.99 and len(got) > 800
 
 
+def plain_hash(bytes_, extra=0):
+    """The hash of a word's bytes, or of its beginning, with whole numbers."""
+    base, mask = 0x9E3779B97F4A7C15, (1 << 64) - 1
+    h = sum((b + 1) * pow(base, k, 1 << 64) for k, b in enumerate(bytes_)) & mask ^ extra
+    for factor in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
+        h = (h ^ h >> 33) * factor & mask
+    return h ^ h >> 33
+
+
+def test_scores_are_those_of_plain_python(spark):
+    d, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    d = d.unionByName(docs(spark, {10**6: "", 10**6 + 1: "x " * 700_000 + "TRASH idiot scum clown", 10**6 + 2: None}), allowMissingColumns=True)
+    chain = toxicity.toxic_chain(d, labels)
+    place = {int(h): k for k, h in enumerate(chain.words)}
+    assert len(place) > 3
+    for r in toxicity.score_toxicity(d, chain).join(d.select("doc_id", "text"), "doc_id").collect():
+        words = {w.encode() for w in re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", (r.text or "").lower())}
+        n = toxicity.BEGINNING
+        held = {place[h] for w in words for h in (plain_hash(w), plain_hash(w[:n], n)) if h in place}
+        p = []
+        for c in range(len(chain.names)):
+            p.append(1 / (1 + np.exp(-(chain.bias[c] + sum(chain.weights[c][k] for k in held) + sum(a * b for a, b in zip(p, chain.before[c]))))))
+        assert [r[f"p_{x}"] for x in chain.names] == pytest.approx(p) and r.rejected == (p[-1] >= 0.5)
+
+
 def test_chain_without_labels_says_the_base_rate(spark):
     df = spark.createDataFrame([], "doc_id long, text string, toxic int")
     assert [r.rejected for r in toxicity.score_toxicity(docs(spark, ["a"]), toxicity.fit_chain(df), threshold=0.9).collect()] == [False]
@@ -461,6 +486,43 @@ def test_language_of_held_out_texts(spark):
     assert (out["lang_pred"] == out["lang"]).mean() >= 0.9 and got["score"].between(0, 1).all()
 
 
+def test_every_language_with_a_text_is_learned(spark, monkeypatch):
+    rows = [(i, "xx", None if i % 200 else "zyx wvu tsr " * 5) for i in range(2000)] + [(30_000 + i, "en", f"the cat sat on mats {i}") for i in range(700)]
+    rows += [(None, "yy", "qq rr ss"), (None, "yy", None), (5, "zz", "123 ?!"), (6, None, "text"), (7, "one", "\u00e9t\u00e9")]
+    df = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    assert language_id.fit_codes(df).langs == ["en", "one", "xx", "yy"]
+    for bound, langs in ((60, ["en", "one", "xx", "yy"]), (4, ["en", "one", "xx", "yy"]), (2, ["en", "one"])):
+        monkeypatch.setattr(language_id, "TRAIN_ROWS", bound)
+        assert language_id.fit_codes(df).langs == langs
+
+
+def test_languages_are_decoded_as_plain_python_does(spark, monkeypatch):
+    d = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
+    codes = language_id.fit_codes(d)
+    texts = {r.doc_id: r.text for r in d.limit(40).collect()} | {-1: "\u00dcber den FLUSS \u00e9", -2: "a", -3: "ab " * 3000}
+    # Several strips for the longer ones, which must count no n-gram twice and lose none.
+    monkeypatch.setattr(language_id, "STRIP", 1000)
+    mask = (1 << 32) - 1
+    for i, text in texts.items():
+        b = f" {text.lower()} ".encode()
+        counts = Counter()
+        for n in (2, 3):
+            for k in range(len(b) - n + 1):
+                h = sum(x * m for x, m in zip(b[k : k + n], (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D))) & mask
+                h = (h ^ h >> 15) * 0x27D4EB2F & mask
+                counts[h >> 20] += 1
+        assert language_id.ngram_counts(text).tolist() == [counts[k] for k in range(language_id.BUCKETS)]
+        if i % 4 == 0:
+            x = [(counts[k] / sum(counts.values())) ** 0.5 for k in range(language_id.BUCKETS)]
+            odds = [sum(w * f for w, f in zip(row, x)) + b0 for row, b0 in zip(codes.weights, codes.bias)]
+            loss = [sum(t * np.log1p(np.exp(-m * o)) for m, o, t in zip(word, odds, codes.trust)) for word in codes.matrix]
+            names, share, _ = codes.decode(language_id.features(text)[None])
+            assert names[0] == codes.langs[int(np.argmin(loss))] and share[0] == pytest.approx(np.exp(-min(loss)) / sum(np.exp(-v) for v in loss))
+    # Equal codewords are equally near: the first by name is taken.
+    same = language_id.Codes(["a", "b"], np.ones((2, 1)), np.zeros((1, language_id.BUCKETS)), np.zeros(1), np.ones(1))
+    assert same.decode(np.zeros((1, language_id.BUCKETS)))[0] == ["a"]
+
+
 def test_language_of_odd_texts(spark):
     codes = language_id.fit_codes(spark.createDataFrame([(i, "der die das und", "de") if i % 2 else (i, "the of and is", "en") for i in range(20)], "doc_id long, text string, lang string"))
     got = by_id(language_id.predict_language(docs(spark, [None, "", "123 !?", "das und die " * 40_000, "the and of"]), codes))
@@ -488,6 +550,21 @@ def test_main_text_of_pages():
     assert html_text.main_text("<article>" + f"<p>{p}</p>" * 3000, tree).count("word0") == 3000
 
 
+def test_what_follows_drawings_and_long_names_is_read():
+    tree = html_text.train_tree()
+    many = lambda w: f"<p>{' '.join([w] * 30)}</p>"
+    read = lambda page: {w for w in html_text.main_text(page, tree).split()}
+    for svg in ("<svg/>", "<math />", '<svg width="1"/>', "<svg width=1/>gone</svg>", "<svg>gone</svg>"):
+        assert read(f"<article>{many('one')}{svg}{many('tail')}</article>") == {"one", "tail"}, svg
+    # A script ends where it says so, whatever its own slash.
+    assert read(f"<article>{many('one')}<script/>gone</script>{many('tail')}</article>") == {"one", "tail"}
+    for n in (0, 150, 250, 3000):
+        assert read(f"<div class='{'x' * n} sidebar'>{many('gone')}</div><div>{many('kept')}</div>") == {"kept"}
+    # An item in an inner list is none of the outer item's end, and a paragraph ends one that has much open in it.
+    states = html_text.blocks("<div class=sidebar><ul><li>a<ul><li>b<li>c</ul><li>d</ul>e</div><p><b><i><u><em>f<p>g")
+    assert [(b.text, b.state.item, b.state.name) for b in states] == [("a", True, -1), ("b", True, -1), ("c", True, -1), ("d", True, -1), ("e", False, -1), ("f", False, 0), ("g", False, 0)]
+
+
 def test_tree_splits_on_words_links_and_neighbours():
     report = html_text.train_tree().report()
     assert {"words", "link_density"} <= set(report) and set(report) & {"words_before", "links_before", "words_after", "links_after"}
@@ -768,6 +845,22 @@ def test_archive_files_hold_the_records(spark, tmp_path):
     assert got == {u: h for _, u, h in rows} and len(full) == 3
 
 
+def test_addresses_are_written_as_they_are(spark, tmp_path):
+    rows = [(0, "http://a/x%20y?q=%C3%A9", "p"), (1, "http://a/\u00e9 z", "q"), (2, "a\r\nWARC-Type: resource\nb", "r"), (3, "", "s"), (4, None, "t"), (5, "http://b/%0A", "p")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    warc.write_archive(df, str(tmp_path / "a"), date="2024-05-06T07:08:09Z")
+    got = {r.page_id: warc.parse_record(bytes(r.record))[0] for r in warc.records(spark, str(tmp_path / "a")).collect()}
+    uris = [got[i].get("WARC-Target-URI") for i in range(6)]
+    assert uris == ["http://a/x%20y?q=%C3%A9", "http://a/\u00e9 z", "a%0D%0AWARC-Type: resource%0Ab", "", None, "http://b/%0A"]
+    assert {f["WARC-Date"] for f in got.values()} == {"2024-05-06T07:08:09Z"}
+    assert sorted((r.page_id, r.url) for r in warc.read_archive(spark, str(tmp_path / "a")).collect()) == [(i, u) for i, u, _ in rows]
+    # Another payload under a record is found out, for those that revisit it too.
+    spark.read.parquet(str(tmp_path / "a" / "payloads")).withColumn("payload", F.lit(b"other")).write.parquet(str(tmp_path / "b" / "payloads"))
+    spark.read.parquet(str(tmp_path / "a" / "headers")).where("not kept").write.parquet(str(tmp_path / "b" / "headers"))
+    with pytest.raises(Exception, match="is not that of its digest"):
+        warc.read_archive(spark, str(tmp_path / "b")).collect()
+
+
 def test_empty_archive(spark, tmp_path):
     df = spark.createDataFrame([], "page_id long, url string, html string")
     assert warc.round_trip(df, str(tmp_path / "e")).count() == 0
@@ -837,6 +930,16 @@ def test_removal_is_that_of_plain_python(spark):
     assert got[5].text is None and got[10].text == "only one line" and (got[0].hash, got[0].cs, got[0].id, got[0].row, got[0].text_) == ("clash", 1, 2, 3, "x")
 
 
+def test_columns_of_any_name_come_through(spark):
+    texts = ["one line here\ntwo lines here\nthree lines here\n" * k for k in (1, 1, 2)]
+    rows = docs(spark, texts, _=1, c=2, c0="x", cs=3, place="p", row=4, id=5, hash=6, n_removed_lines=9)
+    out = line_chunks.dedup_lines(rows)
+    assert [c for c in out.columns if not c.startswith("n_removed")] == [c for c in rows.columns if c != "n_removed_lines"]
+    for r in out.collect():
+        assert (r["_"], r["c"], r["c0"], r["cs"], r["place"], r["row"], r["id"], r["hash"]) == (1, 2, "x", 3, "p", 4, 5, 6)
+    assert sum(r.n_removed_lines for r in out.collect()) > 0
+
+
 def test_lines_end_at_line_breaks_unless_told_else(spark):
     a, b = "one two. three\nfour, five\n", "zero. \n"
     got = by_id(line_chunks.dedup_lines(docs(spark, [a + "x\ny", b + "one two. three", a, "four, five. one two. three"])))
