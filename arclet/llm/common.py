@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -45,25 +47,40 @@ def shared_dir(spark: SparkSession) -> str:
             raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
         top = f"file://{tempfile.gettempdir()}/checkpoints/arclet"
     path = f"{top.rstrip('/')}/arclet-{uuid.uuid4().hex}"
-    _FOLDERS.append(path)
+    _FOLDERS.get().append(path)
     return path
 
 
-_FOLDERS: list[str] = []
+#: The folders that were written and not dropped: of the process, or of the run of own_folders() that a thread is in.
+_FOLDERS: ContextVar[list[str]] = ContextVar("folders", default=[])  # noqa: B039
+
+
+@contextmanager
+def own_folders():
+    """Folders written inside are a list of their own, so that runs side by side drop none of each other's; those that are left in the
+    end go to the list outside."""
+    outside = _FOLDERS.get()
+    token = _FOLDERS.set([])
+    try:
+        yield
+    finally:
+        outside += _FOLDERS.get()
+        _FOLDERS.reset(token)
 
 
 def drop_stored(spark: SparkSession, since: int = 0, keep: int = 0) -> None:
-    """Deletes the folders that this process has written, but for the first since (see mark()) and the last keep of them. Frames
-    made of them can't be read afterwards."""
-    for folder in _FOLDERS[since : len(_FOLDERS) - keep]:
+    """Deletes the folders that were written (see own_folders()), but for the first since (see mark()) and the last keep of them.
+    Frames made of them can't be read afterwards."""
+    own = _FOLDERS.get()
+    for folder in own[since : len(own) - keep]:
         files, path = file_system(spark, folder)
         files.delete(path, True)
-        _FOLDERS.remove(folder)
+        own.remove(folder)
 
 
 def mark() -> int:
     """For drop_stored(): how many folders there are now."""
-    return len(_FOLDERS)
+    return len(_FOLDERS.get())
 
 
 def stored(df: DataFrame) -> DataFrame:

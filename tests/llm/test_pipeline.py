@@ -1,6 +1,7 @@
 """The pipeline's stages on the smallest tables, each against what it should keep."""
 
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -64,6 +65,26 @@ def test_run_gives_the_stages_rows(spark, stages):
     assert got.count() == len(stages[-1][2]) and got.agg(F.sum("length")).first()[0] == stages[-1][2].length.sum()
 
 
+def test_runs_side_by_side_leave_each_other_alone(spark):
+    from concurrent.futures import ThreadPoolExecutor
+
+    from arclet.llm import common
+
+    def run(k):
+        with common.own_folders():
+            kept = common.stored(spark.range(k))
+            common.stored(spark.range(1))
+            time.sleep(1)
+            common.drop_stored(spark, keep=0 if k == 1 else 2)
+            return kept
+
+    with ThreadPoolExecutor(2) as pool:
+        one, two = pool.map(run, (1, 2))
+    assert two.count() == 2
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|not exist"):
+        one.count()
+
+
 def table(spark, texts):
     rows = [(i, t, "en", "s", None if t is None else len(t)) for i, t in (texts.items() if isinstance(texts, dict) else texts)]
     return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
