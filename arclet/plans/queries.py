@@ -183,6 +183,13 @@ def ray_trace_kernel(spark, sf_dir):
     return T.micro_trace(lattice(spark), stars(spark, sf_dir), SMOOTH, SHEAR, False, "kernel").select("ray_id", r6("bx", "bx"), r6("by", "by"))
 
 
+@query(f"WITH {TRACED} SELECT ray_id, round(bx, 6) + 0.0 AS bx, round(yb, 6) + 0.0 AS \"by\", round(det, 3) + 0.0 AS det FROM rays")
+def ray_trace_cells(spark, sf_dir):
+    """Far stars by the moments of their cells."""
+    t = T.micro_trace(lattice(spark), stars(spark, sf_dir), SMOOTH, SHEAR, True, "cells")
+    return t.select("ray_id", r6("bx", "bx"), r6("by", "by"), (F.round("det", 3) + F.lit(0.0)).alias("det"))
+
+
 @query(f"WITH {TRACED} SELECT CASE WHEN abs(det) < 1e-3 THEN 0 WHEN det > 0 THEN 1 ELSE -1 END AS parity, count(*) AS n FROM rays GROUP BY 1")
 def jacobian_parity(spark, sf_dir):
     return traced(spark, sf_dir).groupBy(F.col("parity").cast("int").alias("parity")).agg(F.count(F.lit(1)).alias("n"))

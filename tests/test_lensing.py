@@ -295,3 +295,36 @@ def test_truncated_mass_functions_and_error_function():
     x = np.linspace(-3, 3, 25)
     assert imf.error(x) == pytest.approx([math.erf(a) for a in x], abs=4e-4) and imf.error_inverse(imf.error(x[6:19])) == pytest.approx(x[6:19])
     assert imf.half_at_zero([0.0, 2.0]).tolist() == [0.5, 1.0] and imf.inside([1, 2, 4.0], 1, 3).tolist() == [1, 1, 0]
+
+
+@pytest.mark.parametrize("n", [1, 40, 3000])
+def test_cells_of_stars_are_as_good_as_all_stars(spark, n):
+    rng = np.random.default_rng(n)
+    field = np.column_stack((rng.normal(0, 12, n), rng.normal(3, 12, n), rng.uniform(0.1, 2, n)))
+    stars = star_frame(spark, [(i, *map(float, s)) for i, s in enumerate(field)])
+    # A ray at a star's place goes; two stars at one place are no trouble.
+    stars = stars.unionByName(star_frame(spark, [(n, 1.0, 0.5, 1.0), (n + 1, 1.0, 0.5, 2.0)]))
+    rays = ray_lattice(spark, 60, 40, 0.5, 0.25)
+    want, got = (micro_trace(rays, stars, 0.3, 0.1, True, s).orderBy("ray_id").toPandas() for s in ("kernel", "cells"))
+    assert got["ray_id"].tolist() == want["ray_id"].tolist() and len(got) == 60 * 40 - 1
+    for c in ("bx", "by"):
+        assert got[c].to_numpy() == pytest.approx(want[c].to_numpy(), abs=1e-9)
+    assert got["det"].to_numpy() == pytest.approx(want["det"].to_numpy(), rel=1e-6, abs=1e-6)
+    assert (got["parity"] == want["parity"]).mean() > 0.999
+
+
+def test_far_cells_stay_within_their_error_bound():
+    from arclet.operators import multipole
+
+    rng = np.random.default_rng(5)
+    s = rng.uniform(-1, 1, (500, 2)) @ [1, 1j]
+    cells = multipole.Cells.of(np.column_stack((s.real, s.imag, rng.uniform(0.5, 1, 500))))
+    for distance in (2.2, 3.0, 10.0, 1e4):
+        t = distance * 2 ** 0.5 * np.exp(1j)
+        z = t + rng.uniform(-0.05, 0.05, (50, 2)) @ [1, 1j]
+        f, d = cells.field(z)
+        exact = (cells.mass / (z[:, None] - cells.z)).sum(axis=1)
+        bound = 2 * multipole.RATIO**multipole.TERMS / (1 - multipole.RATIO) ** 2 * (cells.mass / np.abs(t - cells.z)).sum() * 2
+        assert np.abs(f - exact).max() <= bound + 1e-14 * np.abs(exact).max()
+        slope = -(cells.mass / (z[:, None] - cells.z) ** 2).sum(axis=1)
+        assert d == pytest.approx(slope, rel=1e-7)
