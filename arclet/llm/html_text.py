@@ -68,6 +68,11 @@ LABELLED = (
     "<main><div y><h1>{5}</h1><p>{70}</p><p>{20}</p></div><ul><li><a>{7}</a><li><a>{8}</a><li><a>{6}</a></ul><section class=comments><p>{25}</p><p>{40}</p><p>{3}</p></section></main>",
     "<article y><p>{50}</p><p>{9} <a>{1}</a></p><div y=0 class=share-bar><a>{1}</a> <a>{1}</a> {2}</div><div y=0 class=newsletter><p>{16}</p></div></article>",
     "<article y><h2>{5}</h2><p><a>{3}</a> {30}</p><p>{35}</p></article><div id=comments><h3>{2}</h3><article class=comment><p>{28}</p></article><article class=comment><p>{9}</p></article></div>",
+    # what only its neighbours tell apart: a few words above a list of links, and a few words above text
+    "<article y><h1>{6}</h1><p>{40}</p><p>{35}</p><p y=0>{3}</p><ul y=0><li><a>{5}</a><li><a>{7}</a></ul></article>",
+    "<article y><h2>{3}</h2><p>{30}</p><h3 y=0>{2}</h3><p y=0><a>{6}</a></p><p y=0><a>{4}</a></p><h3>{2}</h3><p>{28}</p></article>",
+    "<main y><p>{22}</p><p y=0>{4}</p><p y=0><a>{9}</a></p><p>{3}</p><p>{41}</p></main>",
+    "<article y><p>{33}</p><p y=0><a>{3}</a></p><p y=0>{2}</p><p y=0><a>{4}</a></p><p>{5}</p><p>{26}</p></article>",
     # names only
     "<div class=header>{4}</div><div class=menu><a>{1}</a> | <a>{1}</a></div><div class=entry-content y><p>{55}</p><p>{6}</p><p>{44}</p></div><div class=sidebar><p>{35}</p><p>{15}</p></div><div class=footer>{12}</div>",
     "<div id=cookie-consent>{24} <a>{2}</a></div><div id=post y><h1>{8}</h1><p>{33}</p><p>{3}</p></div><div id=related><p><a>{7}</a></p><p><a>{6}</a></p></div>",

@@ -567,7 +567,12 @@ def test_what_follows_drawings_and_long_names_is_read():
 
 def test_tree_splits_on_words_links_and_neighbours():
     report = html_text.train_tree().report()
-    assert {"words", "link_density"} <= set(report) and set(report) & {"words_before", "links_before", "words_after", "links_after"}
+    assert {"words", "link_density", "words_before", "links_before", "words_after", "links_after"} <= set(report)
+    # The words above a list of links go with it, the same words above text stay.
+    few, many = "<h3>few words</h3>", f"<p>{'many ' * 30}</p>"
+    read = lambda page: html_text.main_text(page, html_text.train_tree())
+    assert "few words" not in read(f"<article>{many}{few}<p><a>some other page</a></p><p><a>another</a></p>{many}</article>")
+    assert "few words" in read(f"<article>{many}{few}{many}</article>")
     table = html_text.labelled_blocks()
     assert all(html_text.classify(html_text.train_tree(table), f) == bool(y) for f, y in table)
 
