@@ -149,6 +149,83 @@ def prominences(v: np.ndarray) -> np.ndarray:
     return v - np.where((left == len(v)) & (right == len(v)), v.min(), low)
 
 
+#: Samples of a series that one task holds, where it is taken in chunks.
+CHUNK = 1 << 16
+_RECORDS = "r_top array<double>, r_at array<long>, r_low array<double>, l_top array<double>, l_at array<long>, l_low array<double>"
+
+
+def _records(v: np.ndarray, at: np.ndarray) -> tuple[list, list, list]:
+    """What can be seen of values from before the first: those higher than all before them, their places, and of each the lowest
+    value before it."""
+    low = np.concatenate(([np.inf], np.minimum.accumulate(v)[:-1]))
+    seen = np.flatnonzero(v > np.concatenate(([-np.inf], np.maximum.accumulate(v)[:-1])))
+    return v[seen].tolist(), at[seen].tolist(), low[seen].tolist()
+
+
+def _beyond(x: np.ndarray, low: np.ndarray, tops: np.ndarray, lows: np.ndarray, own: list) -> tuple[np.ndarray, np.ndarray]:
+    """Of values the place of the nearest higher one in the chunks that follow, -1 for none, and the lowest value on the way; own
+    gives a chunk's records."""
+    place, low = np.full(len(x), -1, np.int64), low.copy()
+    if not len(tops):
+        return place, low
+    highest, lowest = np.maximum.accumulate(tops), np.concatenate(([np.inf], np.minimum.accumulate(lows)))
+    chunk = np.searchsorted(highest, x, side="right")
+    low = np.minimum(low, lowest[chunk])
+    for c in np.unique(chunk[chunk < len(tops)]):
+        some = chunk == c
+        top, at, before = own[c]
+        k = np.searchsorted(top, x[some], side="right")
+        place[some], low[some] = np.asarray(at)[k], np.minimum(low[some], np.asarray(before)[k])
+    return place, low
+
+
+def chunked_prominences(curve: DataFrame, size: int = CHUNK, keys=KEY) -> DataFrame:
+    """keys, peak, prominence of every sample, of series of any length: no task holds more than size samples of one.
+
+    Chunks are summed up each by its extremes and by what can be seen of it from either side, its records. A sample whose nearest
+    higher one is not in its own chunk finds it in the first chunk with a higher value, among that chunk's records. What a
+    chunk gets of the others is their summaries.
+    """
+    share_code(curve.sparkSession)
+    names = [f.name for f in curve.select(*keys).schema]
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in curve.select(*keys).schema)
+    rows = curve.select(*keys, "sample_idx", F.col("v").cast("double").alias("v"), F.floor(F.col("sample_idx") / size).cast("long").alias("chunk"))
+    group = [*keys, "chunk"]
+
+    def summary(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("sample_idx")
+        v, at = pdf["v"].to_numpy(), pdf["sample_idx"].to_numpy()
+        seen = [[x] for x in (*_records(v, at), *_records(v[::-1], at[::-1]))]
+        return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in [*names, "chunk"]}, "top": [v.max()], "low": [v.min()], **dict(zip(("r_top", "r_at", "r_low", "l_top", "l_at", "l_low"), seen))})
+
+    sums = rows.groupBy(*group).applyInPandas(summary, f"{schema}, chunk long, top double, low double, {_RECORDS}")
+    whole_series = sums.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("chunk", "top", "low", *[f.split()[0] for f in _RECORDS.split(", ")]))).alias("s"))
+    parts = ["chunk", "top", "low", "r_top", "r_at", "r_low", "l_top", "l_at", "l_low"]
+    known = sums.select(*group).join(whole_series, list(keys)).select(*group, *[F.col(f"s.{p}").alias(f"s_{p}") for p in parts])
+
+    def found(pdf: pd.DataFrame, series: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("sample_idx")
+        v, at, s = pdf["v"].to_numpy(), pdf["sample_idx"].to_numpy(), series.iloc[0]
+        tops, lows = np.asarray(s["s_top"], float), np.asarray(s["s_low"], float)
+        k = int(np.searchsorted(np.asarray(s["s_chunk"]), pdf["chunk"].iloc[0]))
+        n, none = len(v), np.iinfo(np.int64).max
+        far_left, low_left = _way_up(v)
+        far_right, low_right = (x[::-1].copy() for x in _way_up(v[::-1]))
+        left, right = np.where(far_left < n, far_left, none), np.where(far_right < n, far_right, none)
+        for side, low, sign, t, m, own in (
+            (right, low_right, 1, tops[k + 1 :], lows[k + 1 :], list(zip(s["s_r_top"], s["s_r_at"], s["s_r_low"]))[k + 1 :]),
+            (left, low_left, -1, tops[:k][::-1], lows[:k][::-1], list(zip(s["s_l_top"], s["s_l_at"], s["s_l_low"]))[:k][::-1]),
+        ):
+            open_ = np.flatnonzero(side == none)
+            place, low[open_] = _beyond(v[open_], low[open_], t, m, own)
+            side[open_] = np.where(place >= 0, sign * (place - at[open_]), none)
+        low = np.where(right <= left, low_right, low_left)
+        out = v - np.where((left == none) & (right == none), lows.min(), low)
+        return pd.DataFrame({**{x: [pdf[x].iloc[0]] * n for x in names}, "peak": at, "prominence": out})
+
+    return rows.groupBy(*group).cogroup(known.groupBy(*group)).applyInPandas(found, f"{schema}, peak int, prominence double")
+
+
 def trim_window(curve: DataFrame, length: int, keys=KEY) -> DataFrame:
     """keys, s, e: of windows of that many samples that start before the peak, at most that far, the one with the largest sum."""
     c = curve.withColumn("_sum", F.sum("v").over(over(keys).rowsBetween(0, length - 1))).join(peak_of(curve, keys), list(keys))
@@ -371,14 +448,19 @@ def detect(curve: DataFrame, detector: str, keys=KEY, **how) -> DataFrame:
 
 
 def gaussian_smooth(curve: DataFrame, sigma: float, keys=KEY) -> DataFrame:
-    """Adds smooth to every series."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("sample_idx")
-        return pdf.assign(smooth=gaussian(pdf["v"].to_numpy(float), sigma))
-
-    share_code(curve.sparkSession)
-    return curve.groupBy(*keys).applyInPandas(run, curve.withColumn("smooth", F.lit(0.0)).schema)
+    """Adds smooth to every series, as gaussian() does: weighted sums over an array of its values, mirrored at its ends."""
+    r = int(4 * sigma + 0.5)
+    w = np.exp(-0.5 * (np.arange(-r, r + 1) / sigma) ** 2) if sigma > 0 else np.ones(1)
+    weights = F.array(*[F.lit(float(x)) for x in w / w.sum()])
+    n = F.size("_v")
+    # Places repeat after the series and its mirror image.
+    back = lambda i: F.when(i < n, i).otherwise(2 * n - 1 - i)
+    at = lambda i: F.get("_v", back(F.pmod(i, 2 * n)))
+    total = lambda i: F.aggregate(F.transform(weights, lambda x, k: x * at(i + k - r)), F.lit(0.0), lambda a, x: a + x)
+    series = curve.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("sample_idx", F.col("v").cast("double").alias("v")))).alias("_s"))
+    series = series.withColumn("_v", F.transform("_s", lambda x: x["v"])).withColumn("_smooth", F.transform("_v", lambda _, i: total(i)))
+    smooth = series.select(*keys, F.explode(F.arrays_zip(F.transform("_s", lambda x: x["sample_idx"]).alias("i"), F.col("_smooth").alias("s"))).alias("_z"))
+    return curve.join(smooth.select(*keys, F.col("_z")["i"].alias("sample_idx"), F.col("_z")["s"].alias("smooth")), [*keys, "sample_idx"])
 
 
 def peak_slices(peaks: DataFrame, lengths: DataFrame, half: int, keys=KEY) -> DataFrame:

@@ -504,6 +504,12 @@ def prominence(spark, sf_dir):
     return S.prominence_of(c, peaks).select("line_id", "peak", r6("prominence", "prominence"))
 
 
+@query(_PROMINENT)
+def prominence_chunks(spark, sf_dir):
+    """The same with series in chunks, of which no task holds two."""
+    return S.chunked_prominences(curves(spark, sf_dir), 16).select("line_id", "peak", r6("prominence", "prominence"))
+
+
 @query(f"SELECT line_id, count(*) FILTER (prominence > 200) AS n FROM ({_PROMINENT}) GROUP BY line_id")
 def prominences_above(spark, sf_dir):
     return S.prominences_above(curves(spark, sf_dir), 200.0).select("line_id", "n")
