@@ -23,6 +23,7 @@ from ..operators import trace as T
 from ..sources import lattice as L
 from ..sources import lines as N
 from ..sources import stars as ST
+from ..streaming import commands as CM
 from ..streaming import frames as FR
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -234,6 +235,26 @@ def animation_frames(spark, sf_dir):
     return FR.frame_rays(frames, traced(spark, sf_dir), 0.5).groupBy("frame").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("""WITH c AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq, event_type AS e, value AS v FROM events),
+g AS (SELECT *, count(*) FILTER (e IN ('signup', 'error')) OVER w AS part, last_value(CASE WHEN e = 'signup' THEN v END IGNORE NULLS) OVER w AS x, last_value(CASE WHEN e = 'click' THEN v / 8 END IGNORE NULLS) OVER w AS vx,
+  last_value(CASE WHEN e = 'signup' THEN 0 WHEN e = 'error' THEN v END IGNORE NULLS) OVER w AS t0 FROM c WINDOW w AS (PARTITION BY user_id ORDER BY seq)),
+h AS (SELECT *, coalesce(t0, 0) + 0.1::DOUBLE * count(*) FILTER (e = 'view') OVER (PARTITION BY user_id, part ORDER BY seq) AS t FROM g)
+SELECT user_id::VARCHAR AS session, seq, row_number() OVER (PARTITION BY user_id ORDER BY seq) - 1 AS frame, round(t, 8) + 0.0 AS t, round(coalesce(x, 0) + coalesce(vx, 0) * t, 8) + 0.0 AS qx,
+  round(coalesce(x, 0) / 2 - coalesce(vx, 0) / 2 * t, 8) + 0.0 AS qy FROM h WHERE e IN ('signup', 'view', 'purchase')""")
+def animation_commands(spark, sf_dir):
+    """The frames that the events of each user show, taken as commands to an animation of their own."""
+    from pyspark.sql import Window as W
+
+    kind = F.create_map(*[F.lit(x) for pair in {"signup": "place", "error": "time", "view": "step", "click": "velocity", "purchase": "show"}.items() for x in pair])
+    e, v = F.col("event_type"), F.col("value")
+    a = F.when(e == "click", v / 8).when(e == "view", F.lit(None)).otherwise(v)
+    b = F.when(e == "signup", v / 2).when(e == "click", -v / 16)
+    seq = F.row_number().over(W.partitionBy("user_id").orderBy("ts", "event_id")).cast("long")
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("session"), seq.alias("seq"), kind[e].alias("command"), a.alias("a"), b.alias("b"))
+    # Values have eight digits at most.
+    return CM.frames_of_table(rows).select("session", "seq", "frame", *[(F.round(c, 8) + F.lit(0.0)).alias(c) for c in ("t", "qx", "qy")])
+
+
 # Stars.
 
 
