@@ -60,8 +60,13 @@ def _repeat_words(words: str, windows: str, order: str) -> Column:
     return F.coalesce(F.get(F.transform(F.array(places), covered), F.lit(0)), F.lit(0))
 
 
+#: What with_figures() adds.
+FIGURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_stop_words", "n_letter_words", "n_bullet_lines", "n_ellipsis_lines")
+
+
 def with_figures(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """df with the figures that rules compare: see quality_rules."""
+    """df with the figures that rules compare: see quality_rules. Columns of df with a figure's name are replaced, and names that
+    start with an underscore are for this function."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     df = df.withColumn("_t", text)
     df = df.withColumn("_w", F.filter(F.split("_t", WORD_GAP), lambda w: w != ""))
@@ -74,8 +79,7 @@ def with_figures(df: DataFrame, text_col: str = "text") -> DataFrame:
     order = F.sort_array(F.transform("_v", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
     df = df.withColumn("_o", F.when((F.size(F.array_distinct("_v")) < F.size("_v")) & (F.spark_partition_id() >= 0), order))
     count = lambda c, keep: F.size(F.filter(c, keep)).cast("long")
-    return df.select(
-        *[c for c in df.columns if c not in ("_t", "_w", "_lines", "_h", "_v", "_o")],
+    figures = [
         F.size("_w").cast("long").alias("n_words"),
         F.length(F.regexp_replace("_t", WORD_GAP, "")).cast("long").alias("word_chars"),
         F.length(F.regexp_replace("_t", SYMBOLS, "")).cast("long").alias("n_symbols"),
@@ -86,7 +90,9 @@ def with_figures(df: DataFrame, text_col: str = "text") -> DataFrame:
         count("_w", lambda w: w.rlike("\\p{L}")).alias("n_letter_words"),
         count("_lines", lambda x: F.substring(F.ltrim(x), 1, 1).isin(*BULLETS)).alias("n_bullet_lines"),
         count("_lines", lambda x: F.rtrim(x).endswith("...") | F.rtrim(x).endswith("…")).alias("n_ellipsis_lines"),
-    )
+    ]
+    own = {"_t", "_w", "_lines", "_h", "_v", "_o", *FIGURES}
+    return df.select(*[c for c in df.columns if c not in own], *figures)
 
 
 def compiled(rules: tuple[Rule, ...] = RULES) -> Column:

@@ -96,7 +96,8 @@ def fit_chain(labelled: DataFrame, label_col: str = "toxic", id_col: str = "doc_
 
 def toxic_chain(documents: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, categories=()) -> Chain:
     """The chain for documents (doc_id, text) with labels (doc_id, toxic): the sample of labels is drawn first, so that what is
-    broadcast to the texts has train_rows rows at most."""
+    broadcast to the texts has train_rows rows at most. Of labels that share an id the largest counts, whatever the order, and null
+    labels and ids are left out; rows of documents that share an id are learned from each, and null texts not at all."""
     sample = _sample(_labels(labels, "doc_id", "toxic", categories), train_rows)
     return _fit(documents.select("doc_id", "text").join(F.broadcast(sample), "doc_id"), list(categories))
 

@@ -77,6 +77,11 @@ def test_quality_figures_are_those_of_plain_python(spark):
     assert got[5].kept and not got[5].broken
 
 
+def test_figures_replace_columns_of_their_names(spark):
+    out = quality_rules.with_figures(docs(spark, ["a b c", None], n_words=99, n_lines="x", other=1))
+    assert out.columns == ["doc_id", "text", "other", *quality_rules.FIGURES] and [r.n_words for r in out.orderBy("doc_id").collect()] == [3, 0]
+
+
 def test_quality_can_be_filtered_and_takes_other_rules(spark):
     rules = (quality_rules.Rule("long", "n_words", "", None, 100),)
     q = quality_rules.quality_rules(docs(spark, QUALITY), rules=rules)
