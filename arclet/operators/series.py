@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.columns import log_brightness
 from ..plans.session import share_code
 
 KEY = ("trial", "line_id")
@@ -32,6 +33,13 @@ def with_distance(curve: DataFrame, keys=KEY) -> DataFrame:
     return curve.withColumn("distance", F.sqrt(dx * dx + dy * dy))
 
 
+def plottables(curve: DataFrame, unit_length: float = 1.0, keys=KEY) -> DataFrame:
+    """What a plot of every curve (keys, sample_idx, x, y, v) shows: keys, sample_idx, distance from the first sample in a unit of
+    that length, and magnitude, null where nothing shines."""
+    d = with_distance(curve, keys)
+    return d.select(*keys, "sample_idx", (F.col("distance") / F.lit(unit_length)).alias("distance"), log_brightness(F.col("v")).alias("magnitude"))
+
+
 def curve_lengths(curve: DataFrame, keys=KEY) -> DataFrame:
     """keys, length (the last sample's distance), density (that of the second)."""
     d = with_distance(curve, keys)

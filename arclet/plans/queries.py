@@ -455,6 +455,16 @@ def light_curve_counts(spark, sf_dir):
     return P.light_curves(points(spark, sf_dir), track(spark, sf_dir), RADIUS, RAW).select("line_id", "sample_idx", r6("x", "x"), r6("y", "y"), "magnification")
 
 
+@query(f"""WITH {SAMPLED}, {POINTS}, c AS (SELECT curve_id, sample_idx, count(*) AS n FROM track JOIN pts ON {NEAR} GROUP BY ALL),
+f AS (SELECT curve_id, qx AS fx, qy AS fy FROM track WHERE sample_idx = 0)
+SELECT curve_id AS line_id, sample_idx, round(sqrt((qx - fx) * (qx - fx) + (qy - fy) * (qy - fy)) / 0.5, 6) + 0.0 AS distance, round(-2.5 * log10(n / {RAW}::DOUBLE), 6) + 0.0 AS magnitude
+FROM track JOIN f USING (curve_id) LEFT JOIN c USING (curve_id, sample_idx)""")
+def plottable_curves(spark, sf_dir):
+    """Light curves as a plot shows them, with distances in a unit of their own."""
+    c = P.light_curves(points(spark, sf_dir), track(spark, sf_dir), RADIUS, RAW).withColumnRenamed("magnification", "v")
+    return S.plottables(c, 0.5, ("line_id",)).select("line_id", "sample_idx", r6("distance", "distance"), r6("magnitude", "magnitude"))
+
+
 @query(f"WITH {POINTS}, e AS (SELECT min(bx) AS lo, max(bx) AS hi FROM pts) SELECT least(floor((bx - lo) / ((hi - lo) / 37))::INT, 36) AS bucket, count(*) AS n FROM pts, e GROUP BY 1")
 def bucket_minmax(spark, sf_dir):
     return C.equal_width_bucket(points(spark, sf_dir), "bx", 37).groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
