@@ -30,7 +30,7 @@ from .common import share_code, stored, text_frame
 
 TOP = 10
 #: Text that one shard holds, about; a document is never parted.
-SEGMENT_BYTES = 16 << 20
+SEGMENT_BYTES = 8 << 20
 #: What one pass over the shards looks for at most: items, and terms of all of them together. More take more passes.
 ITEMS_A_PASS = 2048
 TERMS_A_PASS = 200_000
