@@ -538,7 +538,7 @@ def prominence(spark, sf_dir):
 @query(_PROMINENT)
 def prominence_chunks(spark, sf_dir):
     """The same with series in chunks, of which no task holds two."""
-    return S.chunked_prominences(curves(spark, sf_dir), 16).select("line_id", "peak", r6("prominence", "prominence"))
+    return S.chunked_prominences(curves(spark, sf_dir), 48).select("line_id", "peak", r6("prominence", "prominence"))
 
 
 @query(f"SELECT line_id, count(*) FILTER (prominence > 200) AS n FROM ({_PROMINENT}) GROUP BY line_id")
