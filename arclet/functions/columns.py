@@ -8,11 +8,38 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def uniform(seed, *of) -> Column:
+    """A number in [0, 1) by a hash of columns and a seed: the same wherever and in whatever order rows are made."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), *of)), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
+
+
 def magnification(convergence: Column, shear: Column) -> Column:
     """|1 / ((1 - convergence)² - shear²)|, null where that is 1 / 0."""
     return F.abs(F.try_divide(F.lit(1.0), (1 - convergence) * (1 - convergence) - shear * shear))
 
 
+def convergence_split(convergence: Column, percent_stars: Column) -> tuple[Column, Column]:
+    """The smooth convergence and that in stars."""
+    return convergence * (1 - percent_stars / 100), convergence * percent_stars / 100
+
+
+def ray_window(width: Column, height: Column, convergence: Column, shear: Column, buffer: float = 1.0) -> tuple[Column, Column]:
+    """The part of the lens plane that covers a source plane: wider by the axis ratio of the smooth lens. The width is null where that
+    is 0 or 1 / 0."""
+    wider = F.try_divide(F.abs(1 + shear - convergence), F.abs(1 - shear - convergence))
+    return F.when(wider > 0, width * wider * F.lit(buffer)), height * F.lit(buffer)
+
+
+def raw_brightness(radius: Column, step_x: Column, step_y: Column, convergence: Column, shear: Column) -> Column:
+    """Rays of a lattice that would hit a source of that radius without stars; null where the magnification is 1 / 0."""
+    return F.lit(math.pi) * radius * radius / (step_x * step_y) * magnification(convergence, shear)
+
+
+def ray_print(*parameters: Column) -> Column:
+    """A fingerprint of what traced rays depend on: the same for rows whose parameters are equal, nulls included."""
+    return F.sha2(F.to_json(F.struct(*[p.alias(f"p{i}") for i, p in enumerate(parameters)]), {"ignoreNullFields": "false"}), 256)
+
+
 def log_brightness(v: Column, floor: float = 0.0) -> Column:
     """-2.5 log10 of v + floor; null where that isn't positive."""
     return F.when(v + F.lit(floor) > 0, F.lit(-2.5) * F.log10(v + F.lit(floor)))

@@ -8,7 +8,8 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..functions import cosmology
 from ..functions.model import Animation, Box, LensModel, MacroParameters, MicroParameters, Polar, Simulation, SourceModel, StarField, Vec
@@ -47,6 +48,16 @@ class Units:
         return Vec(self.angle(v["x"], v.get("unit", "")), self.angle(v["y"], v.get("unit", "")))
 
 
+def angle_column(value: Column, unit: Column, z_source: Column, z_lens: Column, mass: Column) -> Column:
+    """Units.angle() of columns: in Einstein angles of a solar mass. Null for a unit that isn't known."""
+    theta = cosmology.theta_e_column(z_source, z_lens, F.lit(1.0))
+    size = F.create_map(*[F.lit(x) for u in ANGLES.items() for x in u])[unit]
+    length = F.create_map(*[F.lit(x) for u in LENGTHS.items() for x in u])[unit]
+    out = F.when(unit.isNull() | unit.isin("", "theta_E", "xi", "eta"), value.cast("double"))
+    out = out.when(unit == "r_g", value * cosmology.gravitational_radius_column(mass, z_source) / theta)
+    return out.otherwise(F.coalesce(value * size / theta, value * length / cosmology.distance_column(z_source) / theta))
+
+
 def _polar(d: dict) -> Polar:
     return Polar(d["magnitude"]["values"], math.radians(d.get("direction", 0.0)))
 

@@ -2,23 +2,27 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.columns import uniform
 from ..functions.model import Box
 
 
+def lines_of(df: DataFrame, box: Box, seed: int, key: str = "curve_id") -> DataFrame:
+    """A seeded line for each key: key, ax, ay (a point) and dx, dy (a direction), each within half the box's dimensions of 0. Made where
+    the rows are; a key has the same line in any table."""
+    side = {"ax": box.dims.x, "ay": box.dims.y, "dx": box.dims.x, "dy": box.dims.y}
+    return df.select(key, *[((uniform(f"{seed} {c}", F.col(key)) - 0.5) * F.lit(float(d))).alias(c) for c, d in side.items()])
+
+
 def random_lines(spark: SparkSession, box: Box, n: int, seed: int) -> DataFrame:
-    """Seeded lines: curve_id, ax, ay (a point) and dx, dy (a direction), each within half the box's dimensions of 0."""
-    u = np.random.RandomState(seed % (1 << 32)).rand(n, 4) - 0.5
-    w, h = box.dims.x, box.dims.y
-    return spark.createDataFrame(pd.DataFrame({"curve_id": np.arange(n), "ax": u[:, 0] * w, "ay": u[:, 1] * h, "dx": u[:, 2] * w, "dy": u[:, 3] * h}))
+    """n lines as lines_of() makes them: curve_id, ax, ay, dx, dy."""
+    return lines_of(spark.range(n).withColumnRenamed("id", "curve_id"), box, seed)
 
 
-def clip_lines(lines: DataFrame, box: Box) -> DataFrame:
-    """curve_id, x0, y0, x1, y1: where a line meets the box, by the second and third of its four slab parameters.
+def clip_lines(lines: DataFrame, box: Box, keep=()) -> DataFrame:
+    """curve_id, x0, y0, x1, y1, and columns to keep: where a line meets the box, by the second and third of its four slab parameters.
 
     A line along an axis has no parameter for the other one; its two are taken at infinity.
     """
@@ -27,23 +31,28 @@ def clip_lines(lines: DataFrame, box: Box) -> DataFrame:
     ts = F.sort_array(F.array(t(lx, "ax", "dx"), t(ly, "ay", "dy"), t(rx, "ax", "dx"), t(ry, "ay", "dy")))
     c = lines.withColumn("ts", ts).withColumn("t1", F.col("ts")[1]).withColumn("t2", F.col("ts")[2])
     at = lambda a, d, s: F.col(a) + F.col(s) * F.col(d)
-    return c.select("curve_id", at("ax", "dx", "t1").alias("x0"), at("ay", "dy", "t1").alias("y0"), at("ax", "dx", "t2").alias("x1"), at("ay", "dy", "t2").alias("y1"))
+    return c.select("curve_id", *keep, at("ax", "dx", "t1").alias("x0"), at("ay", "dy", "t1").alias("y0"), at("ax", "dx", "t2").alias("x1"), at("ay", "dy", "t2").alias("y1"))
 
 
-def interpolate_lines(ends: DataFrame, step: float) -> DataFrame:
+def interpolate_lines(ends: DataFrame, step: float | Column) -> DataFrame:
     """Points curve_id, sample_idx, qx, qy: whole steps of the length, from end to end inclusive; shorter lines have none."""
+    step = step if isinstance(step, Column) else F.lit(step)
     length = F.sqrt((F.col("x1") - F.col("x0")) * (F.col("x1") - F.col("x0")) + (F.col("y1") - F.col("y0")) * (F.col("y1") - F.col("y0")))
-    n = ends.withColumn("n", F.floor(length / F.lit(step)).cast("int")).where("n > 0")
+    n = ends.withColumn("n", F.floor(F.try_divide(length, step)).cast("int")).where("n > 0")
     p = n.withColumn("sample_idx", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
     part = F.coalesce(F.try_divide(F.col("sample_idx").cast("double"), (F.col("n") - 1).cast("double")), F.lit(0.0))
     return p.select("curve_id", "sample_idx", (F.col("x0") + (F.col("x1") - F.col("x0")) * part).alias("qx"), (F.col("y0") + (F.col("y1") - F.col("y0")) * part).alias("qy"))
 
 
+def slice_lines(lines: DataFrame, box: Box) -> DataFrame:
+    """Points of lines (curve_id, ax, ay, dx, dy), each in steps of its own (dx, dy), from where it enters the box to where it leaves; a
+    line without a direction has none."""
+    return interpolate_lines(clip_lines(lines, box, ("dx", "dy")), F.hypot("dx", "dy"))
+
+
 def slice_region(spark: SparkSession, box: Box, a: tuple[float, float], d: tuple[float, float]) -> DataFrame:
-    """Points of one line through a, in steps of d, from where it enters the box to where it leaves."""
-    lines = spark.createDataFrame([(0, *a, *d)], "curve_id long, ax double, ay double, dx double, dy double")
-    step = float(np.hypot(*d))
-    return interpolate_lines(clip_lines(lines, box), step)
+    """slice_lines() of one line through a, in steps of d."""
+    return slice_lines(spark.createDataFrame([(0, *map(float, a), *map(float, d))], "curve_id long, ax double, ay double, dx double, dy double"), box)
 
 
 def ragged(points: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.columns import uniform
 from ..functions.imf import PowerLaw, evolved_column, integral_column, sample_column
 from ..functions.model import STAR, Disk, StarField
 
@@ -40,11 +41,6 @@ BLOCK = 1 << 16
 MASS_PARTS = float(1 << 30)
 
 
-def uniform(seed, *of) -> Column:
-    """A number in [0, 1) by a hash of columns and a seed: the same wherever and in whatever order rows are made."""
-    return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), *of)), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
-
-
 def star_clusters(clusters: DataFrame, law: PowerLaw, seed: int, remnants=(), key: str = "cluster", total: str = "total") -> DataFrame:
     """key, star_id, mass: stars of clusters (key, total), whose masses add up to the totals as nearly as whole stars can.
 
@@ -78,12 +74,17 @@ def star_clusters(clusters: DataFrame, law: PowerLaw, seed: int, remnants=(), ke
     return kept.select(key, "star_id", "mass")
 
 
+def disk_places(star_id: Column, disk: Disk, seed) -> tuple[Column, Column]:
+    """x, y: places uniform in a disk, by hashes of star numbers."""
+    r, t = F.lit(float(disk.radius)) * F.sqrt(uniform(f"{seed} r", star_id)), F.lit(2 * math.pi) * uniform(f"{seed} t", star_id)
+    return F.lit(float(disk.center.x)) + r * F.cos(t), F.lit(float(disk.center.y)) + r * F.sin(t)
+
+
 def star_field(spark: SparkSession, field: StarField, disk: Disk, total_mass: float) -> DataFrame:
     """star_id, x, y, mass of one field, made by tasks: masses as in star_clusters(), places uniform in the disk."""
     clusters = spark.createDataFrame([(0, float(total_mass))], "cluster int, total double")
     stars = star_clusters(clusters, mass_function(field), field.seed, field.conversions)
-    r, t = F.lit(disk.radius) * F.sqrt(uniform(f"{field.seed} r", F.col("star_id"))), F.lit(2 * math.pi) * uniform(f"{field.seed} t", F.col("star_id"))
-    return stars.select("star_id", (F.lit(disk.center.x) + r * F.cos(t)).alias("x"), (F.lit(disk.center.y) + r * F.sin(t)).alias("y"), "mass")
+    return stars.select("star_id", *[c.alias(n) for c, n in zip(disk_places(F.col("star_id"), disk, field.seed), ("x", "y"))], "mass")
 
 
 def star_table(spark: SparkSession, field: StarField, disk: Disk, total_mass: float) -> DataFrame:
@@ -99,11 +100,12 @@ def star_velocities(n: int, mean: float, sigma: float, seed: int) -> np.ndarray:
 
 
 def with_velocities(stars: DataFrame, mean: float, sigma: float, seed: int) -> DataFrame:
-    """Adds vx, vy to a star table by star_id; the table of velocities is as small as that of stars."""
-    n = stars.count()
-    v = star_velocities(n, mean, sigma, seed)
-    rows = stars.sparkSession.createDataFrame(pd.DataFrame({"star_id": np.arange(n), "vx": v[:, 0], "vy": v[:, 1]}))
-    return stars.join(rows, "star_id")
+    """Adds vx, vy as star_velocities() has them, by hashes of star_id: made where the stars are, without a join."""
+    u = lambda name: uniform(f"{seed} {name}", F.col("star_id"))
+    speed = F.lit(float(mean)) + F.lit(float(sigma)) * F.sqrt(F.lit(-2.0) * F.ln(F.lit(1.0) - u("s"))) * F.cos(F.lit(2 * math.pi) * u("a"))
+    a, b, c = u("x"), u("y"), u("z")
+    length = F.greatest(F.sqrt(a * a + b * b + c * c), F.lit(1e-300))
+    return stars.withColumns({"vx": speed * a / length, "vy": speed * b / length})
 
 
 def moved(stars: DataFrame, t: float) -> DataFrame:
