@@ -6,9 +6,9 @@ import itertools
 
 import numpy as np
 import pytest
-from test_text_ops import docs, plain_dedup, words_of
+from test_text_ops import docs, plain_components, plain_dedup, words_of
 
-from arclet.llm import decontaminate, line_chunks, packing, quality_rules, warc
+from arclet.llm import decontaminate, line_chunks, ngram_join, packing, quality_rules, warc
 from arclet.llm.common import GAP_BYTES, PIECE_BYTES, LongText, Words, shingle_sets
 from arclet.llm.queries import tokenizer_path
 
@@ -35,6 +35,18 @@ def test_shingles_of_long_texts_are_those_of_short_ones():
     assert np.isin(short, long).all() and not np.isin(next(iter(shingle_sets(["five words that are new"]))), long).any()
 
 
+def test_long_texts_are_linked_as_all_pairs_are(spark):
+    base = many_words(3, 200_000)
+    edited, half = list(base), base[:150_000] + many_words(4, 50_000)
+    for i in range(0, len(edited), 1000):
+        edited[i] = f"e{i}"
+    # Half: 149,996 of about 250,000 shingles; most: 175,000 of 225,000.
+    texts = {9: base, 4: edited, 6: base, 5: half, 3: base[:175_000] + many_words(5, 25_000), 2: many_words(6, 200_000), 1: base[:40], 8: ["short"]}
+    texts = {i: " ".join(t) for i, t in texts.items()}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.jaccard_components(docs(spark, texts).repartition(4)).collect()}
+    assert got == plain_components(texts) and got[9][1] == 3 and got[5][1] == 5
+
+
 def test_leaks_at_the_edges_of_pieces_are_found(spark):
     words = many_words(7, 300_000)
     text = " ".join(words)
