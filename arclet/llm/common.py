@@ -8,7 +8,7 @@ from contextlib import contextmanager
 from contextvars import ContextVar
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans import session
@@ -91,6 +91,11 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def let(value: Column, body) -> Column:
+    """body of value, computed once a row: an inner lambda would otherwise compute a projected value again for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def mixed(h: np.ndarray) -> np.ndarray:
     """Spreads the bits of 64-bit hashes (the finaliser of the public MurmurHash3)."""
     h = h ^ (h >> np.uint64(33))

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WORD_GAP, stored
+from .common import let as _let
 
 #: Where a line ends: after a line break; or, as prose often has none, after a clause mark and its space too, so that a passage
 #: pasted into the middle of a line still shares its inner lines with other documents.
@@ -44,11 +45,6 @@ def _bare(line: Column) -> Column:
     return F.btrim(line, F.lit(" \t\r\n"))
 
 
-def _let(value: Column, body) -> Column:
-    """body of value, computed once a row: an inner lambda would otherwise compute a projected value again for each element."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def _spans(name: str, more: int = 0) -> Column:
     """Of an array of distinct ascending numbers, the runs of consecutive ones: (start, n_lines), with so many lines more."""
     heads = F.filter(F.transform(name, lambda x, i: F.when((i == 0) | (F.get(name, i - 1) != x - 1), x)), lambda x: x.isNotNull())

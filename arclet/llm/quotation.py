@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import WORD_GAP, stored
+from .common import WORD_GAP, let, stored
 
 MARKS = r"^[ \t]*(?:>[ \t]?)*"
 #: How lines end that say who wrote what follows.
@@ -36,20 +36,20 @@ def quoted_lines(df: DataFrame, text_col: str = "text") -> DataFrame:
     read = lambda x: F.struct(level(F.regexp_extract(x, MARKS, 0)).alias("level"), x.alias("body"))
     bare = lambda x: F.struct(x["level"].alias("level"), F.when(x["level"] > 0, F.regexp_replace(x["body"], MARKS, "")).otherwise(x["body"]).alias("body"))
     blank = lambda body: F.btrim(body, F.lit(" \t\n\x0b\f\r")) == ""
-    df = df.withColumn("lines", F.when(marked, F.transform(F.transform(lines, read), bare)))
-    after = lambda i, n: F.get("lines", i + n)
-    deeper = lambda x, i: F.coalesce((after(i, 1)["level"] > x["level"]) | (blank(after(i, 1)["body"]) & (after(i, 2)["level"] > x["level"])), F.lit(False))
-    kind = lambda x, i: F.when(blank(x["body"]), "blank").when(deeper(x, i) & x["body"].rlike(ATTRIBUTION), "by").otherwise("text")
-    close = F.transform("lines", lambda x, i: F.struct(x["level"].alias("level"), x["body"].alias("body"), kind(x, i).alias("kind")))
+    after = lambda own, i, n: F.get(own, i + n)
+    deeper = lambda own, x, i: F.coalesce((after(own, i, 1)["level"] > x["level"]) | (blank(after(own, i, 1)["body"]) & (after(own, i, 2)["level"] > x["level"])), F.lit(False))
+    kind = lambda own, x, i: F.when(blank(x["body"]), "blank").when(deeper(own, x, i) & x["body"].rlike(ATTRIBUTION), "by").otherwise("text")
+    # Lines look at their neighbours in an array that is made once a row; by a column's name it would be made again for each line.
+    close = let(F.transform(F.transform(lines, read), bare), lambda own: F.transform(own, lambda x, i: F.struct(x["level"].alias("level"), x["body"].alias("body"), kind(own, x, i).alias("kind"))))
     plain = F.transform(lines, lambda x: F.struct(F.lit(0).alias("level"), x.alias("body"), F.when(blank(x), "blank").otherwise("text").alias("kind")))
     return df.withColumn("lines", F.when(marked, close).otherwise(plain))
 
 
 def passages(lines: str = "lines"):
     """Of quoted_lines(): an array of (level, h), the sentences' hashes in order."""
-    goes_on = lambda x, i: (i > 0) & (F.get(lines, i - 1)["kind"] == "text") & (F.get(lines, i - 1)["level"] == x["level"])
-    part = lambda x, i: F.when(x["kind"] != "text", "").when(goes_on(x, i), F.concat(F.lit(" "), x["body"])).otherwise(F.concat(F.lit(BLOCK_CUT), x["level"].cast("string"), F.lit(LEVEL_CUT), x["body"]))
-    blocks = F.filter(F.split(F.array_join(F.transform(lines, part), ""), BLOCK_CUT), lambda b: b != "")
+    goes_on = lambda own, x, i: (i > 0) & (F.get(own, i - 1)["kind"] == "text") & (F.get(own, i - 1)["level"] == x["level"])
+    part = lambda own, x, i: F.when(x["kind"] != "text", "").when(goes_on(own, x, i), F.concat(F.lit(" "), x["body"])).otherwise(F.concat(F.lit(BLOCK_CUT), x["level"].cast("string"), F.lit(LEVEL_CUT), x["body"]))
+    blocks = F.filter(F.split(F.array_join(let(F.col(lines), lambda own: F.transform(own, lambda x, i: part(own, x, i))), ""), BLOCK_CUT), lambda b: b != "")
     plain = lambda t: F.lower(F.trim(F.regexp_replace(t, WORD_GAP, " ")))
     sentences = lambda t: F.filter(F.split(F.regexp_replace(plain(t), "([.!?]) ", f"$1{CUT}"), CUT), lambda s: s != "")
     of = lambda b: F.transform(sentences(F.substring_index(b, LEVEL_CUT, -1)), lambda s: F.struct(F.substring_index(b, LEVEL_CUT, 1).cast("int").alias("level"), F.xxhash64(s).alias("h")))
