@@ -165,6 +165,14 @@ def r6(c, name):
     return (F.round(c, 6) + F.lit(0.0)).alias(name)
 
 
+def half_up(c, digits):
+    """As SQL rounds a double: the product with the power of ten to the nearest whole number, halves away from 0; F.round() takes the
+    double's decimal digits, which differ from that where a half is meant."""
+    t = F.abs(c) * F.lit(float(10**digits))
+    whole = F.floor(t)
+    return F.signum(c) * (whole + F.when(t - whole >= 0.5, 1).otherwise(0)) / F.lit(float(10**digits)) + F.lit(0.0)
+
+
 # Tracing.
 
 
@@ -799,7 +807,7 @@ def isolate_events(spark, sf_dir):
 UNION ALL SELECT line_id, list_filter(own, lambda x: abs(x - list_avg(own)) <= 1.5 * list_stddev_pop(own)), k + 1 FROM c WHERE k < 60)
 SELECT line_id, round(list_avg(own), 4) + 0.0 AS mean, round(list_avg(own), 4) + 0.0 AS middle FROM c WHERE k = 60""")
 def clipped_baseline(spark, sf_dir):
-    return S.clipped_baselines(curves(spark, sf_dir), 1.5).select("line_id", (F.round("mean", 4) + F.lit(0.0)).alias("mean"), (F.round("middle", 4) + F.lit(0.0)).alias("middle"))
+    return S.clipped_baselines(curves(spark, sf_dir), 1.5).select("line_id", half_up(F.col("mean"), 4).alias("mean"), half_up(F.col("middle"), 4).alias("middle"))
 
 
 @query(f"""WITH {CURVES}, n AS (SELECT line_id, count(*) AS n FROM curves GROUP BY line_id), g AS (SELECT i - 8 AS o, exp(-0.125 * (i - 8) * (i - 8)) AS w FROM range(17) AS t(i)),
