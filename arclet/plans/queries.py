@@ -25,6 +25,7 @@ from ..sources import lines as N
 from ..sources import stars as ST
 from ..streaming import commands as CM
 from ..streaming import frames as FR
+from .session import spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -335,7 +336,7 @@ SELECT c_custkey, total, round((a + c) / 2, 4) AS top FROM b WHERE k = {imf.BISE
 def largest_stars(spark, sf_dir):
     """The largest star of clusters of given masses."""
     total = (F.lit(100) + F.col("c_custkey") % 2000).cast("double")
-    return table(spark, sf_dir, "customer").select("c_custkey", total.alias("total"), F.round(imf.largest_star_column(total, _WK), 4).alias("top"))
+    return spread(table(spark, sf_dir, "customer").select("c_custkey"), "c_custkey").select("c_custkey", total.alias("total"), F.round(imf.largest_star_column(total, _WK), 4).alias("top"))
 
 
 _SALPETER = imf.PowerLaw.named("Salpeter_1955")

@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def share_code(spark: SparkSession) -> None:
@@ -17,6 +17,11 @@ def share_code(spark: SparkSession) -> None:
         env["PYTHONPATH"] = f"{env.get('PYTHONPATH', '')}:{root}".strip(":")
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """df dealt by keys to as many tasks as a shuffle has: for much work on rows of few bytes, which one task would read at once."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def file_system(spark: SparkSession, path: str):
     """Spark's file system for a path, and the path as it takes it: for files of any store, not only local ones."""
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
