@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The published WMAP five-year cosmology, and physical constants in SI units.
@@ -82,24 +82,36 @@ def distance_column(z: Column, z_from: Column | None = None) -> Column:
     return (far if z_from is None else far - comoving_column(z_from)) / (F.lit(1.0) + z)
 
 
-def theta_e_column(z_source: Column, z_lens: Column, mass: Column) -> Column:
-    """theta_e() of columns; null unless the source is behind the lens."""
-    d_l, d_s, d_ls = distance_column(z_lens), distance_column(z_source), distance_column(z_source, z_lens)
+def with_distances(df: DataFrame, z_source: Column, z_lens: Column) -> DataFrame:
+    """df with d_l, d_s, d_ls: to the lens, to the source and between them, by one quadrature for each redshift of a row."""
+    far = df.withColumn("_lens", comoving_column(z_lens)).withColumn("_source", comoving_column(z_source))
+    d = {"d_l": F.col("_lens") / (F.lit(1.0) + z_lens), "d_s": F.col("_source") / (F.lit(1.0) + z_source), "d_ls": (F.col("_source") - F.col("_lens")) / (F.lit(1.0) + z_source)}
+    return far.withColumns(d).drop("_lens", "_source")
+
+
+def _distances(z_source: Column, z_lens: Column, known) -> tuple[Column, Column, Column]:
+    return known or (distance_column(z_lens), distance_column(z_source), distance_column(z_source, z_lens))
+
+
+def theta_e_column(z_source: Column, z_lens: Column, mass: Column, known=None) -> Column:
+    """theta_e() of columns; null unless the source is behind the lens. known: d_l, d_s, d_ls, if there are such columns."""
+    d_l, d_s, d_ls = _distances(z_source, z_lens, known)
     return F.when((z_source > z_lens) & (z_lens > 0), F.sqrt(F.lit(4 * G * SOLAR_MASS / C**2) * mass * d_ls / (d_l * d_s)))
 
 
-def einstein_radius_column(velocity_dispersion: Column, z_source: Column, z_lens: Column) -> Column:
+def einstein_radius_column(velocity_dispersion: Column, z_source: Column, z_lens: Column, known=None) -> Column:
     """einstein_radius() of columns; null unless the source is behind the lens."""
-    share = distance_column(z_source, z_lens) / distance_column(z_source)
+    _, d_s, d_ls = _distances(z_source, z_lens, known)
+    share = d_ls / d_s
     return F.when(z_source > z_lens, F.lit(4 * math.pi / C**2) * velocity_dispersion * velocity_dispersion * share)
 
 
-def critical_density_column(z_source: Column, z_lens: Column) -> Column:
+def critical_density_column(z_source: Column, z_lens: Column, known=None) -> Column:
     """critical_density() of columns; null unless the source is behind the lens."""
-    d_l, d_s, d_ls = distance_column(z_lens), distance_column(z_source), distance_column(z_source, z_lens)
+    d_l, d_s, d_ls = _distances(z_source, z_lens, known)
     return F.when((z_source > z_lens) & (z_lens > 0), F.lit(C**2 / (4 * math.pi * G) / SOLAR_MASS) * d_s * d_l / d_ls)
 
 
-def gravitational_radius_column(mass: Column, z: Column) -> Column:
-    """gravitational_radius() of columns; null at redshift 0."""
-    return F.when(z > 0, F.lit(G * SOLAR_MASS / C**2) * mass / distance_column(z))
+def gravitational_radius_column(mass: Column, z: Column, known: Column | None = None) -> Column:
+    """gravitational_radius() of columns; null at redshift 0. known: the distance at that redshift, if there is such a column."""
+    return F.when(z > 0, F.lit(G * SOLAR_MASS / C**2) * mass / (distance_column(z) if known is None else known))

@@ -20,7 +20,7 @@ from ..sources import lattice as L
 from ..sources import lines as N
 from ..sources import stars as ST
 from .queries import CLIPPED, DENSE, ORACLE, PLACES, PLANE, QUERIES, SAMPLED, STARS, TRACK_BOX, counts_map, lens_places, query, r6, stars, table, track, trajectories
-from .session import shared_folder
+from .session import shared_folder, spread
 
 __all__ = ["ORACLE", "QUERIES"]
 
@@ -51,12 +51,20 @@ def lenses(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", zl.alias("zl"), zs.alias("zs"), (150000 + F.col("p_size") * F.lit(5000.0)).alias("speed"), (1 + k % 7).cast("double").alias("mass"))
 
 
+def far_lenses(spark, sf_dir):
+    return K.with_distances(spread(lenses(spark, sf_dir), "p_partkey"), F.col("zs"), F.col("zl"))
+
+
+def known():
+    """The distances of far_lenses()."""
+    return F.col("d_l"), F.col("d_s"), F.col("d_ls")
+
+
 @query(f"WITH {_LENSES} SELECT p_partkey, round(dl / {MPC!r}::DOUBLE, 4) AS d_lens, round(ds / {MPC!r}::DOUBLE, 4) AS d_source, round(dls / {MPC!r}::DOUBLE, 4) AS d_between FROM d")
 def angular_distances(spark, sf_dir):
     """Distances to lens and source, and between them, in Mpc."""
-    zl, zs = F.col("zl"), F.col("zs")
-    d = {"d_lens": K.distance_column(zl), "d_source": K.distance_column(zs), "d_between": K.distance_column(zs, zl)}
-    return lenses(spark, sf_dir).select("p_partkey", *[F.round(c / F.lit(MPC), 4).alias(n) for n, c in d.items()])
+    d = dict(zip(("d_lens", "d_source", "d_between"), known()))
+    return far_lenses(spark, sf_dir).select("p_partkey", *[F.round(c / F.lit(MPC), 4).alias(n) for n, c in d.items()])
 
 
 @query(f"""WITH {_LENSES} SELECT p_partkey, round(sqrt({4 * K.G * K.SOLAR_MASS / K.C**2!r}::DOUBLE * mass * dls / (dl * ds)) / {UAS!r}::DOUBLE, 6) AS theta_e,
@@ -67,9 +75,9 @@ def lens_scales(spark, sf_dir):
     """The Einstein angle of a star in microarcseconds, that of an isothermal sphere in arcseconds, the critical density in 10⁹ solar masses
     a square arcsecond, and the gravitational radius of 10⁹ times the mass in microarcseconds."""
     zl, zs, m = F.col("zl"), F.col("zs"), F.col("mass")
-    return lenses(spark, sf_dir).select(
-        "p_partkey", F.round(K.theta_e_column(zs, zl, m) / F.lit(UAS), 6).alias("theta_e"), F.round(K.einstein_radius_column(F.col("speed"), zs, zl) / F.lit(D.ARCSEC), 6).alias("ring"),
-        F.round(K.critical_density_column(zs, zl) * F.lit(1e-9 * D.ARCSEC**2), 4).alias("density"), F.round(K.gravitational_radius_column(m * F.lit(1e9), zs) / F.lit(UAS), 8).alias("r_g"),
+    return far_lenses(spark, sf_dir).select(
+        "p_partkey", F.round(K.theta_e_column(zs, zl, m, known()) / F.lit(UAS), 6).alias("theta_e"), F.round(K.einstein_radius_column(F.col("speed"), zs, zl, known()) / F.lit(D.ARCSEC), 6).alias("ring"),
+        F.round(K.critical_density_column(zs, zl, known()) * F.lit(1e-9 * D.ARCSEC**2), 4).alias("density"), F.round(K.gravitational_radius_column(m * F.lit(1e9), zs, known()[1]) / F.lit(UAS), 8).alias("r_g"),
     )
 
 
@@ -83,8 +91,8 @@ SELECT p_partkey, unit, round(log10(angle), 8) + 0.0 AS angle FROM a""")
 def unit_angles(spark, sf_dir):
     """Quantities of all units as Einstein angles (their logarithm, as they span thirty decades); an unknown unit gives null."""
     unit = F.get(F.array(*map(F.lit, _UNITS)), (F.col("p_partkey") % len(_UNITS)).cast("int"))
-    angle = D.angle_column((1 + F.col("p_partkey") % 9).cast("double"), unit, F.col("zs"), F.col("zl"), F.col("mass") * F.lit(1e9))
-    return lenses(spark, sf_dir).select("p_partkey", unit.alias("unit"), (F.round(F.log10(angle), 8) + F.lit(0.0)).alias("angle"))
+    angle = D.angle_column((1 + F.col("p_partkey") % 9).cast("double"), unit, F.col("zs"), F.col("zl"), F.col("mass") * F.lit(1e9), known())
+    return far_lenses(spark, sf_dir).select("p_partkey", unit.alias("unit"), (F.round(F.log10(angle), 8) + F.lit(0.0)).alias("angle"))
 
 
 # Fields.

@@ -48,14 +48,15 @@ class Units:
         return Vec(self.angle(v["x"], v.get("unit", "")), self.angle(v["y"], v.get("unit", "")))
 
 
-def angle_column(value: Column, unit: Column, z_source: Column, z_lens: Column, mass: Column) -> Column:
-    """Units.angle() of columns: in Einstein angles of a solar mass. Null for a unit that isn't known."""
-    theta = cosmology.theta_e_column(z_source, z_lens, F.lit(1.0))
+def angle_column(value: Column, unit: Column, z_source: Column, z_lens: Column, mass: Column, known=None) -> Column:
+    """Units.angle() of columns: in Einstein angles of a solar mass. Null for a unit that isn't known. known: as cosmology's."""
+    theta = cosmology.theta_e_column(z_source, z_lens, F.lit(1.0), known)
+    far = known[1] if known else cosmology.distance_column(z_source)
     size = F.create_map(*[F.lit(x) for u in ANGLES.items() for x in u])[unit]
     length = F.create_map(*[F.lit(x) for u in LENGTHS.items() for x in u])[unit]
     out = F.when(unit.isNull() | unit.isin("", "theta_E", "xi", "eta"), value.cast("double"))
-    out = out.when(unit == "r_g", value * cosmology.gravitational_radius_column(mass, z_source) / theta)
-    return out.otherwise(F.coalesce(value * size / theta, value * length / cosmology.distance_column(z_source) / theta))
+    out = out.when(unit == "r_g", value * cosmology.gravitational_radius_column(mass, z_source, far) / theta)
+    return out.otherwise(F.coalesce(value * size / theta, value * length / far / theta))
 
 
 def _polar(d: dict) -> Polar:
