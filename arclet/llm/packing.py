@@ -16,7 +16,10 @@ import zlib
 from array import array
 from functools import cache
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -38,15 +41,13 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 BINS = "used long, items array<struct<doc_id: long, piece: int, length: long, row: long>>, full boolean"
 
 
-#: Letters whose words go straight to the model, once they are small, and marks that may follow: all of ASCII but the apostrophe.
-LETTERS = re.compile("[a-z\xdf-\xf6\xf8-\xff]*")
+#: Words of Latin-1 letters, which go straight to the model once they are small, and marks that may follow: all of ASCII but the apostrophe.
 MARKS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'")
-#: White space to Python, but not to the tokenizer.
-SEPARATORS = re.compile("[\x1c-\x1f]")
+PLAIN = rf"\A(?P<letters>[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]*)(?P<marks>[{re.escape(MARKS)}]*)\z"
 
 
 class WordIds:
-    """Ids of texts by one tokenizer, as little-endian 32-bit words; ids of frequent words are remembered.
+    """Ids of texts by one tokenizer, as little-endian 32-bit words; ids of runs of letters are remembered.
 
     For tokenizers that make all letters small, drop white space and never look across it, nor from letters to marks: a
     text's ids are those of its words in turn. Of a plain word the letters go straight to the tokenizer's model; any other
@@ -57,8 +58,8 @@ class WordIds:
         self.tokenizer = Tokenizer.from_file(path)
         self.model = Tokenizer(self.tokenizer.model)
         self.model.pre_tokenizer = ByteLevel(add_prefix_space=False, use_regex=False)
+        #: Ids of odd words; ids of runs of letters and of runs of marks, and those of an older generation.
         self.known: dict[str, bytes] = {}
-        #: Ids of runs of letters and of runs of marks, and those of an older generation.
         self.parts: dict[str, bytes] = {"": b""}
         self.older: dict[str, bytes] = {}
 
@@ -70,7 +71,7 @@ class WordIds:
 
     @staticmethod
     def words(text: str) -> list[str]:
-        return text.split() if SEPARATORS.search(text) is None else re.split("[ \t\n\r]", text)
+        return re.split("[ \t\n\r]", text)
 
     def _encode(self, tokenizer: Tokenizer, words: list[str], known: dict[str, bytes]) -> None:
         for a in range(0, len(words), 20_000):
@@ -79,40 +80,44 @@ class WordIds:
 
     def learn(self, texts: list[list[str]]) -> None:
         """Takes up the words of texts."""
-        new: set[str] = set()
-        for words in texts:
-            new.update(words)
+        self.of_texts([" ".join(words) for words in texts])
+
+    def of(self, words: list[str]) -> bytes:
+        return self.of_texts([" ".join(words)])[0]
+
+    def of_texts(self, texts: list[str]) -> list[bytes]:
+        """Of each text its ids. Arrow splits texts at ASCII white space, so that only distinct runs of letters and odd words come here;
+        an odd word may hold other white space, as the tokenizer drops that."""
         if len(self.known) > CACHE_WORDS:
             self.known = {}
         if len(self.parts) > CACHE_WORDS:
             self.parts, self.older = {"": b""}, self.parts
-        new = new.difference(self.known)
         known, parts, older = self.known, self.parts, self.older
-        plain, odd = [], []
-        for w in new:
-            small = w.lower()
-            letters = small.rstrip(MARKS)
-            marks = small[len(letters) :]
-            a = parts.get(letters)
-            if a is None:
-                a = older.get(letters)
-                if a is not None:
-                    parts[letters] = a
-            b = parts.get(marks)
-            if a is not None and b is not None:
-                known[w] = a + b
-            elif LETTERS.fullmatch(letters):
-                plain.append((w, letters, marks))
-            else:
-                odd.append(w)
-        self._encode(self.model, list({x[1] for x in plain}.difference(parts)), parts)
-        self._encode(self.tokenizer, list({x[2] for x in plain}.difference(parts)), parts)
-        self._encode(self.tokenizer, odd, known)
-        for w, letters, marks in plain:
-            known[w] = parts[letters] + parts[marks]
-
-    def of(self, words: list[str]) -> bytes:
-        return b"".join(map(self.known.__getitem__, words))
+        split = pc.ascii_split_whitespace(pa.array(texts, pa.large_string()))
+        coded = split.flatten().dictionary_encode()
+        both = pc.extract_regex(coded.dictionary, PLAIN)
+        odd = coded.dictionary.filter(pc.is_null(both)).to_numpy(zero_copy_only=False).tolist()
+        letters, marks = (x.dictionary_encode() for x in (pc.utf8_lower(pc.struct_field(both, [0])), pc.struct_field(both, [1])))
+        some, ends = (x.dictionary.to_numpy(zero_copy_only=False).tolist() for x in (letters, marks))
+        new = [x for x in some if x not in parts]
+        parts.update((x, older[x]) for x in new if x in older)
+        self._encode(self.model, [x for x in new if x not in older], parts)
+        self._encode(self.tokenizer, [x for x in ends if x not in parts], parts)
+        self._encode(self.tokenizer, [x for x in odd if x not in known], known)
+        found = [parts[x] for x in some] + [parts[x] for x in ends] + [known[x] for x in odd] + [b""]
+        # A word is two of these: its letters and marks, or itself and nothing.
+        two = np.full((len(coded.dictionary), 2), len(found) - 1)
+        plain = pc.is_valid(both).to_numpy(zero_copy_only=False)
+        two[plain, 0] = letters.indices.drop_null().to_numpy()
+        two[plain, 1] = marks.indices.drop_null().to_numpy() + len(some)
+        two[~plain, 0] = len(some) + len(ends) + np.arange(len(odd))
+        every = two[coded.indices.to_numpy()].ravel()
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        n, first = sizes[every], (np.cumsum(sizes) - sizes)[every]
+        stops = np.concatenate(([0], np.cumsum(n)))
+        ids = np.frombuffer(b"".join(found), np.uint32)[np.arange(stops[-1]) + np.repeat(first - stops[:-1], n)]
+        bounds = stops[2 * split.offsets.to_numpy()]
+        return [ids[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:])]
 
 
 def _packed(ids) -> bytes:
@@ -133,13 +138,12 @@ def _cut(path: str, capacity: int, end_id: int):
         for pdf in batches:
             texts, rows, part, size = ["" if t is None else t for t in pdf["text"]], [], [], 0
             for i, (doc, text) in enumerate(zip(pdf["doc_id"], texts)):
-                part.append((doc, words.words(text)))
+                part.append((doc, text))
                 size += len(text)
                 if size < 2 << 20 and i < len(texts) - 1:
                     continue
-                words.learn([t for _, t in part])
-                for d, t in part:
-                    ids = words.of(t) + end
+                for (d, _), own in zip(part, words.of_texts([t for _, t in part])):
+                    ids = own + end
                     for k, a in enumerate(range(0, len(ids), 4 * capacity)):
                         own = ids[a : a + 4 * capacity]
                         rows.append((d, k, a // 4, len(own) // 4, zlib.crc32(own)))
