@@ -12,6 +12,7 @@ window of m + 1 shingles is that of m with one addition. For items longer than P
 
 from __future__ import annotations
 
+import math
 from collections import Counter, defaultdict
 from functools import cached_property, reduce
 
@@ -81,7 +82,6 @@ class Group:
     def __init__(self, size: int, own: list[tuple[int, np.ndarray]], errors: int):
         self.size, self.items, self.errors = size, [i for i, _ in own], errors
         self.counts = [Counter(h.tolist()) for _, h in own]
-        self.sets = [np.unique(h) for _, h in own]
         self.prints = np.array([simhash(h) for _, h in own], np.uint64)
 
     @cached_property
@@ -89,12 +89,11 @@ class Group:
         """Made in the worker that looks things up, not sent to it."""
         return [BlockIndex(self.prints[a : a + ITEMS_AN_INDEX], self.errors) for a in range(0, len(self.prints), ITEMS_AN_INDEX)]
 
-    def near(self, found: np.ndarray, radius: int, keep=None):
-        """(places, item numbers) of fingerprints within the radius; keep: places worth a look, given those that are named."""
+    def near(self, found: np.ndarray, radius: int):
+        """(places, item numbers) of fingerprints within the radius."""
         for k, index in enumerate(self.indexes):
             bits = index.named(found)
             at = np.flatnonzero(bits)
-            at = at if keep is None else at[keep(at)]
             if at.size:
                 w, q = index.pairs(found[at], bits[at], radius)
                 if w.size:
@@ -125,7 +124,7 @@ class Probes:
 
     def shared(self, h: np.ndarray) -> np.ndarray:
         """Of hashes, how many before each place (and in all) an item may have: never too few."""
-        out = np.zeros(len(h) + 1, np.int64)
+        out = np.zeros(len(h) + 1, np.int32)
         np.cumsum(self.seen[h & np.uint64(SEEN - 1)], out=out[1:])
         return out
 
@@ -137,9 +136,13 @@ class Probes:
         sizes = [m for w, m in self.by if w == width]
 
         def found(m, at, prints):
-            keep = None if shared is None else lambda x: shared[at + x + m] - shared[at + x] >= least * m
-            for places, items in self.by[width, m].near(prints, self.radius, keep):
-                yield m, at + places, items
+            keep = np.arange(len(prints))
+            if shared is not None:
+                # Before the index is asked, as hardly a window shares enough.
+                keep = np.flatnonzero(shared[at + m : at + m + len(prints)] - shared[at : at + len(prints)] >= math.ceil(least * m))
+            if keep.size:
+                for places, items in self.by[width, m].near(prints[keep], self.radius):
+                    yield m, at + keep[places], items
 
         for at in range(0, len(h), STRIP) if sizes else ():
             for m, over in _windows(h[at : at + STRIP + PLANE_WINDOW - 1], [m for m in sizes if m <= PLANE_WINDOW]):
@@ -223,12 +226,12 @@ def _search(probes: Probes, similarity: float):
                         doc = np.searchsorted(words.word_ends, places, side="right")
                         inside = places + m + width - 1 <= words.word_ends[np.minimum(doc, len(words.word_ends) - 1)]
                         for p, q, d in zip(places[inside], which[inside], doc[inside]):
-                            window = h[p : p + m]
+                            window, there = h[p : p + m].tolist(), group.counts[q]
                             # A cheap bound before the exact count: at similarity s at least 2s / (1 + s) of the shingles are shared.
-                            if np.isin(window, group.sets[q]).sum() < similarity * m:
+                            if sum(map(there.__contains__, window)) < similarity * m:
                                 continue
-                            mine = Counter(window.tolist())
-                            low = sum((mine & group.counts[q]).values())
+                            mine = Counter(window)
+                            low = sum((mine & there).values())
                             if low >= similarity * (2 * m - low):
                                 rows.append((ids[start + d], group.items[q], low / (2 * m - low), p - words.word_starts[d], m + width - 1))
                     rows += [(ids[start + d], *row) for d, row in probes.shorter(h, width, words, shared, similarity)]
