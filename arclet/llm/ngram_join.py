@@ -1,25 +1,28 @@
 """Exact Jaccard self-join on word shingles that skips by position and by what is known of a similar set.
 
 Sets are ordered by one global order (frequent shingles last, else by hash), and two sets can only link if their
-prefixes share a shingle. The lists of sets by prefix shingle are the index. Pairs are compared in two rounds:
+prefixes share a shingle. The lists of sets by prefix shingle are the index. Of two sets that can link by a list the
+smaller holds the shingle early enough to link with a set of its own size; lists without such a set go, and with them
+members too late for the smallest one. Pairs are compared in three rounds:
 
-1.  Every list has a centre, its smallest set. Members are verified against it, and linked ones merge. A copy of a text
-    may be near the text but not near other copies, so members that this leaves apart are verified against the centre's
-    hub too: the set most similar to it.
+1.  Every list has a centre, the smallest set that is early enough. Members are verified against it, and linked ones merge.
 2.  Answers already known for the centre then serve its list: members of one component need no further link, and two
     members whose distances to the centre differ by more than the radius can't link (Jaccard distance is a metric).
-    What remains is compared block by block; a block whose sizes or positions leave too little overlap is skipped.
+    What remains is bounded block by block; a block whose sizes or positions leave too little overlap is skipped. Of the
+    pairs that are left in a list those of a spanning forest of its components, nearest first, are verified and merge.
+3.  Lists with more such pairs than their forests hold are taken again, and all pairs whose components are still apart
+    are verified, each in the first list that it meets in.
 
 Before texts are touched, parity sketches of the sets bound a pair's symmetric difference from below, and so its
-similarity from above. So a group of m near copies costs about m comparisons and not m squared, and no link between
-components is lost. Equal sets are one node, told from others by two digests of 64 bits; shingles are 64-bit hashes.
+similarity from above. So a group of m near copies costs about m comparisons a list and not m squared, and no link
+between components is lost. Equal sets are one node, told from others by two digests of 64 bits; shingles are 64-bit hashes.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import mixed, share_code, shingle_sets, stored, text_frame
@@ -40,6 +43,8 @@ MOST_PAIRS = 1 << 16
 MOST_HELD = 1 << 19
 #: Members that a skipped or compared block holds.
 BLOCK = 256
+#: Shingles before a list's own that a member brings: two members that share one have met there.
+BEFORE = 4
 
 
 def sketch(h: np.ndarray) -> bytes:
@@ -134,7 +139,8 @@ def _prefixes(k, percent, frequent, shared):
 
 
 def _lists(batches):
-    """Rows sorted by token, n, node -> the distinct ones of lists of two and more, with the list's centre, its size and place."""
+    """Rows sorted by token and further columns -> the distinct ones of lists of two and more, with the list's first as centre, its
+    size and place."""
     seen, centre, held = None, None, None
     for pdf in batches:
         if not len(pdf):
@@ -156,7 +162,7 @@ def _lists(batches):
         centres = own[heads[np.maximum(which, 0)]] if heads.size else np.zeros((len(t), 3), np.int64)
         if centre is not None:
             centres[which < 0] = centre
-        out = pdf.assign(centre=centres[:, 0], cn=centres[:, 1], cpos=centres[:, 2])
+        out = pdf[["token", "node", "n", "pos"]].assign(centre=centres[:, 0], cn=centres[:, 1], cpos=centres[:, 2])
         # A list of one shows only when the next list starts: its row is held back until then.
         alone = starts & np.concatenate((starts[1:], [False]))
         if held is not None and not starts[0]:
@@ -170,13 +176,39 @@ def _lists(batches):
         centre = centres[-1]
 
 
-def _crossing(percent):
-    """Rows sorted by token, lo, hi, n, node with label and bounds of the distance to the centre -> pairs that may link."""
+def spanning(label: np.ndarray, i: np.ndarray, j: np.ndarray, far: np.ndarray) -> np.ndarray:
+    """Which of the edges (i, j) make the least spanning forest of the labels: each tree takes its nearest edge, round by round."""
+    order = np.argsort(far, kind="stable")
+    root = np.unique(label, return_inverse=True)[1]
+    trees = int(root.max()) + 1
+    u, v, rank, kept = root[i[order]], root[j[order]], np.arange(len(order)), []
+    while (apart := u != v).any():
+        u, v, rank = u[apart], v[apart], rank[apart]
+        # Ranks are unique, so that nearest edges close no ring but that of two trees with one edge.
+        best = np.full(trees, len(u))
+        np.minimum.at(best, u, np.arange(len(u)))
+        np.minimum.at(best, v, np.arange(len(u)))
+        at = np.flatnonzero(best < len(u))
+        edge = best[at]
+        kept.append(rank[np.unique(edge)])
+        up = np.arange(trees)
+        up[at] = np.where(u[edge] == at, v[edge], u[edge])
+        ring = (up[up] == np.arange(trees)) & (np.arange(trees) < up)
+        up[ring] = np.flatnonzero(ring)
+        while (up[up] != up).any():
+            up = up[up]
+        u, v = up[u], up[v]
+    return order[np.concatenate(kept)] if kept else order[:0]
+
+
+def _crossing(percent, forest):
+    """Rows sorted by token, lo, hi, n, node with label and bounds of the distance to the centre -> pairs that may link.
+
+    forest: of lists with sketches, only a spanning forest of their labels. Where that leaves pairs out, more is true and token the list's, else 0.
+    """
     radius = 1 - percent / 100 + 1e-9
 
-    def within(rows):
-        order = np.argsort(rows[0], kind="stable")
-        n, pos, ids, least, most, label, chunk, sketches = (x[order] for x in rows)
+    def within(n, pos, ids, least, most, label, chunk, sketches, before):
         split = chunk.min() != chunk.max()
         rest = n - pos
         for start in range(0, len(n), BLOCK):
@@ -200,15 +232,38 @@ def _crossing(percent):
                 x, y = np.nonzero(ok)
                 if other == start:
                     x, y = x[x < y], y[x < y]
+                far = None
+                if x.size and before is not None:
+                    p, q = before[a][x], before[b][y]
+                    fresh = ~((p[:, :, None] == q[:, None, :]) & (p != 0)[:, :, None]).any(axis=(1, 2))
+                    x, y = x[fresh], y[fresh]
                 if x.size and sketches[a][0] is not None:
                     words = min(min(map(len, sketches[a])), min(map(len, sketches[b]))) // 8
                     p, q = (np.stack([folded(t, words) for t in sketches[c]]) for c in (a, b))
                     apart = np.maximum(np.bitwise_count(p[x] ^ q[y]).sum(axis=1, dtype=np.int64), np.abs(n[a][x] - n[b][y]))
                     sizes = n[a][x] + n[b][y]
                     may = 100 * (sizes - apart) >= percent * (sizes + apart)
-                    x, y = x[may], y[may]
+                    x, y, far = x[may], y[may], (apart / sizes)[may]
                 if x.size:
-                    yield np.stack((ids[a][x], ids[b][y]))
+                    yield start + x, other + y, far
+
+    def chosen(rows):
+        order = np.argsort(rows[0], kind="stable")
+        rows = [x[order] for x in rows]
+        ids, label, sketches, before = rows[2], rows[5], rows[7], rows[8]
+        rows[8] = None if forest or before[0] is None else np.stack(before)
+        held, all_of = None, 0
+        for i, j, far in within(*rows):
+            if not forest or sketches[0] is None:
+                yield ids[i], ids[j], False
+                continue
+            all_of += len(i)
+            held = (i, j, far) if held is None else tuple(map(np.concatenate, zip(held, (i, j, far))))
+            if len(held[0]) > MOST_PAIRS:
+                held = tuple(x[spanning(label, *held)] for x in held)
+        if held is not None:
+            tree = spanning(label, *held)
+            yield ids[held[0][tree]], ids[held[1][tree]], len(tree) < all_of
 
     def run(batches):
         held = None
@@ -223,13 +278,13 @@ def _crossing(percent):
             yield from pairs(held, np.array([0, len(held)]))
 
     def pairs(pdf, bounds):
-        cols = [pdf[c].to_numpy() for c in ("n", "pos", "node", "least", "most", "label", "chunk", "sketch")]
-        found, size = [], 0
+        cols = [pdf[c].to_numpy() for c in ("n", "pos", "node", "least", "most", "label", "chunk", "sketch", "before")]
+        token, found, size = pdf["token"].to_numpy(), [], 0
         for s, e in zip(bounds[:-1], bounds[1:]):
             if e - s > 1 and (cols[5][s:e] != cols[5][s]).any():
-                for part in within([c[s:e] for c in cols]):
-                    found.append(part)
-                    size += part.shape[1]
+                for a, b, more in chosen([c[s:e] for c in cols]):
+                    found.append((np.minimum(a, b), np.maximum(a, b), np.full(len(a), token[s]), np.full(len(a), more)))
+                    size += len(a)
                     if size > MOST_PAIRS:
                         yield frame(found)
                         found, size = [], 0
@@ -237,8 +292,8 @@ def _crossing(percent):
             yield frame(found)
 
     def frame(found):
-        a, b = np.concatenate(found, axis=1)
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
+        a, b, token, more = (np.concatenate(x) for x in zip(*found))
+        return pd.DataFrame({"a": a, "b": b, "token": np.where(more, token, 0), "more": more}).drop_duplicates()
 
     return run
 
@@ -280,6 +335,24 @@ def _bounded(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return stored(both.mapInPandas(_sketched(percent), "a long, b long, least double, open boolean"))
 
 
+def _met(rows: DataFrame, nodes: DataFrame, percent: int, forest: bool) -> DataFrame:
+    """Members of lists, with labels -> a, b, token, more (see _crossing()): pairs of members of two labels that may link."""
+    many = rows.groupBy("token").agg(F.min("label").alias("l"), F.max("label").alias("h"), F.count(F.lit(1)).alias("m")).where("l < h")
+    rows = rows.join(many.select("token", "m", F.ceil(F.col("m") / LIST_CHUNK).cast("int").alias("g")), "token")
+    long = rows.where(F.col("m") >= SKETCH_FROM)
+    none = F.lit(None).cast("array<long>")
+    order = Window.partitionBy("node").orderBy("pos")
+    # The place of a shingle in a set tells which ones are before it; a pair that shares one of those meets in its list too.
+    long = long.withColumn("before", none if forest else F.array(*(F.lag("token", i, 0).over(order) for i in range(1, BEFORE + 1))))
+    long = long.join(nodes.select("node", "sketch"), "node")
+    rows = long.unionByName(rows.where(F.col("m") < SKETCH_FROM).withColumn("before", none).withColumn("sketch", F.lit(None).cast("binary")))
+    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("node"), "g").cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
+    rows = rows.withColumn("lo", F.least("chunk", "with")).withColumn("hi", F.greatest("chunk", "with"))
+    rows = rows.select("token", "lo", "hi", "node", "n", "pos", "least", "most", "label", "chunk", "sketch", "before")
+    rows = rows.repartition("token", "lo", "hi").sortWithinPartitions("token", "lo", "hi", "n", "node")
+    return rows.mapInPandas(_crossing(percent, forest), "a long, b long, token long, more boolean")
+
+
 def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, shared: frozenset[int]) -> DataFrame:
     """Pairs (a, b) of nodes -> a, b, both (intersection), total (union). Sets are made of one text of each node only."""
     ids = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
@@ -327,49 +400,40 @@ def jaccard_links(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     nodes = stored(nodes)
 
     entries = docs.where("doc_id is not null").mapInPandas(_prefixes(k, percent, frequent, shared), "token long, node long, n int, pos int")
-    lists = entries.repartition("token").sortWithinPartitions("token", "n", "node").mapInPandas(_lists, "token long, node long, n int, pos int, centre long, cn int, cpos int")
-    lists = stored(lists)
+    # Of two members that can link by a list the smaller one is early: it could link with a set of its own size.
+    late = lambda n, pos: f"{100 + percent}L * ({n} - {pos}) < {2 * percent}L * {n}"
+    ordered = entries.withColumn("late", F.expr(late("n", "pos"))).repartition("token").sortWithinPartitions("token", "late", "n", "node")
+    lists = ordered.mapInPandas(_lists, "token long, node long, n int, pos int, centre long, cn int, cpos int")
+    useful = f"not ({late('n', 'pos')}) or (cn < n and {100 + percent}L * (n - pos) >= {percent}L * (n + greatest(cn, {percent}L * n div 100)))"
+    lists = stored(lists.where(f"not ({late('cn', 'cpos')})").where(useful))
     fits = f"100 * least(n, cn) >= {percent} * greatest(n, cn) and {100 + percent} * least(n - pos, cn - cpos) >= {percent} * (n + cn)"
     first = lists.where(f"node <> centre and {fits}").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
     bounds = _bounded(first, nodes, percent)
     links = _verified(bounds.where("open").select("a", "b"), nodes, docs, k, shared)
     linked = F.expr(f"100 * both >= {percent} * total")
-    labels = connected_components(links.where(linked))
+    named = lambda x: connected_components(x.where(linked)).select(F.col("id").alias("node"), F.col("component").alias("label"))
 
-    like = links.where(linked).select("a", "b", (F.col("both") / F.col("total")).alias("s"))
-    hubs = like.union(like.select("b", "a", "s")).groupBy(F.col("a").alias("centre")).agg(F.max(F.struct("s", "b"))["b"].alias("hub"))
-    label = lambda x: labels.select(F.col("id").alias(x), F.col("component").alias(f"{x}_label"))
     # What is known of a member and a centre holds for all lists that have both: it is put together once, and lists meet it once.
-    own = stored(lists.select("node", "centre", "n", "cn").distinct())
-    star = own.select("node", "centre").join(hubs, "centre").where("node <> hub").join(label("node"), "node", "left").join(label("hub"), "hub")
-    star = star.where("node_label is null or node_label <> hub_label").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
-    star = stored(star.join(bounds, ["a", "b"], "left_anti"))
-    tried = bounds.select("a", "b")
-    if not star.isEmpty():
-        tried = tried.union(star)
-        links = links.unionByName(_verified(_bounded(star, nodes, percent).where("open").select("a", "b"), nodes, docs, k, shared))
-        labels = connected_components(links.where(linked))
-
     exact = links.select("a", "b", (1 - F.col("both") / F.col("total")).alias("far"))
     known = bounds.join(exact, ["a", "b"], "left").select("a", "b", F.coalesce("far", "least").alias("least"), F.coalesce("far", F.lit(1.0)).alias("most"))
     known = known.select(F.col("a").alias("node"), F.col("b").alias("centre"), "least", "most").union(known.select("b", "a", "least", "most"))
     apart = F.when(F.col("node") == F.col("centre"), 0.0)
     least = F.coalesce(apart, "least", 1 - F.least("n", "cn") / F.greatest("n", "cn"))
-    info = own.join(known, ["node", "centre"], "left").join(labels.withColumnRenamed("id", "node"), "node", "left")
-    info = stored(info.select("node", "centre", least.alias("least"), F.coalesce(apart, "most", F.lit(1.0)).alias("most"), F.coalesce("component", "node").alias("label")))
+    info = lists.select("node", "centre", "n", "cn").distinct().join(known, ["node", "centre"], "left").join(named(links), "node", "left")
+    info = stored(info.select("node", "centre", least.alias("least"), F.coalesce(apart, "most", F.lit(1.0)).alias("most"), F.coalesce("label", "node").alias("label")))
     rows = stored(lists.select("token", "node", "centre", "n", "pos").join(info, ["node", "centre"]).drop("centre"))
-    many = rows.groupBy("token").agg(F.min("label").alias("l"), F.max("label").alias("h"), F.count(F.lit(1)).alias("m")).where("l < h")
-    rows = rows.join(many.select("token", "m", F.ceil(F.col("m") / LIST_CHUNK).cast("int").alias("g")), "token")
-    long = rows.where(F.col("m") >= SKETCH_FROM).join(nodes.select("node", "sketch"), "node")
-    rows = long.unionByName(rows.where(F.col("m") < SKETCH_FROM).withColumn("sketch", F.lit(None).cast("binary")))
-    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("node"), "g").cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
-    rows = rows.select("token", F.least("chunk", "with").alias("lo"), F.greatest("chunk", "with").alias("hi"), "node", "n", "pos", "least", "most", "label", "chunk", "sketch")
-    second = rows.repartition("token", "lo", "hi").sortWithinPartitions("token", "lo", "hi", "n", "node").mapInPandas(_crossing(percent), "a long, b long").distinct()
-    second = stored(second.join(tried, ["a", "b"], "left_anti"))
-    if second.isEmpty():
+
+    tried = bounds.select("a", "b")
+    met = stored(_met(rows, nodes, percent, forest=True))
+    second = stored(met.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"))
+    links = links.unionByName(_verified(_bounded(second, nodes, percent).where("open").select("a", "b"), nodes, docs, k, shared))
+    left = stored(met.where("more").select("token").distinct())
+    if left.isEmpty():
         return members, links.where(linked)
-    more = _bounded(second, nodes, percent).where("open").select("a", "b")
-    return members, links.unionByName(_verified(more, nodes, docs, k, shared)).where(linked)
+    rows = rows.drop("label").join(left, "token", "left_semi").join(named(links), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    third = _met(stored(rows), nodes, percent, forest=False).select("a", "b").distinct()
+    third = stored(third.join(tried.union(second), ["a", "b"], "left_anti"))
+    return members, links.unionByName(_verified(_bounded(third, nodes, percent).where("open").select("a", "b"), nodes, docs, k, shared)).where(linked)
 
 
 def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 75) -> DataFrame:
